@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textlattice.llm.common import read
 from textlattice.llm.decontaminate import contamination
 from textlattice.llm.exact_substring import substring_dedup
+from textlattice.llm.language import fit, held_out, identify
+from textlattice.llm.licenses import license_scan
 from textlattice.llm.simhash import near_duplicates
+from textlattice.llm.tiff import as_tiff, tiff_pages
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +28,33 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce(F.col("text").cast("binary"), F.expr("x''"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), raw.alias("raw"))
+    d = d.select("doc_id", "n_bytes", F.expr("rpad(raw, CAST(greatest(64, 64 * ceil(n_bytes / 64)) AS INT), x'00')").alias("payload"))
+    files = as_tiff(d, "payload", ["doc_id", "n_bytes"])
+    files = files.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    p = tiff_pages(files, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    return p.select("doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = identify(docs, fit(docs, ~held_out(F.col("doc_id"))), ["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_media_columns": op2_media_columns,
+    "op4_language_id": op4_language_id,
     "op3_simhash": op3_simhash,
+    "op6_license_scan": op6_license_scan,
     "op8_decontaminate": op8_decontaminate,
 }
 
