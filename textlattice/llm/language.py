@@ -5,7 +5,8 @@ anything else one space), hashed to DIM places, with damped counts weighted by
 inverse document frequency and scaled to length one. Each language gets up to
 CLUSTERS centroids from spherical k-means over a bounded sample of labelled texts.
 A text gets the language of the centroid with the largest cosine; it is rejected
-when that cosine is far below what the centroid's own training texts reach.
+when that cosine is far below what training texts of about its length reach (a
+short text never comes close to a centroid, whatever its language).
 
 Defined results: a null text and one without letters is ``und`` with score 0 and
 rejected; rows without a label and rows that the caller holds out are not learned
@@ -30,8 +31,9 @@ DIM = 8192
 CLUSTERS = 4
 #: Bound of the training sample, in documents (expected; at most twice as many are taken).
 MAX_TRAIN = 3000
-#: A text is rejected below this part of the lowest cosine among a centroid's training texts.
-REJECT_AT = 0.5
+#: A text is rejected below this part of the lowest cosine among training texts of about its length,
+#: and never where fewer than REJECT_FROM of them show what that length reaches.
+REJECT_AT, REJECT_FROM = 0.5, 30
 ROWS = 256
 UNKNOWN = "und"
 
@@ -79,7 +81,7 @@ class Model:
     langs: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    floor: np.ndarray  # the cosine below which a centroid rejects
+    floor: np.ndarray  # the cosine below which a text is rejected, by the binary logarithm of its grams
 
     def vectors(self, n: np.ndarray) -> np.ndarray:
         x = np.log1p(n, dtype=np.float32)
@@ -90,7 +92,11 @@ class Model:
         cos = self.vectors(n) @ self.centroids.T
         best = cos.argmax(axis=1)
         top = cos[np.arange(len(cos)), best]
-        return best, np.clip(top, 0, 1), top < self.floor[best]
+        return best, np.clip(top, 0, 1), top < self.floor[length_class(n)]
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(n.sum(axis=1), 1)).astype(np.int64)
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +117,9 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
 def train(labels: list[str], n: np.ndarray) -> Model:
     """labels and rows x DIM counts of the sample."""
     idf = np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))).astype(np.float32) + 1
-    model = Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.float32))
+    model = Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(64, np.float32))
     x, names = model.vectors(n), np.array(labels)
-    cs, floors = [], []
+    cs = []
     for lang in sorted(set(labels)):
         own = x[names == lang]
         c, at = k_means(own, CLUSTERS)
@@ -121,8 +127,12 @@ def train(labels: list[str], n: np.ndarray) -> Model:
             if (at == j).any():
                 model.langs.append(lang)
                 cs.append(c[j])
-                floors.append(REJECT_AT * float((own[at == j] @ c[j]).min()))
-    model.centroids, model.floor = np.array(cs, np.float32).reshape(-1, DIM), np.array(floors, np.float32)
+    model.centroids = np.array(cs, np.float32).reshape(-1, DIM)
+    if cs:
+        top, size = (x @ model.centroids.T).max(axis=1), length_class(n)
+        for k in np.unique(size):
+            if (size == k).sum() >= REJECT_FROM:
+                model.floor[k] = REJECT_AT * top[size == k].min()
     return model
 
 
