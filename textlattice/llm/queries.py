@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textlattice.llm.common import read
 from textlattice.llm.decontaminate import contamination
 from textlattice.llm.exact_substring import substring_dedup
+from textlattice.llm.html_main import extract
 from textlattice.llm.language import fit, held_out, identify
 from textlattice.llm.licenses import license_scan
 from textlattice.llm.simhash import near_duplicates
 from textlattice.llm.tiff import as_tiff, tiff_pages
+from textlattice.llm.token_counts import token_counts
+
+#: Folder of the public tokenizers' files; only the driver reads it.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +56,17 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+        model = f.read()
+    docs = read(spark, sf_dir, "documents").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return token_counts(docs, model, ["doc_id", "n_bytes"], rank_scores=True)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
@@ -56,6 +74,8 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op6_license_scan": op6_license_scan,
     "op8_decontaminate": op8_decontaminate,
+    "op9_token_counts": op9_token_counts,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {
