@@ -12,6 +12,7 @@ from textlattice.llm.exact_substring import substring_dedup
 from textlattice.llm.html_main import extract
 from textlattice.llm.language import fit, held_out, identify
 from textlattice.llm.licenses import license_scan
+from textlattice.llm.mixing import DOMAINS, domain, mix
 from textlattice.llm.simhash import near_duplicates
 from textlattice.llm.tiff import as_tiff, tiff_pages
 from textlattice.llm.token_counts import token_counts
@@ -67,12 +68,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), domain(F.col("quality"), F.col("toxic")).alias("label"))
+    out = mix(read(spark, sf_dir, "documents"), labels)
+    names = [F.col("posteriors")[i].alias(f"p_{n}") for i, n in enumerate(sorted(DOMAINS))]
+    return out.select("doc_id", "n_tokens", *names, "rate")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
     "op4_language_id": op4_language_id,
     "op3_simhash": op3_simhash,
     "op6_license_scan": op6_license_scan,
+    "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_html_extraction": op10_html_extraction,
