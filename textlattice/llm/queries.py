@@ -14,6 +14,7 @@ from textlattice.llm.language import fit, held_out, identify
 from textlattice.llm.licenses import license_scan
 from textlattice.llm.mixing import DOMAINS, domain, mix
 from textlattice.llm.simhash import near_duplicates
+from textlattice.llm.suffix_array import suffix_dedup
 from textlattice.llm.tiff import as_tiff, tiff_pages
 from textlattice.llm.token_counts import token_counts
 
@@ -75,11 +76,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *names, "rate")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
     "op4_language_id": op4_language_id,
     "op3_simhash": op3_simhash,
+    "op5_suffix_array": op5_suffix_array,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_decontaminate": op8_decontaminate,
