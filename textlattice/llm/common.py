@@ -35,11 +35,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def grouped_docs(docs: DataFrame, id_col: str, text_col: str, n_groups: int) -> DataFrame:
-    """id, text and a group number g that depends on the id (the text, where the id is null). A null id counts as the largest."""
+def grouped_docs(docs: DataFrame, id_col: str, text_col: str, n_groups: int, carry: list[str] = ()) -> DataFrame:
+    """id, text and a group number g that depends on the id (the text, where the id is null), and columns to carry as c0, c1, ...
+
+    A null id counts as the largest.
+    """
     key, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     g = F.pmod(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(n_groups)).cast("int")
-    return docs.select(F.coalesce(key, F.lit(LAST_ID)).alias("id"), text.alias("text"), g.alias("g"))
+    return docs.select(F.coalesce(key, F.lit(LAST_ID)).alias("id"), text.alias("text"), g.alias("g"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry)))
 
 
 def back_to_null(name: str) -> Column:

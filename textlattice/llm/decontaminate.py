@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textlattice.llm import kernels as K
@@ -159,8 +160,25 @@ def _scan_keyed(index) -> object:
     return f
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """The rows that aren't contaminated, with all their columns. docs must have an id column that tells texts apart."""
-    id_col = names.get("id_col", "doc_id")
-    bad = contamination(docs, benchmark, **names).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
+def _drop(index, at: int) -> object:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for c in K.chunks(pc.cast(b.column(at), pa.string())):
+                off, hit, _, _ = index.value.scan(c)
+                n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[off])
+                keep.append(~((n_hit > 0) & (20 * n_hit >= np.diff(off))))
+            if keep:
+                yield b.filter(pa.array(np.concatenate(keep)))
+
+    return f
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows that aren't contaminated, with all their columns. Where the benchmark takes several blocks, ids must tell texts apart."""
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(Index(b)) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
+    if len(blocks) == 1:
+        return docs.mapInArrow(_drop(blocks[0], docs.columns.index(text_col)), docs.schema)
+    bad = contamination(docs, benchmark, id_col, text_col, item_col, item_text, block_bytes).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
     return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")

@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textlattice.llm import kernels as K
@@ -285,7 +286,20 @@ def kept_text(c: K.Chunk, starts, ends, off, keep: np.ndarray) -> tuple[np.ndarr
     return out, ends_by_row
 
 
-def remove_spans(t: pa.Table, told: pa.Table) -> pa.Table:
+def remove_spans(keep_layout: bool, n_carried: int):
+    def f(t: pa.Table, told: pa.Table) -> pa.Table:
+        out = _remove(t, told)
+        if keep_layout:
+            whole = pc.equal(out["n_removed"], 0)
+            out = out.set_column(3, "kept", pc.if_else(whole, t["text"], out["kept"]))
+        for i in range(n_carried):
+            out = out.append_column(f"c{i}", t[f"c{i}"])
+        return out
+
+    return f
+
+
+def _remove(t: pa.Table, told: pa.Table) -> pa.Table:
     ids = t["id"].to_numpy()
     copy = copies(ids, t["text"], _late(told))
     got = [(K.unpack(k.as_py()), K.unplanes(m.as_py(), np.int64)) for k, m in zip(told["keys"], told["least"], strict=True) if k.is_valid]
@@ -307,19 +321,24 @@ def remove_spans(t: pa.Table, told: pa.Table) -> pa.Table:
         text, text_off = kept_text(c, starts, ends, off, ~gone)
         n_gone = np.bincount(rows[gone], minlength=c.n)
         parts.append(pa.table({"id": pa.array(ids[c.first : c.first + c.n]), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": K.strings(text, text_off), "removed": K.spans_array(*K.runs(gone, off))}))
-    return pa.concat_tables(parts) if parts else None
+    return pa.concat_tables(parts)
+
 
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), keep_layout: bool = False, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Per row: id_col, n_words, n_removed, kept (the text that is left), removed (word spans [start, end)), and the columns named in carry.
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Per row: id_col, n_words, n_removed, kept (the text that is left), removed (word spans [start, end))."""
+    keep_layout: a text that loses nothing is kept as it is, with its own white space.
+    """
     size = text_bytes(docs, docs[text_col])
     n_buckets = power_of_two(parts_for(size, bucket_bytes))
-    d = grouped_docs(docs, id_col, text_col, parts_for(size, group_bytes))
+    d = grouped_docs(docs, id_col, text_col, parts_for(size, group_bytes), carry)
     by_g = d.groupBy("g")
     hits = by_g.applyInArrow(send_probes(n_buckets), "bucket int, g int, keys binary, docs binary").groupBy("bucket").applyInArrow(meet_probes, "g int, hits binary, late binary")
     windows = by_g.cogroup(hits.groupBy("g")).applyInArrow(send_windows(n_buckets), "bucket int, g int, keys binary, more binary")
     least = windows.groupBy("bucket").applyInArrow(meet_windows, "g int, keys binary, least binary, late binary")
     nothing = F.lit(None).cast("binary")
     told = least.unionByName(hits.where("late is not null").select("g", nothing.alias("keys"), nothing.alias("least"), "late"))
-    out = by_g.cogroup(told.groupBy("g")).applyInArrow(remove_spans, "id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>")
-    return out.select(back_to_null("id").alias(id_col), "n_words", "n_removed", "kept", "removed")
+    kinds = dict(d.dtypes)
+    carried = "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(carry)))
+    out = by_g.cogroup(told.groupBy("g")).applyInArrow(remove_spans(keep_layout, len(carry)), "id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>" + carried)
+    return out.select(back_to_null("id").alias(id_col), "n_words", "n_removed", "kept", "removed", *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
