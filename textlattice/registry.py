@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from textlattice.plans import text_queries
+
 FLAGSHIP = "scan_documents"
+MODULES = [text_queries]
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
