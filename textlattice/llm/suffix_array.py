@@ -44,6 +44,8 @@ SPAN = LENGTH - GRAM + 1  # grams in a string
 POSITION_BITS = 20
 HASH_BITS = 64 - POSITION_BITS
 SEPARATOR = 0xFF  # no byte of UTF-8
+#: A bucket is sorted in so many parts by its hashes, one after the other.
+PARTS = 16
 
 
 # ---- the suffix array of a buffer, as far as it is needed
@@ -240,10 +242,12 @@ def send_segments(n_buckets: int):
         rows: dict[str, list] = {x: [] for x in ("bucket", "sizes", "places", "body")}
         body = found.bytes_of(pick)
         ends = np.concatenate(([0], np.cumsum(found.size[pick])))
+        shift = HASH_BITS - (n_buckets * PARTS).bit_length() + 1
         for b, s, e in by_bucket(found.hash[pick].astype(U), HASH_BITS, n_buckets):
             own = pick[s:e]
+            part = (found.hash[own].astype(U) >> U(shift)).astype(np.int64) % PARTS
             rows["bucket"].append(b)
-            rows["sizes"].append(found.size[own].astype(np.uint8).tobytes())
+            rows["sizes"].append(np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes() + found.size[own].astype(np.uint8).tobytes())
             rows["places"].append(K.planes(found.id[own].astype(np.int64)) + K.planes(found.start[own].astype(np.int64)))
             rows["body"].append(body[ends[s] : ends[e]].tobytes())
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "g": pa.array([g] * len(rows["bucket"]), pa.int32()), **{x: pa.array(rows[x], pa.binary()) for x in ("sizes", "places", "body")}})
@@ -297,28 +301,40 @@ def later_strings(body: np.ndarray, size: np.ndarray, off: np.ndarray, ids: np.n
     return seg[s], within[s], within[e - 1] + LENGTH
 
 
+def _parts(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(size, id, start, row of t, bytes) of the bucket's segments, part by part."""
+    rows = []
+    for sizes, places, body in zip(t["sizes"], t["places"], t["body"], strict=True):
+        z = np.frombuffer(sizes.as_buffer(), np.uint8)
+        cut = np.concatenate(([0], np.cumsum(z[: 4 * PARTS].view(np.uint32).astype(np.int64))))
+        size, p = z[4 * PARTS :].astype(np.int32), places.as_py()
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[cut]
+        rows.append((cut, ends, size, K.unplanes(p[: 8 * len(size)], np.int64), K.unplanes(p[8 * len(size) :], np.int64), np.frombuffer(body.as_buffer(), np.uint8)))
+    for k in range(PARTS):
+        own = [(i, r, slice(r[0][k], r[0][k + 1])) for i, r in enumerate(rows) if r[0][k] < r[0][k + 1]]
+        if own:
+            yield (
+                *(np.concatenate([r[x][at] for _, r, at in own]) for x in (2, 3, 4)),
+                np.concatenate([np.full(at.stop - at.start, i) for i, _, at in own]),
+                np.concatenate([r[5][r[1][k] : r[1][k + 1]] for _, r, _ in own]),
+            )
+
+
 def sort_segments(t: pa.Table) -> pa.Table:
-    g, parts = t["g"].to_numpy(), [[], [], [], []]
-    body = np.frombuffer(b"".join(x.as_py() for x in t["body"]), np.uint8)
-    for sizes, places in zip(t["sizes"], t["places"], strict=True):
-        z, p = np.frombuffer(sizes.as_py(), np.uint8).astype(np.int64), places.as_py()
-        for out, x in zip(parts, (z, K.unplanes(p[: 8 * len(z)], np.int64), K.unplanes(p[8 * len(z) :], np.int64)), strict=False):
+    g = t["g"].to_numpy()
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    for size, ids, start, who, body in _parts(t):
+        off = np.cumsum(size, dtype=np.int64) - size
+        order, new = _distinct(size, off, body, ids, start)
+        lead = order[new][np.cumsum(new) - 1]
+        late = (ids[order] > ids[lead]) | (ids[order] == ids[lead]) & (start[order] > start[lead])
+        copy = order[~new & late]
+        one = order[new]
+        seg, a, b = later_strings(body, size[one].astype(np.int64), off[one], ids[one], start[one])
+        seg = one[seg]
+        for out, x in zip(found, (np.concatenate((who[copy], who[seg])), np.concatenate((ids[copy], ids[seg])), np.concatenate((start[copy], start[seg] + a)), np.concatenate((start[copy] + size[copy], start[seg] + b))), strict=True):
             out.append(x)
-        parts[3].append(len(z))
-    size, ids, start = (np.concatenate(x) for x in parts[:3])
-    who = np.repeat(np.arange(len(g)), parts[3])
-    off = np.cumsum(size) - size
-    order, new = _distinct(size, off, body, ids, start)
-    lead = order[new][np.cumsum(new) - 1]
-    late = (ids[order] > ids[lead]) | (ids[order] == ids[lead]) & (start[order] > start[lead])
-    copy = order[~new & late]
-    one = order[new]
-    seg, a, b = later_strings(body, size[one], off[one], ids[one], start[one])
-    seg = one[seg]
-    src = np.concatenate((who[copy], who[seg]))
-    sid = np.concatenate((ids[copy], ids[seg]))
-    s = np.concatenate((start[copy], start[seg] + a))
-    e = np.concatenate((start[copy] + size[copy], start[seg] + b))
+    src, sid, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
     order = np.argsort(src, kind="stable")
     src, sid, s, e = src[order], sid[order], s[order], e[order]
     cut = np.searchsorted(src, np.arange(len(g) + 1))
