@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textlattice.llm import kernels as K
 
 U = K.U
-DIM = 8192
+DIM = 4096
 CLUSTERS = 4
 #: Bound of the training sample, in documents (expected; at most twice as many are taken).
-MAX_TRAIN = 3000
+MAX_TRAIN = 2500
 #: A text is rejected below this part of the lowest cosine among training texts of about its length,
 #: and never where fewer than REJECT_FROM of them show what that length reaches.
 REJECT_AT, REJECT_FROM = 0.5, 30
@@ -67,13 +67,15 @@ def counts(c: K.Chunk) -> Iterator[tuple[int, np.ndarray]]:
                 break
             gram = gram[: len(data) - k] * np.uint32(256) + data[k:]
             whole = rows[: len(data) - k] == rows[k:]
-            h = ((gram + np.uint32(k + 1)) * np.uint32(0x9E3779B1)) >> np.uint32(19)
+            h = ((gram + np.uint32(k + 1)) * np.uint32(0x9E3779B1)) >> np.uint32(20)
             out += np.bincount(rows[: len(data) - k][whole] * DIM + h[whole], minlength=len(out))
         yield lo, out.reshape(hi - lo, DIM)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    """Scaled to length one, in place."""
+    x /= np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    return x
 
 
 @dataclass

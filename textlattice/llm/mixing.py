@@ -33,7 +33,7 @@ U = K.U
 WORD_DIM, SHAPE_DIM = 8192, 2048
 DIM = WORD_DIM + SHAPE_DIM
 #: Bound of the training sample, in documents (expected; at most twice as many are taken).
-MAX_TRAIN = 2500
+MAX_TRAIN = 2000
 RIDGE, STEPS, TOLERANCE = 0.0005, 60, 1e-4
 ROWS = 256
 
@@ -92,7 +92,8 @@ class Classifier:
 
 
 def scaled(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    x = x * scale
+    """In place."""
+    x *= scale
     for part in (x[:, :WORD_DIM], x[:, WORD_DIM:]):
         part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
     return x
@@ -100,13 +101,13 @@ def scaled(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def contrast(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """z * z / (z * z + 25) for the largest z score of a feature's presence in one domain against the rest."""
-    has, z2 = (x > 0).astype(np.float32), np.zeros(DIM)
+    has, z2 = x > 0, np.zeros(DIM)
     n = len(x)
     all_of = has.sum(axis=0, dtype=np.float64)
     for k in range(y.shape[1]):
         m = float(y[:, k].sum())
         if 0 < m < n:
-            own = has.T @ y[:, k].astype(np.float32)
+            own = has[y[:, k] > 0].sum(axis=0, dtype=np.float64)
             p = (all_of + 1) / (n + 2)
             d = own / m - (all_of - own) / (n - m)
             z2 = np.maximum(z2, d * d / (p * (1 - p) * (1 / m + 1 / (n - m))))
