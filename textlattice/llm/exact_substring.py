@@ -104,6 +104,8 @@ def later_docs(blobs: list[bytes | None], g: np.ndarray) -> dict[int, bytes]:
 
 def by_bucket(keys: np.ndarray, bits: int, n_buckets: int) -> list[tuple[int, int, int]]:
     """Slices of ascending keys by their leading bits."""
+    if not len(keys):
+        return []
     shift = bits - (n_buckets.bit_length() - 1)
     b = (keys >> U(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
     cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)

@@ -16,8 +16,10 @@ first brought together without sorting: the least hash among a 100-byte string's
    of equal 100-byte strings, and each class its first place.
 3. The places of all later strings return to their documents and are cut out.
 
-A passage that a third of all documents share is one segment per group; segments
-that differ at its borders spread over the hashes of the borders.
+A passage that a third of all documents share is one segment per group. Where it
+begins and ends, though, each document has a segment of its own under the same hash;
+a hash with many different segments is hot, and its strings are dealt by their own
+content instead: 96-bit fingerprints with the first place of each, once per group.
 
 Defined results: a null text counts as empty; texts under 100 bytes keep everything;
 a null id counts as larger than any other and stays null; rows that repeat an id
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textlattice.llm import kernels as K
 from textlattice.llm.common import BUCKET_BYTES, GROUP_BYTES, back_to_null, grouped_docs, parts_for, power_of_two, text_bytes
-from textlattice.llm.exact_substring import _late, by_bucket, copies, distinct_flagged, doc_rows, meet_probes
+from textlattice.llm.exact_substring import _late, by_bucket, copies, doc_rows, later_docs
 
 U = K.U
 LENGTH, GRAM = 100, 32
@@ -46,6 +48,8 @@ HASH_BITS = 64 - POSITION_BITS
 SEPARATOR = 0xFF  # no byte of UTF-8
 #: A bucket is sorted in so many parts by its hashes, one after the other.
 PARTS = 16
+#: A hash is hot with so many different segments in one group, beyond one per group in all groups, or in so many groups.
+HOT_IN_GROUP, HOT_EXCESS, HOT_GROUPS = 64, 512, 4096
 
 
 # ---- the suffix array of a buffer, as far as it is needed
@@ -176,37 +180,99 @@ def segments(c: K.Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarr
 
 def send_grams(n_buckets: int):
     def f(t: pa.Table) -> pa.Table:
-        found = [(h << U(1)) | U(1) for c in K.chunks(t["text"]) for _, _, _, _, h in segments(c)]
-        v = distinct_flagged(np.concatenate(found) if found else np.zeros(0, U), 1)
+        hashes, contents = [np.zeros(0, U)], [np.zeros(0, U)]
+        for c in K.chunks(t["text"]):
+            h2, inv = K.prefix(c.data, 1, False)
+            for _, _, s, e, h in segments(c):
+                hashes.append(h)
+                contents.append((h2[e] - h2[s]) * inv[s])
+        v = coded(np.concatenate(hashes), np.concatenate(contents))
         g = t["g"][0].as_py()
         docs = doc_rows(t["id"].to_numpy(), t["text"], n_buckets)
-        out = {b: v[s:e] for b, s, e in by_bucket(v, HASH_BITS + 2, n_buckets)}
+        out = {b: v[s:e] for b, s, e in by_bucket(v, HASH_BITS + 3, n_buckets)}
         at = sorted({*out, *docs})
         return pa.table({"bucket": pa.array(at, pa.int32()), "g": pa.array([g] * len(at), pa.int32()), "keys": pa.array([K.pack(out[b]) if b in out else None for b in at], pa.binary()), "docs": pa.array([docs.get(b) for b in at], pa.binary())})
 
     return f
 
 
+def coded(h: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Distinct hashes, ascending; their low 3 bits: seen more than once, and 0 to 3 for 1, 2, 8 or HOT_IN_GROUP different segments and more."""
+    order = np.lexsort((content, h))
+    h, content = h[order], content[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    other = new.copy()
+    other[1:] |= content[1:] != content[:-1]
+    first = np.flatnonzero(new)
+    if not len(first):
+        return h
+    times = np.diff(np.append(first, len(h)))
+    different = np.add.reduceat(other.astype(np.int64), first)
+    code = np.searchsorted([2, 8, HOT_IN_GROUP], different, side="right")
+    return (h[first] << U(3)) | (code.astype(U) << U(1)) | (times > 1)
+
+
+def meet_grams(t: pa.Table) -> pa.Table:
+    """To each group those of its hashes that occur at another place too, with a low bit for the hot ones."""
+    g = t["g"].to_numpy()
+    got = [K.unpack(x.as_py()) if x.is_valid else np.zeros(0, U) for x in t["keys"].combine_chunks()]
+    late = later_docs([x.as_py() for x in t["docs"].combine_chunks()], g)
+    v, who = np.concatenate(got), np.repeat(np.arange(len(got)), [len(x) for x in got])
+    order = np.argsort(v >> U(3), kind="stable")
+    v, who = v[order], who[order]
+    h, code, many = v >> U(3), ((v >> U(1)) & U(3)).astype(np.int64), (v & U(1)).astype(np.int64)
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    first = np.flatnonzero(new)
+    if len(first):
+        at = np.cumsum(new) - 1
+        groups = np.diff(np.append(first, len(h)))
+        excess = np.add.reduceat(np.array([0, 1, 7, HOT_EXCESS])[code], first)
+        hot = (excess >= HOT_EXCESS) | (groups >= HOT_GROUPS)
+        hit = ((groups + np.add.reduceat(many, first)) > 1)[at]
+        h, who = ((h << U(1)) | hot[at])[hit], who[hit]
+    order = np.argsort(who, kind="stable")
+    h, who = h[order], who[order]
+    cut = np.searchsorted(who, np.arange(len(got) + 1))
+    hits = {int(x): K.pack(h[cut[i] : cut[i + 1]]) for i, x in enumerate(g) if cut[i] < cut[i + 1]}
+    to = sorted({*hits, *late})
+    return pa.table({"g": pa.array(to, pa.int32()), "hits": pa.array([hits.get(x) for x in to], pa.binary()), "late": pa.array([late.get(x) for x in to], pa.binary())})
+
+
 class Found:
     """The segments of a group whose hash occurs elsewhere too, in rows that aren't copies as a whole."""
 
     def __init__(self, t: pa.Table, hits: list[bytes], copy: np.ndarray):
         ids = t["id"].to_numpy()
-        known = K.Members(np.sort(np.concatenate([K.unpack(x) for x in hits]))) if hits else K.Members(np.zeros(0, U))
+        keys = np.sort(np.concatenate([K.unpack(x) for x in hits])) if hits else np.zeros(0, U)
+        known, is_hot = K.Members(keys >> U(1)), (keys & U(1)).astype(bool)
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+        strings: list[list[np.ndarray]] = [[] for _ in range(4)]
         texts = []
         for c in K.chunks(t["text"]) if hits else []:
             h2, inv = K.prefix(c.data, 1, False)
             for _, row, s, e, h in segments(c):
-                at, _ = known.find(h)
-                at = at[~copy[c.first + row[at]]]
+                at, k = known.find(h)
+                ok = ~copy[c.first + row[at]]
+                at, hot = at[ok], is_hot[k[ok]]
                 row, s, e, h = row[at], s[at], e[at], h[at]
+                if hot.any():  # every string of its own
+                    n = (e - s)[hot] - LENGTH + 1
+                    w = np.repeat(s[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    h3, _ = K.prefix(c.data, 2, False)
+                    of = np.repeat(row[hot], n)
+                    for col, x in zip(strings, (c.first + of, w - c.off[of], K.mix((h2[w + LENGTH] - h2[w]) * inv[w]), (K.mix((h3[w + LENGTH] - h3[w]) * inv[w]) >> U(32)).astype(np.uint32)), strict=True):
+                        col.append(x)
+                    row, s, e, h = row[~hot], s[~hot], e[~hot], h[~hot]
                 content = K.mix((h2[e] - h2[s]) * inv[s])
                 for col, x in zip(cols, (c.first + row, s - c.off[row], e - s, h, content, ids[c.first + row]), strict=True):
                     col.append(x)
                 texts.append((c.data, s))
         self.row, self.start, self.size, self.hash, self.content, self.id = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
         self.texts = texts
+        self.w_row, self.w_start, self.w_key, self.w_more = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(strings, (np.int64, np.int64, U, np.uint32), strict=True))
+        self.w_id = ids[self.w_row]
         # equal segments stand together, the earliest first
         self.order = np.lexsort((self.start, self.id, self.size, self.content, self.hash))
         o = self.order
@@ -235,26 +301,43 @@ class Found:
 
 def send_segments(n_buckets: int):
     def f(t: pa.Table, told: pa.Table) -> pa.Table:
+        none = {x: pa.array([], pa.binary()) for x in SENT}
         found = Found(t, [x.as_py() for x in told["hits"] if x.is_valid], copies(t["id"].to_numpy(), t["text"], _late(told))) if len(t) else None
-        if found is None or not len(found.first):
-            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "sizes": pa.array([], pa.binary()), "places": pa.array([], pa.binary()), "body": pa.array([], pa.binary())})
+        if found is None or not len(found.first) + len(found.w_key):
+            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), **none})
         g, pick = t["g"][0].as_py(), found.first  # in the order of their hashes
-        rows: dict[str, list] = {x: [] for x in ("bucket", "sizes", "places", "body")}
+        rows: dict[int, dict[str, bytes]] = {}
         body = found.bytes_of(pick)
         ends = np.concatenate(([0], np.cumsum(found.size[pick])))
         shift = HASH_BITS - (n_buckets * PARTS).bit_length() + 1
         for b, s, e in by_bucket(found.hash[pick].astype(U), HASH_BITS, n_buckets):
             own = pick[s:e]
             part = (found.hash[own].astype(U) >> U(shift)).astype(np.int64) % PARTS
-            rows["bucket"].append(b)
-            rows["sizes"].append(np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes() + found.size[own].astype(np.uint8).tobytes())
-            rows["places"].append(K.planes(found.id[own].astype(np.int64)) + K.planes(found.start[own].astype(np.int64)))
-            rows["body"].append(body[ends[s] : ends[e]].tobytes())
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "g": pa.array([g] * len(rows["bucket"]), pa.int32()), **{x: pa.array(rows[x], pa.binary()) for x in ("sizes", "places", "body")}})
+            rows[b] = {
+                "sizes": np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes() + found.size[own].astype(np.uint8).tobytes(),
+                "places": K.planes(found.id[own].astype(np.int64)) + K.planes(found.start[own].astype(np.int64)),
+                "body": body[ends[s] : ends[e]].tobytes(),
+            }
+        order = np.lexsort((found.w_start, found.w_id, found.w_key))
+        key = found.w_key[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(key))) > 1
+        one = order[first]
+        for b, s, e in by_bucket(found.w_key[one], 64, n_buckets):
+            own = one[s:e]
+            rows.setdefault(b, {})["strings"] = K.pack(found.w_key[own])
+            rows[b]["firsts"] = K.planes(found.w_more[own]) + K.planes(found.w_id[own]) + K.planes(found.w_start[own]) + np.packbits(many[s:e]).tobytes()
+        at = sorted(rows)
+        return pa.table({"bucket": pa.array(at, pa.int32()), "g": pa.array([g] * len(at), pa.int32()), **{x: pa.array([rows[b].get(x) for b in at], pa.binary()) for x in SENT}})
 
     return f
 
 
+SENT = ["sizes", "places", "body", "strings", "firsts"]
+
+
 def _distinct(size: np.ndarray, off: np.ndarray, body: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal segments stand together, the earliest first, and which of it are the first."""
     h, inv = K.prefix(body, 0, False)
@@ -305,6 +388,9 @@ def _parts(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     """(size, id, start, row of t, bytes) of the bucket's segments, part by part."""
     rows = []
     for sizes, places, body in zip(t["sizes"], t["places"], t["body"], strict=True):
+        if not sizes.is_valid:
+            rows.append((np.zeros(PARTS + 1, np.int64),))
+            continue
         z = np.frombuffer(sizes.as_buffer(), np.uint8)
         cut = np.concatenate(([0], np.cumsum(z[: 4 * PARTS].view(np.uint32).astype(np.int64))))
         size, p = z[4 * PARTS :].astype(np.int32), places.as_py()
@@ -338,10 +424,39 @@ def sort_segments(t: pa.Table) -> pa.Table:
     order = np.argsort(src, kind="stable")
     src, sid, s, e = src[order], sid[order], s[order], e[order]
     cut = np.searchsorted(src, np.arange(len(g) + 1))
-    some = [i for i in range(len(g)) if cut[i] < cut[i + 1]]
-    spans = [K.planes(sid[cut[i] : cut[i + 1]]) + K.planes(s[cut[i] : cut[i + 1]]) + K.planes(e[cut[i] : cut[i + 1]]) for i in some]
+    spans = {i: K.planes(sid[cut[i] : cut[i + 1]]) + K.planes(s[cut[i] : cut[i + 1]]) + K.planes(e[cut[i] : cut[i + 1]]) for i in range(len(g)) if cut[i] < cut[i + 1]}
+    strings, firsts = first_strings(t)
+    some = sorted({*spans, *strings})
     none = pa.array([None] * len(some), pa.binary())
-    return pa.table({"g": pa.array([g[i] for i in some], pa.int32()), "spans": pa.array(spans, pa.binary()), "hits": none, "late": none})
+    return pa.table({
+        "g": pa.array([g[i] for i in some], pa.int32()), "spans": pa.array([spans.get(i) for i in some], pa.binary()), "strings": pa.array([strings.get(i) for i in some], pa.binary()),
+        "firsts": pa.array([firsts.get(i) for i in some], pa.binary()), "hits": none, "late": none,
+    })
+
+
+def first_strings(t: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
+    """Of the hot hashes' strings in a bucket: to each row the keys with an earlier place than its own, or with several, and the first places."""
+    cols: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in (U, np.uint32, np.int64, np.int64, bool, np.int64)]
+    for i, (keys, firsts) in enumerate(zip(t["strings"], t["firsts"], strict=True)):
+        if keys.is_valid:
+            k, b = K.unpack(keys.as_py()), firsts.as_py()
+            n = len(k)
+            values = (k, K.unplanes(b[: 4 * n], np.uint32), K.unplanes(b[4 * n : 12 * n], np.int64), K.unplanes(b[12 * n : 20 * n], np.int64), np.unpackbits(np.frombuffer(b, np.uint8, offset=20 * n))[:n].astype(bool), np.full(n, i))
+            for out, x in zip(cols, values, strict=True):
+                out.append(x)
+    key, more, ids, start, many, src = (np.concatenate(x) for x in cols)
+    order = np.lexsort((start, ids, more, key))
+    key, more, ids, start, many, src = (x[order] for x in (key, more, ids, start, many, src))
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
+    back = many | (ids[lead] < ids) | (ids[lead] == ids) & (start[lead] < start)
+    key, lead, src = key[back], lead[back], src[back]
+    order = np.argsort(src, kind="stable")
+    key, lead, src = key[order], lead[order], src[order]
+    cut = np.searchsorted(src, np.arange(len(t) + 1))
+    some = [i for i in range(len(t)) if cut[i] < cut[i + 1]]
+    return {i: K.pack(key[cut[i] : cut[i + 1]]) for i in some}, {i: K.planes(ids[lead[cut[i] : cut[i + 1]]]) + K.planes(start[lead[cut[i] : cut[i + 1]]]) for i in some}
 
 
 # ---- spans out
@@ -363,6 +478,18 @@ def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
                 row.append(order[(lo + k)[m]])
                 a.append(s[m])
                 b.append(e[m])
+    if len(found.w_key):
+        told_keys = [(K.unpack(k.as_py()), x.as_py()) for k, x in zip(told["strings"], told["firsts"], strict=True) if k.is_valid]
+        keys = np.concatenate([k for k, _ in told_keys]) if told_keys else np.zeros(0, U)
+        first_id = np.concatenate([K.unplanes(x[: 8 * len(k)], np.int64) for k, x in told_keys]) if told_keys else np.zeros(0, np.int64)
+        first_at = np.concatenate([K.unplanes(x[8 * len(k) :], np.int64) for k, x in told_keys]) if told_keys else np.zeros(0, np.int64)
+        by_key = np.argsort(keys)
+        at, k = K.Members(keys[by_key]).find(found.w_key)
+        k = by_key[k]
+        late = (first_id[k] < found.w_id[at]) | (first_id[k] == found.w_id[at]) & (first_at[k] < found.w_start[at])
+        row.append(found.w_row[at[late]])
+        a.append(found.w_start[at[late]])
+        b.append(found.w_start[at[late]] + LENGTH)
     row, a, b = np.concatenate(row), np.concatenate(a), np.concatenate(b)
     order = np.argsort(row, kind="stable")
     row, a, b = row[order], a[order], b[order]
@@ -401,9 +528,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_buckets = power_of_two(parts_for(size, bucket_bytes))
     d = grouped_docs(docs, id_col, text_col, parts_for(size, group_bytes))
     by_g = d.groupBy("g")
-    hits = by_g.applyInArrow(send_grams(n_buckets), "bucket int, g int, keys binary, docs binary").groupBy("bucket").applyInArrow(meet_probes, "g int, hits binary, late binary")
-    segs = by_g.cogroup(hits.groupBy("g")).applyInArrow(send_segments(n_buckets), "bucket int, g int, sizes binary, places binary, body binary")
-    spans = segs.groupBy("bucket").applyInArrow(sort_segments, "g int, spans binary, hits binary, late binary")
-    told = spans.unionByName(hits.select("g", F.lit(None).cast("binary").alias("spans"), "hits", "late"))
+    hits = by_g.applyInArrow(send_grams(n_buckets), "bucket int, g int, keys binary, docs binary").groupBy("bucket").applyInArrow(meet_grams, "g int, hits binary, late binary")
+    sent = ", ".join(f"{x} binary" for x in SENT)
+    segs = by_g.cogroup(hits.groupBy("g")).applyInArrow(send_segments(n_buckets), f"bucket int, g int, {sent}")
+    found = segs.groupBy("bucket").applyInArrow(sort_segments, "g int, spans binary, strings binary, firsts binary, hits binary, late binary")
+    nothing = F.lit(None).cast("binary")
+    told = found.unionByName(hits.select("g", *(nothing.alias(x) for x in ("spans", "strings", "firsts")), "hits", "late"))
     out = by_g.cogroup(told.groupBy("g")).applyInArrow(cut_spans, "id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
     return out.select(back_to_null("id").alias(id_col), "n_bytes", "n_removed", "kept", "removed")
