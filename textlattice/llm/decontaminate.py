@@ -94,7 +94,7 @@ def _scan(index) -> object:
                 yield pa.record_batch({
                     "id": b.column("id").slice(c.first, c.n),
                     "n_words": pa.array(np.diff(off), pa.int64()),
-                    "hit": K.spans_array(*K.runs(hit, off)),
+                    "hit": K.row_spans(hit, off),
                     "items": pa.array([sorted(x for x in s if x is not None) for s in items], pa.list_(pa.string())),
                 })
 

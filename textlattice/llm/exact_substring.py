@@ -322,7 +322,7 @@ def _remove(t: pa.Table, told: pa.Table) -> pa.Table:
         gone |= (copy[c.first : c.first + c.n] & (n_words >= WINDOW))[rows]
         text, text_off = kept_text(c, starts, ends, off, ~gone)
         n_gone = np.bincount(rows[gone], minlength=c.n)
-        parts.append(pa.table({"id": pa.array(ids[c.first : c.first + c.n]), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": K.strings(text, text_off), "removed": K.spans_array(*K.runs(gone, off))}))
+        parts.append(pa.table({"id": pa.array(ids[c.first : c.first + c.n]), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": K.strings(text, text_off), "removed": K.row_spans(gone, off)}))
     return pa.concat_tables(parts)
 
 

@@ -266,3 +266,10 @@ def spans_array(starts: np.ndarray, ends: np.ndarray, off: np.ndarray) -> pa.Arr
     """array<struct<start, end>> by row."""
     s = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["start", "end"])
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), s)
+
+
+def row_spans(flags: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Runs of set flags as array<struct<start, end>>, counted from the start of each row."""
+    s, e, by_row = runs(flags, off)
+    base = np.repeat(off[:-1], np.diff(by_row))
+    return spans_array(s - base, e - base, by_row)

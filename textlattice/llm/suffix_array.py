@@ -505,14 +505,13 @@ def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
         np.add.at(d, (c.off[at] + b[lo:hi])[ok], -1)
         gone = np.cumsum(d[:-1]) > 0
         gone |= np.repeat(copy[c.first : c.first + c.n] & (size >= LENGTH), size)
-        s, e, s_off = K.runs(gone, c.off)
         kept = np.concatenate(([0], np.cumsum(~gone)))[c.off]
         parts.append(pa.table({
             "id": pa.array(ids[c.first : c.first + c.n]),
             "n_bytes": pa.array(size, pa.int64()),
             "n_removed": pa.array(size - np.diff(kept), pa.int64()),
             "kept": K.strings(c.data[~gone], kept, pa.binary()),
-            "removed": K.spans_array(s - c.off[np.repeat(np.arange(c.n), np.diff(s_off))], e - c.off[np.repeat(np.arange(c.n), np.diff(s_off))], s_off),
+            "removed": K.row_spans(gone, c.off),
         }))
     return pa.concat_tables(parts)
 
