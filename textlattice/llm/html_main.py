@@ -158,7 +158,7 @@ def blocks(page: str) -> Iterator[Block]:
                     del stack[k:]
                     break
         top()
-        if name in VOID or raw.rstrip().endswith("/") and name not in BLOCK:
+        if name in VOID:
             continue
         out = bad or name in SKIP or _excluded(name, raw, article)
         main = article or not out and (name in ("article", "main") or name not in ("html", "body") and bool(raw) and _attributes(raw).get("role") == "main")
