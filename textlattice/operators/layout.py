@@ -1,0 +1,63 @@
+"""Positioned text runs (from a PDF reader) to lines, headings and paragraphs, all relational.
+
+runs: doc, page, run_pos, size, y, text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from textlattice.functions import text as T
+
+
+def lines(runs: DataFrame) -> DataFrame:
+    """Runs whose heights differ by up to 1 join a line, its size is the largest; lone page numbers go."""
+    w = Window.partitionBy("doc", "page").orderBy("run_pos")
+    new = F.coalesce((F.abs(F.col("y") - F.lag("y").over(w)) > 1.0).cast("int"), F.lit(1))
+    d = runs.withColumn("new", new).withColumn("line", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_pos", "text"))), lambda r: r["text"]), "")
+    d = d.groupBy("doc", "page", "line").agg(F.max("size").alias("size"), F.min_by("y", "run_pos").alias("y"), T.collapse(joined).alias("text"))
+    return d.where((F.col("text") != "") & ~F.col("text").rlike(r"^(?:[Pp]age\s+)?\d{1,4}$"))
+
+
+def body_size(line_rows: DataFrame) -> DataFrame:
+    """The size that most characters have; of equals the one that comes first."""
+    by_size = line_rows.groupBy("doc", "size").agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page", "line")).alias("first"))
+    return by_size.groupBy("doc").agg(F.max_by("size", F.struct("n", (-F.col("first.page")).alias("p"), (-F.col("first.line")).alias("l"))).alias("body"))
+
+
+def with_headings(line_rows: DataFrame) -> DataFrame:
+    """Adds heading (level by descending size, else null): larger than 1.15 times the body, 15 words at most, no closing mark."""
+    d = line_rows.join(body_size(line_rows), "doc")
+    big = (F.col("size") >= F.col("body") * 1.15) & (F.size(F.split("text", " ")) <= 15) & ~F.col("text").rlike(r"[.,;]$")
+    d = d.withColumn("big", big)
+    rank = F.dense_rank().over(Window.partitionBy("doc", "big").orderBy(F.col("size").desc()))
+    return d.withColumn("heading", F.when(F.col("big"), F.least(F.lit(6), rank))).drop("big")
+
+
+def gaps(line_rows: DataFrame) -> DataFrame:
+    """Per document the median distance between neighbouring lines of a page."""
+    w = Window.partitionBy("doc", "page").orderBy("line")
+    g = line_rows.withColumn("gap", F.lag("y").over(w) - F.col("y")).where("gap > 0")
+    return g.groupBy("doc").agg(F.median("gap").alias("median_gap"))
+
+
+def dehyphenate(text: Column) -> Column:
+    """Lines joined by spaces; a word cut by a dash at a line's end is made whole before a small letter."""
+    return F.replace(F.regexp_replace(text, r"([A-Za-z])-\n(?=\p{Ll})", "$1"), F.lit("\n"), F.lit(" "))
+
+
+def blocks(line_rows: DataFrame) -> DataFrame:
+    """Headings and paragraphs in order: wrapped headings join, a gap of 1.4 medians starts a paragraph, a page break only after a sentence."""
+    d = with_headings(line_rows).join(gaps(line_rows), "doc", "left")
+    w = Window.partitionBy("doc").orderBy("page", "line")
+    prev = lambda c: F.lag(c).over(w)
+    same_page = prev("page") == F.col("page")
+    cut = F.when(same_page, (prev("y") - F.col("y")) > F.col("median_gap") * 1.4).otherwise(prev("text").rlike(r"""[.!?]["'”’)]*$"""))
+    level = F.coalesce("heading", F.lit(0))
+    before = F.coalesce(prev("heading"), F.lit(0))
+    new = F.when(prev("text").isNull(), True).when(level != before, True).when(level > 0, ~same_page).otherwise(F.coalesce(cut, F.lit(True)))
+    d = d.withColumn("new", new.cast("int")).withColumn("pos", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda r: r["text"]), "\n")
+    d = d.groupBy("doc", "pos").agg(F.max("heading").alias("level"), text.alias("text"))
+    return d.select("doc", "pos", F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph").alias("type"), "level", dehyphenate(F.col("text")).alias("text"))
