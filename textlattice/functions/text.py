@@ -92,3 +92,55 @@ def ratio(w: Column, n: Column) -> Column:
     edge = (q * 2 + 1) * p
     up = F.when(r2 > n, 1).when(r2 < n, 0).when(m > edge, 1).when(m < edge, 0).otherwise(q % 2)
     return F.when(w == 0, 0.0).otherwise((q + up) / 100.0)
+
+
+# ---- opening contents pages
+
+_ENTRY = r"""(?iu)\A(?:(?:CHAPTER|CHAP\.?|PART|BOOK|SECTION|VOLUME)\s+\S+[^\n]*|[^\n]+(?:\.{2,}|\s{2,})\s*\d+|[IVXLC\d]+\.?(?:\s+[^\n]+)?|[A-Z][A-Z '"—-]{3,80})\z"""
+_PAGE = r"(?:\.{2,}|\s{2,})\s*\d+\z"
+
+
+def _is_entry(block: Column) -> Column:
+    """Every line is short, not a sentence, and looks like a line of a table of contents."""
+    ok = F.forall(lines(block), lambda l: (F.length(l) <= 100) & (F.size(F.split(collapse(l), " ")) <= 12) & ~l.rlike(r"[!?]|[a-z]\.(?:\s|\z)") & strip(l).rlike(_ENTRY))
+    return (F.size(lines(block)) > 0) & ok
+
+
+def _entry_key(line: Column) -> Column:
+    """A line without its page number; of a numbered one only the word and number."""
+    x = F.lower(strip(F.regexp_replace(line, _PAGE, "")))
+    number = F.regexp_extract(x, r"\A(?:chapter|chap\.?|part|book|section|volume)\s+[\p{L}\p{N}_]+", 0)
+    return F.coalesce(F.nullif(number, F.lit("")), x)
+
+
+def strip_contents(x: Column) -> Column:
+    """Removes a labelled opening contents page: one pass over the blocks after the label, carrying what has been listed.
+
+    Only short title lines may stand before the label, and at least two entries must follow. The body begins at the
+    first block that is no entry, or where a listed heading comes again before prose.
+    """
+    b = F.split(x, "\n\n", -1)
+    at = F.array_position(F.transform(F.slice(b, 1, 10), lambda p: strip(p).rlike(r"(?i)\A(?:TABLE OF )?CONTENTS[.:]?\z")), F.lit(True)).cast("int")
+    plain = F.forall(F.slice(b, 1, F.greatest(at - 1, F.lit(0))), lambda p: (F.size(F.split(collapse(p), " ")) <= 12) & ~p.rlike(r"[.!?]"))
+    rest = F.transform(F.slice(b, at + 1, F.size(b)), strip)
+    facts = F.transform(
+        rest,
+        lambda c: F.struct(
+            _is_entry(c).alias("entry"), F.size(lines(c)).alias("n"), F.transform(lines(c), _entry_key).alias("keys"), c.rlike(_PAGE).alias("paged"), (c != "").alias("full")
+        ),
+    )
+    start = F.struct(F.lit(0).alias("cut"), F.lit(0).alias("entries"), F.array().cast("array<string>").alias("seen"), facts.alias("f"))
+
+    def step(s: Column, j: Column) -> Column:
+        now, nxt = F.get(s["f"], j - 1), F.get(s["f"], j)
+        again = (now["n"] == 1) & now["entry"] & ~now["paged"] & F.coalesce(nxt["full"] & ~nxt["entry"], F.lit(False)) & (s["entries"] >= 2) & F.array_contains(s["seen"], F.get(now["keys"], F.lit(0)))
+        end = F.when(again, j).when(~now["entry"], F.when(s["entries"] >= 2, j).otherwise(-1)).otherwise(0)
+        more = (s["cut"] == 0) & (end == 0)
+        return F.struct(
+            F.when(s["cut"] != 0, s["cut"]).otherwise(end).alias("cut"), F.when(more, s["entries"] + now["n"]).otherwise(s["entries"]).alias("entries"),
+            F.when(more, F.concat(s["seen"], now["keys"])).otherwise(s["seen"]).alias("seen"), s["f"].alias("f"),
+        )
+
+    steps = F.when(F.size(rest) > 0, F.sequence(F.lit(1), F.size(rest))).otherwise(F.array().cast("array<int>"))
+    cut = F.aggregate(steps, start, step, lambda s: s["cut"])
+    return F.when((at > 0) & plain, F.when(cut > 0, F.array_join(F.slice(b, at + cut, F.size(b)), "\n\n")).otherwise(x)).otherwise(x)
