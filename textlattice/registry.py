@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textlattice.plans import book_queries, document_queries, format_queries, relational_queries, text_queries
+from textlattice.plans import book_queries, document_queries, format_queries, output_queries, relational_queries, text_queries
 
 FLAGSHIP = "scan_documents"
-MODULES = [text_queries, book_queries, document_queries, format_queries, relational_queries]
+MODULES = [text_queries, book_queries, document_queries, format_queries, output_queries, relational_queries]
 
 
 def queries() -> dict:
