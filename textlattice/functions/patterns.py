@@ -8,12 +8,13 @@ ABBREVIATIONS = (
     "Inc Ltd Corp Bros Co vs etc al ibid op cit"
 ).lower().split()
 
-WS = r"[\s\x1c-\x1f]"  # with (?U): what Python calls white space
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # what Python calls white space
 WORD_CHAR = r"[\p{L}\p{N}_]"
 WORD = rf"(?<!{WORD_CHAR})[a-zA-Z0-9]+(?!{WORD_CHAR})"
-ABBREVIATION = rf"(?i)(?<!{WORD_CHAR})({'|'.join(ABBREVIATIONS)})\."
+# the stop first: the look-behind then runs at stops only
+ABBREVIATION = rf"\.(?<=(?<!{WORD_CHAR})(?i:{'|'.join(ABBREVIATIONS)})\.)"
 ABBREVIATION_RE2 = rf"(^|[^\p{{L}}\p{{N}}_])((?i:{'|'.join(ABBREVIATIONS)}))\."
-SENTENCE = rf'(?U)(?<=[.!?]){WS}+(?=[A-Z"‘“])'
+SENTENCE = rf'(?<=[.!?]){WS}+(?=[A-Z"‘“])'
 SENTENCE_RE2 = r'([.!?])[\s\p{Z}\x0b\x1c-\x1f]+([A-Z"‘“])'
 CLAUSE = "[,;:]|—|–|--"
 KEPT_STOP = "<!P!>"

@@ -9,7 +9,7 @@ from textlattice.functions import patterns as P
 
 def strip(x: Column) -> Column:
     """Unicode white space off both ends, as Python's str.strip()."""
-    return F.regexp_replace(x, rf"(?U)^{P.WS}+|{P.WS}+$", "")
+    return F.regexp_replace(x, rf"\A{P.WS}++|{P.WS}++\z", "")
 
 
 def is_blank(x: Column) -> Column:
@@ -17,7 +17,7 @@ def is_blank(x: Column) -> Column:
 
 
 def collapse(x: Column) -> Column:
-    return strip(F.regexp_replace(x, rf"(?U){P.WS}+", " "))
+    return strip(F.regexp_replace(x, rf"{P.WS}+", " "))
 
 
 def word_list(x: Column) -> Column:
@@ -31,7 +31,7 @@ def word_count(x: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Sentences, abbreviations kept whole; blank ones are dropped."""
-    kept = F.regexp_replace(x, P.ABBREVIATION, f"$1{P.KEPT_STOP}")
+    kept = F.regexp_replace(x, P.ABBREVIATION, P.KEPT_STOP)
     parts = F.split(kept, P.SENTENCE, -1)
     return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(P.KEPT_STOP), F.lit(".")))), lambda s: s != "")
 
@@ -42,7 +42,7 @@ def sentence_count(x: Column) -> Column:
 
 
 def paragraphs(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, rf"(?U)\n{P.WS}*\n", -1), strip), lambda p: F.length(p) >= 3)
+    return F.filter(F.transform(F.split(x, rf"\n{P.WS}*\n", -1), strip), lambda p: F.length(p) >= 3)
 
 
 def clauses(x: Column) -> Column:

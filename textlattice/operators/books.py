@@ -160,15 +160,37 @@ def verse_pieces(c: Column) -> Column:
 NODE = ["doc_id", "schema", "kind", "part", "part_label", "chapter", "label"]
 
 
+def _pieces(books: DataFrame) -> DataFrame:
+    """One row per paragraph or verse in order (i), and one with null i for a chapter without any.
+
+    Verses of scripture without chapter headings carry their chapter and verse numbers (c, v).
+    """
+    x = F.col("content")
+    bare = (F.col("kind") == "book") & F.col("bare") & x.rlike(f"(?mdU){P.VERSE_MARK}")
+    marked = F.split(F.regexp_replace(F.translate(x, "\x01\x02", "  "), f"(?mdU){P.VERSE_MARK}", "\x01$1:$2\x02"), "\x01", -1)
+    head = lambda m, k: F.split_part(F.split_part(m, F.lit("\x02"), F.lit(1)), F.lit(":"), F.lit(k)).cast("long")
+    piece = lambda c, v, t: F.struct(c.cast("long").alias("c"), v.cast("long").alias("v"), t.alias("text"))
+    verses = F.transform(F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1))), lambda m: piece(head(m, 1), head(m, 2), T.strip(F.split_part(m, F.lit("\x02"), F.lit(2)))))
+    none = F.lit(None)
+    whole_pieces = lambda a: F.transform(a, lambda t: piece(none, none, t))
+    found = F.when(bare, F.filter(verses, lambda p: p["text"] != "")).when(F.col("kind") == "book", whole_pieces(verse_pieces(x))).otherwise(whole_pieces(T.paragraphs(x)))
+    d = chapters(books).select(*NODE, F.posexplode_outer(found).alias("i", "p"))
+    return d.select(*NODE, "i", "p.c", "p.v", "p.text")
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Verses with numbers of their own get chapters by runs of one chapter number; all pieces get their idx."""
+    w = Window.partitionBy("doc_id", "part").orderBy("chapter", "i")
+    new = F.when(F.col("c").isNotNull(), F.coalesce((F.col("c") != F.lag("c").over(w)).cast("long"), F.lit(1)))
+    d = pieces.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.col("c").isNotNull()
+    d = d.withColumns({"chapter": F.when(own, F.col("run")).otherwise(F.col("chapter")), "label": F.when(own, F.concat(F.lit("Chapter "), F.col("c"))).otherwise(F.col("label")), "idx": F.coalesce(F.col("v"), (F.col("i") + 1).cast("long"))})
+    return d.drop("i", "c", "v", "new", "run")
+
+
 def paragraphs(books: DataFrame) -> DataFrame:
     """One row per paragraph or verse, and one with null idx for a chapter without any: NODE, idx, text."""
-    ch = chapters(books)
-    bare_books = (F.col("kind") == "book") & F.col("bare") & F.col("content").rlike(f"(?mdU){P.VERSE_MARK}")
-    pieces = F.when(F.col("kind") == "book", verse_pieces(F.col("content"))).otherwise(T.paragraphs(F.col("content")))
-    plain = ch.where(~bare_books).select(*NODE, F.posexplode_outer(pieces).alias("i", "text")).select(*NODE, (F.col("i") + 1).cast("long").alias("idx"), "text")
-    v = verses(ch.where(bare_books).select("doc_id", "schema", "kind", "part", "part_label", "content"), ["doc_id", "schema", "kind", "part", "part_label"])
-    v = v.select("doc_id", "schema", "kind", "part", "part_label", F.col("run").cast("long").alias("chapter"), F.concat(F.lit("Chapter "), F.col("chapter")).alias("label"), F.col("verse").alias("idx"), "text")
-    return plain.unionByName(v)
+    return _numbered(_pieces(books)).select(*NODE, "idx", "text")
 
 
 def role(x: Column) -> Column:
@@ -180,7 +202,12 @@ def role(x: Column) -> Column:
 def paragraph_nodes(books: DataFrame) -> DataFrame:
     """Counts of each paragraph: sentences (at least 1), words, tokens between white space, average, role."""
     t = F.col("text")
-    d = paragraphs(books).select(*NODE, "idx", F.when(t.isNotNull(), F.greatest(F.lit(1), F.size(T.sentences(t)))).cast("long").alias("sentences"), T.word_count(t).alias("words"), F.regexp_count(t, F.lit(r"[^ \t\n\r\x0b\x0c]+")).cast("long").alias("tokens"), role(t).alias("role"))
+    sentences = F.when(t.isNotNull(), F.greatest(F.lit(1), F.size(T.sentences(t)))).cast("long")
+    tokens = F.regexp_count(t, F.lit(r"[^ \t\n\r\x0b\x0c]+")).cast("long")
+    # counted before rows are dealt by document, so no text is shuffled
+    d = _pieces(books)
+    d = once(d, [*NODE, "i", "c", "v"], {"sentences": sentences, "words": T.word_count(t), "tokens": tokens, "role": role(t)})
+    d = _numbered(d)
     return d.withColumn("avg_words", T.ratio(F.col("words"), F.col("sentences")))
 
 
