@@ -33,7 +33,7 @@ CLUSTERS = 4
 MAX_TRAIN = 2500
 #: A text is rejected below this part of the lowest cosine among training texts of about its length,
 #: and never where fewer than REJECT_FROM of them show what that length reaches.
-REJECT_AT, REJECT_FROM = 0.5, 30
+REJECT_AT, REJECT_FROM = 0.3, 30
 ROWS = 256
 UNKNOWN = "und"
 
