@@ -175,7 +175,8 @@ def segments(c: K.Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarr
         new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]
         s = np.flatnonzero(new & whole)
         last = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True))
-        yield base, row[s], starts[s], starts[last] + LENGTH, least[s] >> U(POSITION_BITS)
+        # least hashes crowd near zero, so they are mixed anew before buckets take their leading bits
+        yield base, row[s], starts[s], starts[last] + LENGTH, K.mix(least[s] >> U(POSITION_BITS)) >> U(POSITION_BITS)
 
 
 def send_grams(n_buckets: int):
