@@ -1,5 +1,6 @@
 """License scans, token counts, HTML extraction and language ID."""
 
+import base64
 import math
 import random
 import re
@@ -140,3 +141,27 @@ def test_language_without_labels(make):
     assert [(r.lang_pred, r.rejected) for r in L.identify(d, L.fit(d, F.lit(True)), ["doc_id"]).collect()] == [("und", True)] * 2
     e = make([])
     assert L.identify(e, L.fit(e, F.lit(True)), ["doc_id"]).collect() == []
+
+
+def planted(rnd):
+    """Junk of several kinds and sizes, each text with letters."""
+    kinds = [
+        lambda n: base64.b64encode(rnd.randbytes(n)).decode()[:n],
+        lambda n: " ".join("".join(rnd.choice("бвгджзклмнпрстфхцчш") for _ in range(5)) for _ in range(n // 11 + 1)),
+        lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n // 3)),
+        lambda n: " ".join("".join(rnd.choice("bcdfghjklmpqvwxyz") for _ in range(7)) for _ in range(n // 8 + 1)),
+    ]
+    return [f(n) for f in kinds for n in (40, 90, 400, 3000, 50_000)]
+
+
+@pytest.mark.parametrize("per_lang", [12, 40, 400])
+def test_language_rejects_junk_of_every_size(make, per_lang):
+    rnd = random.Random(per_lang)
+    clean = [(lang, sentences(lang, rnd, rnd.choice([8, 20, 60, 300]))) for _ in range(per_lang) for lang in ("en", "fr", "de")]
+    junk = planted(rnd)
+    d = make([(k, t) for k, (_, t) in enumerate(clean)] + [(10_000 + k, t) for k, t in enumerate(junk)])
+    langs = F.element_at(F.array(*map(F.lit, ("en", "fr", "de"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    d = d.withColumn("lang", F.when(F.col("doc_id") < 10_000, langs))
+    out = {r.doc_id: r.rejected for r in L.identify(d, L.fit(d, ~L.held_out(F.col("doc_id"))), ["doc_id"]).collect()}
+    assert [t[:30] for k, t in enumerate(junk) if not out[10_000 + k]] == []
+    assert [k for k in range(len(clean)) if out[k]] == []

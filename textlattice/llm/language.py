@@ -5,8 +5,10 @@ anything else one space), hashed to DIM places, with damped counts weighted by
 inverse document frequency and scaled to length one. Each language gets up to
 CLUSTERS centroids from spherical k-means over a bounded sample of labelled texts.
 A text gets the language of the centroid with the largest cosine; it is rejected
-when that cosine is far below what training texts of about its length reach (a
-short text never comes close to a centroid, whatever its language).
+when that cosine is far below what labelled texts of about its length reach that
+the centroids weren't learned from (a short text never comes close to a centroid,
+whatever its language). Every length has such a floor, however few texts show it:
+the further a training text is from a length, the less it counts there.
 
 Defined results: a null text and one without letters is ``und`` with score 0 and
 rejected; rows without a label and rows that the caller holds out are not learned
@@ -31,9 +33,8 @@ DIM = 4096
 CLUSTERS = 4
 #: Bound of the training sample, in documents (expected; at most twice as many are taken).
 MAX_TRAIN = 2500
-#: A text is rejected below this part of the lowest cosine among training texts of about its length,
-#: and never where fewer than REJECT_FROM of them show what that length reaches.
-REJECT_AT, REJECT_FROM = 0.3, 30
+#: A text is rejected below REJECT_AT times the REJECT_QUANTILE of the cosines that texts of about its length reach.
+REJECT_AT, REJECT_QUANTILE = 2 / 3, 0.02
 ROWS = 256
 UNKNOWN = "und"
 
@@ -116,25 +117,42 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     return c, (x @ c.T).argmax(axis=1)
 
 
-def train(labels: list[str], n: np.ndarray) -> Model:
-    """labels and rows x DIM counts of the sample."""
-    idf = np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))).astype(np.float32) + 1
-    model = Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(64, np.float32))
-    x, names = model.vectors(n), np.array(labels)
-    cs = []
-    for lang in sorted(set(labels)):
+def centroids(x: np.ndarray, names: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Each centroid's language, and the centroids."""
+    langs, cs = [], []
+    for lang in sorted(set(names.tolist())):
         own = x[names == lang]
         c, at = k_means(own, CLUSTERS)
         for j in range(len(c)):
             if (at == j).any():
-                model.langs.append(lang)
+                langs.append(lang)
                 cs.append(c[j])
-    model.centroids = np.array(cs, np.float32).reshape(-1, DIM)
-    if cs:
-        top, size = (x @ model.centroids.T).max(axis=1), length_class(n)
-        for k in np.unique(size):
-            if (size == k).sum() >= REJECT_FROM:
-                model.floor[k] = REJECT_AT * top[size == k].min()
+    return langs, np.array(cs, np.float32).reshape(-1, DIM)
+
+
+def floors(top: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By length class, REJECT_AT times the low quantile of the cosines, each weighted by how near its own class is."""
+    order = np.argsort(top, kind="stable")
+    top, size = top[order], size[order]
+    out = np.zeros(64, np.float32)
+    for k in range(len(out)):
+        w = np.cumsum(1 / (1 + (size - k).astype(np.float64) ** 2))
+        out[k] = REJECT_AT * top[np.searchsorted(w, REJECT_QUANTILE * w[-1])]
+    return out
+
+
+def train(labels: list[str], n: np.ndarray) -> Model:
+    """labels and rows x DIM counts of the sample."""
+    idf = np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))).astype(np.float32) + 1
+    model = Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(64, np.float32))
+    x, names = model.vectors(n), np.array(labels)
+    model.langs, model.centroids = centroids(x, names)
+    if len(x):
+        half, top = np.arange(len(x)) % 2 == 0, np.zeros(len(x), np.float32)
+        for own in (half, ~half):  # each half against centroids of the other
+            c = centroids(x[~own], names[~own])[1] if (~own).any() else model.centroids
+            top[own] = (x[own] @ c.T).max(axis=1)
+        model.floor = floors(top, length_class(n))
     return model
 
 
