@@ -55,3 +55,16 @@ def test_layout_and_carried_columns(make):
     out = {r.doc_id: r for r in substring_dedup(make([(1, long + "\n\nend"), (2, "new  " + long), (3, "as\tit  is")]), carry=["source", "g"], keep_layout=True).collect()}
     assert out[1].kept == long + "\n\nend" and out[2].kept == "new" and out[3].kept == "as\tit  is"
     assert out[2].removed[0].asDict() == {"start": 1, "end": 21} and (out[1].source, out[1].g) == ("s", 7)
+
+
+@pytest.mark.parametrize("group_bytes", [1500, 1 << 20])
+def test_copies_under_null_and_repeated_ids(make, group_bytes):
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(20))
+    rows = [(i, text()) for i in range(10)]
+    rows += [(None, text()) for _ in range(30)] + [(None, rows[2][1]), (None, rows[7][1])]
+    for i in range(20, 30):  # one row of three is a copy
+        rows += [(i, text()), (i, rows[i - 20][1]), (i, text())]
+    want = brute(rows)
+    assert sum(n == gone for _, n, gone, _ in want) == 12
+    assert got(substring_dedup(make(rows), group_bytes=group_bytes, bucket_bytes=800)) == want

@@ -39,7 +39,6 @@ WINDOW, BLOCK = 13, 7
 #: Bits of a block's hash in the index; a chance hit only costs work, as windows are compared in full later.
 HASH_BITS = 42
 
-ID = np.dtype(np.int64)
 DOC = np.dtype([("hash", "S16"), ("id", "<i8")])
 
 
@@ -69,13 +68,13 @@ def _docs_of(ids: np.ndarray, text) -> np.ndarray:
 
 
 def copies(ids: np.ndarray, text, told: np.ndarray) -> np.ndarray:
-    """Which rows equal, as a whole, a text with a smaller id: in another group (told: their ids) or in this one."""
+    """Which rows equal, as a whole, a text with a smaller id: in another group (told: its digest) or in this one."""
     rec = _docs_of(ids, text)
     order = np.lexsort((rec["id"], rec["hash"]))
     _, first = _first_ids(rec)
     copy = np.zeros(len(ids), dtype=bool)
     copy[order] = first < rec["id"][order]
-    return copy | np.isin(ids, told)
+    return copy | np.isin(rec["hash"], told)
 
 
 def doc_rows(ids: np.ndarray, text, n_buckets: int) -> dict[int, bytes]:
@@ -91,7 +90,7 @@ def doc_rows(ids: np.ndarray, text, n_buckets: int) -> dict[int, bytes]:
 
 
 def later_docs(blobs: list[bytes | None], g: np.ndarray) -> dict[int, bytes]:
-    """From all groups' records of a bucket: for each group the ids whose text has a smaller id elsewhere."""
+    """From all groups' records of a bucket: for each group the digests of its texts that have a smaller id elsewhere."""
     recs = [np.frombuffer(b or b"", dtype=DOC) for b in blobs]
     if not sum(map(len, recs)):
         return {}
@@ -99,7 +98,7 @@ def later_docs(blobs: list[bytes | None], g: np.ndarray) -> dict[int, bytes]:
     order = np.lexsort((rec["id"], rec["hash"]))
     rec, first = _first_ids(rec)
     late, who = rec["id"] > first, who[order]
-    return {int(x): rec["id"][late & (who == x)].tobytes() for x in np.unique(who[late])}
+    return {int(x): rec["hash"][late & (who == x)].tobytes() for x in np.unique(who[late])}
 
 
 def by_bucket(keys: np.ndarray, bits: int, n_buckets: int) -> list[tuple[int, int, int]]:
@@ -184,7 +183,7 @@ def meet_probes(t: pa.Table) -> pa.Table:
 
 
 def _late(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in t["late"] if x.is_valid), dtype=ID)
+    return np.frombuffer(b"".join(x.as_py() for x in t["late"] if x.is_valid), dtype=DOC["hash"])
 
 
 def send_windows(n_buckets: int):
