@@ -83,3 +83,37 @@ def test_hot_by_different_segments(monkeypatch):
     monkeypatch.setattr(S, "HOT_IN_GROUP", 9)
     rows = corpus(9)
     assert by_hand(rows, groups=1, buckets=1) == brute(rows)
+
+
+def by_place(rows):
+    """Brute force where ids repeat or are null: a string goes if it has an earlier (id, start), null ids last."""
+    first, out = {}, []
+    docs = [(1 << 62 if i is None else i, i, t.encode()) for i, t in rows]
+    for key, _, b in docs:
+        for k in range(len(b) - S.LENGTH + 1):
+            s = b[k : k + S.LENGTH]
+            first[s] = min(first.get(s, (key, k)), (key, k))
+    for key, i, b in docs:
+        gone = bytearray(len(b))
+        for k in range(len(b) - S.LENGTH + 1):
+            if first[b[k : k + S.LENGTH]] < (key, k):
+                gone[k : k + S.LENGTH] = b"\1" * S.LENGTH
+        out.append((i, len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("group_bytes", [4000, 1 << 20])
+def test_null_and_repeated_ids_with_different_texts(make, group_bytes):
+    rnd = random.Random(4)
+    text = lambda n: " ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    passages = [text(40) for _ in range(4)]
+    holds = lambda: " ".join([text(rnd.randint(0, 12)), rnd.choice(passages), text(40)])
+    rows = [(i, holds()) for i in range(6)] + [(6, text(60))]
+    rows += [(None, text(60)) for _ in range(12)] + [(None, holds()) for _ in range(12)] + [(None, rows[6][1])]
+    for i in range(20, 28):
+        rows += [(i, text(70)), (i, holds()), (i, holds()), (i, rows[i - 20][1] if i < 27 else "")]
+    rows += [(30, passages[0] + text(9)), (30, passages[0] + text(20)), (None, passages[1] + text(5)), (None, passages[1] + text(7))]  # equal places
+    alone = text(50)
+    rows += [(40, alone + text(8)), (40, alone + text(9)), (41, text(5) + alone)]  # two first places
+    out = S.suffix_dedup(make(rows), group_bytes=group_bytes, bucket_bytes=4000)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in out.collect()), key=repr) == by_place(rows)

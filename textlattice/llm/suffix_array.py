@@ -14,7 +14,9 @@ first brought together without sorting: the least hash among a 100-byte string's
    are sorted directly (to 100 bytes), the others are induced by scanning the
    buckets of first bytes in order; common prefixes of neighbours then give classes
    of equal 100-byte strings, and each class its first place.
-3. The places of all later strings return to their documents and are cut out.
+3. The places of all later strings return to their groups by the segment's number,
+   which names its bytes as well as its place, and are cut out of the rows that hold
+   that segment there.
 
 A passage that a third of all documents share is one segment per group. Where it
 begins and ends, though, each document has a segment of its own under the same hash;
@@ -241,6 +243,13 @@ def meet_grams(t: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array(to, pa.int32()), "hits": pa.array([hits.get(x) for x in to], pa.binary()), "late": pa.array([late.get(x) for x in to], pa.binary())})
 
 
+def _ties(head: np.ndarray, tied: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places head to head + tied of the picked classes, one after the other, and for each the index into pick."""
+    n = tied[pick]
+    of = np.repeat(np.arange(len(pick)), n)
+    return head[pick[of]] + np.arange(len(of)) - (np.cumsum(n) - n)[of], of
+
+
 class Found:
     """The segments of a group whose hash occurs elsewhere too, in rows that aren't copies as a whole."""
 
@@ -279,10 +288,18 @@ class Found:
         o = self.order
         same = np.zeros(len(o), dtype=bool)
         same[1:] = (self.hash[o][1:] == self.hash[o][:-1]) & (self.content[o][1:] == self.content[o][:-1]) & (self.size[o][1:] == self.size[o][:-1])
-        self.first = o[~same]
+        self.head = np.flatnonzero(~same)
+        self.first = o[self.head]
         lead = self.first[np.cumsum(~same) - 1] if len(o) else o
         late = (self.id[o] > self.id[lead]) | (self.id[o] == self.id[lead]) & (self.start[o] > self.start[lead])
         self.later = o[same & late]
+        # how many equal segments share the first place: rows that repeat an id can
+        self.tied = np.add.reduceat((~late).astype(np.int64), self.head) if len(o) else self.head
+
+    def at_place(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The segments at the first places with these numbers (the order of first), and for each the index of its number."""
+        at, of = _ties(self.head, self.tied, number)
+        return self.order[at], of
 
     def bytes_of(self, pick: np.ndarray) -> np.ndarray:
         """The segments' bytes, one after the other."""
@@ -316,7 +333,7 @@ def send_segments(n_buckets: int):
             part = (found.hash[own].astype(U) >> U(shift)).astype(np.int64) % PARTS
             rows[b] = {
                 "sizes": np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes() + found.size[own].astype(np.uint8).tobytes(),
-                "places": K.planes(found.id[own].astype(np.int64)) + K.planes(found.start[own].astype(np.int64)),
+                "places": K.planes(found.id[own].astype(np.int64)) + K.planes(found.start[own].astype(np.int64)) + K.planes(np.arange(s, e)),
                 "body": body[ends[s] : ends[e]].tobytes(),
             }
         order = np.lexsort((found.w_start, found.w_id, found.w_key))
@@ -386,7 +403,7 @@ def later_strings(body: np.ndarray, size: np.ndarray, off: np.ndarray, ids: np.n
 
 
 def _parts(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-    """(size, id, start, row of t, bytes) of the bucket's segments, part by part."""
+    """(size, id, start, number in its group, row of t, bytes) of the bucket's segments, part by part."""
     rows = []
     for sizes, places, body in zip(t["sizes"], t["places"], t["body"], strict=True):
         if not sizes.is_valid:
@@ -396,21 +413,21 @@ def _parts(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         cut = np.concatenate(([0], np.cumsum(z[: 4 * PARTS].view(np.uint32).astype(np.int64))))
         size, p = z[4 * PARTS :].astype(np.int32), places.as_py()
         ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[cut]
-        rows.append((cut, ends, size, K.unplanes(p[: 8 * len(size)], np.int64), K.unplanes(p[8 * len(size) :], np.int64), np.frombuffer(body.as_buffer(), np.uint8)))
+        rows.append((cut, ends, size, *_three(p), np.frombuffer(body.as_buffer(), np.uint8)))
     for k in range(PARTS):
         own = [(i, r, slice(r[0][k], r[0][k + 1])) for i, r in enumerate(rows) if r[0][k] < r[0][k + 1]]
         if own:
             yield (
-                *(np.concatenate([r[x][at] for _, r, at in own]) for x in (2, 3, 4)),
+                *(np.concatenate([r[x][at] for _, r, at in own]) for x in (2, 3, 4, 5)),
                 np.concatenate([np.full(at.stop - at.start, i) for i, _, at in own]),
-                np.concatenate([r[5][r[1][k] : r[1][k + 1]] for _, r, _ in own]),
+                np.concatenate([r[6][r[1][k] : r[1][k + 1]] for _, r, _ in own]),
             )
 
 
 def sort_segments(t: pa.Table) -> pa.Table:
     g = t["g"].to_numpy()
     found: list[list[np.ndarray]] = [[], [], [], []]
-    for size, ids, start, who, body in _parts(t):
+    for size, ids, start, number, who, body in _parts(t):
         off = np.cumsum(size, dtype=np.int64) - size
         order, new = _distinct(size, off, body, ids, start)
         lead = order[new][np.cumsum(new) - 1]
@@ -418,14 +435,17 @@ def sort_segments(t: pa.Table) -> pa.Table:
         copy = order[~new & late]
         one = order[new]
         seg, a, b = later_strings(body, size[one].astype(np.int64), off[one], ids[one], start[one])
-        seg = one[seg]
-        for out, x in zip(found, (np.concatenate((who[copy], who[seg])), np.concatenate((ids[copy], ids[seg])), np.concatenate((start[copy], start[seg] + a)), np.concatenate((start[copy] + size[copy], start[seg] + b))), strict=True):
+        # equal segments at the first place come from several groups where ids are null
+        head = np.flatnonzero(new)
+        at, of = _ties(head, np.add.reduceat((~late).astype(np.int64), head), seg)
+        seg, a, b = order[at], a[of], b[of]
+        for out, x in zip(found, (np.concatenate((who[copy], who[seg])), np.concatenate((number[copy], number[seg])), np.concatenate((start[copy], start[seg] + a)), np.concatenate((start[copy] + size[copy], start[seg] + b))), strict=True):
             out.append(x)
-    src, sid, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    src, num, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
     order = np.argsort(src, kind="stable")
-    src, sid, s, e = src[order], sid[order], s[order], e[order]
+    src, num, s, e = src[order], num[order], s[order], e[order]
     cut = np.searchsorted(src, np.arange(len(g) + 1))
-    spans = {i: K.planes(sid[cut[i] : cut[i + 1]]) + K.planes(s[cut[i] : cut[i + 1]]) + K.planes(e[cut[i] : cut[i + 1]]) for i in range(len(g)) if cut[i] < cut[i + 1]}
+    spans = {i: K.planes(num[cut[i] : cut[i + 1]]) + K.planes(s[cut[i] : cut[i + 1]]) + K.planes(e[cut[i] : cut[i + 1]]) for i in range(len(g)) if cut[i] < cut[i + 1]}
     strings, firsts = first_strings(t)
     some = sorted({*spans, *strings})
     none = pa.array([None] * len(some), pa.binary())
@@ -469,16 +489,13 @@ def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
     found = Found(t, [x.as_py() for x in told["hits"] if x.is_valid], copy)
     row, a = [found.row[found.later]], [found.start[found.later]]
     b = [a[0] + found.size[found.later]]
-    order = np.argsort(ids, kind="stable")
     for x in told["spans"]:
         if x.is_valid:
-            sid, s, e = _three(x.as_py())
-            lo, hi = np.searchsorted(ids[order], sid, side="left"), np.searchsorted(ids[order], sid, side="right")
-            for k in range(int((hi - lo).max(initial=0))):  # more than once only where rows repeat an id
-                m = lo + k < hi
-                row.append(order[(lo + k)[m]])
-                a.append(s[m])
-                b.append(e[m])
+            number, s, e = _three(x.as_py())
+            seg, of = found.at_place(number)
+            row.append(found.row[seg])
+            a.append(s[of])
+            b.append(e[of])
     if len(found.w_key):
         told_keys = [(K.unpack(k.as_py()), x.as_py()) for k, x in zip(told["strings"], told["firsts"], strict=True) if k.is_valid]
         keys = np.concatenate([k for k, _ in told_keys]) if told_keys else np.zeros(0, U)
@@ -500,10 +517,9 @@ def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
         lo, hi = np.searchsorted(row, [c.first, c.first + c.n])
         at = row[lo:hi] - c.first
         size = np.diff(c.off)
-        ok = b[lo:hi] <= size[at]  # a row that only shares its id can be shorter
         d = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(d, (c.off[at] + a[lo:hi])[ok], 1)
-        np.add.at(d, (c.off[at] + b[lo:hi])[ok], -1)
+        np.add.at(d, c.off[at] + a[lo:hi], 1)
+        np.add.at(d, c.off[at] + b[lo:hi], -1)
         gone = np.cumsum(d[:-1]) > 0
         gone |= np.repeat(copy[c.first : c.first + c.n] & (size >= LENGTH), size)
         kept = np.concatenate(([0], np.cumsum(~gone)))[c.off]
