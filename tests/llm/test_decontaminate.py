@@ -67,3 +67,14 @@ def test_empty_tables(spark, make):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_hit, r.contaminated) for r in contamination(make([(1, "a b")]), b).collect()] == [(0, False)]
     assert contamination(make([]), b).collect() == []
+
+
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_clean_documents_with_null_and_repeated_ids(spark, make, case, block):
+    docs, items = case
+    docs = [*docs, (None, "some other text"), (None, None)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = make(docs)
+    out = clean_documents(d, b, block_bytes=block)
+    assert out.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(((i, t) for i, t in docs if not brute([(i, t)], items)[0][4]), key=repr)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textlattice.llm import kernels as K
 from textlattice.llm.common import LAST_ID, back_to_null
@@ -124,14 +124,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = d.mapInArrow(_scan(blocks[0]), OUT)
     else:
         out = _united(d, blocks)
-    n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    out = out.withColumn("n_hit", n_hit)
-    return out.select(back_to_null("id").alias(id_col), "n_words", "hit", "n_hit", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return _judged(out).select(back_to_null("id").alias(id_col), "n_words", "hit", "n_hit", "items", "contaminated")
 
 
-def _united(d: DataFrame, blocks: list) -> DataFrame:
-    """Marks of all blocks by row: spans are merged and items united. Rows are told apart by id and text."""
-    key = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.coalesce("text", F.lit(""))), 256)
+def _judged(out: DataFrame) -> DataFrame:
+    """Adds n_hit and contaminated."""
+    out = out.withColumn("n_hit", F.aggregate("hit", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def _key(id_col: Column, text: Column) -> Column:
+    """Tells rows apart by id and text; never null."""
+    return F.sha2(F.concat_ws(":", F.coalesce(id_col.cast("long"), F.lit(LAST_ID)).cast("string"), F.coalesce(text.cast("string"), F.lit(""))), 256)
+
+
+def _merged(d: DataFrame, blocks: list) -> DataFrame:
+    """Marks of all blocks by key: spans are merged and items united."""
+    key = _key(d["id"], d["text"])
     parts = None
     for b in blocks:
         one = d.withColumn("key", key).select("key", "id", "text")
@@ -143,8 +152,11 @@ def _united(d: DataFrame, blocks: list) -> DataFrame:
         WHEN size(acc) > 0 AND element_at(acc, -1).end >= s.start
         THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end))))
         ELSE concat(acc, array(named_struct('start', s.start, 'end', s.end))) END)"""
-    merged = merged.select("key", "n_words", F.expr(fold).alias("hit"), "items")
-    return d.select("id", key.alias("key")).join(merged, "key").select("id", "n_words", "hit", "items")
+    return merged.select("key", "n_words", F.expr(fold).alias("hit"), "items")
+
+
+def _united(d: DataFrame, blocks: list) -> DataFrame:
+    return d.select("id", _key(d["id"], d["text"]).alias("key")).join(_merged(d, blocks), "key").select("id", "n_words", "hit", "items")
 
 
 def _scan_keyed(index) -> object:
@@ -175,10 +187,11 @@ def _drop(index, at: int) -> object:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows that aren't contaminated, with all their columns. Where the benchmark takes several blocks, ids must tell texts apart."""
+    """The rows that aren't contaminated, each judged by its own text, with all their columns."""
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(Index(b)) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
     if len(blocks) == 1:
         return docs.mapInArrow(_drop(blocks[0], docs.columns.index(text_col)), docs.schema)
-    bad = contamination(docs, benchmark, id_col, text_col, item_col, item_text, block_bytes).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+    d = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    bad = _judged(_merged(d, blocks)).where("contaminated").select(F.col("key").alias("_bad"))
+    return docs.join(bad, _key(docs[id_col], docs[text_col]) == bad["_bad"], "left_anti")
