@@ -103,6 +103,14 @@ def test_html_without_article():
     assert " ".join(H.main_text(page)) == f"{long.strip()} Tiny. {long.strip()}"
 
 
+@pytest.mark.parametrize(("inner", "left"), [("Text <button>Share</button> more", "Text more"), ("Text <span class=ad>Buy</span> more", "Text more"), ("Text <a class=share href=/>Tell</a> more", "Text more"), ("Real text <select><option>A</option></select>", "Real text"), ("Real text <button><div>Share</div></button>", "Real text"), ("<span hidden>no</span> Yes", "Yes")])
+def test_html_excluded_elements_within_a_line(inner, left):
+    long = "the cat and the dog of the house " * 12
+    assert H.main_text(f"<body><article><p>{inner}</p></article></body>") == [left]
+    assert H.main_text(f"<body><p>{long}</p><p>{inner}</p><p>{long}</p></body>") == [long.strip(), left, long.strip()]
+    assert H.main_text("<body><article><div>Real text <span class=promo><div>Buy</div></span></div></article></body>") == ["Real text"]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "text only here", "<p>a<p>b", "</div></p>x", "<script>never closed", "<a href='>unclosed quote", "<p>&bogus; &#65;</p>", "a\0b", "<div " * 3000, "<b>" * 3000 + "x"])
 def test_html_odd_pages(page):
     assert all(isinstance(x, str) and x == " ".join(x.split()) for x in H.main_text(page))

@@ -89,24 +89,30 @@ def blocks(page: str) -> Iterator[Block]:
     """The page's text blocks in order."""
     stack: list[tuple[str, bool, bool, bool]] = []  # name, excluded, in an article, in a link
     text: list[str] = []
+    out_of: list[str] = []  # text of excluded elements; it makes a block of its own only where nothing else does
     links = at = 0
-    bad = article = link = False
+    bad = article = link = inside = False
 
     def flush() -> Iterator[Block]:
-        nonlocal links
+        nonlocal links, inside
         words = " ".join("".join(text).split())
-        if words:
-            yield Block(words, links, bad, article)
+        lost = "" if words else " ".join("".join(out_of).split())
+        if words or lost:
+            yield Block(words or lost, links, not words, inside)
         text.clear()
-        links = 0
+        out_of.clear()
+        links, inside = 0, False
 
     def say(raw: str) -> None:
-        nonlocal links
+        """Text counts by where it stands, not by where its block ends."""
+        nonlocal links, inside
         if raw:
             raw = html.unescape(raw)
-            text.append(raw)
-            if link:
-                links += len(" ".join(raw.split()))
+            (out_of if bad else text).append(raw)
+            if not raw.isspace():
+                inside = inside or article
+                if link and not bad:
+                    links += len(" ".join(raw.split()))
 
     def top() -> None:
         nonlocal bad, article, link
@@ -147,7 +153,7 @@ def blocks(page: str) -> Iterator[Block]:
                 if stack[k][0] == "p":
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k][0] in BLOCK or stack[k][0] in SKIP:
                     break
         if name in ENDS:
             own, fences = ENDS[name]
