@@ -98,3 +98,36 @@ def test_encode_and_operator(spark):
     assert all(r.page == 0 and r.error is None and r.width == 64 and len(r.feature) == 16 for r in out)
     broken = T.tiff_pages(spark.createDataFrame([(1, None), (2, b"x")], "id long, media binary"), "media", ["id"]).collect()
     assert all(r.page == -1 and r.error for r in broken) and len(broken) == 2
+
+
+def paged(*pages_):
+    """Little-endian file of one-strip pages: (width, rows, bits, samples, compression, predictor, bytes)."""
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for w, h, bits, spp, kind, predictor, raw in pages_:
+        body = T.deflate(kind, raw)
+        at = len(out)
+        out += body + b"\0" * (len(body) % 2)
+        struct.pack_into("<I", out, link, len(out))
+        tags = {T.WIDTH: w, T.LENGTH: h, T.SAMPLE_BITS: bits, T.COMPRESSION: kind, T.STRIP_AT: at, T.SAMPLES: spp, T.STRIP_ROWS: h, T.STRIP_SIZE: len(body), T.PREDICTOR: predictor}
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items()))
+        link = len(out)
+        out += b"\0" * 4
+    return bytes(out)
+
+
+def test_small_samples_floats_and_pages_after_a_bad_one():
+    floats = np.array([[1.5, -2.25, 3e9], [0.0, 7.0, 1e-20]], "<f4")
+    planes = floats.astype(">f4").view(np.uint8).reshape(2, 3, 4).transpose(0, 2, 1).reshape(2, 12)
+    coded = np.diff(planes, axis=1, prepend=np.zeros((2, 1), np.uint8)).astype(np.uint8)
+    b = paged(
+        (10, 2, 1, 1, T.PACKBITS, 1, bytes([0b10110000, 0b01000000, 0b00000001, 0b11000000])),
+        (3, 1, 4, 1, T.NONE, 1, bytes([0x1F, 0x70])),
+        (4, 4, 8, 1, T.NONE, 9, bytes(16)),
+        (3, 2, 32, 1, T.DEFLATE, 3, coded.tobytes()),
+        (5, 1, 2, 1, T.LZW, 1, bytes([0b00011011, 0b11000000])),
+    )
+    out = list(T.pages(b))
+    assert [p["page"] for p in out] == [0, 1, 2, 3, 4] and [k for k, p in enumerate(out) if p.get("error")] == [2]
+    assert list(out[0]["pixels"]) == [1, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1]
+    assert list(out[1]["pixels"]) == [1, 15, 7] and list(out[4]["pixels"]) == [0, 1, 2, 3, 3]
+    assert out[3]["pixels"] == floats.tobytes()

@@ -191,20 +191,26 @@ def directories(b: bytes) -> Iterator[dict[int, tuple]]:
         yield tags | {"order": o}
 
 
+def unpacked(raw: bytes, rows: int, n: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, each row of n from a whole byte on."""
+    x = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1).reshape(rows, -1, bits)[:, :n]
+    return (x << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
 def page(b: bytes, tags: dict) -> dict:
-    """The samples of one directory: rows of interleaved samples, little-endian where they have more than 8 bits."""
+    """The samples of one directory: rows of interleaved samples, little-endian where they have more than 8 bits, a byte each where they have fewer."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     w, h = one(WIDTH, 0), one(LENGTH, 0)
     spp, planar = one(SAMPLES, 1), one(PLANAR, 1)
     bits = set(tags.get(SAMPLE_BITS, (1,)))
-    if bits - {8, 16, 32} or len(bits) != 1 or not w or not h:
+    if bits - {1, 2, 4, 8, 16, 32} or len(bits) != 1 or not w or not h:
         raise Bad(f"{w} x {h} with {sorted(bits)} bits")
     bits, kind, predictor = bits.pop(), one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if predictor not in (1, 2):
-        raise Bad(f"predictor {predictor}")
-    if w * h * spp * bits // 8 >= 1 << 31:
+    if predictor not in (1, 2, 3) or predictor == 3 and bits not in (16, 32):
+        raise Bad(f"predictor {predictor} with {bits} bits")
+    if w * h * spp * max(bits, 8) // 8 >= 1 << 31:
         raise Bad("a page of 2 GB or more doesn't fit a binary column")
-    dtype = np.dtype(f"{tags['order']}u{bits // 8}")
+    dtype = np.dtype(f"{tags['order']}u{max(bits, 8) // 8}")
     tiled = TILE_AT in tags
     bw, bh = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (w, min(one(STRIP_ROWS, h), h))
     at, sizes = (tags.get(TILE_AT), tags.get(TILE_SIZE)) if tiled else (tags.get(STRIP_AT), tags.get(STRIP_SIZE))
@@ -221,10 +227,16 @@ def page(b: bytes, tags: dict) -> dict:
         rows = bh if tiled else min(bh, h - y * bh)
         if at[k] + sizes[k] > len(b):
             raise Bad("a strip or tile lies outside the file")
-        raw = inflate(kind, b[at[k] : at[k] + sizes[k]], rows * bw * inner * dtype.itemsize)
-        block = np.frombuffer(raw, dtype=dtype).reshape(rows, bw, inner).astype(out.dtype)
+        raw = inflate(kind, b[at[k] : at[k] + sizes[k]], rows * -(-bw * inner * bits // 8))
+        if bits < 8:
+            block = unpacked(raw, rows, bw * inner, bits).reshape(rows, bw, inner)
+        elif predictor == 3:  # differences of bytes; a row holds all first bytes, then all second ones
+            block = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, -1, inner), axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, bw * inner)
+            block = np.ascontiguousarray(block.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, bw, inner).astype(out.dtype)
+        else:
+            block = np.frombuffer(raw, dtype=dtype).reshape(rows, bw, inner).astype(out.dtype)
         if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=out.dtype)
+            block = np.cumsum(block, axis=1, dtype=out.dtype) & out.dtype.type((1 << bits) - 1)
         part = out[y * bh : y * bh + rows, x * bw : x * bw + bw, p : p + inner]
         part[...] = block[: part.shape[0], : part.shape[1]]
     return {"width": w, "height": h, "samples": spp, "bits": bits, "compression": kind, "predictor": predictor, "pixels": out.tobytes(), "feature": feature(out)}
@@ -272,11 +284,15 @@ def encode(samples: bytes, width: int, kind: int = DEFLATE, predictor: int = 2,
 
 
 def pages(b: bytes | None) -> Iterator[dict]:
-    """A row for each page, and one with an error where the file can't be read on."""
+    """A row for each page, with an error where it can't be decoded, and one with an error where the file can't be read on."""
     k = -1
     try:
         for k, tags in enumerate(directories(b or b"")):
-            yield {"page": k} | page(b, tags)
+            try:
+                found = page(b, tags)
+            except (Bad, ValueError, MemoryError) as e:
+                found = {"error": str(e)[:200]}
+            yield {"page": k} | found
     except (Bad, ValueError, MemoryError) as e:
         yield {"page": k, "error": str(e)[:200]}
 
