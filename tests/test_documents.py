@@ -117,3 +117,16 @@ def test_layout(spark):
     d = spark.createDataFrame(rows, "doc long, page int, run_pos int, size double, y double, text string")
     b = [(r.type, r.level, r.text) for r in L.blocks(L.lines(d)).orderBy("pos").collect()]
     assert b == [("heading", 1, "A Big Title"), ("paragraph", None, "It was a long hyphenated line."), ("paragraph", None, "Next one goes over the page."), ("heading", 2, "Sub"), ("paragraph", None, "End.")]
+
+
+def test_pdf_runs_hold_whole_sentences(spark, tmp_path):
+    from textlattice.plans import format_queries as Q
+
+    rows = [(1, "One sentence that is a good deal longer than forty characters, so that a prefix shows. Two"), (2, "ab. " + "word " * 300 + ". x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    runs = Q.pdf_runs(spark, str(tmp_path), whole=True).orderBy("doc", "run_pos").collect()
+    assert {k: "".join(r.text for r in runs if r.doc == k) for k, _ in rows} == {k: t.replace(". ", "") for k, t in rows}
+    words = {}
+    for r in Q.pdf_blocks(spark, str(tmp_path)).collect():
+        words[r.doc] = words.get(r.doc, 0) + r.words
+    assert words == {1: 17, 2: 302}

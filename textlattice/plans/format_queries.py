@@ -62,11 +62,14 @@ _RUNS = """r AS (SELECT doc_id AS doc, CAST(i // 10 AS INT) AS page, CAST(i * 2
     CASE WHEN h = 0 THEN substr(x, 1, 20) ELSE substr(x, 21, 20) END AS text FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)), (VALUES (0), (1)) t(h))"""
 
 
-def pdf_runs(spark, sf_dir) -> DataFrame:
+def pdf_runs(spark, sf_dir, whole: bool = False) -> DataFrame:
+    """whole: the first half of each sentence and all the rest; else characters 1 to 20 and 21 to 40, as _RUNS has them."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\. ", -1)).alias("i", "x")).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
     i, h = F.col("i"), F.col("h")
     y = F.lit(700.0) - (i % 10) * 14.0 - F.when(i % 5 == 4, 20.0).otherwise(0.0) - h * 0.5
-    return d.select("doc", F.floor(i / 10).cast("int").alias("page"), (i * 2 + h).alias("run_pos"), F.when(i % 7 == 0, 20.0).when(i % 7 == 1, 16.0).otherwise(11.0).alias("size"), y.alias("y"), F.when(h == 0, F.substring("x", 1, 20)).otherwise(F.substring("x", 21, 20)).alias("text"))
+    half = F.floor(F.length("x") / 2).cast("int") if whole else F.lit(20)
+    rest = F.length("x") if whole else F.lit(20)
+    return d.select("doc", F.floor(i / 10).cast("int").alias("page"), (i * 2 + h).alias("run_pos"), F.when(i % 7 == 0, 20.0).when(i % 7 == 1, 16.0).otherwise(11.0).alias("size"), y.alias("y"), F.when(h == 0, F.substring("x", 1, half)).otherwise(F.substring("x", half + 1, rest)).alias("text"))
 
 
 _LINES = _RUNS + r""", ln AS (SELECT doc, page, CAST(line AS BIGINT) AS line, max(size) AS size, min(y) FILTER (run_pos % 2 = 0) AS y, regexp_replace(regexp_replace(string_agg(text, '' ORDER BY run_pos), '[\s\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS text
@@ -93,7 +96,7 @@ def pdf_gaps(spark, sf_dir):
 
 @query()
 def pdf_blocks(spark, sf_dir):
-    b = L.blocks(L.lines(pdf_runs(spark, sf_dir)))
+    b = L.blocks(L.lines(pdf_runs(spark, sf_dir, whole=True)))
     return b.groupBy("doc", "type").agg(F.count("*").alias("n"), F.sum(T.word_count(F.col("text"))).alias("words"))
 
 
