@@ -1,13 +1,17 @@
 """Main-text extraction with two-pass block rules.
 
-Pass 1 cuts a page into blocks at block-level tags and labels each by what can be
-seen of it alone: blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments (by tag, role, or class and id words) are bad;
-then link density, length and the density of stop words (English, French, German,
-Spanish) decide, where blocks of a marked article need no more than few links.
-Short blocks, and those in between, stay open. Pass 2 gives each open block the
-label of its nearest decided neighbour. With a marked article on the page, blocks
-outside it are bad.
+A page is cut into blocks at block-level tags. Pass 1 adds up evidence about each
+block alone, in points: the density of its stop words (English, French, German,
+Spanish), its length, the part of it that stands in links, and what the markup
+around it hints at (inside or beside a marked article; inside a menu, header,
+footer, sidebar, notice, advert, form or reader comments, by tag, role, or class
+and id words). Many points make a block good, few make it bad; short blocks, whose
+stop words say nothing, and those in between stay open. Pass 2 gives each open block
+the label of its nearest decided neighbours, within the article or outside it.
+
+An article's mark is believed where articles hold a third of the page's text or
+more. Stop words are not asked where they can't be known: in blocks that are mostly
+not in Latin letters, and on pages whose longer blocks hold next to none.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
 unclosed and stray tags are read as browsers do, roughly; rows that repeat are read
@@ -30,10 +34,15 @@ STOP_WORDS = frozenset(
     aber als am auch auf aus bei bis das dass dem den der des die doch durch ein eine einem einen einer er es hat ich im ist mit nach nicht noch nur oder sich sie sind so um und von vor war wie wird zu zum zur
     al como con cuando del donde el ella ellos era eran esta este esto fue ha hay las lo los más me mi muy no nos o para pero por porque ser si sin sobre su sus también te tiene todo una uno y ya""".split()
 )
-#: Characters and shares that decide a block outside a marked article.
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.20, 0.30, 0.25
-#: Link share from which even a block of the article is bad, and from which it is open.
-ARTICLE_LINKS, ARTICLE_OPEN = 0.8, 0.4
+#: Characters of a block whose stop words count, and of a long one.
+SHORT, LONG = 70, 200
+#: Shares: of stop words among words, of text in links, of a page's text in articles, and of stop words on a page of an unknown language.
+STOP_LOW, STOP_HIGH, LINKS, ALL_LINKS, MARKED, UNKNOWN = 0.20, 0.30, 0.25, 0.8, 1 / 3, 0.05
+#: Points of evidence. What is said by stop words, length and links together never outweighs IN_OTHER.
+MANY_STOPS, SOME_STOPS, FEW_STOPS, LONG_TEXT, LINKED, ALL_LINKED = 3, 2, -2, 1, -3, -7
+IN_ARTICLE, BESIDE_ARTICLE, IN_OTHER = 2, -6, -9
+#: Points that make a block good, and bad.
+KEEP, DROP = 3, -2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("script style noscript template svg math iframe object canvas audio video head title select button textarea datalist".split())
@@ -54,6 +63,8 @@ _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPLIT = re.compile(r"[^a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[a-z\u00c0-\u024f]")
+_CLOSE = {name: re.compile(f"</{name}", re.I) for name in RAW}
 
 
 class Block:
@@ -118,7 +129,7 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal bad, article, link
         _, bad, article, link = stack[-1] if stack else ("", False, False, False)
 
-    n, low = len(page), None
+    n = len(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -142,10 +153,8 @@ def blocks(page: str) -> Iterator[Block]:
                 top()
             continue
         if name in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            end = n if end < 0 else end
-            at = page.find(">", end) + 1 if end < n else n
+            end = _CLOSE[name].search(page, at)
+            at = page.find(">", end.start()) + 1 if end else n
             at = at or n
             continue
         if name in BLOCK and name not in ("html", "body"):
@@ -176,51 +185,78 @@ def blocks(page: str) -> Iterator[Block]:
 GOOD, BAD, OPEN = 1, 0, None
 
 
-def label(b: Block, marked: bool) -> int | None:
-    """Pass 1: what the block alone shows; marked: the page has a marked article."""
-    if b.bad or marked and not b.article:
-        return BAD
-    share = b.links / len(b.text)
-    if b.article:
-        return BAD if share > ARTICLE_LINKS else OPEN if share > ARTICLE_OPEN else GOOD
-    if share > LINKS:
-        return BAD
-    if len(b.text) < SHORT:
-        return BAD if b.links else OPEN
+def _stops(b: Block) -> tuple[int, int, int]:
+    """Words, those in Latin letters, and stop words."""
     w = _WORD.findall(b.text.lower())
-    stop = sum(x in STOP_WORDS for x in w) / max(1, len(w))
-    if stop >= STOP_HIGH or stop >= STOP_LOW and len(b.text) >= LONG:
-        return GOOD
-    return OPEN if stop >= STOP_LOW else BAD
+    return len(w), sum(bool(_LATIN.match(x)) for x in w), sum(x in STOP_WORDS for x in w)
 
 
-def main_text(page: str | None) -> list[str]:
-    """The blocks of the main text."""
-    found = list(blocks(page or ""))
-    marked = any(b.article and not b.bad for b in found)
-    first = [label(b, marked) for b in found]
-    if not any(first) and not any(x is BAD and not b.bad for x, b in zip(first, found, strict=True)):  # nothing decided but what is excluded
-        return [b.text for b, x in zip(found, first, strict=True) if x is OPEN]
+def points(b: Block, stops: tuple[int, int, int], marked: bool, unknown: bool) -> int:
+    """Pass 1: the evidence that the block alone gives. marked: the page's article mark is believed; unknown: its stop words aren't known."""
+    n = IN_OTHER if b.bad else IN_ARTICLE if b.article else BESIDE_ARTICLE if marked else 0
+    share = b.links / len(b.text)
+    n += ALL_LINKED if share > ALL_LINKS else LINKED if share > LINKS else 0
+    if len(b.text) < SHORT:
+        return n
+    words, latin, stop = stops
+    if unknown or 2 * latin < words:
+        n += SOME_STOPS
+    else:
+        stop /= max(1, words)
+        n += MANY_STOPS if stop >= STOP_HIGH else SOME_STOPS if stop >= STOP_LOW else FEW_STOPS
+    return n + LONG_TEXT * (len(b.text) >= LONG)
+
+
+def first_pass(found: list[Block]) -> tuple[list[int | None], bool]:
+    """The labels of the blocks taken alone, and whether the article's mark is believed."""
+    own = [b for b in found if not b.bad]
+    size = sum(len(b.text) for b in own)
+    marked = size > 0 and sum(len(b.text) for b in own if b.article) >= MARKED * size
+    stops = [_stops(b) if len(b.text) >= SHORT and not b.bad else (0, 0, 0) for b in found]
+    unknown = sum(x[2] for x in stops) < UNKNOWN * sum(x[1] for x in stops)
+    got = [points(b, x, marked, unknown) for b, x in zip(found, stops, strict=True)]
+    return [GOOD if n >= KEEP else BAD if n <= DROP else OPEN for n in got], marked
+
+
+def second_pass(found: list[Block], first: list[int | None], marked: bool) -> list[int]:
+    """Open blocks take the label of the nearest decided block on either side; where the two differ, of the nearer one.
+
+    What menus and the like hold says nothing about its neighbours, and with a believed mark neither does what stands
+    on the other side of the article's edge. Within it a block only goes if both sides are bad; without any decided
+    neighbour a block stays.
+    """
     n = len(found)
-    before, after = [(n + 1, BAD)] * n, [(n + 1, BAD)] * n
-    near = (n + 1, BAD)
-    for i in range(n):  # excluded blocks say nothing about their neighbours
-        near = (0, first[i]) if first[i] is not OPEN and not found[i].bad else (near[0] + 1, near[1])
-        before[i] = near
-    near = (n + 1, BAD)
-    for i in range(n - 1, -1, -1):
-        near = (0, first[i]) if first[i] is not OPEN and not found[i].bad else (near[0] + 1, near[1])
-        after[i] = near
+    sides = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        near: dict[bool, tuple[int, int]] = {}
+        side = [(n + 1, OPEN)] * n
+        for i in order:
+            region = marked and found[i].article
+            if first[i] is OPEN:
+                at, x = near.get(region, (0, OPEN))
+                side[i] = (abs(i - at), x) if x is not OPEN else side[i]
+            elif not found[i].bad:
+                near[region] = (i, first[i])
+        sides.append(side)
     out = []
-    for i, b in enumerate(found):
-        x = first[i]
+    for i, x in enumerate(first):
         if x is OPEN:
-            x = max(before[i], after[i], key=lambda d: (-d[0], d[1]))[1]
-        if x:
-            out.append(b.text)
+            known = [s for s in (sides[0][i], sides[1][i]) if s[1] is not OPEN]
+            if marked and found[i].article:
+                x = BAD if len(known) == 2 and not any(s[1] for s in known) else GOOD
+            else:
+                x = min(known, key=lambda s: (s[0], -s[1]), default=(0, GOOD))[1]
+        out.append(x)
     return out
 
 
+def main_text(page: str | None) -> list[str]:
+    """The blocks of the main text."""
+    found = list(blocks(page or ""))
+    first, marked = first_pass(found)
+    return [b.text for b, x in zip(found, second_pass(found, first, marked), strict=True) if x]
+
+
 def _extract(keep: list[str]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
