@@ -47,23 +47,15 @@ def case():
 @pytest.mark.parametrize("block", [16 << 20, 60])
 def test_equals_brute_force(spark, make, case, block):
     docs, items = case
+    docs = [*docs, *docs[28:36], (None, items[4][1]), ((1 << 63) - 1, items[3][1]), (91, "word " * 50_000 + items[5][1] + " end")]
     b = spark.createDataFrame(items, "item_id long, text string")
     out = contamination(make(docs), b, block_bytes=block)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.items, r.contaminated) for r in out.collect()), key=repr) == brute(docs, items)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 60])
-def test_clean_documents(spark, make, case, block):
-    docs, items = case
-    docs = [d for d in docs if d[0] not in (33, None)]
-    b = spark.createDataFrame(items, "item_id long, text string")
-    d = make(docs)
-    out = clean_documents(d, b, block_bytes=block)
-    assert out.columns == d.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(r[0] for r in brute(docs, items) if not r[4])
-
-
 def test_empty_tables(spark, make):
+    items = spark.createDataFrame([(1, "a b c"), (2, "c d")], "item_id long, text string")
+    assert contamination(make([]), items, block_bytes=1).collect() == []
     b = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_hit, r.contaminated) for r in contamination(make([(1, "a b")]), b).collect()] == [(0, False)]
     assert contamination(make([]), b).collect() == []
@@ -72,7 +64,7 @@ def test_empty_tables(spark, make):
 @pytest.mark.parametrize("block", [16 << 20, 60])
 def test_clean_documents_with_null_and_repeated_ids(spark, make, case, block):
     docs, items = case
-    docs = [*docs, (None, "some other text"), (None, None)]
+    docs = [*docs, (None, "some other text"), (None, None), (33, "only once"), (40, items[2][1]), ((1 << 63) - 1, items[3][1]), (90, "word " * 50_000 + items[5][1])]
     b = spark.createDataFrame(items, "item_id long, text string")
     d = make(docs)
     out = clean_documents(d, b, block_bytes=block)

@@ -68,3 +68,24 @@ def test_copies_under_null_and_repeated_ids(make, group_bytes):
     want = brute(rows)
     assert sum(n == gone for _, n, gone, _ in want) == 12
     assert got(substring_dedup(make(rows), group_bytes=group_bytes, bucket_bytes=800)) == want
+
+
+def test_two_hops_and_long_words(make, monkeypatch):
+    monkeypatch.setattr("textlattice.llm.exchange.FAN", 2)
+    rnd = random.Random(8)
+    # two words of 2,048 letters each that polynomials modulo a power of two can't tell apart
+    morse = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(2048)) for flip in (0, 1)]
+    passage = [f"p{k}" for k in range(30)]
+    rows = []
+    for i in range(60):
+        w = [f"w{rnd.randint(0, 500)}" for _ in range(rnd.randint(0, 60))] + (passage if i % 3 == 0 else []) + ["x"] * rnd.randint(0, 3)
+        rows.append((i, " ".join(w)))
+    rows += [(70, " ".join(passage[:12] + [morse[0]] + passage[:12])), (71, " ".join(passage[:12] + [morse[1]] + passage[:12])), ((1 << 63) - 1, "only here " * 9), (None, rows[3][1] + " tail")]
+    assert got(substring_dedup(make(rows), group_bytes=500, bucket_bytes=300)) == brute(rows)
+
+
+def test_carried_columns_with_names_of_new_ones(make):
+    d = make([(1, " ".join(f"w{k}" for k in range(20)))])
+    out = substring_dedup(d, carry=["kept", "n_chars", "doc_id"])
+    assert out.columns == ["doc_id", "n_words", "n_removed", "kept", "removed", "kept_in", "n_chars", "doc_id_in"]
+    assert [(r.kept_in, r.doc_id_in, r.n_words) for r in out.collect()] == [("k", 1, 20)]

@@ -93,3 +93,37 @@ def test_operator(make):
 
 def test_empty(make):
     assert S.near_duplicates(make([])).collect() == []
+
+
+def test_first_of_groups(make):
+    rnd = random.Random(6)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(3, a), (5, a.upper()), (5, b), (7, b), (9, c), (9, c), (None, c), (None, text()), (None, ""), (2, None), ((1 << 63) - 1, text())]
+    d = make(rows)
+    out = S.first_of_groups(d)
+    assert out.columns == d.columns
+    # 5 stands for b, although its other row goes as a copy of 3; nulls come last
+    want = [(3, a), (5, b), (9, c), rows[7], (2, None), rows[10]]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert S.first_of_groups(make([])).collect() == []
+
+
+def test_many_fingerprints_under_one_key():
+    rnd = random.Random(9)
+    base = rnd.getrandbits(64)
+    near = {base}
+    while len(near) < 3000:
+        near.add(rnd.choice([base, *list(near)[:50]]) ^ (1 << rnd.randrange(32)) ^ (1 << rnd.randrange(32)))
+    fps = np.array(sorted(near), dtype=np.uint64)
+    both = []
+    for split in (10, 10**9):
+        S.SPLIT = split
+        try:
+            forest = S.Forest()
+            out = S._links(fps, np.arange(len(fps)), forest, 40)
+        finally:
+            S.SPLIT = 2048
+        assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 2 for a, b in out)
+        both.append([forest.find(i) for i in range(len(fps))])
+    assert both[0] == both[1]

@@ -6,14 +6,17 @@ and every rolling window of every training text is scanned against it; a hit is
 verified by comparing the words themselves, marks the words under it, and names
 the items that hold the window.
 
-The broadcast is bounded: items are taken in blocks of at most ``block_bytes`` of
-text, and with more than one block the marks of all blocks are united per document
-after one pass over the documents for each block.
+The broadcast is bounded: a benchmark of at most ``block_bytes`` of text goes whole.
+A larger one stays distributed: only a bit table of its windows' hashes, of fixed
+size, is broadcast; windows of the texts that it lets through are joined with the
+benchmark's windows by their words, and the hits return to their documents. Both
+ways give the same rows.
 
 Defined results: a null or empty text has no words and is clean; items with null
 text or without words have no windows; equal items are both counted, as are rows
-that repeat an id; a null item id takes part in hits but is not listed; an empty
-benchmark leaves every document clean; other columns are ignored.
+that repeat an id, each judged by its own text; a null id stays null; a null item id
+takes part in hits but is not listed; an empty benchmark leaves every document clean;
+an empty table gives none; other columns are ignored (clean_documents keeps them all).
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlattice.llm import kernels as K
-from textlattice.llm.common import LAST_ID, back_to_null
+from textlattice.llm.common import text_bytes
 
 WINDOW = 13
-#: Benchmark text per broadcast block: its index takes about four times as much.
+#: Benchmark text that is broadcast whole: its index takes about four times as much.
 BLOCK_BYTES = 16 << 20
+#: Bits, as a power of two, of the table that stands in for a larger one.
+FILTER_BITS = 27
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 OUT = "id long, n_words long, hit array<struct<start:long,end:long>>, items array<string>"
 
@@ -101,30 +106,26 @@ def _scan(index) -> object:
     return f
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list]:
-    """The items in blocks of bounded size; the driver holds one block at a time."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        n = len((r["text"] or "").encode())
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r["item"], item_words(r["text"])))
-        size += n
-    yield block
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """Items that have words."""
+    text = benchmark[text_col].cast("string")
+    return benchmark.select(benchmark[item_col].cast("string").alias("item"), text.alias("text")).where(text.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
+
+
+def _whole(items: DataFrame, block_bytes: int) -> Index | None:
+    """The index of a benchmark of at most block_bytes; None for a larger one."""
+    if text_bytes(items, F.col("text")) > block_bytes:
+        return None
+    return Index([(r["item"], item_words(r["text"])) for r in items.collect()])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: id_col, n_words, hit (word spans [start, end) under benchmark windows), n_hit, items (sorted ids), contaminated."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(Index(b)) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
-    d = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("id"), docs[text_col].cast("string").alias("text"))
-    if len(blocks) == 1:
-        out = d.mapInArrow(_scan(blocks[0]), OUT)
-    else:
-        out = _united(d, blocks)
-    return _judged(out).select(back_to_null("id").alias(id_col), "n_words", "hit", "n_hit", "items", "contaminated")
+    items = _items(benchmark, item_col, item_text)
+    index = _whole(items, block_bytes)
+    d = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    out = d.mapInArrow(_scan(d.sparkSession.sparkContext.broadcast(index)), OUT) if index else _joined(d, items).select("id", "n_words", "hit", "items")
+    return _judged(out).select(F.col("id").alias(id_col), "n_words", "hit", "n_hit", "items", "contaminated")
 
 
 def _judged(out: DataFrame) -> DataFrame:
@@ -133,45 +134,119 @@ def _judged(out: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+# ---- a benchmark that isn't broadcast
+
+
 def _key(id_col: Column, text: Column) -> Column:
     """Tells rows apart by id and text; never null."""
-    return F.sha2(F.concat_ws(":", F.coalesce(id_col.cast("long"), F.lit(LAST_ID)).cast("string"), F.coalesce(text.cast("string"), F.lit(""))), 256)
+    return F.sha2(F.concat_ws(":", F.coalesce(id_col.cast("long").cast("string"), F.lit("none")), F.coalesce(text.cast("string"), F.lit(""))), 256)
+
+
+def _windows(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, k: int, at: list[int]) -> list[str]:
+    """The words of the windows that begin at some words, lower-cased and joined by one space."""
+    return [b" ".join(WORD.findall(data[starts[j] : ends[j + k - 1]].tobytes().lower())).decode() for j in at]
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in K.chunks(b.column("text")):
+            starts, ends, off = K.words(c, K.ALNUM_WORD)
+            wh = K.word_hashes(c, starts, ends, fold=True)
+            size = np.diff(off)
+            for k in sorted(set(np.minimum(size[size > 0], WINDOW).tolist())):
+                rows = K.row_of(off)
+                r = K.rolling(wh, k)
+                ok = K.inside(off, rows, k, len(r)) & (np.minimum(size, WINDOW)[rows[: len(r)]] == k)
+                at = np.flatnonzero(ok)
+                yield pa.record_batch({
+                    "k": pa.array(np.full(len(at), k), pa.int32()),
+                    "w": pa.array(_windows(starts, ends, c.data, k, at.tolist()), pa.string()),
+                    "h": pa.array(r[at].view(np.int64)),
+                    "item": b.column("item").take(pa.array(c.first + rows[at])),
+                })
 
 
-def _merged(d: DataFrame, blocks: list) -> DataFrame:
-    """Marks of all blocks by key: spans are merged and items united."""
-    key = _key(d["id"], d["text"])
-    parts = None
-    for b in blocks:
-        one = d.withColumn("key", key).select("key", "id", "text")
-        one = one.mapInArrow(_scan_keyed(b), "key string, " + OUT)
-        parts = one if parts is None else parts.unionByName(one)
-    merged = parts.groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("hit"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    span = "struct<start:long,end:long>"
-    fold = f"""aggregate(all, cast(array() as array<{span}>), (acc, s) -> CASE
-        WHEN size(acc) > 0 AND element_at(acc, -1).end >= s.start
-        THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end))))
-        ELSE concat(acc, array(named_struct('start', s.start, 'end', s.end))) END)"""
-    return merged.select("key", "n_words", F.expr(fold).alias("hit"), "items")
+def _filter(windows: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The lengths of the benchmark's windows, and a table of 2**FILTER_BITS bits with those of their hashes set."""
+    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    words = windows.groupBy(F.shiftrightunsigned(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits"))
+    got = words.toArrow()  # at most 2**(FILTER_BITS - 6) rows
+    table = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return sorted(r["k"] for r in windows.select("k").distinct().collect()), table
 
 
-def _united(d: DataFrame, blocks: list) -> DataFrame:
-    return d.select("id", _key(d["id"], d["text"]).alias("key")).join(_merged(d, blocks), "key").select("id", "n_words", "hit", "items")
+CANDIDATES = "key string, id long, n_words long, k int, j long, w string"
 
 
-def _scan_keyed(index) -> object:
-    scan = _scan(index)
+def _candidates(shared) -> object:
+    """A row for each document (k is 0), and one for each of its windows that the table lets through."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, table = shared.value
         for b in batches:
-            done = 0
-            for out in scan([b]):
-                yield pa.record_batch([b.column("key").slice(done, out.num_rows), *out.columns], names=["key", *out.schema.names])
-                done += out.num_rows
+            for c in K.chunks(b.column("text")):
+                starts, ends, off = K.words(c, K.ALNUM_WORD)
+                rows = K.row_of(off)
+                wh = K.word_hashes(c, starts, ends, fold=True) if len(starts) else np.zeros(0, K.U)
+                key = b.column("key").slice(c.first, c.n)
+                row, ks, js, ws = [np.arange(c.n)], [np.zeros(c.n, np.int32)], [np.zeros(c.n, np.int64)], key.to_pylist()
+                for k in lengths:
+                    r = K.rolling(wh, k)
+                    slot = r >> K.U(64 - FILTER_BITS)
+                    seen = (table[(slot >> K.U(6)).astype(np.int64)] >> (slot & K.U(63))) & K.U(1) > 0
+                    at = np.flatnonzero(seen & K.inside(off, rows, k, len(r)))
+                    row.append(rows[at])
+                    ks.append(np.full(len(at), k, np.int32))
+                    js.append(at - off[rows[at]])
+                    ws += _windows(starts, ends, c.data, k, at.tolist())
+                row = np.concatenate(row)
+                yield pa.record_batch({
+                    "key": key.take(pa.array(row)),
+                    "id": b.column("id").slice(c.first, c.n).take(pa.array(row)),
+                    "n_words": pa.array(np.diff(off)[row], pa.int64()),
+                    "k": pa.array(np.concatenate(ks)),
+                    "j": pa.array(np.concatenate(js)),
+                    "w": pa.array(ws, pa.string()),
+                })
 
     return f
 
 
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of windows to spans; a row for every copy of a document."""
+    for b in batches:
+        hits, items = [], []
+        for places, names in zip(b.column("places").to_pylist(), b.column("names").to_pylist(), strict=True):
+            spans: list[list[int]] = []
+            for s in sorted(places, key=lambda x: (x["j"], x["k"])):
+                if spans and s["j"] <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], s["j"] + s["k"])
+                else:
+                    spans.append([s["j"], s["j"] + s["k"]])
+            hits.append([{"start": x, "end": y} for x, y in spans])
+            items.append(sorted({x for n in names for x in n}))
+        again = pa.array(np.repeat(np.arange(b.num_rows), b.column("copies").to_numpy()))
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        yield pa.record_batch([b.column("key").take(again), b.column("id").take(again), b.column("n_words").take(again), pa.array(hits, span).take(again), pa.array(items, pa.list_(pa.string())).take(again)], names=["key", "id", "n_words", "hit", "items"])
+
+
+def _joined(d: DataFrame, items: DataFrame) -> DataFrame:
+    """key and OUT for every row of d (id, text): candidates meet the benchmark's windows by length and words.
+
+    A window that many documents hold is a skewed key of the join, which adaptive execution splits; on the benchmark's
+    side it is one row.
+    """
+    windows = items.mapInArrow(_item_windows, "k int, w string, h long, item string")
+    shared = d.sparkSession.sparkContext.broadcast(_filter(windows))
+    own = windows.groupBy("k", "w").agg(F.collect_set("item").alias("names"))
+    found = d.select(_key(d["id"], d["text"]).alias("key"), "id", "text").mapInArrow(_candidates(shared), CANDIDATES)
+    met = found.join(own, ["k", "w"], "left")
+    place = F.when(F.col("names").isNotNull(), F.struct("j", "k"))
+    by_doc = met.groupBy("key").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.count_if(F.col("k") == 0).alias("copies"), F.collect_set(place).alias("places"), F.collect_set("names").alias("names"))
+    return by_doc.mapInArrow(_spans, "key string, " + OUT)
+
+
 def _drop(index, at: int) -> object:
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,10 +263,10 @@ def _drop(index, at: int) -> object:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows that aren't contaminated, each judged by its own text, with all their columns."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(Index(b)) for b in _blocks(benchmark, item_col, item_text, block_bytes)]
-    if len(blocks) == 1:
-        return docs.mapInArrow(_drop(blocks[0], docs.columns.index(text_col)), docs.schema)
+    items = _items(benchmark, item_col, item_text)
+    index = _whole(items, block_bytes)
+    if index:
+        return docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)), docs.schema)
     d = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    bad = _judged(_merged(d, blocks)).where("contaminated").select(F.col("key").alias("_bad"))
+    bad = _judged(_joined(d, items)).where("contaminated").select(F.col("key").alias("_bad"))
     return docs.join(bad, _key(docs[id_col], docs[text_col]) == bad["_bad"], "left_anti")

@@ -17,9 +17,10 @@ passage that a third of all documents share costs a bucket one entry per group.
 No pairs are made at any point.
 
 Defined results: a null or empty text has no words, is kept and removes nothing; a
-null id counts as larger than any other and stays null; rows that repeat an id are
-judged one by one and don't remove each other's words; an empty table gives an
-empty result; other columns are ignored.
+null id counts as larger than any other (but as equal to 2**63 - 1) and stays null;
+rows that repeat an id are judged one by one and don't remove each other's words; an
+empty table gives an empty result; other columns are ignored, and a carried column
+with the name of a new one comes back with _in at the end of its name.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from textlattice.llm import kernels as K
-from textlattice.llm.common import BUCKET_BYTES, GROUP_BYTES, back_to_null, grouped_docs, parts_for, power_of_two, text_bytes
+from textlattice.llm.common import BUCKET_BYTES, GROUP_BYTES, grouped_docs, names_beside, parts_for, power_of_two, text_bytes
+from textlattice.llm.exchange import Exchange, flat
 
 U = K.U
 WINDOW, BLOCK = 13, 7
@@ -182,12 +184,12 @@ def meet_probes(t: pa.Table) -> pa.Table:
 # ---- step 2: windows around the hits
 
 
-def _late(t: pa.Table) -> np.ndarray:
+def _late(t: dict) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in t["late"] if x.is_valid), dtype=DOC["hash"])
 
 
 def send_windows(n_buckets: int):
-    def f(t: pa.Table, told: pa.Table) -> pa.Table:
+    def f(t: pa.Table, told: dict) -> pa.Table:
         none = pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "more": pa.array([], pa.binary())})
         hits = [K.unpack(x.as_py()) for x in told["hits"] if x.is_valid]
         if not len(t) or not hits:
@@ -212,10 +214,10 @@ def send_windows(n_buckets: int):
         if not k1:
             return none
         k1, k2, who = np.concatenate(k1), np.concatenate(k2), np.concatenate(who)
-        order = np.lexsort((who, k1))
+        order = np.lexsort((who, k2, k1))
         k1, k2, who = k1[order], k2[order], who[order]
         new = np.ones(len(k1), dtype=bool)
-        new[1:] = k1[1:] != k1[:-1]
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
         first = np.flatnonzero(new)
         if not len(first):
             return none
@@ -252,16 +254,15 @@ def meet_windows(t: pa.Table) -> pa.Table:
     new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
     least = who[np.flatnonzero(new)][np.cumsum(new) - 1]
     back = many | (least < who)
-    k1, least, src = k1[back], least[back], src[back]
+    k1, k2, least, src = k1[back], k2[back], least[back], src[back]
     order = np.argsort(src, kind="stable")
-    k1, least, src = k1[order], least[order], src[order]
+    k1, k2, least, src = k1[order], k2[order], least[order], src[order]
     cut = np.searchsorted(src, np.arange(len(g) + 1))
     some = [i for i in range(len(g)) if cut[i] < cut[i + 1]]
     return pa.table({
         "g": pa.array([g[i] for i in some], pa.int32()),
         "keys": pa.array([K.pack(k1[cut[i] : cut[i + 1]]) for i in some], pa.binary()),
-        "least": pa.array([K.planes(least[cut[i] : cut[i + 1]]) for i in some], pa.binary()),
-        "late": pa.array([None] * len(some), pa.binary()),
+        "least": pa.array([K.planes(k2[cut[i] : cut[i + 1]]) + K.planes(least[cut[i] : cut[i + 1]]) for i in some], pa.binary()),
     })
 
 
@@ -287,9 +288,37 @@ def kept_text(c: K.Chunk, starts, ends, off, keep: np.ndarray) -> tuple[np.ndarr
     return out, ends_by_row
 
 
+class Earlier:
+    """The windows that a group was told of, with the smallest document of each."""
+
+    def __init__(self, told: dict):
+        got = [(K.unpack(k.as_py()), m.as_py()) for k, m in zip(told["keys"], told["least"], strict=True) if k.is_valid]
+        keys = np.concatenate([k for k, _ in got]) if got else np.zeros(0, U)
+        more = np.concatenate([K.unplanes(m[: 4 * len(k)], np.uint32) for k, m in got]) if got else np.zeros(0, np.uint32)
+        least = np.concatenate([K.unplanes(m[4 * len(k) :], np.int64) for k, m in got]) if got else np.zeros(0, np.int64)
+        order = np.lexsort((more, keys))
+        self.known, self.more, self.least = K.Members(keys[order]), more[order], least[order]
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(self.known.keys) != 0))) if len(keys) else np.zeros(1, np.int64)
+        self.most = int(np.diff(np.append(cut, len(keys))).max())  # windows that share a first hash: nearly always one
+
+    def find(self, c: K.Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of windows that are known by both their hashes, and their smallest documents."""
+        r = K.rolling(K.word_hashes(c, starts, ends), WINDOW)
+        at, k = self.known.find(r)
+        if not len(at):
+            return at, self.least[k]
+        r, more = r[at], (K.rolling(K.word_hashes(c, starts, ends, 1), WINDOW)[at] >> U(32)).astype(np.uint32)
+        found = np.full(len(at), -1)
+        for step in range(self.most):
+            j = np.minimum(k + step, len(self.least) - 1)
+            hit = (self.known.keys[j] == r) & (self.more[j] == more)
+            found[hit] = j[hit]
+        return at[found >= 0], self.least[found[found >= 0]]
+
+
 def remove_spans(keep_layout: bool, n_carried: int):
     def f(t: pa.Table, told: pa.Table) -> pa.Table:
-        out = _remove(t, told)
+        out = _remove(t, flat(told, TOLD))
         if keep_layout:
             whole = pc.equal(out["n_removed"], 0)
             out = out.set_column(3, "kept", pc.if_else(whole, t["text"], out["kept"]))
@@ -300,46 +329,48 @@ def remove_spans(keep_layout: bool, n_carried: int):
     return f
 
 
-def _remove(t: pa.Table, told: pa.Table) -> pa.Table:
-    ids = t["id"].to_numpy()
+def _remove(t: pa.Table, told: dict) -> pa.Table:
+    ids, real = t["id"].to_numpy(), t["real"].to_numpy()
     copy = copies(ids, t["text"], _late(told))
-    got = [(K.unpack(k.as_py()), K.unplanes(m.as_py(), np.int64)) for k, m in zip(told["keys"], told["least"], strict=True) if k.is_valid]
-    keys, least = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U), np.zeros(0, np.int64))
-    order = np.argsort(keys)
-    keys, least = K.Members(keys[order]), least[order]
+    earlier = Earlier(told)
     parts = []
     for c in K.chunks(t["text"]):
         starts, ends, off = K.words(c, K.RAW_WORD)
         rows, n = K.row_of(off), max(0, len(starts) - WINDOW + 1)
         gone = np.zeros(len(starts), dtype=bool)
-        if n and len(keys.keys):
-            r = K.rolling(K.word_hashes(c, starts, ends), WINDOW)
-            at, k = keys.find(r)
-            ok = K.inside(off, rows, WINDOW, n)[at] & (least[k] < ids[c.first + rows[at]])
+        if n and len(earlier.least):
+            at, least = earlier.find(c, starts, ends)
+            ok = K.inside(off, rows, WINDOW, n)[at] & (least < ids[c.first + rows[at]])
             gone |= K.covered(at[ok], WINDOW, len(starts))
         n_words = np.diff(off)
-        gone |= (copy[c.first : c.first + c.n] & (n_words >= WINDOW))[rows]
+        own = slice(c.first, c.first + c.n)
+        gone |= (copy[own] & (n_words >= WINDOW))[rows]
         text, text_off = kept_text(c, starts, ends, off, ~gone)
         n_gone = np.bincount(rows[gone], minlength=c.n)
-        parts.append(pa.table({"id": pa.array(ids[c.first : c.first + c.n]), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": K.strings(text, text_off), "removed": K.row_spans(gone, off)}))
+        parts.append(pa.table({"id": pa.array(ids[own], mask=~real[own]), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "kept": K.strings(text, text_off), "removed": K.row_spans(gone, off)}))
     return pa.concat_tables(parts)
 
 
+PROBES, HITS, WINDOWS, FIRST = ["keys", "docs"], ["hits", "late"], ["keys", "more"], ["keys", "least"]
+TOLD = [*FIRST, "late"]
+NEW = ["n_words", "n_removed", "kept", "removed"]
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), keep_layout: bool = False, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row: id_col, n_words, n_removed, kept (the text that is left), removed (word spans [start, end)), and the columns named in carry.
 
     keep_layout: a text that loses nothing is kept as it is, with its own white space.
     """
     size = text_bytes(docs, docs[text_col])
-    n_buckets = power_of_two(parts_for(size, bucket_bytes))
-    d = grouped_docs(docs, id_col, text_col, parts_for(size, group_bytes), carry)
-    by_g = d.groupBy("g")
-    hits = by_g.applyInArrow(send_probes(n_buckets), "bucket int, g int, keys binary, docs binary").groupBy("bucket").applyInArrow(meet_probes, "g int, hits binary, late binary")
-    windows = by_g.cogroup(hits.groupBy("g")).applyInArrow(send_windows(n_buckets), "bucket int, g int, keys binary, more binary")
-    least = windows.groupBy("bucket").applyInArrow(meet_windows, "g int, keys binary, least binary, late binary")
-    nothing = F.lit(None).cast("binary")
-    told = least.unionByName(hits.where("late is not null").select("g", nothing.alias("keys"), nothing.alias("least"), "late"))
-    kinds = dict(d.dtypes)
-    carried = "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(carry)))
+    n_groups, n_buckets = parts_for(size, group_bytes), power_of_two(parts_for(size, bucket_bytes))
+    x = Exchange(n_groups, n_buckets)
+    by_g = grouped_docs(docs, id_col, text_col, n_groups, carry).groupBy("g")
+    probes = by_g.applyInArrow(x.sends(send_probes(n_buckets), PROBES), x.schema(PROBES))
+    hits = x.answers(probes, meet_probes, PROBES, HITS).repartition("g")  # one exchange for both its readers
+    windows = by_g.cogroup(hits.groupBy("g")).applyInArrow(x.sends(send_windows(n_buckets), WINDOWS, HITS), x.schema(WINDOWS))
+    told = x.answers(windows, meet_windows, WINDOWS, FIRST).unionByName(hits, allowMissingColumns=True)
+    kinds = dict(docs.dtypes)
+    carried = "".join(f", c{i} {kinds[c]}" for i, c in enumerate(carry))
     out = by_g.cogroup(told.groupBy("g")).applyInArrow(remove_spans(keep_layout, len(carry)), "id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>" + carried)
-    return out.select(back_to_null("id").alias(id_col), "n_words", "n_removed", "kept", "removed", *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)))
+    names = names_beside(list(carry), [id_col, *NEW])
+    return out.select(F.col("id").alias(id_col), *NEW, *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -15,7 +15,8 @@ not in Latin letters, and on pages whose longer blocks hold next to none.
 
 Defined results: a null or empty page, or one without text, gives an empty text;
 unclosed and stray tags are read as browsers do, roughly; rows that repeat are read
-one by one; other columns are ignored.
+one by one; other columns are ignored, and a kept column named text or n_chars comes
+back with _in at the end of its name.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textlattice.llm.common import kept_columns
+
 STOP_WORDS = frozenset(
     """a about after all also an and any are as at be been but by can could for from had has have he her his how i if in into is it its
     more not of on one or our she so some than that the their them then there these they this to was we were what when which who will with would you your
@@ -257,17 +260,17 @@ def main_text(page: str | None) -> list[str]:
     return [b.text for b, x in zip(found, second_pass(found, first, marked), strict=True) if x]
 
 
-def _extract(keep: list[str]):
+def _extract(names: list[str]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [" ".join(main_text(x.as_py())) for x in b.column("_html")]
-            yield pa.record_batch([*(b.column(k) for k in keep), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=[*keep, "text", "n_chars"])
+            text = [" ".join(main_text(x.as_py())) for x in b.column(len(names))]
+            yield pa.record_batch([*b.columns[:-1], pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=[*names, "text", "n_chars"])
 
     return f
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns named in keep, text (the main text, empty if none) and n_chars (its code points)."""
-    kinds = dict(pages.select(*keep).dtypes)
-    d = pages.select(*keep, pages[html_col].cast("string").alias("_html"))
-    return d.mapInArrow(_extract(keep), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", text string, n_chars long")
+    own, names, kinds = kept_columns(pages, keep, ["text", "n_chars"])
+    d = pages.select(*own, pages[html_col].cast("string").alias("_html"))
+    return d.mapInArrow(_extract(names), ", ".join([*kinds, "text string, n_chars long"]))

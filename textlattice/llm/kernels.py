@@ -7,6 +7,7 @@ text, where a single text is larger than a chunk).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,9 +140,17 @@ def prefix(data: np.ndarray, lane: int, fold: bool) -> tuple[np.ndarray, np.ndar
     return h, inv
 
 
+#: Bytes from which a word is digested instead: powers modulo 2**64 can't tell some very long strings apart.
+LONG_WORD = 256
+
+
 def word_hashes(c: Chunk, starts: np.ndarray, ends: np.ndarray, lane: int = 0, fold: bool = False) -> np.ndarray:
     h, inv = prefix(c.data, lane, fold)
-    return mix((h[ends] - h[starts]) * inv[starts])
+    out = mix((h[ends] - h[starts]) * inv[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = c.data[starts[i] : ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((FOLD[word] if fold else word).tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
+    return out
 
 
 def rolling(wh: np.ndarray, k: int) -> np.ndarray:
@@ -226,7 +235,7 @@ def unplanes(b: bytes, kind) -> np.ndarray:
 
 
 def pack(v: np.ndarray) -> bytes:
-    """Elias-Fano coding of ascending distinct uint64 values: low bytes plain, high parts as a bit vector."""
+    """Elias-Fano coding of ascending uint64 values: low bytes plain, high parts as a bit vector."""
     n = len(v)
     if not n:
         return b""

@@ -13,7 +13,9 @@ the further a training text is from a length, the less it counts there.
 Defined results: a null text and one without letters is ``und`` with score 0 and
 rejected; rows without a label and rows that the caller holds out are not learned
 from; without any labelled text every row is ``und``; equal cosines go to the
-language that sorts first; other columns are ignored.
+language that sorts first; rows that repeat are judged one by one; an empty table
+gives none; other columns are ignored, and a kept column with the name of a new one
+comes back with _in at the end of its name.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlattice.llm import kernels as K
+from textlattice.llm.common import kept_columns
 
 U = K.U
 DIM = 4096
@@ -188,35 +191,54 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     return train([rows[i]["label"] for i in order], n[order])
 
 
-def _predict(shared, keep: list[str]):
+def _judged(model: Model, text: pa.Array) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, languages, scores, which are rejected) for some rows of a column at a time."""
+    text = _lower(text)
+    for c in K.chunks(text):
+        for lo, n in counts(c):
+            first = c.first + lo
+            if not model.langs:
+                yield first, [UNKNOWN] * len(n), np.zeros(len(n)), np.ones(len(n), dtype=bool)
+                continue
+            real = np.array([has_letters(x) for x in text.slice(first, len(n)).to_pylist()], dtype=bool)
+            best, top, far = model.predict(n)
+            yield first, [model.langs[j] if ok else UNKNOWN for j, ok in zip(best, real, strict=True)], np.where(real, top, 0).astype(np.float64), far | ~real
+
+
+def _predict(shared, names: list[str]):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for b in batches:
-            text = _lower(b.column("_text"))
-            for c in K.chunks(text):
-                for lo, n in counts(c):
-                    first = c.first + lo
-                    real = [has_letters(x) for x in text.slice(first, len(n)).to_pylist()] if model.langs else [False] * len(n)
-                    best, top, far = model.predict(n) if model.langs else (np.zeros(len(n), int), np.zeros(len(n)), np.ones(len(n), bool))
-                    yield pa.record_batch(
-                        [b.column(k).slice(first, len(n)) for k in keep]
-                        + [
-                            pa.array([model.langs[j] if ok else UNKNOWN for j, ok in zip(best, real, strict=True)], pa.string()),
-                            pa.array(np.where(real, top, 0).astype(np.float64)),
-                            pa.array(far | ~np.array(real, dtype=bool)),
-                        ],
-                        names=[*keep, "lang_pred", "score", "rejected"],
-                    )
+            for first, lang, score, rejected in _judged(shared.value, b.column(len(names))):
+                yield pa.record_batch([x.slice(first, len(lang)) for x in b.columns[:-1]] + [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, *NEW])
 
     return f
 
 
+NEW = ["lang_pred", "score", "rejected"]
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns named in keep, lang_pred, score (the largest cosine) and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.select(*keep).dtypes)
-    d = docs.select(*keep, docs[text_col].cast("string").alias("_text"))
-    return d.mapInArrow(_predict(shared, keep), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", lang_pred string, score double, rejected boolean")
+    own, names, kinds = kept_columns(docs, keep, NEW)
+    d = docs.select(*own, docs[text_col].cast("string").alias("_text"))
+    return d.mapInArrow(_predict(shared, names), ", ".join([*kinds, "lang_pred string, score double, rejected boolean"]))
+
+
+def _accept(shared, at: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [~rejected for *_, rejected in _judged(shared.value, pc.cast(b.column(at), pa.string()))]
+            if keep:
+                yield b.filter(pa.array(np.concatenate(keep)))
+
+    return f
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose language isn't rejected, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_accept(shared, docs.columns.index(text_col)), docs.schema)
 
 
 def held_out(id_col: Column) -> Column:

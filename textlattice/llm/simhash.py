@@ -8,12 +8,15 @@ bucket, and candidates are verified by counting differing bits. Within a key the
 verified links are reduced to a spanning forest before they leave the bucket, and
 components are found by distributed alternating stars over the forests.
 
-Equal fingerprints are one node from the start, so copies cost nothing; a key
-that many fingerprints share is split on variants of the other segment's halves.
+Equal fingerprints are one node from the start, so copies cost nothing. Under one
+key all bits but 33 agree; where many fingerprints share a key, each looks up the
+561 values that differ from it in one or two of those bits, instead of comparing all
+pairs.
 
 Defined results: null and empty texts have fingerprint zero and link to each other;
-a null id is larger than any other and stays null; rows that repeat an id are one
-node of the graph each through their fingerprints; an empty table gives none.
+a null id counts as larger than any other and stays null; rows that repeat an id are
+one node of the graph each through their fingerprints; an empty table gives none;
+other columns are ignored (first_of_groups keeps them all).
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textlattice.llm import kernels as K
-from textlattice.llm.common import LAST_ID, back_to_null, cut_lineage
+from textlattice.llm.common import cut_lineage
 
 U = K.U
 SEED, SHINGLE, BITS = 42, 3, 2
-#: Fingerprints sent to a bucket of the index, about; and the size from which a key's group is split further.
+#: Fingerprints sent to a bucket of the index, about; and the size from which those of one key are looked up instead of compared.
 BUCKET_FPS = 20_000
 SPLIT = 2_048
 
@@ -55,15 +58,16 @@ def fingerprint(text: bytes) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        names = b.schema.names[:-1]
         for c in K.chunks(b.column("text")):
             fp = np.array([fingerprint(c.text(i)) for i in range(c.n)], dtype=U)
-            yield pa.record_batch({"id": b.column("id").slice(c.first, c.n), "fp": pa.array(fp.view(np.int64))})
+            yield pa.record_batch([*(b.column(n).slice(c.first, c.n) for n in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (a null as the largest), fp (the 64 bits as a long)."""
-    d = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)).alias("id"), docs[text_col].cast("string").alias("text"))
-    return d.mapInArrow(_fingerprints, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """id, the long columns of row, fp (the 64 bits as a long)."""
+    d = docs.select(docs[id_col].cast("long").alias("id"), *(c.alias(n) for n, c in row.items()), docs[text_col].cast("string").alias("text"))
+    return d.mapInArrow(_fingerprints, ", ".join(f"{n} long" for n in ("id", *row, "fp")))
 
 
 def variant_keys(fp: np.ndarray) -> np.ndarray:
@@ -122,25 +126,40 @@ def _close(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[i] ^ fp[j]) <= BITS
 
 
-def _links(fp: np.ndarray, members: np.ndarray, forest: Forest, other: int = -1) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members of one key; other: the segment that the key leaves open."""
+def _links(fp: np.ndarray, members: np.ndarray, forest: Forest, wild: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the members of one key; wild: the bit that the key leaves out of its segment."""
     m, out = len(members), []
-    if m <= SPLIT or other < 0:
+    if m <= SPLIT:
         for i in range(m - 1):
             rest = members[i + 1 :]
-            for j in rest[np.bitwise_count(fp[rest] ^ fp[members[i]]) <= BITS].tolist():
+            for j in rest[_close(fp, members[i], rest)].tolist():
                 if forest.join(int(members[i]), j):
                     out.append((int(members[i]), j))
         return out
-    # of three parts of the open segment, one at least is equal within 2 bits
-    part = (fp[members] >> U(32 * other)) & U(0xFFFFFFFF)
-    for shift, width in ((0, 11), (11, 11), (22, 10)):
-        key = (part >> U(shift)) & U((1 << width) - 1)
-        order = np.argsort(key, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-        for s, e in zip(cut, np.append(cut[1:], m), strict=True):
-            if e - s > 1:
-                out += _links(fp, members[order[s:e]], forest)
+    members = members[np.argsort(fp[members])]
+    values, up = fp[members], list(range(m))
+    label = np.arange(m)
+    bits = [1 << wild, *(1 << b for b in range(32 * (1 - wild // 32), 32 * (1 - wild // 32) + 32))]
+    for mask in [*bits, *(a | b for k, a in enumerate(bits) for b in bits[:k])]:
+        other = values ^ U(mask)
+        j = np.minimum(np.searchsorted(values, other), m - 1)
+        i = np.flatnonzero((values[j] == other) & (values < other) & (label != label[j]))
+        if not len(i):
+            continue
+        for a, b in zip(i.tolist(), j[i].tolist(), strict=True):
+            x, y = a, b
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                if forest.join(int(members[a]), int(members[b])):
+                    out.append((int(members[a]), int(members[b])))
+        label = np.array(up)
+        while (label != (nxt := label[label])).any():
+            label = nxt
+        up = label.tolist()
     return out
 
 
@@ -164,7 +183,7 @@ def _meet(t: pa.Table) -> pa.Table:
         if forest.join(a, b):
             edges.append((a, b))
     for s, m in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        edges += _links(values, node[s : s + m], forest, 1 - int(key[s] >> U(37)))
+        edges += _links(values, node[s : s + m], forest, int(key[s] >> U(32)))
     e = np.array(edges, dtype=np.int64).reshape(-1, 2)
     return pa.table({"a": pa.array(values[e[:, 0]].view(np.int64)), "b": pa.array(values[e[:, 1]].view(np.int64))})
 
@@ -197,14 +216,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _roots(fp: DataFrame) -> DataFrame:
+    """fp, root: the same root for fingerprints of one component."""
+    distinct = fp.select("fp").distinct()
+    comp = components(links(distinct, distinct.count()))
+    return distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, fp (long), component (the smallest id reachable through links)."""
     fp = cut_lineage(fingerprints(docs, id_col, text_col))
-    nodes = fp.groupBy("fp").agg(F.min("id").alias("first"))
-    n = fp.select("fp").distinct().count()
-    comp = components(links(nodes.select("fp"), n))
-    # a component's id is the smallest first id of its fingerprints
-    named = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = _roots(fp)
+    # a component's id is the smallest of its fingerprints' smallest ids
+    named = fp.groupBy("fp").agg(F.min("id").alias("first")).join(roots, "fp")
     ids = named.groupBy("root").agg(F.min("first").alias("component"))
     by_fp = named.join(ids, "root").select("fp", "component")
-    return fp.join(by_fp, "fp").select(back_to_null("id").alias(id_col), "fp", back_to_null("component").alias("component"))
+    return fp.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked fingerprints, with all its columns: that of the smallest id; of several rows with it, any with one of their texts."""
+    i, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    # 128 bits of id and text tell rows apart
+    row = {"_row1": F.xxhash64(F.lit(1), i.isNull(), i, text.isNull(), text), "_row2": F.xxhash64(F.lit(2), i.isNull(), i, text.isNull(), text)}
+    fp = cut_lineage(fingerprints(docs, id_col, text_col, row))
+    least = fp.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *row)).alias("first"))
+    stay = least.join(_roots(fp), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first._row1", "first._row2")
+    d = docs.withColumns(row)
+    return d.join(stay, list(row), "left_semi").dropDuplicates(list(row)).select(*docs.columns)

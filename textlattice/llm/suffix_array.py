@@ -19,15 +19,19 @@ first brought together without sorting: the least hash among a 100-byte string's
    that segment there.
 
 A passage that a third of all documents share is one segment per group. Where it
-begins and ends, though, each document has a segment of its own under the same hash;
-a hash with many different segments is hot, and its strings are dealt by their own
-content instead: 96-bit fingerprints with the first place of each, once per group.
+begins and ends, though, each document has a segment of its own under the same hash,
+and a hash with many different segments is hot. Its strings take step 1 once more, by
+a hash of all their bytes: a string whose hash occurs once is unique, and the others
+go, 100 bytes each, to the bucket of that hash, where they are sorted like segments.
+
+Hashes only ever decide where strings meet and which can't repeat; that two are equal
+is seen in their bytes (of whole copies in 120 bits of a digest).
 
 Defined results: a null text counts as empty; texts under 100 bytes keep everything;
-a null id counts as larger than any other and stays null; rows that repeat an id
-count as one document whose places are compared by their starts; an empty table
-gives none; other columns are ignored. What is kept is binary, as a cut can fall
-inside a character.
+a null id counts as larger than any other (but as equal to 2**63 - 1) and stays null;
+rows that repeat an id count as one document whose places are compared by their
+starts; an empty table gives none; other columns are ignored. What is kept is binary,
+as a cut can fall inside a character.
 """
 
 from __future__ import annotations
@@ -39,8 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textlattice.llm import kernels as K
-from textlattice.llm.common import BUCKET_BYTES, GROUP_BYTES, back_to_null, grouped_docs, parts_for, power_of_two, text_bytes
-from textlattice.llm.exact_substring import _late, by_bucket, copies, doc_rows, later_docs
+from textlattice.llm.common import BUCKET_BYTES, GROUP_BYTES, grouped_docs, parts_for, power_of_two, text_bytes
+from textlattice.llm.exact_substring import _late, by_bucket, copies, distinct_flagged, doc_rows, later_docs
+from textlattice.llm.exchange import Exchange, flat
 
 U = K.U
 LENGTH, GRAM = 100, 32
@@ -51,7 +56,7 @@ SEPARATOR = 0xFF  # no byte of UTF-8
 #: A bucket is sorted in so many parts by its hashes, one after the other.
 PARTS = 16
 #: A hash is hot with so many different segments in one group, beyond one per group in all groups, or in so many groups.
-HOT_IN_GROUP, HOT_EXCESS, HOT_GROUPS = 64, 512, 4096
+HOT = 64, 512, 4096
 
 
 # ---- the suffix array of a buffer, as far as it is needed
@@ -142,12 +147,14 @@ def suffix_order(t: np.ndarray, wanted: np.ndarray, w8: np.ndarray, depth: int =
 
 
 def common_prefixes(sa: np.ndarray, w8: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """For each neighbour pair of the order: do the first depth bytes agree?"""
-    same = np.ones(max(0, len(sa) - 1), dtype=bool)
-    for d in [*range(0, depth - 8, 8), depth - 8]:
-        at = np.flatnonzero(same)
-        same[at] = w8[sa[at] + d] == w8[sa[at + 1] + d]
-    return same
+    """How many of the first depth bytes each neighbour pair of the order has in common."""
+    out = np.zeros(max(0, len(sa) - 1), dtype=np.int64)
+    at = np.arange(len(out))
+    for d in range(0, depth, 8):
+        x = w8[sa[at] + d] ^ w8[sa[at + 1] + d]
+        out[at] += sum((x < U(1) << U(8 * k)).astype(np.int64) for k in range(8))
+        at = at[x == 0]
+    return np.minimum(out, depth)
 
 
 # ---- least grams and their segments
@@ -181,7 +188,7 @@ def segments(c: K.Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarr
         yield base, row[s], starts[s], starts[last] + LENGTH, K.mix(least[s] >> U(POSITION_BITS)) >> U(POSITION_BITS)
 
 
-def send_grams(n_buckets: int):
+def send_grams(n_buckets: int, hot: tuple[int, int, int] = HOT):
     def f(t: pa.Table) -> pa.Table:
         hashes, contents = [np.zeros(0, U)], [np.zeros(0, U)]
         for c in K.chunks(t["text"]):
@@ -189,7 +196,7 @@ def send_grams(n_buckets: int):
             for _, _, s, e, h in segments(c):
                 hashes.append(h)
                 contents.append((h2[e] - h2[s]) * inv[s])
-        v = coded(np.concatenate(hashes), np.concatenate(contents))
+        v = coded(np.concatenate(hashes), np.concatenate(contents), hot[0])
         g = t["g"][0].as_py()
         docs = doc_rows(t["id"].to_numpy(), t["text"], n_buckets)
         out = {b: v[s:e] for b, s, e in by_bucket(v, HASH_BITS + 3, n_buckets)}
@@ -199,8 +206,8 @@ def send_grams(n_buckets: int):
     return f
 
 
-def coded(h: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Distinct hashes, ascending; their low 3 bits: seen more than once, and 0 to 3 for 1, 2, 8 or HOT_IN_GROUP different segments and more."""
+def coded(h: np.ndarray, content: np.ndarray, hot_in_group: int) -> np.ndarray:
+    """Distinct hashes, ascending; their low 3 bits: seen more than once, and 0 to 3 for 1, 2, 8 or hot_in_group different segments and more."""
     order = np.lexsort((content, h))
     h, content = h[order], content[order]
     new = np.ones(len(h), dtype=bool)
@@ -212,35 +219,51 @@ def coded(h: np.ndarray, content: np.ndarray) -> np.ndarray:
         return h
     times = np.diff(np.append(first, len(h)))
     different = np.add.reduceat(other.astype(np.int64), first)
-    code = np.searchsorted([2, 8, HOT_IN_GROUP], different, side="right")
+    code = np.searchsorted([2, 8, hot_in_group], different, side="right")
     return (h[first] << U(3)) | (code.astype(U) << U(1)) | (times > 1)
 
 
-def meet_grams(t: pa.Table) -> pa.Table:
-    """To each group those of its hashes that occur at another place too, with a low bit for the hot ones."""
-    g = t["g"].to_numpy()
-    got = [K.unpack(x.as_py()) if x.is_valid else np.zeros(0, U) for x in t["keys"].combine_chunks()]
-    late = later_docs([x.as_py() for x in t["docs"].combine_chunks()], g)
-    v, who = np.concatenate(got), np.repeat(np.arange(len(got)), [len(x) for x in got])
-    order = np.argsort(v >> U(3), kind="stable")
+def repeated(v: np.ndarray, who: np.ndarray, flag_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all groups (bit 0 of their flags: seen more than once), sorted: keys, flags, groups, and which occur at another place too."""
+    order = np.argsort(v >> U(flag_bits), kind="stable")
     v, who = v[order], who[order]
-    h, code, many = v >> U(3), ((v >> U(1)) & U(3)).astype(np.int64), (v & U(1)).astype(np.int64)
+    h, flags = v >> U(flag_bits), v & U((1 << flag_bits) - 1)
     new = np.ones(len(h), dtype=bool)
     new[1:] = h[1:] != h[:-1]
     first = np.flatnonzero(new)
-    if len(first):
-        at = np.cumsum(new) - 1
-        groups = np.diff(np.append(first, len(h)))
-        excess = np.add.reduceat(np.array([0, 1, 7, HOT_EXCESS])[code], first)
-        hot = (excess >= HOT_EXCESS) | (groups >= HOT_GROUPS)
-        hit = ((groups + np.add.reduceat(many, first)) > 1)[at]
-        h, who = ((h << U(1)) | hot[at])[hit], who[hit]
+    if not len(first):
+        return h, flags, who, new
+    times = np.diff(np.append(first, len(h))) + np.add.reduceat((flags & U(1)).astype(np.int64), first)
+    return h, flags, who, (times > 1)[np.cumsum(new) - 1]
+
+
+def _by_sender(keys: np.ndarray, who: np.ndarray, n: int) -> dict[int, bytes]:
+    """Ascending keys packed for each of n senders that has some."""
     order = np.argsort(who, kind="stable")
-    h, who = h[order], who[order]
-    cut = np.searchsorted(who, np.arange(len(got) + 1))
-    hits = {int(x): K.pack(h[cut[i] : cut[i + 1]]) for i, x in enumerate(g) if cut[i] < cut[i + 1]}
-    to = sorted({*hits, *late})
-    return pa.table({"g": pa.array(to, pa.int32()), "hits": pa.array([hits.get(x) for x in to], pa.binary()), "late": pa.array([late.get(x) for x in to], pa.binary())})
+    keys, who = keys[order], who[order]
+    cut = np.searchsorted(who, np.arange(n + 1))
+    return {i: K.pack(keys[cut[i] : cut[i + 1]]) for i in range(n) if cut[i] < cut[i + 1]}
+
+
+def meet_grams(hot: tuple[int, int, int] = HOT):
+    """To each group those of its hashes that occur at another place too, with a low bit for the hot ones."""
+
+    def f(t: pa.Table) -> pa.Table:
+        g = t["g"].to_numpy()
+        got = [K.unpack(x.as_py()) if x.is_valid else np.zeros(0, U) for x in t["keys"].combine_chunks()]
+        late = later_docs([x.as_py() for x in t["docs"].combine_chunks()], g)
+        h, flags, who, hit = repeated(np.concatenate(got), np.repeat(np.arange(len(got)), [len(x) for x in got]), 3)
+        if len(h):
+            new = np.concatenate(([True], h[1:] != h[:-1]))
+            first = np.flatnonzero(new)
+            excess = np.add.reduceat(np.array([0, 1, 7, hot[1]])[(flags >> U(1)).astype(np.int64)], first)
+            is_hot = (excess >= hot[1]) | (np.diff(np.append(first, len(h))) >= hot[2])
+            h = (h << U(1)) | is_hot[np.cumsum(new) - 1]
+        hits = {int(g[i]): b for i, b in _by_sender(h[hit], who[hit], len(got)).items()}
+        to = sorted({*hits, *late})
+        return pa.table({"g": pa.array(to, pa.int32()), "hits": pa.array([hits.get(x) for x in to], pa.binary()), "late": pa.array([late.get(x) for x in to], pa.binary())})
+
+    return f
 
 
 def _ties(head: np.ndarray, tied: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,60 +273,43 @@ def _ties(head: np.ndarray, tied: np.ndarray, pick: np.ndarray) -> tuple[np.ndar
     return head[pick[of]] + np.arange(len(of)) - (np.cumsum(n) - n)[of], of
 
 
-class Found:
-    """The segments of a group whose hash occurs elsewhere too, in rows that aren't copies as a whole."""
+def equal_bytes(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the runs of bytes that stand one after the other in a and b agree."""
+    off = np.cumsum(size) - size
+    return ~(np.add.reduceat((a != b).astype(np.int64), off) > 0) if len(size) else np.zeros(0, dtype=bool)
 
-    def __init__(self, t: pa.Table, hits: list[bytes], copy: np.ndarray):
-        ids = t["id"].to_numpy()
-        keys = np.sort(np.concatenate([K.unpack(x) for x in hits])) if hits else np.zeros(0, U)
-        known, is_hot = K.Members(keys >> U(1)), (keys & U(1)).astype(bool)
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-        strings: list[list[np.ndarray]] = [[] for _ in range(4)]
-        texts = []
-        for c in K.chunks(t["text"]) if hits else []:
-            h2, inv = K.prefix(c.data, 1, False)
-            for _, row, s, e, h in segments(c):
-                at, k = known.find(h)
-                ok = ~copy[c.first + row[at]]
-                at, hot = at[ok], is_hot[k[ok]]
-                row, s, e, h = row[at], s[at], e[at], h[at]
-                if hot.any():  # every string of its own
-                    n = (e - s)[hot] - LENGTH + 1
-                    w = np.repeat(s[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                    h3, _ = K.prefix(c.data, 2, False)
-                    of = np.repeat(row[hot], n)
-                    for col, x in zip(strings, (c.first + of, w - c.off[of], K.mix((h2[w + LENGTH] - h2[w]) * inv[w]), (K.mix((h3[w + LENGTH] - h3[w]) * inv[w]) >> U(32)).astype(np.uint32)), strict=True):
-                        col.append(x)
-                    row, s, e, h = row[~hot], s[~hot], e[~hot], h[~hot]
-                content = K.mix((h2[e] - h2[s]) * inv[s])
-                for col, x in zip(cols, (c.first + row, s - c.off[row], e - s, h, content, ids[c.first + row]), strict=True):
-                    col.append(x)
-                texts.append((c.data, s))
-        self.row, self.start, self.size, self.hash, self.content, self.id = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
-        self.texts = texts
-        self.w_row, self.w_start, self.w_key, self.w_more = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(strings, (np.int64, np.int64, U, np.uint32), strict=True))
-        self.w_id = ids[self.w_row]
-        # equal segments stand together, the earliest first
-        self.order = np.lexsort((self.start, self.id, self.size, self.content, self.hash))
-        o = self.order
+
+class Units:
+    """Segments, or single strings, of a group with their places; equal ones stand together, the earliest first."""
+
+    def __init__(self, ids: np.ndarray, parts: list[tuple]):
+        """parts: by chunk its bytes, where in them the units start, and row, start in the row, size, hash and content hash of each."""
+        self.texts = [(p[0], p[1]) for p in parts]
+        self.row, self.start, self.size, self.hash, self.content = (np.concatenate(x) if x else np.zeros(0, U if k > 2 else np.int64) for k, x in enumerate([[p[k] for p in parts] for k in range(2, 7)]))
+        self.id = ids[self.row]
+        o = self.order = np.lexsort((self.start, self.id, self.size, self.content, self.hash))
         same = np.zeros(len(o), dtype=bool)
         same[1:] = (self.hash[o][1:] == self.hash[o][:-1]) & (self.content[o][1:] == self.content[o][:-1]) & (self.size[o][1:] == self.size[o][:-1])
+        at = np.flatnonzero(same)
+        for k in range(0, len(at), 1 << 14):
+            some = at[k : k + (1 << 14)]
+            same[some] = equal_bytes(self.bytes_of(o[some - 1]), self.bytes_of(o[some]), self.size[o[some]])
         self.head = np.flatnonzero(~same)
         self.first = o[self.head]
         lead = self.first[np.cumsum(~same) - 1] if len(o) else o
         late = (self.id[o] > self.id[lead]) | (self.id[o] == self.id[lead]) & (self.start[o] > self.start[lead])
         self.later = o[same & late]
-        # how many equal segments share the first place: rows that repeat an id can
+        # how many equal units share the first place: rows that repeat an id can
         self.tied = np.add.reduceat((~late).astype(np.int64), self.head) if len(o) else self.head
 
     def at_place(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The segments at the first places with these numbers (the order of first), and for each the index of its number."""
+        """The units at the first places with these numbers (the order of first), and for each the index of its number."""
         at, of = _ties(self.head, self.tied, number)
         return self.order[at], of
 
     def bytes_of(self, pick: np.ndarray) -> np.ndarray:
-        """The segments' bytes, one after the other."""
-        at, out = np.concatenate(([0], np.cumsum([len(s) for _, s in self.texts]))), []
+        """The units' bytes, one after the other."""
+        at = np.concatenate(([0], np.cumsum([len(s) for _, s in self.texts])))
         which = np.searchsorted(at, pick, side="right") - 1
         size = self.size[pick].astype(np.int64)
         ends = np.cumsum(size)
@@ -316,55 +322,122 @@ class Found:
             out[np.repeat(to, n) + step] = data[np.repeat(begin, n) + step]
         return out
 
-
-def send_segments(n_buckets: int):
-    def f(t: pa.Table, told: pa.Table) -> pa.Table:
-        none = {x: pa.array([], pa.binary()) for x in SENT}
-        found = Found(t, [x.as_py() for x in told["hits"] if x.is_valid], copies(t["id"].to_numpy(), t["text"], _late(told))) if len(t) else None
-        if found is None or not len(found.first) + len(found.w_key):
-            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), **none})
-        g, pick = t["g"][0].as_py(), found.first  # in the order of their hashes
-        rows: dict[int, dict[str, bytes]] = {}
-        body = found.bytes_of(pick)
-        ends = np.concatenate(([0], np.cumsum(found.size[pick])))
+    def messages(self, n_buckets: int) -> dict[int, dict[str, bytes]]:
+        """The distinct units with their first places and numbers, by bucket of their hashes."""
+        pick = self.first
+        body = self.bytes_of(pick)
+        ends = np.concatenate(([0], np.cumsum(self.size[pick])))
         shift = HASH_BITS - (n_buckets * PARTS).bit_length() + 1
-        for b, s, e in by_bucket(found.hash[pick].astype(U), HASH_BITS, n_buckets):
+        out = {}
+        for b, s, e in by_bucket(self.hash[pick].astype(U), HASH_BITS, n_buckets):
             own = pick[s:e]
-            part = (found.hash[own].astype(U) >> U(shift)).astype(np.int64) % PARTS
-            rows[b] = {
-                "sizes": np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes() + found.size[own].astype(np.uint8).tobytes(),
-                "places": K.planes(found.id[own].astype(np.int64)) + K.planes(found.start[own].astype(np.int64)) + K.planes(np.arange(s, e)),
+            part = (self.hash[own].astype(U) >> U(shift)).astype(np.int64) % PARTS
+            out[b] = {
+                "sizes": np.bincount(part, minlength=PARTS).astype(np.uint32).tobytes() + self.size[own].astype(np.uint8).tobytes(),
+                "places": K.planes(self.id[own].astype(np.int64)) + K.planes(self.start[own].astype(np.int64)) + K.planes(np.arange(s, e)),
                 "body": body[ends[s] : ends[e]].tobytes(),
             }
-        order = np.lexsort((found.w_start, found.w_id, found.w_key))
-        key = found.w_key[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)
-        many = np.diff(np.append(first, len(key))) > 1
-        one = order[first]
-        for b, s, e in by_bucket(found.w_key[one], 64, n_buckets):
-            own = one[s:e]
-            rows.setdefault(b, {})["strings"] = K.pack(found.w_key[own])
-            rows[b]["firsts"] = K.planes(found.w_more[own]) + K.planes(found.w_id[own]) + K.planes(found.w_start[own]) + np.packbits(many[s:e]).tobytes()
-        at = sorted(rows)
-        return pa.table({"bucket": pa.array(at, pa.int32()), "g": pa.array([g] * len(at), pa.int32()), **{x: pa.array([rows[b].get(x) for b in at], pa.binary()) for x in SENT}})
+        return out
+
+
+def _found(t: pa.Table, told: dict, copy: np.ndarray) -> Iterator[tuple]:
+    """The segments whose hash occurs elsewhere too, in rows that aren't copies as a whole: chunk, content prefix sums, row, start, end, hash, hot."""
+    hits = [K.unpack(x.as_py()) for x in told["hits"] if x.is_valid]
+    if not hits:
+        return
+    keys = np.sort(np.concatenate(hits))
+    known, is_hot = K.Members(keys >> U(1)), (keys & U(1)).astype(bool)
+    for c in K.chunks(t["text"]):
+        sums = K.prefix(c.data, 1, False)
+        for _, row, s, e, h in segments(c):
+            at, k = known.find(h)
+            ok = ~copy[c.first + row[at]]
+            at, k = at[ok], k[ok]
+            yield c, sums, row[at], s[at], e[at], h[at], is_hot[k]
+
+
+def _content(sums: tuple[np.ndarray, np.ndarray], s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return K.mix((sums[0][e] - sums[0][s]) * sums[1][s])
+
+
+def cold_part(c: K.Chunk, sums: tuple, row: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, hot: np.ndarray) -> tuple:
+    row, s, e, h = row[~hot], s[~hot], e[~hot], h[~hot]
+    return c.data, s, c.first + row, s - c.off[row], e - s, h, _content(sums, s, e)
+
+
+def hot_part(c: K.Chunk, sums: tuple, row: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, hot: np.ndarray) -> tuple:
+    """Every string of the hot segments by itself."""
+    n = (e - s)[hot] - LENGTH + 1
+    w = np.repeat(s[hot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    of, content = np.repeat(row[hot], n), _content(sums, w, w + LENGTH)
+    return c.data, w, c.first + of, w - c.off[of], np.full(len(w), LENGTH), content >> U(POSITION_BITS), content
+
+
+def hot_units(t: pa.Table, told: dict, copy: np.ndarray) -> Units | None:
+    """The strings of hot segments that a group was told to occur elsewhere too."""
+    again = [K.unpack(x.as_py()) for x in told["again"] if x.is_valid]
+    if not again:
+        return None
+    again, parts = K.Members(np.sort(np.concatenate(again))), []
+    for found in _found(t, told, copy):
+        if found[-1].any():
+            p = hot_part(*found)
+            at, _ = again.find(p[6] >> U(2))
+            parts.append((p[0], *(x[at] for x in p[1:])))
+    return Units(t["id"].to_numpy(), parts)
+
+
+def _rows(g: int, rows: dict[int, dict[str, bytes]], columns: list[str]) -> pa.Table:
+    at = sorted(rows)
+    return pa.table({"bucket": pa.array(at, pa.int32()), "g": pa.array([g] * len(at), pa.int32()), **{x: pa.array([rows[b].get(x) for b in at], pa.binary()) for x in columns}})
+
+
+def send_segments(n_buckets: int):
+    def f(t: pa.Table, told: dict) -> pa.Table:
+        if not len(t):
+            return _rows(0, {}, SENT)
+        copy = copies(t["id"].to_numpy(), t["text"], _late(told))
+        cold, keys = [], [np.zeros(0, U)]
+        for found in _found(t, told, copy):
+            cold.append(cold_part(*found))
+            if found[-1].any():
+                keys.append(hot_part(*found)[6])
+        rows = Units(t["id"].to_numpy(), cold).messages(n_buckets)
+        key = distinct_flagged(np.concatenate(keys) >> U(2) << U(1), 1)  # 62 bits, none, seen more than once
+        for b, s, e in by_bucket(key, 64, n_buckets):
+            rows.setdefault(b, {})["strings"] = K.pack(key[s:e])
+        return _rows(t["g"][0].as_py(), rows, SENT)
 
     return f
 
 
-SENT = ["sizes", "places", "body", "strings", "firsts"]
+def send_strings(n_buckets: int):
+    def f(t: pa.Table, told: dict) -> pa.Table:
+        units = hot_units(t, told, copies(t["id"].to_numpy(), t["text"], _late(told))) if len(t) and any(x.is_valid for x in told["again"]) else None
+        return _rows(t["g"][0].as_py(), units.messages(n_buckets), BODIES) if units else _rows(0, {}, BODIES)
+
+    return f
+
+
+GRAMS, HITS, BODIES = ["keys", "docs"], ["hits", "late"], ["sizes", "places", "body"]
+SENT, ANSWERS, MORE = [*BODIES, "strings"], ["spans", "again"], ["more"]
+TOLD = [*HITS, *ANSWERS, *MORE]
 
 
 def _distinct(size: np.ndarray, off: np.ndarray, body: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal segments stand together, the earliest first, and which of it are the first."""
+    """An order in which equal units stand together, the earliest first, and which of it are the first."""
     h, inv = K.prefix(body, 0, False)
-    h2, _ = K.prefix(body, 1, False)
     e = off + size
-    a, b = K.mix((h[e] - h[off]) * inv[off]), K.mix((h2[e] - h2[off]) * inv[off])
-    order = np.lexsort((start, ids, size, b, a))
+    content = K.mix((h[e] - h[off]) * inv[off])
+    order = np.lexsort((start, ids, size, content))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]) | (size[order][1:] != size[order][:-1])
+    new[1:] = (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])
+    at = np.flatnonzero(~new)
+    for k in range(0, len(at), 1 << 14):
+        some = at[k : k + (1 << 14)]
+        a, b, n = off[order[some - 1]], off[order[some]], size[order[some]].astype(np.int64)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        new[some] = ~equal_bytes(body[np.repeat(a, n) + step], body[np.repeat(b, n) + step], n)
     return order, new
 
 
@@ -387,8 +460,7 @@ def later_strings(body: np.ndarray, size: np.ndarray, off: np.ndarray, ids: np.n
     number[place] = np.arange(len(place))
     w8 = words8(t)
     sa = suffix_order(t, wanted, w8)
-    same = common_prefixes(sa, w8)
-    cls = np.concatenate(([0], np.cumsum(~same))) if len(sa) else np.zeros(0, np.int64)
+    cls = np.concatenate(([0], np.cumsum(common_prefixes(sa, w8) < LENGTH))) if len(sa) else np.zeros(0, np.int64)
     x = number[sa]
     wid, wat = ids[seg][x], (start[seg] + within)[x]
     order = np.lexsort((wat, wid, cls))
@@ -424,8 +496,8 @@ def _parts(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
             )
 
 
-def sort_segments(t: pa.Table) -> pa.Table:
-    g = t["g"].to_numpy()
+def later_units(t: pa.Table) -> dict[int, bytes]:
+    """For each row of t the spans (unit, start, end) of its strings that have an earlier equal in the bucket."""
     found: list[list[np.ndarray]] = [[], [], [], []]
     for size, ids, start, number, who, body in _parts(t):
         off = np.cumsum(size, dtype=np.int64) - size
@@ -435,7 +507,7 @@ def sort_segments(t: pa.Table) -> pa.Table:
         copy = order[~new & late]
         one = order[new]
         seg, a, b = later_strings(body, size[one].astype(np.int64), off[one], ids[one], start[one])
-        # equal segments at the first place come from several groups where ids are null
+        # equal units at the first place come from several groups where rows share an id
         head = np.flatnonzero(new)
         at, of = _ties(head, np.add.reduceat((~late).astype(np.int64), head), seg)
         seg, a, b = order[at], a[of], b[of]
@@ -444,71 +516,47 @@ def sort_segments(t: pa.Table) -> pa.Table:
     src, num, s, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
     order = np.argsort(src, kind="stable")
     src, num, s, e = src[order], num[order], s[order], e[order]
-    cut = np.searchsorted(src, np.arange(len(g) + 1))
-    spans = {i: K.planes(num[cut[i] : cut[i + 1]]) + K.planes(s[cut[i] : cut[i + 1]]) + K.planes(e[cut[i] : cut[i + 1]]) for i in range(len(g)) if cut[i] < cut[i + 1]}
-    strings, firsts = first_strings(t)
-    some = sorted({*spans, *strings})
-    none = pa.array([None] * len(some), pa.binary())
-    return pa.table({
-        "g": pa.array([g[i] for i in some], pa.int32()), "spans": pa.array([spans.get(i) for i in some], pa.binary()), "strings": pa.array([strings.get(i) for i in some], pa.binary()),
-        "firsts": pa.array([firsts.get(i) for i in some], pa.binary()), "hits": none, "late": none,
-    })
-
-
-def first_strings(t: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
-    """Of the hot hashes' strings in a bucket: to each row the keys with an earlier place than its own, or with several, and the first places."""
-    cols: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in (U, np.uint32, np.int64, np.int64, bool, np.int64)]
-    for i, (keys, firsts) in enumerate(zip(t["strings"], t["firsts"], strict=True)):
-        if keys.is_valid:
-            k, b = K.unpack(keys.as_py()), firsts.as_py()
-            n = len(k)
-            values = (k, K.unplanes(b[: 4 * n], np.uint32), K.unplanes(b[4 * n : 12 * n], np.int64), K.unplanes(b[12 * n : 20 * n], np.int64), np.unpackbits(np.frombuffer(b, np.uint8, offset=20 * n))[:n].astype(bool), np.full(n, i))
-            for out, x in zip(cols, values, strict=True):
-                out.append(x)
-    key, more, ids, start, many, src = (np.concatenate(x) for x in cols)
-    order = np.lexsort((start, ids, more, key))
-    key, more, ids, start, many, src = (x[order] for x in (key, more, ids, start, many, src))
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
-    back = many | (ids[lead] < ids) | (ids[lead] == ids) & (start[lead] < start)
-    key, lead, src = key[back], lead[back], src[back]
-    order = np.argsort(src, kind="stable")
-    key, lead, src = key[order], lead[order], src[order]
     cut = np.searchsorted(src, np.arange(len(t) + 1))
-    some = [i for i in range(len(t)) if cut[i] < cut[i + 1]]
-    return {i: K.pack(key[cut[i] : cut[i + 1]]) for i in some}, {i: K.planes(ids[lead[cut[i] : cut[i + 1]]]) + K.planes(start[lead[cut[i] : cut[i + 1]]]) for i in some}
+    return {i: K.planes(num[cut[i] : cut[i + 1]]) + K.planes(s[cut[i] : cut[i + 1]]) + K.planes(e[cut[i] : cut[i + 1]]) for i in range(len(t)) if cut[i] < cut[i + 1]}
+
+
+def _answer(t: pa.Table, **columns: dict[int, bytes]) -> pa.Table:
+    some = sorted({i for c in columns.values() for i in c})
+    return pa.table({"g": t["g"].combine_chunks().take(pa.array(some, pa.int32())), **{name: pa.array([c.get(i) for i in some], pa.binary()) for name, c in columns.items()}})
+
+
+def sort_segments(t: pa.Table) -> pa.Table:
+    """Spans of later strings, and the hashes of hot strings that occur at another place too."""
+    got = [K.unpack(x.as_py()) if x.is_valid else np.zeros(0, U) for x in t["strings"]]
+    h, _, who, hit = repeated(np.concatenate(got), np.repeat(np.arange(len(got)), [len(x) for x in got]), 2)
+    return _answer(t, spans=later_units(t), again=_by_sender(h[hit], who[hit], len(got)))
+
+
+def sort_strings(t: pa.Table) -> pa.Table:
+    return _answer(t, more=later_units(t))
 
 
 # ---- spans out
 
 
-def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
-    ids = t["id"].to_numpy()
-    copy = copies(ids, t["text"], _late(told))
-    found = Found(t, [x.as_py() for x in told["hits"] if x.is_valid], copy)
-    row, a = [found.row[found.later]], [found.start[found.later]]
-    b = [a[0] + found.size[found.later]]
-    for x in told["spans"]:
+def _spans(units: Units, told) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, start and end of the units that have an earlier equal in their group, and of what a group was told."""
+    yield units.row[units.later], units.start[units.later], units.start[units.later] + units.size[units.later]
+    for x in told:
         if x.is_valid:
             number, s, e = _three(x.as_py())
-            seg, of = found.at_place(number)
-            row.append(found.row[seg])
-            a.append(s[of])
-            b.append(e[of])
-    if len(found.w_key):
-        told_keys = [(K.unpack(k.as_py()), x.as_py()) for k, x in zip(told["strings"], told["firsts"], strict=True) if k.is_valid]
-        keys = np.concatenate([k for k, _ in told_keys]) if told_keys else np.zeros(0, U)
-        first_id = np.concatenate([K.unplanes(x[: 8 * len(k)], np.int64) for k, x in told_keys]) if told_keys else np.zeros(0, np.int64)
-        first_at = np.concatenate([K.unplanes(x[8 * len(k) :], np.int64) for k, x in told_keys]) if told_keys else np.zeros(0, np.int64)
-        by_key = np.argsort(keys)
-        at, k = K.Members(keys[by_key]).find(found.w_key)
-        k = by_key[k]
-        late = (first_id[k] < found.w_id[at]) | (first_id[k] == found.w_id[at]) & (first_at[k] < found.w_start[at])
-        row.append(found.w_row[at[late]])
-        a.append(found.w_start[at[late]])
-        b.append(found.w_start[at[late]] + LENGTH)
-    row, a, b = np.concatenate(row), np.concatenate(a), np.concatenate(b)
+            at, of = units.at_place(number)
+            yield units.row[at], s[of], e[of]
+
+
+def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
+    told = flat(told, TOLD)
+    ids, real = t["id"].to_numpy(), t["real"].to_numpy()
+    copy = copies(ids, t["text"], _late(told))
+    spans = list(_spans(Units(ids, [cold_part(*x) for x in _found(t, told, copy)]), told["spans"]))
+    if (hot := hot_units(t, told, copy)) is not None:
+        spans += _spans(hot, told["more"])
+    row, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
     order = np.argsort(row, kind="stable")
     row, a, b = row[order], a[order], b[order]
     parts = []
@@ -517,14 +565,15 @@ def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
         lo, hi = np.searchsorted(row, [c.first, c.first + c.n])
         at = row[lo:hi] - c.first
         size = np.diff(c.off)
+        own = slice(c.first, c.first + c.n)
         d = np.zeros(n + 1, dtype=np.int32)
         np.add.at(d, c.off[at] + a[lo:hi], 1)
         np.add.at(d, c.off[at] + b[lo:hi], -1)
         gone = np.cumsum(d[:-1]) > 0
-        gone |= np.repeat(copy[c.first : c.first + c.n] & (size >= LENGTH), size)
+        gone |= np.repeat(copy[own] & (size >= LENGTH), size)
         kept = np.concatenate(([0], np.cumsum(~gone)))[c.off]
         parts.append(pa.table({
-            "id": pa.array(ids[c.first : c.first + c.n]),
+            "id": pa.array(ids[own], mask=~real[own]),
             "n_bytes": pa.array(size, pa.int64()),
             "n_removed": pa.array(size - np.diff(kept), pa.int64()),
             "kept": K.strings(c.data[~gone], kept, pa.binary()),
@@ -538,17 +587,19 @@ def _three(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(K.unplanes(b[k * n : (k + 1) * n], np.int64) for k in range(3))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: tuple[int, int, int] = HOT) -> DataFrame:
     """Per row: id_col, n_bytes, n_removed, kept (the bytes that are left), removed (byte spans [start, end))."""
     size = text_bytes(docs, docs[text_col])
-    n_buckets = power_of_two(parts_for(size, bucket_bytes))
-    d = grouped_docs(docs, id_col, text_col, parts_for(size, group_bytes))
-    by_g = d.groupBy("g")
-    hits = by_g.applyInArrow(send_grams(n_buckets), "bucket int, g int, keys binary, docs binary").groupBy("bucket").applyInArrow(meet_grams, "g int, hits binary, late binary")
-    sent = ", ".join(f"{x} binary" for x in SENT)
-    segs = by_g.cogroup(hits.groupBy("g")).applyInArrow(send_segments(n_buckets), f"bucket int, g int, {sent}")
-    found = segs.groupBy("bucket").applyInArrow(sort_segments, "g int, spans binary, strings binary, firsts binary, hits binary, late binary")
-    nothing = F.lit(None).cast("binary")
-    told = found.unionByName(hits.select("g", *(nothing.alias(x) for x in ("spans", "strings", "firsts")), "hits", "late"))
+    n_groups, n_buckets = parts_for(size, group_bytes), power_of_two(parts_for(size, bucket_bytes))
+    x = Exchange(n_groups, n_buckets)
+    by_g = grouped_docs(docs, id_col, text_col, n_groups).groupBy("g")
+    grams = by_g.applyInArrow(x.sends(send_grams(n_buckets, hot), GRAMS), x.schema(GRAMS))
+    hits = x.answers(grams, meet_grams(hot), GRAMS, HITS).repartition("g")  # one exchange for all its readers
+    segs = by_g.cogroup(hits.groupBy("g")).applyInArrow(x.sends(send_segments(n_buckets), SENT, HITS), x.schema(SENT))
+    found = x.answers(segs, sort_segments, SENT, ANSWERS).repartition("g")
+    told = hits.unionByName(found, allowMissingColumns=True)
+    strings = by_g.cogroup(told.groupBy("g")).applyInArrow(x.sends(send_strings(n_buckets), BODIES, [*HITS, *ANSWERS]), x.schema(BODIES))
+    more = x.answers(strings, sort_strings, BODIES, MORE)
+    told = told.unionByName(more, allowMissingColumns=True)
     out = by_g.cogroup(told.groupBy("g")).applyInArrow(cut_spans, "id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
-    return out.select(back_to_null("id").alias(id_col), "n_bytes", "n_removed", "kept", "removed")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "kept", "removed")
