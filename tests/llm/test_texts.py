@@ -41,6 +41,72 @@ def test_license_templates(make):
     assert out[4].labels == [] and out[4].n_base == 0
 
 
+def slow_labels(text):
+    """Labels, score and spans by comparing the words at every place with every template."""
+    w, templates = [x.decode() for x in N.tokens(text)], [(label, [x.decode() for x in N.tokens(t)]) for label, t in N.TEMPLATES]
+    runs = [t for _, t in templates] + [p.split() for p in N.PHRASES]
+    holds = {tuple(r[i:j]) for r in runs for i in range(len(r)) for j in range(i + 1, min(len(r), i + 60) + 1)}
+    longest = []
+    for i in range(len(w)):
+        n = longest[-1] + 1 if longest else 1
+        while n and tuple(w[i + 1 - n : i + 1]) not in holds:
+            n -= 1
+        longest.append(n)
+    spans = [(i + 1 - n, i + 1) for i, n in enumerate(longest) if n >= N.LONG and (i + 1 == len(w) or longest[i + 1] != n + 1)]
+    chains, matches = [], []
+    for k, (label, t) in enumerate(templates):
+        run = None
+        for a, b in spans:
+            stands = [i for i in range(len(t) - (b - a) + 1) if t[i : i + b - a] == w[a:b]]
+            if not stands:
+                continue
+            matches.append((a, b, label, k))
+            new = max(a, run["end"]) if run else a
+            if new >= b:
+                continue
+            on = [p + new - a for p in stands if run and p + new - a >= run["to"] and new - run["end"] <= N.GAP]
+            at = min(on) if on else min(stands) + new - a
+            if not on:
+                run = {"start": new, "label": label, "from": at, "size": len(t), "n": 0, "k": k}
+                chains.append(run)
+            run |= {"end": b, "to": at + b - new, "n": run["n"] + b - new}
+    labels = set()
+    for c in chains:
+        own = [(a, b) for a, b, label, k in matches if k == c["k"] and c["start"] <= a and b <= c["end"] and b - a >= N.ENOUGH and {x[2] for x in matches if x[:2] == (a, b)} == {label}]
+        larger = [d for d in chains if d["label"] != c["label"] and d["start"] <= c["start"] and c["end"] <= d["end"] and d["n"] > c["n"]]
+        if (own or c["n"] >= N.COVER * c["size"]) and not larger:
+            labels.add(c["label"])
+    base = places(text)[4]
+    score = max([1.0 if base else 0.0, *(min(1.0, c["n"] / c["size"]) for c in chains)])
+    return sorted(labels | set(base)), score, sorted((c["start"], c["end"], c["label"], c["from"], c["to"]) for c in chains)
+
+
+def test_license_labels_equal_slow_version(make):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 5)):
+            words_ = rnd.choice(N.TEMPLATES)[1].split()
+            a = rnd.randrange(len(words_))
+            parts += words_[a : a + rnd.choice([3, 6, 12, 40, 200])] + ["filler"] * rnd.choice([0, 1, 5, 20])
+        rows.append((i, " ".join(parts)))
+    rows += [(100 + k, "Copyright me. " + t) for k, (_, t) in enumerate(N.TEMPLATES)]
+    out = {r.doc_id: (r.labels, r.score, sorted((s.start, s.end, s.label, s.template_start, s.template_end) for s in r.spans)) for r in N.license_scan(make(rows)).collect()}
+    for i, t in rows:
+        labels, score, spans = slow_labels(t)
+        assert out[i][0] == labels and abs(out[i][1] - score) < 1e-12 and out[i][2] == spans, (i, t)
+    # a whole license has its own label, those of its phrases and no other
+    assert all({label} <= set(out[100 + k][0]) <= {label, *places(t)[4]} for k, (label, t) in enumerate(N.TEMPLATES))
+
+
+def test_passages_that_licenses_share(make):
+    shared = "it is free software; you can redistribute it and/or modify it under the terms of the GNU"
+    rows = [(1, shared + " Affero"), (2, shared), (3, "THE SOFTWARE IS PROVIDED AS IS WITHOUT WARRANTY OF ANY KIND")]
+    out = {r.doc_id: (r.labels, {s.label for s in r.spans}) for r in N.license_scan(make(rows)).collect()}
+    assert out[1] == (["agpl"], {"agpl"}) and out[2] == ([], {"gpl", "lgpl", "agpl"}) and out[3][0] == []
+
+
 def test_automaton_finds_longest_matches():
     rnd = random.Random(2)
     for _ in range(60):

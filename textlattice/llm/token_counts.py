@@ -1,24 +1,26 @@
 """Token counts by a count-only Viterbi pass over a unigram vocabulary.
 
 An Aho-Corasick automaton enumerates every vocabulary piece in a text; dynamic
-programming over end positions carries the best score and the number of pieces.
-Ties follow the tokenizer: candidates for an end come with the longest piece first,
-and a later one must be strictly better. A character that is no piece by itself
-costs the smallest score less 10 and counts as its UTF-8 bytes where the vocabulary
-has byte pieces (else a run of such characters is one token).
+programming over end positions carries the best score and the number of pieces, and
+no way back. Ties follow the tokenizer: candidates for an end come with the longest
+piece first, and a later one must be strictly better. A character that is no piece
+by itself costs the smallest score less 10 and counts as its UTF-8 bytes where the
+vocabulary has byte pieces (else a run of such characters is one token).
 
 Pieces hold the word mark only as a leading run, so a best path never crosses from
 a word into the next mark, nor through a character that no longer piece holds; the
 text is cut there, and equal segments are solved once per task (a bounded table).
 
 The tokenizer adds scores in single precision from the start of the text, which can
-decide near ties. So each solved segment keeps its margin (how far any other way
-through its best path's ends lies behind); where the margin doesn't exceed the
-rounding that is possible at this place of the text, the segment is solved anew
-with the tokenizer's own arithmetic from the exact running sum.
-
-Defined results: null and empty texts have no tokens; rows that repeat are counted
-one by one; other columns are ignored.
+decide near ties. So the pass also carries a margin (how far any other way through
+the best path's ends lies behind). Where it doesn't exceed the rounding that is
+possible at this place of the text, the segment is solved anew with the tokenizer's
+own arithmetic from the exact running sum; only this needs the costs along a path.
+
+Defined results: null and empty texts have no tokens; a very long text takes time and
+memory in proportion to its length; rows that repeat are counted one by one; an empty
+table gives none; other columns are ignored, and a kept column named n_tokens comes
+back as n_tokens_in. Vocabularies with a normaliser of their own raise an error.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import math
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textlattice.llm.common import kept_columns
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_COST = 10.0
@@ -87,7 +91,6 @@ class Vocabulary:
         if self.squeeze or self.normalizer:
             raise ValueError("only vocabularies with the identity normaliser that keep white space are supported")
 
-
     def by_rank(self) -> Vocabulary:
         """Scores by Zipf's rule: piece k of the vocabulary's order has the logarithm of 1 / (k + 2)."""
         k = 0
@@ -98,6 +101,22 @@ class Vocabulary:
         return self
 
 
+class Remembered(dict):
+    """Answers of a function to short strings; forgets all when it holds too many."""
+
+    def __init__(self, f: Callable):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, s: str):
+        got = self.f(s)
+        if len(s) < 64:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[s] = got
+        return got
+
+
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
         v = vocabulary
@@ -111,110 +130,146 @@ class Counter:
             self.auto.add_word(t, (len(t), s))
         self.auto.make_automaton()
         inner = sorted({ch for t, _ in usable if len(t) > 1 for ch in t} - {MARK})
+        self.inner = frozenset({*inner, MARK})
         if self.bytes and all(MARK not in t.lstrip(MARK) for t, _ in usable):
             self.cut = re.compile(f"{MARK}+[{re.escape(''.join(inner))}]*|[{re.escape(''.join(inner))}]+|." if inner else f"{MARK}+|.", re.S)
         else:
             self.cut = None
-        self.known: dict[str, int] = {}
-
-    def best(self, s: str, start: float = 0.0, single: bool = False) -> tuple[int, list[float], float]:
-        """Tokens on the best path through s, the costs along it, and its margin; single: in single precision from start."""
+        own = {t for t, _ in usable if len(t) == 1}
+        #: Characters of longer pieces that are no piece by themselves.
+        self.bare = frozenset({*inner, MARK} - own)
+        self.known = Remembered(self._solved)
+        self.paths = Remembered(lambda x: array("f", self.trace(x)[1]))
+
+    def solve(self, s: str) -> tuple[int, float, float]:
+        """Tokens on the best path through s, its score and its margin; every character is a piece or part of one."""
         n = len(s)
-        score = array("f", bytes(4 * (n + 1))) if single else [0.0] * (n + 1)
+        score, second, count, margin = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [0] * (n + 1), [math.inf] * (n + 1)
+        score[0] = 0.0
+        for end, (size, cost) in self.auto.iter(s):
+            e = end + 1
+            p = end + 1 - size
+            c = score[p] + cost
+            if c > score[e]:
+                second[e] = score[e]
+                score[e] = c
+                count[e] = count[p] + 1
+                gap = score[p] - second[p]
+                margin[e] = gap if gap < margin[p] else margin[p]
+            elif c > second[e]:
+                second[e] = c
+        return count[n], score[n], min(margin[n], score[n] - second[n])
+
+    def trace(self, s: str, start: float = 0.0, single: bool = False) -> tuple[int, list[float]]:
+        """Tokens on the best path through s and the costs along it, from a running sum; single: in the tokenizer's arithmetic."""
+        if not self._plain(s):
+            return self.exact(s, start, single)
+        n, rounded = len(s), array("f", [0.0])
+        score, count, path = [-math.inf] * (n + 1), [0] * (n + 1), [()] * (n + 1)
         score[0] = start
-        second = [-math.inf] * (n + 1)
-        back = [0] * (n + 1)  # size of the piece that ends here; below 0: an unknown character; 0: none so far
-        cost_at = [0.0] * (n + 1)
-        alone = [False] * (n + 1)
-        at, unknown, as_float = 0, self.unknown, array("f", [0.0])
-
-        def close(e: int) -> None:
-            """After all pieces that end at e: the unknown character, if no piece is this one character."""
-            if not alone[e]:
-                c = score[e - 1] + unknown
-                if single:
-                    as_float[0] = c
-                    c = as_float[0]
-                if not back[e] or c > score[e]:
-                    second[e] = score[e] if back[e] else -math.inf
-                    score[e], back[e], cost_at[e] = c, -1, unknown
-                elif c > second[e]:
-                    second[e] = c
-
         for end, (size, cost) in self.auto.iter(s):
             e = end + 1
-            while at + 1 < e:
-                at += 1
-                close(at)
             c = score[e - size] + cost
             if single:
-                as_float[0] = c
-                c = as_float[0]
-            if size == 1:
-                alone[e] = True
-            if not back[e] or c > score[e]:
-                if back[e]:
-                    second[e] = score[e]
-                score[e], back[e], cost_at[e] = c, size, cost
-            elif c > second[e]:
-                second[e] = c
-        while at < n:
-            at += 1
-            close(at)
-        count, costs, margin, e = 0, [], math.inf, n
-        while e:
-            margin = min(margin, score[e] - second[e])
-            costs.append(cost_at[e])
-            size = back[e]
-            if size > 0:
-                count += 1
-            else:
-                count += len(s[e - 1].encode()) if self.bytes else not (e > 1 and back[e - 1] < 0)
-                size = 1
-            e -= size
-        return count, costs[::-1], margin
-
-    def _solved(self, s: str) -> tuple[int, array, float]:
-        got = self.known.get(s)
-        if got is None:
-            count, costs, margin = self.best(s)
-            got = count, array("f", costs), margin / (2 * (len(s) + 1))
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            if len(s) < 64:
-                self.known[s] = got
-        return got
+                rounded[0] = c
+                c = rounded[0]
+            if c > score[e]:
+                score[e] = c
+                count[e] = count[e - size] + 1
+                path[e] = (path[e - size], cost)
+        costs, cell = [], path[n]
+        while cell:
+            cell, cost = cell
+            costs.append(cost)
+        return count[n], costs[::-1]
+
+    def _plain(self, s: str) -> bool:
+        """Every character of s is a piece, and s isn't a lone character that no longer piece holds."""
+        return s[0] in self.inner and self.bare.isdisjoint(s)
+
+    def _closed(self, s: str, single: bool, start: float) -> Iterator[tuple[int, int, float, float, bool]]:
+        """By end position: (end, size of the best last piece, score, its cost, is it unknown); single: in the tokenizer's arithmetic."""
+        n, unknown, rounded = len(s), self.unknown, array("f", [0.0])
+
+        def add(a: float, b: float) -> float:
+            if not single:
+                return a + b
+            rounded[0] = a + b
+            return rounded[0]
+
+        score = [start] + [-math.inf] * n
+        found: list[tuple[int, tuple[int, float]]] = []
+        matches = iter(self.auto.iter(s))
+        nxt = next(matches, None)
+        for e in range(1, n + 1):
+            found.clear()
+            while nxt is not None and nxt[0] + 1 == e:
+                found.append(nxt[1])
+                nxt = next(matches, None)
+            best = None
+            for size, cost in found:
+                c = add(score[e - size], cost)
+                if best is None or c > best[0]:
+                    best = c, size, cost, False
+            if not any(size == 1 for size, _ in found):
+                c = add(score[e - 1], unknown)
+                if best is None or c > best[0]:
+                    best = c, 1, unknown, True
+            score[e] = best[0]
+            yield e, best[1], best[0], best[2], best[3]
+
+    def exact(self, s: str, start: float = 0.0, single: bool = True) -> tuple[int, list[float]]:
+        """Tokens on the best path through s from a running sum, unknown characters included, and the costs along it."""
+        count, path, unknown = [0], [()], [False]
+        for e, size, _, cost, bare in self._closed(s, single, start):
+            p = e - size
+            more = 1 if not bare else len(s[e - 1].encode()) if self.bytes else int(not unknown[p])
+            count.append(count[p] + more)
+            path.append((path[p], cost))
+            unknown.append(bare)
+        costs, cell = [], path[-1]
+        while cell:
+            cell, cost = cell
+            costs.append(cost)
+        return count[-1], costs[::-1]
+
+    def _solved(self, s: str) -> tuple[int, float, float]:
+        """Tokens, score, and the margin for each of the sums that can be rounded."""
+        if self._plain(s):
+            count, score, margin = self.solve(s)
+            return count, score, margin / (2 * (len(s) + 1))
+        count, costs = self.exact(s, single=False)
+        # a lone character that no longer piece holds has one way only; the others are solved anew in every text
+        return count, math.fsum(costs), math.inf if len(s) == 1 and s not in self.inner else -math.inf
 
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
         if self.cut is None:
-            return self.best(text, 0.0, True)[0]
+            return self.exact(text)[0]
         segments = self.cut.findall(text)
-        solved = list(map(self._solved, segments))
-        total = sum(x[0] for x in solved)
-        sizes = np.fromiter((len(x[1]) for x in solved), np.int64, len(solved))
-        ends = np.cumsum(sizes)
-        costs = np.frombuffer(b"".join([x[1].tobytes() for x in solved]), np.float32)
-        run = np.add.accumulate(costs, dtype=np.float32)
-        margins = np.fromiter((x[2] for x in solved), np.float64, len(solved))
-        near = margins <= np.abs(run[ends - 1].astype(np.float64)) * ROUNDING
-        for i in np.flatnonzero(near).tolist():
-            first, last = int(ends[i] - sizes[i]), int(ends[i])
-            start = float(run[first - 1]) if first else 0.0
-            count, own, _ = self.best(segments[i], start, True)
-            total += count - solved[i][0]
-            end = np.add.accumulate(np.array([start, *own], np.float32), dtype=np.float32)[-1]
-            if end != run[last - 1]:  # the sums that follow start from another value
-                run[last - 1 :] = np.add.accumulate(np.concatenate(([end], costs[last:])), dtype=np.float32)
+        counts, scores, margins = zip(*map(self.known.__getitem__, segments), strict=True)
+        total = sum(counts)
+        run = np.abs(np.cumsum(scores)) * ROUNDING
+        done, start = 0, np.float32(0)
+        for i in np.flatnonzero(np.array(margins) <= run).tolist():
+            # the exact sum before the segment: the tokenizer adds cost by cost
+            before = array("f", [start])
+            for s in segments[done:i]:
+                before.extend(self.paths[s])
+            start = np.add.accumulate(np.frombuffer(before, np.float32), dtype=np.float32)[-1]
+            count, own = self.trace(segments[i], float(start), True)
+            total += count - counts[i]
+            start = np.add.accumulate(np.array([start, *own], np.float32), dtype=np.float32)[-1]
+            done = i + 1
         return total
 
 
 _COUNTERS: dict[int, Counter] = {}
 
 
-def _count(shared, keep: list[str], rank_scores: bool):
+def _count(shared, names: list[str], rank_scores: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash((shared.value, rank_scores))
         if key not in _COUNTERS:
@@ -223,7 +278,7 @@ def _count(shared, keep: list[str], rank_scores: bool):
             _COUNTERS[key] = Counter(v.by_rank() if rank_scores else v)
         count = _COUNTERS[key]
         for b in batches:
-            yield pa.record_batch([*(b.column(k) for k in keep), pa.array([count(x.as_py()) for x in b.column("_text")], pa.int64())], names=[*keep, "n_tokens"])
+            yield pa.record_batch([*b.columns[:-1], pa.array([count(x.as_py()) for x in b.column(len(names))], pa.int64())], names=[*names, "n_tokens"])
 
     return f
 
@@ -235,6 +290,6 @@ def token_counts(docs: DataFrame, model: bytes, keep: list[str], text_col: str =
     its own, for files whose scores are merge numbers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.select(*keep).dtypes)
-    d = docs.select(*keep, docs[text_col].cast("string").alias("_text"))
-    return d.mapInArrow(_count(shared, keep, rank_scores), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_tokens long")
+    own, names, kinds = kept_columns(docs, keep, ["n_tokens"])
+    d = docs.select(*own, docs[text_col].cast("string").alias("_text"))
+    return d.mapInArrow(_count(shared, names, rank_scores), ", ".join([*kinds, "n_tokens long"]))
