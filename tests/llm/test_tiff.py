@@ -97,7 +97,39 @@ def test_encode_and_operator(spark):
     assert sorted((r.id, bytes(r.pixels)) for r in out) == sorted(rows)
     assert all(r.page == 0 and r.error is None and r.width == 64 and len(r.feature) == 16 for r in out)
     broken = T.tiff_pages(spark.createDataFrame([(1, None), (2, b"x")], "id long, media binary"), "media", ["id"]).collect()
-    assert all(r.page == -1 and r.error for r in broken) and len(broken) == 2
+    assert all(r.page == 0 and r.error for r in broken) and len(broken) == 2
+    clash = T.tiff_pages(T.as_tiff(d.selectExpr("id", "raw", "'x' AS media", "id AS page", "'k' AS error"), "raw", ["id", "media", "page", "error"]).withColumnRenamed("media_in", "kept"), "media", ["id", "kept", "page", "error"])
+    assert clash.columns[:4] == ["id", "kept", "page_in", "error_in"] and sorted(r.page_in for r in clash.collect()) == sorted(r[0] for r in rows)
+    none = spark.createDataFrame([], "id long, raw binary")
+    assert T.tiff_pages(T.as_tiff(none, "raw", ["id"]), "media", ["id"]).collect() == []
+
+
+def test_numbers_of_pages_that_cannot_be_read():
+    first, at = build(np.full((3, 4, 1), 5, np.uint8), base=8)
+    first, at = build(np.full((3, 4, 1), 5, np.uint8), base=8, next_at=10**6)  # the second directory lies outside the file
+    out = list(T.pages(b"II" + struct.pack("<HI", 42, at) + first))
+    assert [(p["page"], "error" in p) for p in out] == [(0, False), (1, True)]
+    assert [(p["page"], p["error"]) for p in T.pages(b"II" + struct.pack("<HI", 42, 0))] == [(0, "no image directory")]
+
+
+def test_registered_query_equals_brute_force(spark, tmp_path):
+    import zlib
+    from hashlib import sha256
+
+    from textlattice.llm.queries import op2_media_columns
+
+    texts = [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "long " * 40_000, "x" * 64]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'clash' AS media", "1 AS page").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op2_media_columns(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts)
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        media = T.encode(payload, 64)
+        (page,) = T.pages(media)
+        r = out[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), sha256(media).hexdigest(), page["feature"]) and page["pixels"] == payload
 
 
 def paged(*pages_):

@@ -5,16 +5,21 @@
    posterior p over domains.
 2. With t tokens per document and targets b for the domains' token totals, the rates
    r >= 0 minimise  |sum(r t p) - b|^2 / (2 B^2) + RIDGE / 2 * sum(t (r - 1)^2) / B,
-   B being the sum of b: the mix that meets the targets while it stays as near to
-   the corpus as that allows. Accelerated projected-gradient steps, scaled by t / B,
-   run over the distributed table; all that a step sends is the domains' totals, and
-   each task works out its rates from the short list of past residuals.
+   B being the sum of b and the norm that of the inverse of sum(t p p') / B, in which
+   all directions are equally steep: the mix that meets the targets while it stays as
+   near to the corpus as that allows. Accelerated projected-gradient steps, scaled by
+   t / B, run over the distributed table; all that a step sends is the domains' totals. When
+   the totals have settled, what they still miss is added to the targets that the
+   steps aim at, as in iterative refinement, so that the ridge only chooses among the
+   mixes that meet the targets. Tasks work out their rates from the residuals of the
+   last steps; every REPLAY steps the rates are written beside the posteriors.
 
 Defined results: a null or empty text has no tokens, takes the prior as its posterior
 and gets the rate that follows from it, without any weight in the sums; labels of
 documents that aren't there, and labels that are null, are ignored; with several
 labels for an id the smallest domain counts; without any labels the posterior is
-uniform; rows that repeat are mixed one by one; an empty table gives none.
+uniform; rows that repeat are mixed one by one; an empty table gives none; where no
+rates meet the targets they come as near as the steps allow; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ WORD_DIM, SHAPE_DIM = 8192, 2048
 DIM = WORD_DIM + SHAPE_DIM
 #: Bound of the training sample, in documents (expected; at most twice as many are taken).
 MAX_TRAIN = 2000
-RIDGE, STEPS, TOLERANCE = 0.0005, 60, 1e-4
+RIDGE, STEPS, REPLAY = 0.05, 60, 10
+#: The steps end when the totals are within MISS of the targets; they have settled when a step moves them by less than SETTLED.
+MISS, SETTLED = 2e-4, 1e-3
 ROWS = 256
 
 #: Domains of the labelled table and the weights that the mix should have.
@@ -186,26 +193,46 @@ def _posteriors(shared):
 
 
 BLOCKS = "ids binary, real binary, tokens binary, p binary"
+STATE = BLOCKS + ", r binary, y binary"
 
 
-def _step(p: np.ndarray, residuals: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rates after all steps so far, and the extrapolated rates where the next gradient is taken."""
-    r = y = np.ones(len(p))
+def _step(p: np.ndarray, residuals: list[np.ndarray], ridge: float, state: tuple | None = None, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The rates after some more steps, and the extrapolated rates where the next gradient is taken; state: both before, after the first steps."""
+    r, y = state or (np.ones(len(p)), np.ones(len(p)))
     rate = 1 / (1 + ridge)
-    for i, e in enumerate(residuals):
+    for i, e in enumerate(residuals, first):
         nxt = np.maximum(0, y - rate * (p @ e + ridge * (y - 1)))
         y = nxt + i / (i + 3) * (nxt - r)
         r = nxt
     return r, y
 
 
-def _totals(residuals: list[np.ndarray], ridge: float, k: int):
+def _block(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, tuple | None]]:
+    """Each block's place, posteriors, and rates so far."""
+    known = "r" in b.schema.names
+    for i, p in enumerate(b.column("p")):
+        yield i, np.frombuffer(p.as_py(), np.float64).reshape(-1, k), tuple(np.frombuffer(b.column(x)[i].as_py(), np.float64) for x in ("r", "y")) if known else None
+
+
+def _moments(k: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((k, k))
+        for b in batches:
+            for i, q, _ in _block(b, k):
+                t = np.frombuffer(b.column("tokens")[i].as_py(), np.int64).astype(np.float64)
+                out += (q * t[:, None]).T @ q
+        yield pa.record_batch({"k": pa.array(range(k * k), pa.int32()), "m": pa.array(out.ravel())})
+
+    return f
+
+
+def _totals(residuals: list[np.ndarray], first: int, ridge: float, k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, now, plain = np.zeros(k), np.zeros(k), np.zeros(k)
         for b in batches:
-            for tokens, p in zip(b.column("tokens"), b.column("p"), strict=True):
-                t, q = np.frombuffer(tokens.as_py(), np.int64).astype(np.float64), np.frombuffer(p.as_py(), np.float64).reshape(-1, k)
-                r, y = _step(q, residuals, ridge)
+            for i, q, state in _block(b, k):
+                t = np.frombuffer(b.column("tokens")[i].as_py(), np.int64).astype(np.float64)
+                r, y = _step(q, residuals, ridge, state, first)
                 at += (y * t) @ q
                 now += (r * t) @ q
                 plain += t @ q
@@ -214,36 +241,54 @@ def _totals(residuals: list[np.ndarray], ridge: float, k: int):
     return f
 
 
-def solve(blocks: DataFrame, weights: list[float], ridge: float = RIDGE, steps: int = STEPS) -> tuple[list[np.ndarray], dict]:
-    """The residuals of all steps, and how far the totals are from the targets (as parts of the whole)."""
-    k, residuals = len(weights), []
+def _advance(residuals: list[np.ndarray], first: int, ridge: float, k: int):
+    """Writes the rates after the steps so far beside the posteriors."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [_step(q, residuals, ridge, state, first) for _, q, state in _block(b, k)]
+            yield pa.record_batch([*(b.column(c) for c in ("ids", "real", "tokens", "p")), *(pa.array([x[j].tobytes() for x in both], pa.binary()) for j in (0, 1))], names=["ids", "real", "tokens", "p", "r", "y"])
+
+    return f
+
+
+def solve(blocks: DataFrame, weights: list[float], ridge: float = RIDGE, steps: int = STEPS) -> tuple[DataFrame, list[np.ndarray], int, dict]:
+    """The blocks with the rates after the first steps, the residuals of those after them, how many were first, and how far the totals are from the targets."""
+    k, first, residuals = len(weights), 0, []
     b = np.array(weights) / sum(weights)
-    report: dict = {}
-    still = 0
+    aim, report = b.copy(), {}
+    found = {r["k"]: r["m"] for r in blocks.mapInArrow(_moments(k), "k int, m double").groupBy("k").agg(F.sum("m").alias("m")).collect()}
+    moments = np.array([found.get(j, 0.0) for j in range(k * k)]).reshape(k, k)
+    # a document's posteriors sum to one, so the moments sum to the tokens; directions that no document varies in are left out
+    norm = np.linalg.pinv(moments / max(1.0, moments.sum()), rcond=1e-6)
     for i in range(steps + 1):
-        rows = blocks.mapInArrow(_totals(residuals, ridge, k), "k int, at double, now double, plain double").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("at", "now", "plain"))).collect()
+        rows = blocks.mapInArrow(_totals(residuals, first, ridge, k), "k int, at double, now double, plain double").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("at", "now", "plain"))).collect()
         by_k = {r["k"]: r for r in rows}
         at, now, plain = (np.array([by_k[j][x] if j in by_k else 0.0 for j in range(k)]) for x in ("at", "now", "plain"))
         whole = plain.sum()
         if not whole:
             break
         before, report = report.get("totals"), {"totals": now / whole, "miss": now / whole - b, "steps": i}
-        still = still + 1 if before is not None and np.abs(report["totals"] - before).max() < TOLERANCE else 0
-        if i == steps or still == 3:
+        if i == steps or np.abs(report["miss"]).max() < MISS:
             break
-        residuals.append(at / whole - b)
-    return residuals, report
+        if before is not None and np.abs(report["totals"] - before).max() < SETTLED:
+            aim = aim - report["miss"]
+        residuals.append(norm @ (at / whole - aim))
+        if len(residuals) == REPLAY:
+            blocks = cut_lineage(blocks.mapInArrow(_advance(residuals, first, ridge, k), STATE))
+            first, residuals = first + REPLAY, []
+    return blocks, residuals, first, report
 
 
-def _rates(residuals: list[np.ndarray], ridge: float, k: int):
+def _rates(residuals: list[np.ndarray], first: int, ridge: float, k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, real, tokens, p in zip(*(b.column(c) for c in ("ids", "real", "tokens", "p")), strict=True):
-                q = np.frombuffer(p.as_py(), np.float64).reshape(-1, k)
-                r, _ = _step(q, residuals, ridge)
+            for i, q, state in _block(b, k):
+                ids, real, tokens = (b.column(c)[i].as_py() for c in ("ids", "real", "tokens"))
+                r, _ = _step(q, residuals, ridge, state, first)
                 yield pa.record_batch({
-                    "id": pa.array(np.frombuffer(ids.as_py(), np.int64), mask=~np.frombuffer(real.as_py(), bool)),
-                    "n_tokens": pa.array(np.frombuffer(tokens.as_py(), np.int64)),
+                    "id": pa.array(np.frombuffer(ids, np.int64), mask=~np.frombuffer(real, bool)),
+                    "n_tokens": pa.array(np.frombuffer(tokens, np.int64)),
                     "posteriors": pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, k), pa.int32()), pa.array(q.ravel())),
                     "rate": pa.array(r),
                 })
@@ -258,6 +303,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = DOMAIN
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     blocks = cut_lineage(d.mapInArrow(_posteriors(shared), BLOCKS))
-    residuals, _ = solve(blocks, [targets[n] for n in names], ridge)
-    out = blocks.mapInArrow(_rates(residuals, ridge, len(names)), "id long, n_tokens long, posteriors array<double>, rate double")
+    blocks, residuals, first, _ = solve(blocks, [targets[n] for n in names], ridge)
+    out = blocks.mapInArrow(_rates(residuals, first, ridge, len(names)), "id long, n_tokens long, posteriors array<double>, rate double")
     return out.withColumnRenamed("id", id_col)

@@ -4,10 +4,12 @@
 tiles (plain, PackBits, LZW or deflate), undoes the predictor and emits one row
 per page with the page's samples. ``encode`` writes single-page grey files.
 
-Defined results: a null, empty, cut or otherwise unreadable file gives one row
-with page -1 (or the number of the page that failed), null samples and an error;
-pages before it are still given. Directory loops end the walk. Rows that repeat
-are decoded one by one; other columns pass through when they are named.
+Defined results: a page that can't be decoded gives a row with its number, null
+samples and an error, and the walk goes on; a file that can't be read on, or has no
+directory, a last one with the number that its next page would have (0 for a null,
+empty or otherwise unreadable file). Directory loops end the walk. Rows that repeat
+are decoded one by one; an empty table gives none; other columns pass through when
+they are named, and one with the name of a new one comes back with _in at its end.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textlattice.llm.common import kept_columns
+
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q", 17: "q"}
 WIDTH, LENGTH, SAMPLE_BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -284,15 +288,18 @@ def encode(samples: bytes, width: int, kind: int = DEFLATE, predictor: int = 2,
 
 
 def pages(b: bytes | None) -> Iterator[dict]:
-    """A row for each page, with an error where it can't be decoded, and one with an error where the file can't be read on."""
-    k = -1
+    """A row for each page, with an error where it can't be decoded, and where the file can't be read on one with the number that the next page would have."""
+    k = 0
     try:
-        for k, tags in enumerate(directories(b or b"")):
+        for tags in directories(b or b""):
             try:
                 found = page(b, tags)
             except (Bad, ValueError, MemoryError) as e:
                 found = {"error": str(e)[:200]}
             yield {"page": k} | found
+            k += 1
+        if not k:
+            raise Bad("no image directory")
     except (Bad, ValueError, MemoryError) as e:
         yield {"page": k, "error": str(e)[:200]}
 
@@ -301,26 +308,26 @@ def pages(b: bytes | None) -> Iterator[dict]:
 BATCH = 4 << 20
 
 
-def _decode(keep: list[str], schema: pa.Schema):
+def _decode(names: list[str], schema: pa.Schema):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, size, at = [], 0, []
-            for i, cell in enumerate(b.column("_media")):
+            for i, cell in enumerate(b.column(len(names))):
                 for p in pages(cell.as_py()):
                     rows.append(p)
                     at.append(i)
                     size += len(p.get("pixels") or b"")
                     if size >= BATCH:
-                        yield _batch(b, keep, at, rows, schema)
+                        yield _batch(b, names, at, rows, schema)
                         rows, size, at = [], 0, []
             if rows:
-                yield _batch(b, keep, at, rows, schema)
+                yield _batch(b, names, at, rows, schema)
 
     return f
 
 
-def _batch(b: pa.RecordBatch, keep: list[str], at: list[int], rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([b.column(k).take(pa.array(at)) for k in keep] + [pa.array([r.get(x.name) for r in rows], x.type) for x in schema], names=[*keep, *schema.names])
+def _batch(b: pa.RecordBatch, names: list[str], at: list[int], rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([c.take(pa.array(at)) for c in b.columns[:-1]] + [pa.array([r.get(x.name) for r in rows], x.type) for x in schema], names=[*names, *schema.names])
 
 
 PAGE_FIELDS = pa.schema([(n, {"int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[t]) for n, t in (x.split() for x in PAGE.split(", "))])
@@ -328,22 +335,22 @@ PAGE_FIELDS = pa.schema([(n, {"int": pa.int32(), "binary": pa.binary(), "string"
 
 def tiff_pages(files: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
     """One row per page: the columns named in keep, then those of PAGE."""
-    kinds = dict(files.select(*keep).dtypes)
-    d = files.select(*keep, files[media_col].cast("binary").alias("_media"))
-    return d.mapInArrow(_decode(keep, PAGE_FIELDS), ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), PAGE]))
+    own, names, kinds = kept_columns(files, keep, PAGE_FIELDS.names)
+    d = files.select(*own, files[media_col].cast("binary").alias("_media"))
+    return d.mapInArrow(_decode(names, PAGE_FIELDS), ", ".join([*kinds, PAGE]))
 
 
-def _encode(keep: list[str], width: int):
+def _encode(names: list[str], width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = 0
             while i < b.num_rows:
                 out, size = [], 0
                 while i + len(out) < b.num_rows and size < BATCH:
-                    raw = b.column("_payload")[i + len(out)].as_py()
+                    raw = b.column(len(names))[i + len(out)].as_py()
                     out.append(encode(raw, width))
                     size += len(raw)
-                yield pa.record_batch([b.column(k).slice(i, len(out)) for k in keep] + [pa.array(out, pa.binary())], names=[*keep, "media"])
+                yield pa.record_batch([c.slice(i, len(out)) for c in b.columns[:-1]] + [pa.array(out, pa.binary())], names=[*names, "media"])
                 i += len(out)
 
     return f
@@ -351,6 +358,6 @@ def _encode(keep: list[str], width: int):
 
 def as_tiff(rows: DataFrame, payload_col: str, keep: list[str], width: int = 64) -> DataFrame:
     """The columns named in keep and media: each payload (a positive multiple of width bytes) as a grey TIFF file."""
-    kinds = dict(rows.select(*keep).dtypes)
-    d = rows.select(*keep, rows[payload_col].cast("binary").alias("_payload"))
-    return d.mapInArrow(_encode(keep, width), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", media binary")
+    own, names, kinds = kept_columns(rows, keep, ["media"])
+    d = rows.select(*own, rows[payload_col].cast("binary").alias("_payload"))
+    return d.mapInArrow(_encode(names, width), ", ".join([*kinds, "media binary"]))
