@@ -14,7 +14,9 @@ def test_stages(spark, tmp_path):
     docs += [(50, docs[3][1], "en", "s", 0), (51, docs[4][1].replace("the", "THE", 1), "en", "s", 0), (51, docs[4][1], "en", "s", 0)]
     docs += [(60 + k, text(150) + " " + passage, "en", "s", 0) for k in range(3)]
     docs += [(70, text(20) + " " + exam[0], "en", "s", 0), (71, text(2000) + " " + exam[1], "en", "s", 0), (80, None, None, "s", None), (81, "12 --", "en", "s", 5)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    clash = ["rejected", "score", "lang_pred", "_text", "n_words", "kept", "removed", "id", "g", "fp", "label", "rate"]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    d.selectExpr("*", *(f"'{c}' AS {c}" for c in clash)).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(enumerate(exam)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     d = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -22,7 +24,7 @@ def test_stages(spark, tmp_path):
     for k, (_, stage) in enumerate(P.STAGES):
         out = stage(spark, d, str(tmp_path))
         if k < 4:
-            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", *clash]
         out.write.parquet(f"{tmp_path}/stage{k}")
         d = spark.read.parquet(f"{tmp_path}/stage{k}")
         kept.append(sorted(r.doc_id for r in d.collect()))
@@ -31,6 +33,13 @@ def test_stages(spark, tmp_path):
     assert kept[1] == [i for i in kept[0] if i not in (50, 51)]
     assert kept[2] == kept[1]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/stage2").collect()}
+    assert all(r[c] == c for r in spark.read.parquet(f"{tmp_path}/stage3").collect() for c in clash)
     assert passage in texts[60] and passage not in texts[61] and passage not in texts[62]
     assert kept[3] == [i for i in kept[2] if i != 70] and kept[4] == kept[3]
     assert sorted(r.doc_id for r in P.run(spark, str(tmp_path)).collect()) == kept[4]
+
+
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []

@@ -104,7 +104,7 @@ def test_passages_that_licenses_share(make):
     shared = "it is free software; you can redistribute it and/or modify it under the terms of the GNU"
     rows = [(1, shared + " Affero"), (2, shared), (3, "THE SOFTWARE IS PROVIDED AS IS WITHOUT WARRANTY OF ANY KIND")]
     out = {r.doc_id: (r.labels, {s.label for s in r.spans}) for r in N.license_scan(make(rows)).collect()}
-    assert out[1] == (["agpl"], {"agpl"}) and out[2] == ([], {"gpl", "lgpl", "agpl"}) and out[3][0] == []
+    assert out[1] == (["agpl"], {"agpl"}) and out[2] == ([], {"gpl", "lgpl", "agpl"}) and out[3][0] == ["mit"]
 
 
 def test_automaton_finds_longest_matches():
@@ -210,6 +210,54 @@ def test_language(make):
     assert strange.score < min(r.score for r in real)
 
 
+def slow_nearest(model, text):
+    """Language, cosine and rejection by comparing one text's grams with every centroid."""
+    data = " ".join(re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).decode("utf-8", "surrogateescape").split(" ")).encode("utf-8", "surrogateescape")
+    n = np.zeros(L.DIM)
+    for k in range(3):
+        for i in range(len(data) - k):
+            gram = int.from_bytes(data[i : i + k + 1], "big") + k + 1
+            n[(gram * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    x = np.log1p(n) * model.idf
+    x /= max(np.linalg.norm(x), 1e-12)
+    cos = [float(x @ c) for c in model.centroids]
+    top = max(cos)
+    return {lang for lang, c in zip(model.langs, cos, strict=True) if c > top - 1e-6}, top, top < model.floor[int(math.log2(max(n.sum(), 1)))]
+
+
+def test_language_equals_slow_nearest_centroid(make):
+    rnd = random.Random(8)
+    rows = [(3 * i + k, sentences(lang, rnd, rnd.randint(1, 60))) for i in range(40) for k, lang in enumerate(("en", "fr", "de"))]
+    rows += [(500 + k, t) for k, t in enumerate(planted(rnd)) if len(t) < 4000] + [(600, "é"), (601, "A-b c"), (602, "x " * 3000)]
+    d = make(rows).withColumn("lang", F.when(F.col("doc_id") < 120, F.element_at(F.array(*map(F.lit, ("en", "fr", "de"))), (F.col("doc_id") % 3 + 1).cast("int"))))
+    model = L.fit(d, ~L.held_out(F.col("doc_id")))
+    texts = dict(rows)
+    for r in L.identify(d, model, ["doc_id"]).collect():
+        langs, top, rejected = slow_nearest(model, texts[r.doc_id])
+        assert r.lang_pred in langs and abs(r.score - min(1, max(0, top))) < 1e-4
+        assert r.rejected == rejected or abs(top - model.floor.min()) < 0.5 and abs(top - r.score) < 1e-4 and min(abs(top - model.floor)) < 1e-4
+
+
+def test_kept_columns_with_names_of_new_ones(spark, make, model):
+    d = make([(1, "the one"), (2, None)]).selectExpr("doc_id", "text", "lang", "'a' AS score", "'b' AS rejected", "'c' AS _text", "5 AS n_tokens", "'d' AS _kept0", "'e' AS html")
+    out = L.identify(d, L.fit(d, F.lit(True)), d.columns)
+    assert out.columns == ["doc_id", "text", "lang", "score_in", "rejected_in", "_text", "n_tokens", "_kept0", "html", "lang_pred", "score", "rejected"]
+    assert [(r.score_in, r.rejected_in, r._text, r.rejected) for r in out.collect()] == [("a", "b", "c", True)] * 2
+    assert [(r.n_tokens_in, r._text) for r in C.token_counts(d, model, ["n_tokens", "_text"], rank_scores=True).collect()] == [(5, "c")] * 2
+    assert H.extract(d, ["text", "html"]).columns == ["text_in", "html", "text", "n_chars"] and len(H.extract(d, ["text", "html"]).collect()) == 2
+    kept = L.accepted(d, L.fit(d, F.lit(True)))
+    assert kept.columns == d.columns and kept.collect() == []
+
+
+def test_very_long_texts(make, model):
+    long = "the and of ing tion with that was " * 60_000
+    d = make([(1, long), (2, "le la les des que ment eau oi " * 50), (3, "the and of ing tion with that was " * 50)]).withColumn("lang", F.when(F.col("doc_id") == 2, "fr").when(F.col("doc_id") == 3, "en"))
+    out = {r.doc_id: r for r in L.identify(d, L.fit(d, F.lit(True)), ["doc_id"]).collect()}
+    assert out[1].lang_pred == "en" and not out[1].rejected
+    counts = {r.doc_id: r.n_tokens for r in C.token_counts(d, model, ["doc_id"], rank_scores=True).collect()}
+    assert counts[1] > 1000 * counts[3]
+
+
 def test_language_without_labels(make):
     d = make([(1, "some text"), (2, None)])
     assert [(r.lang_pred, r.rejected) for r in L.identify(d, L.fit(d, F.lit(True)), ["doc_id"]).collect()] == [("und", True)] * 2
