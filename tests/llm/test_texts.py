@@ -149,6 +149,19 @@ def test_token_counts_equal_the_library(spark, model, make):
     assert C.token_counts(make([]), model, ["doc_id"]).collect() == []
 
 
+def test_slices_and_forgetting_change_nothing(model, monkeypatch):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(["the ", "thing", " of", "  ", "é", "梦", "xq", "\n", "ing "]) for _ in range(rnd.randint(0, 3000))) for _ in range(30)] + ["", None, "a" * 9000, " " * 500]
+    vocabulary = C.Vocabulary(model).by_rank()
+    whole = C.Counter(vocabulary).counts(texts)
+    monkeypatch.setattr(C, "SLICE", 700)
+    monkeypatch.setattr(C, "REMEMBER", 50)
+    assert C.Counter(vocabulary).counts(texts) == whole
+    few = C.Counter(vocabulary)
+    few.machine.code[ord("t")] = -1  # characters outside the tables are read one segment at a time
+    assert few.counts(texts) == whole
+
+
 # ---- HTML
 
 
