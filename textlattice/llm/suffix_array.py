@@ -148,12 +148,14 @@ def suffix_order(t: np.ndarray, wanted: np.ndarray, w8: np.ndarray, depth: int =
 
 def common_prefixes(sa: np.ndarray, w8: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """How many of the first depth bytes each neighbour pair of the order has in common."""
-    out = np.zeros(max(0, len(sa) - 1), dtype=np.int64)
+    out = np.full(max(0, len(sa) - 1), depth, dtype=np.int64)
     at = np.arange(len(out))
     for d in range(0, depth, 8):
         x = w8[sa[at] + d] ^ w8[sa[at + 1] + d]
-        out[at] += sum((x < U(1) << U(8 * k)).astype(np.int64) for k in range(8))
-        at = at[x == 0]
+        miss = x != 0
+        first = x[miss]
+        out[at[miss]] = d + sum((first < U(1) << U(8 * k)).astype(np.int64) for k in range(8))
+        at = at[~miss]
     return np.minimum(out, depth)
 
 
@@ -273,10 +275,27 @@ def _ties(head: np.ndarray, tied: np.ndarray, pick: np.ndarray) -> tuple[np.ndar
     return head[pick[of]] + np.arange(len(of)) - (np.cumsum(n) - n)[of], of
 
 
-def equal_bytes(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which of the runs of bytes that stand one after the other in a and b agree."""
-    off = np.cumsum(size) - size
-    return ~(np.add.reduceat((a != b).astype(np.int64), off) > 0) if len(size) else np.zeros(0, dtype=bool)
+def equal_runs(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the runs of bytes from a and from b agree; each has 8 bytes or more. data: with 7 bytes of room at its end."""
+    words = np.ndarray(max(0, len(data) - 7), dtype=U, buffer=data, strides=(1,))
+    same = np.ones(len(a), dtype=bool)
+    at = np.arange(len(a))
+    for d in range(0, int(size.max()) if len(size) else 0, 8):
+        at = at[size[at] > d]
+        step = np.minimum(d, size[at] - 8)  # the last step looks at the last 8 bytes
+        ok = words[a[at] + step] == words[b[at] + step]
+        same[at[~ok]] = False
+        at = at[ok]
+    return same
+
+
+def bytes_from(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of bytes, one after the other."""
+    ends = np.cumsum(size)
+    n = int(ends[-1]) if len(ends) else 0
+    step = np.arange(n, dtype=np.int32) if n < 1 << 31 else np.arange(n)
+    step += np.repeat((at - (ends - size)).astype(step.dtype), size)
+    return data[step]
 
 
 class Units:
@@ -284,16 +303,20 @@ class Units:
 
     def __init__(self, ids: np.ndarray, parts: list[tuple]):
         """parts: by chunk its bytes, where in them the units start, and row, start in the row, size, hash and content hash of each."""
-        self.texts = [(p[0], p[1]) for p in parts]
+        chunks, size = {}, 0  # several parts can come from one chunk
+        for p in parts:
+            if id(p[0]) not in chunks:
+                chunks[id(p[0])] = size, p[0]
+                size += len(p[0])
+        self.data = np.concatenate([*(data for _, data in chunks.values()), np.zeros(8, np.uint8)])
+        self.at = np.concatenate([p[1] + chunks[id(p[0])][0] for p in parts]) if parts else np.zeros(0, np.int64)
         self.row, self.start, self.size, self.hash, self.content = (np.concatenate(x) if x else np.zeros(0, U if k > 2 else np.int64) for k, x in enumerate([[p[k] for p in parts] for k in range(2, 7)]))
         self.id = ids[self.row]
         o = self.order = np.lexsort((self.start, self.id, self.size, self.content, self.hash))
         same = np.zeros(len(o), dtype=bool)
         same[1:] = (self.hash[o][1:] == self.hash[o][:-1]) & (self.content[o][1:] == self.content[o][:-1]) & (self.size[o][1:] == self.size[o][:-1])
         at = np.flatnonzero(same)
-        for k in range(0, len(at), 1 << 14):
-            some = at[k : k + (1 << 14)]
-            same[some] = equal_bytes(self.bytes_of(o[some - 1]), self.bytes_of(o[some]), self.size[o[some]])
+        same[at] = equal_runs(self.data, self.at[o[at - 1]], self.at[o[at]], self.size[o[at]])
         self.head = np.flatnonzero(~same)
         self.first = o[self.head]
         lead = self.first[np.cumsum(~same) - 1] if len(o) else o
@@ -307,25 +330,10 @@ class Units:
         at, of = _ties(self.head, self.tied, number)
         return self.order[at], of
 
-    def bytes_of(self, pick: np.ndarray) -> np.ndarray:
-        """The units' bytes, one after the other."""
-        at = np.concatenate(([0], np.cumsum([len(s) for _, s in self.texts])))
-        which = np.searchsorted(at, pick, side="right") - 1
-        size = self.size[pick].astype(np.int64)
-        ends = np.cumsum(size)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
-        for k in np.unique(which):
-            data, s = self.texts[k]
-            m = which == k
-            begin, n, to = s[pick[m] - at[k]], size[m], (ends - size)[m]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(to, n) + step] = data[np.repeat(begin, n) + step]
-        return out
-
     def messages(self, n_buckets: int) -> dict[int, dict[str, bytes]]:
         """The distinct units with their first places and numbers, by bucket of their hashes."""
         pick = self.first
-        body = self.bytes_of(pick)
+        body = bytes_from(self.data, self.at[pick], self.size[pick])
         ends = np.concatenate(([0], np.cumsum(self.size[pick])))
         shift = HASH_BITS - (n_buckets * PARTS).bit_length() + 1
         out = {}
@@ -433,11 +441,8 @@ def _distinct(size: np.ndarray, off: np.ndarray, body: np.ndarray, ids: np.ndarr
     new = np.ones(len(order), dtype=bool)
     new[1:] = (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])
     at = np.flatnonzero(~new)
-    for k in range(0, len(at), 1 << 14):
-        some = at[k : k + (1 << 14)]
-        a, b, n = off[order[some - 1]], off[order[some]], size[order[some]].astype(np.int64)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        new[some] = ~equal_bytes(body[np.repeat(a, n) + step], body[np.repeat(b, n) + step], n)
+    room = np.concatenate((body, np.zeros(8, np.uint8)))
+    new[at] = ~equal_runs(room, off[order[at - 1]], off[order[at]], size[order[at]].astype(np.int64))
     return order, new
 
 
@@ -448,8 +453,7 @@ def later_strings(body: np.ndarray, size: np.ndarray, off: np.ndarray, ids: np.n
     t = np.full(int(size.sum()) + n, SEPARATOR, dtype=np.uint8)
     keep = np.ones(len(t), dtype=bool)
     keep[new_off + size] = False
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    t[keep] = body[np.repeat(off, size) + step]
+    t[keep] = bytes_from(body, off, size)
     count = size - LENGTH + 1
     seg = np.repeat(np.arange(n), count)
     within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
