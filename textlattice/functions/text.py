@@ -9,7 +9,7 @@ from textlattice.functions import patterns as P
 
 def strip(x: Column) -> Column:
     """Unicode white space off both ends, as Python's str.strip()."""
-    return F.regexp_replace(x, rf"\A{P.WS}++|{P.WS}++\z", "")
+    return F.btrim(x, F.lit(P.WHITE_SPACE))
 
 
 def is_blank(x: Column) -> Column:
@@ -30,15 +30,13 @@ def word_count(x: Column) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    """Sentences, abbreviations kept whole; blank ones are dropped."""
-    kept = F.regexp_replace(x, P.ABBREVIATION, P.KEPT_STOP)
-    parts = F.split(kept, P.SENTENCE, -1)
-    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(P.KEPT_STOP), F.lit(".")))), lambda s: s != "")
+    """Sentences, abbreviations kept whole. Between two none is blank and none has white space at its ends."""
+    return F.filter(F.split(strip(x), P.SENTENCE, -1), lambda s: s != "")
 
 
 def sentence_count(x: Column) -> Column:
-    """0 for a blank text, else at least 1: sentence boundaries between non-blank pieces."""
-    return F.when(is_blank(x), 0).otherwise(F.greatest(F.lit(1), F.size(sentences(x)))).cast("long")
+    """0 for a blank text, else one more than its boundaries."""
+    return F.when(is_blank(x), 0).otherwise(F.regexp_count(strip(x), F.lit(P.BOUNDARY)) + 1).cast("long")
 
 
 def paragraphs(x: Column) -> Column:
@@ -96,8 +94,8 @@ def ratio(w: Column, n: Column) -> Column:
 
 # ---- opening contents pages
 
-_ENTRY = r"""(?iu)\A(?:(?:CHAPTER|CHAP\.?|PART|BOOK|SECTION|VOLUME)\s+\S+[^\n]*|[^\n]+(?:\.{2,}|\s{2,})\s*\d+|[IVXLC\d]+\.?(?:\s+[^\n]+)?|[A-Z][A-Z '"—-]{3,80})\z"""
-_PAGE = r"(?:\.{2,}|\s{2,})\s*\d+\z"
+_ENTRY = rf"(?iu)\A{P.CONTENTS_ENTRY}\z"
+_LABEL = rf"(?i)\A{P.CONTENTS_LABEL}\z"
 
 
 def _is_entry(block: Column) -> Column:
@@ -108,8 +106,8 @@ def _is_entry(block: Column) -> Column:
 
 def _entry_key(line: Column) -> Column:
     """A line without its page number; of a numbered one only the word and number."""
-    x = F.lower(strip(F.regexp_replace(line, _PAGE, "")))
-    number = F.regexp_extract(x, r"\A(?:chapter|chap\.?|part|book|section|volume)\s+[\p{L}\p{N}_]+", 0)
+    x = F.lower(strip(F.regexp_replace(line, P.CONTENTS_PAGE, "")))
+    number = F.regexp_extract(x, rf"\A{P.CONTENTS_NUMBER}{P.WORD_CHAR}+", 0)
     return F.coalesce(F.nullif(number, F.lit("")), x)
 
 
@@ -120,13 +118,13 @@ def strip_contents(x: Column) -> Column:
     first block that is no entry, or where a listed heading comes again before prose.
     """
     b = F.split(x, "\n\n", -1)
-    at = F.array_position(F.transform(F.slice(b, 1, 10), lambda p: strip(p).rlike(r"(?i)\A(?:TABLE OF )?CONTENTS[.:]?\z")), F.lit(True)).cast("int")
+    at = F.array_position(F.transform(F.slice(b, 1, 10), lambda p: strip(p).rlike(_LABEL)), F.lit(True)).cast("int")
     plain = F.forall(F.slice(b, 1, F.greatest(at - 1, F.lit(0))), lambda p: (F.size(F.split(collapse(p), " ")) <= 12) & ~p.rlike(r"[.!?]"))
     rest = F.transform(F.slice(b, at + 1, F.size(b)), strip)
     facts = F.transform(
         rest,
         lambda c: F.struct(
-            _is_entry(c).alias("entry"), F.size(lines(c)).alias("n"), F.transform(lines(c), _entry_key).alias("keys"), c.rlike(_PAGE).alias("paged"), (c != "").alias("full")
+            _is_entry(c).alias("entry"), F.size(lines(c)).alias("n"), F.transform(lines(c), _entry_key).alias("keys"), c.rlike(P.CONTENTS_PAGE).alias("paged"), (c != "").alias("full")
         ),
     )
     start = F.struct(F.lit(0).alias("cut"), F.lit(0).alias("entries"), F.array().cast("array<string>").alias("seen"), facts.alias("f"))
@@ -143,4 +141,29 @@ def strip_contents(x: Column) -> Column:
 
     steps = F.when(F.size(rest) > 0, F.sequence(F.lit(1), F.size(rest))).otherwise(F.array().cast("array<int>"))
     cut = F.aggregate(steps, start, step, lambda s: s["cut"])
-    return F.when((at > 0) & plain, F.when(cut > 0, F.array_join(F.slice(b, at + cut, F.size(b)), "\n\n")).otherwise(x)).otherwise(x)
+    labelled = x.rlike(rf"(?i)(?:\A|\n\n){P.WS}*{P.CONTENTS_LABEL}{P.WS}*(?:\n\n|\z)")  # most texts end here
+    return F.when(labelled & (at > 0) & plain & (cut > 0), F.array_join(F.slice(b, at + cut, F.size(b)), "\n\n")).otherwise(x)
+
+
+def preprocess(x: Column) -> Column:
+    """A book's own text: newlines, license boundaries, blank lines, an opening contents page."""
+    return strip_contents(normalise_blank_lines(strip_boilerplate(newlines(x))))
+
+
+# ---- Markdown inlines
+
+
+def md_plain(x: Column) -> Column:
+    """What is seen of Markdown inlines: the text of links; neither addresses, images nor footnote marks."""
+    for kind, keep in P.MARKDOWN_SHOWS:
+        x = F.regexp_replace(x, f"(?U){P.MARKDOWN[kind]}", keep.replace("\\1", "$1"))
+    return collapse(x)
+
+
+def md_links(x: Column) -> Column:
+    """Inline links, reference links, autolinks, then bare addresses outside images: each kind is taken out before the next."""
+    n = F.lit(0).cast("long")
+    for kind in ("inline_link", "reference_link", "autolink"):
+        n += F.regexp_count(x, F.lit(f"(?U){P.MARKDOWN[kind]}"))
+        x = F.regexp_replace(x, f"(?U){P.MARKDOWN[kind]}", " ")
+    return n + bare_urls(F.regexp_replace(x, P.MARKDOWN["image"], " "))

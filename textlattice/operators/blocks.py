@@ -1,7 +1,10 @@
-"""Documents to flat blocks: HTML and Markdown through small parsers, plain text by expressions.
+"""Documents to flat blocks: HTML, Markdown and plain text.
 
-Parsers run in Arrow batches and emit rows (pos, type, level, text, links); trees are
-never returned. A list's items follow it, a quote's blocks follow it.
+Parsers run in Arrow batches and emit one row per block: pos (order in the
+document), parent (pos of the block around it, null at the root), inside (the types
+of all blocks around it, outermost first), type, level (headings), text (prose of
+its own), links. Trees are never returned; what a consumer needs of them is in
+parent and inside.
 """
 
 from __future__ import annotations
@@ -15,245 +18,487 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textlattice.functions import patterns as P, text as T
 
-SCHEMA = "pos int, type string, level int, text string, links int"
-_FIELDS = [("pos", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("links", pa.int32())]
+SCHEMA = "pos long, parent long, inside array<string>, type string, level int, text string, links int"
+_FIELDS = [("pos", pa.int64()), ("parent", pa.int64()), ("inside", pa.list_(pa.string())), ("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("links", pa.int32())]
 
-# Elements by what they do to blocks.
-_SKIP = {"script", "style", "head", "title", "template", "noscript"}
-_LEAVES = {"p": "paragraph", "li": "list_item", "pre": "code_block", "figure": "figure", "table": "table"}
-_OPAQUE = {"table", "figure", "pre"}
-_CUTS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "blockquote", "table", "figure", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "body", "dl", "dt", "dd", "hr"}
+
+class Outline:
+    """Blocks in the order in which they begin, and which of them are open."""
+
+    def __init__(self):
+        self.rows: list[list] = []  # parent, type, level, text, links
+        self.open: list[int] = []
+
+    def add(self, kind: str, text: str = "", links: int = 0, level: int | None = None) -> int:
+        self.rows.append([self.open[-1] if self.open else None, kind, level, text, links])
+        return len(self.rows) - 1
+
+    def around(self) -> str | None:
+        """The type of the innermost open block."""
+        return self.rows[self.open[-1]][1] if self.open else None
+
+    def say(self, at: int, text: str, links: int) -> None:
+        """More prose of a block's own."""
+        row = self.rows[at]
+        row[3], row[4] = f"{row[3]} {text}".strip(), row[4] + links
+
+    def inside(self) -> list[list[str]]:
+        out: list[list[str]] = []
+        for parent, *_ in self.rows:
+            out.append([] if parent is None else [*out[parent], self.rows[parent][1]])
+        return out
+
+
+# ---- HTML
+
+_OPAQUE = ("table", "figure", "code_block")  # what they hold isn't counted, but for tables and links
+_OWN_TEXT = ("list_item", "footnote", "reference")
 _HEADING = re.compile(r"h([1-6])")
 
 
 class _Html(HTMLParser):
-    """Collects leaf blocks; what is open decides the type of the text that comes."""
+    """Feeds an outline. Elements that make no block only end the text before them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.out = Outline()
+        self.tags: list[tuple[str, bool]] = []  # open elements, and whether each is an open block
+        self.hidden = self.links = 0
+        self.line: str | None = None  # the line element that text belongs to
         self.text: list[str] = []
-        self.links = self.skip = 0
-        self.opaque: list[str] = []
-        self.open: list[tuple[str, str | None]] = []
 
-    def flush(self) -> None:
+    def finish_text(self) -> None:
         words, links = " ".join("".join(self.text).split()), self.links
         self.text.clear()
         self.links = 0
-        if words or links:
-            inside = next((k for _, k in reversed(self.open) if k), None) or "paragraph"
-            level = int(inside[1]) if _HEADING.fullmatch(inside) else None
-            self.rows.append(["heading" if level else inside, level, words, links])
+        if not words and not links:
+            return
+        if self.line and (m := _HEADING.fullmatch(self.line)):
+            self.out.add("heading", words, links, int(m[1]))
+        elif self.out.around() in _OWN_TEXT:
+            self.out.say(self.out.open[-1], words, links)
+        else:
+            self.out.add("paragraph", words, links)
+
+    @staticmethod
+    def block_of(tag: str, a: dict[str, str]) -> str | None:
+        """The block that an element makes, if any: what its role, class or id says goes before its name."""
+        if a.get("role") in P.HTML_FOOTNOTE_ROLES or not P.HTML_FOOTNOTE_CLASSES.isdisjoint(a.get("class", "").lower().split()):
+            return "footnote"
+        if tag in P.HTML_FOOTNOTE_ID_TAGS and re.match(P.HTML_FOOTNOTE_ID, a.get("id", ""), re.I):
+            return "footnote"
+        return "reference" if a.get("role") == P.HTML_REFERENCE_ROLE else P.HTML_BLOCKS.get(tag)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        if tag in _SKIP:
-            self.skip += 1
-        if self.skip:
+        if self.hidden or tag in P.HTML_SKIP:
+            self.hidden += tag in P.HTML_SKIP
             return
+        a, opaque = {k: v or "" for k, v in attrs}, self.out.around() in _OPAQUE
         if tag == "a" and a.get("href"):
-            self.links += 1
-        if tag == "img" and "figure" not in self.opaque:
-            self.flush()
-            self.rows.append(["figure", None, "", 0])
-        if tag in _OPAQUE:
-            if not self.opaque or tag == "table":
-                if not self.opaque:
-                    self.flush()
-                self.rows.append([_LEAVES[tag], None, "", 0])
-            self.opaque.append(tag)
-        elif tag in _CUTS and not self.opaque:
-            self.flush()
-            marks = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
-            role = (a.get("role") or "").lower()
-            kind = "footnote" if role == "doc-footnote" or "footnote" in marks else "reference" if role in ("doc-biblioentry", "doc-endnote") else None
-            if tag in ("ul", "ol"):
-                self.rows.append(["list", None, "", 0])
-            elif tag == "blockquote":
-                self.rows.append(["blockquote", None, "", 0])
-            self.open.append((tag, kind or (tag if _HEADING.fullmatch(tag) else "list_item" if tag == "li" else None)))
+            if opaque:
+                self.out.say(self.out.open[-1], "", 1)
+            else:
+                self.links += 1
+        elif tag == "img":
+            if not opaque:
+                self.out.add("figure")
+        elif tag == "br":
+            self.text.append(" ")
+        elif kind := self.block_of(tag, a):
+            if not opaque:
+                self.finish_text()
+                self.line = None
+            if not opaque or kind == "table":
+                at = self.out.add(kind)
+                if tag not in P.HTML_VOID:
+                    self.out.open.append(at)
+                    self.tags.append((tag, True))
+        elif (tag in P.HTML_LINES or tag in P.HTML_EDGES) and not opaque:
+            self.finish_text()
+            self.line = tag if tag in P.HTML_LINES else None
+            if tag not in P.HTML_VOID:
+                self.tags.append((tag, False))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in P.HTML_VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif not self.skip and tag in self.opaque:
-            while self.opaque.pop() != tag:
-                pass
-            if not self.opaque:
-                self.text.clear()
-                if self.links:
-                    self.rows[-1][3] += self.links
-                    self.links = 0
-        elif not self.skip and not self.opaque and tag in _CUTS:
-            self.flush()
-            if any(t == tag for t, _ in self.open):
-                while self.open.pop()[0] != tag:
-                    pass
+        if self.hidden:
+            self.hidden -= tag in P.HTML_SKIP
+            return
+        if tag == "a" or tag in P.HTML_VOID:
+            return
+        opaque = self.out.around() in _OPAQUE
+        # a table, figure or code only ends by its own tag
+        lowest = max((i for i, (_, block) in enumerate(self.tags) if block), default=0) if opaque else 0
+        if any(t == tag for t, _ in self.tags[lowest:]):
+            if not opaque:
+                self.finish_text()
+            while True:
+                t, block = self.tags.pop()
+                if block:
+                    self.out.open.pop()
+                if t == tag:
+                    break
+        elif tag == self.line:
+            self.finish_text()
+        if tag == self.line:
+            self.line = None
 
     def handle_data(self, data: str) -> None:
-        if not self.skip and not self.opaque:
+        if not self.hidden and self.out.around() not in _OPAQUE:
             self.text.append(data)
 
 
-def html_rows(page: str) -> list[list]:
+def html_outline(page: str) -> Outline:
     p = _Html()
     p.feed(page)
     p.close()
-    p.flush()
-    return p.rows
+    p.finish_text()
+    return p.out
 
 
-_FENCE, _ATX = re.compile(r"^ {0,3}(```+|~~~+)"), re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
-_SETEXT, _RULE = re.compile(r"^ {0,3}(=+|-+)[ \t]*$"), re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-_QUOTE, _NOTE, _LINK_DEF = re.compile(r"^ {0,3}> ?"), re.compile(r"^ {0,3}\[\^[^\]]+\]:[ \t]*"), re.compile(r"^ {0,3}\[[^\]^][^\]]*\]:[ \t]*\S")
-_ITEM = re.compile(r"^(\s*)([-*+]|\d{1,9}[.)])(?:\s+|$)")
-_TABLE_RULE = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-_IMAGE_LINE, _IMAGE = re.compile(r"^\s*!\[[^\]]*\]\([^)]*\)\s*$"), re.compile(r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])")
-_INLINE, _AUTO = re.compile(r"\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])"), re.compile(r"<https?://[^>\s]+>", re.I)
+# ---- Markdown
+
+_MD = {k: re.compile(v) for k, v in P.MARKDOWN.items()}
 _URL = re.compile(r"(?<!\w)" + P.BARE_URL, re.I)
 
 
 def md_links(text: str) -> int:
-    """Inline and reference links, then autolinks, then bare addresses, each kind removed before the next."""
-    t = _IMAGE.sub(" ", text)
-    t, a = _INLINE.subn(" ", t)
-    t, b = _AUTO.subn(" ", t)
-    return a + b + len(_URL.findall(t))
+    """Inline links, reference links, autolinks, then bare addresses outside images: each kind is taken out before the next."""
+    n = 0
+    for kind in ("inline_link", "reference_link", "autolink"):
+        text, k = _MD[kind].subn(" ", text)
+        n += k
+    return n + len(_URL.findall(_MD["image"].sub(" ", text)))
 
 
 def md_plain(text: str) -> str:
-    t = _INLINE.sub(r"\1", _IMAGE.sub(" ", text))
-    return " ".join(re.sub(r"\[\^[^\]]+\]", "", _AUTO.sub(" ", t)).split())
-
+    """What is seen of a line of Markdown."""
+    for kind, keep in P.MARKDOWN_SHOWS:
+        text = _MD[kind].sub(keep, text)
+    return " ".join(text.split())
+
+
+def markdown_outline(text: str) -> Outline:
+    lines = re.sub(r"\r\n?", "\n", text).split("\n")
+    if lines[0].strip() == "---":
+        end = next((i for i, s in enumerate(lines[1:], 1) if s.strip() in ("---", "...")), 0)
+        lines = lines[end + 1 :] if end else lines
+    out = Outline()
+    _Markdown(out).read(lines)
+    return out
 
-def markdown_rows(text: str) -> list[list]:
-    text = re.sub(r"\r\n?", "\n", text)
-    text = re.sub(r"\A\s*---[ \t]*\n.*?\n(?:---|\.\.\.)[ \t]*(?:\n|\Z)", "", text, flags=re.S)
-    return _markdown(text.split("\n"))
 
+class _Markdown:
+    """Reads lines into an outline, block by block; what a quote or an item holds is read again as lines."""
 
-def _markdown(lines: list[str]) -> list[list]:
-    out: list[list] = []
-    i, n = 0, len(lines)
+    def __init__(self, out: Outline):
+        self.out = out
 
-    def prose(kind: str, raw: str) -> list:
-        return [kind, None, md_plain(raw), md_links(raw)]
+    def prose(self, kind: str, raw: str, level: int | None = None) -> int:
+        return self.out.add(kind, md_plain(raw), md_links(raw), level)
 
-    def starts(k: int) -> bool:
-        s = lines[k]
-        return bool(not s.strip() or _FENCE.match(s) or _ATX.match(s) or _RULE.match(s) or _QUOTE.match(s) or _ITEM.match(s) or _NOTE.match(s))
+    def within(self, kind: str, lines: list[str]) -> int:
+        at = self.out.add(kind)
+        self.out.open.append(at)
+        self.read(lines)
+        self.out.open.pop()
+        return at
 
-    while i < n:
+    def read(self, lines: list[str]) -> None:
+        para: list[str] = []
+        i = 0
+        while i < len(lines):
+            used = self.block(lines, i, para)
+            if not used and lines[i].strip():
+                para.append(lines[i].strip())
+            i += used or 1
+        self.close(para)
+
+    def close(self, para: list[str]) -> None:
+        if para:
+            self.prose("paragraph", " ".join(para))
+            para.clear()
+
+    def block(self, lines: list[str], i: int, para: list[str]) -> int:
+        """Lines of the block that begins at line i, after closing the paragraph before it; 0 for a blank line and for one of a paragraph."""
         s = lines[i]
         if not s.strip():
-            i += 1
-        elif m := _FENCE.match(s):
-            i += 1
-            while i < n and not lines[i].strip().startswith(m[1]):
-                i += 1
-            i += 1
-            out.append(["code_block", None, "", 0])
-        elif m := _ATX.match(s):
-            out.append(["heading", len(m[1]), md_plain(m[2] or ""), md_links(m[2] or "")])
-            i += 1
-        elif i + 1 < n and (m := _SETEXT.match(lines[i + 1])) and not starts(i) and not s.startswith("    "):
-            out.append(["heading", 1 if m[1][0] == "=" else 2, md_plain(s), md_links(s)])
-            i += 2
-        elif _RULE.match(s) or _LINK_DEF.match(s):
-            i += 1
-        elif _QUOTE.match(s):
-            inner = []
-            while i < n and (_QUOTE.match(lines[i]) or inner and inner[-1].strip() and not starts(i)):
-                inner.append(_QUOTE.sub("", lines[i], count=1))
-                i += 1
-            out.append(["blockquote", None, "", 0])
-            out += _markdown(inner)
-        elif m := _NOTE.match(s):
-            body = [s[m.end() :]]
-            i += 1
-            while i < n and not starts(i):
-                body.append(lines[i])
-                i += 1
-            out.append(prose("footnote", " ".join(body)))
-        elif "|" in s and i + 1 < n and _TABLE_RULE.match(lines[i + 1]) and "-" in lines[i + 1]:
-            links = 0
-            while i < n and lines[i].strip() and "|" in lines[i]:
-                links += md_links(lines[i])
-                i += 1
-            out.append(["table", None, "", links])
-        elif s.startswith("    ") or s.startswith("\t"):
-            while i < n and (lines[i].startswith(("    ", "\t")) or not lines[i].strip()):
-                i += 1
-            out.append(["code_block", None, "", 0])
-        elif _ITEM.match(s):
-            rows, i = _md_list(lines, i)
-            out += rows
-        elif _IMAGE_LINE.match(s):
-            out.append(["figure", None, "", 0])
-            i += 1
+            self.close(para)
+            return 0
+        if m := _MD["fence"].match(s):
+            self.close(para)
+            mark = m[1]
+            shut = re.compile(rf"^\s{{0,3}}{re.escape(mark[0])}{{{len(mark)},}}\s*$")
+            n = next((k for k in range(i + 1, len(lines)) if shut.match(lines[k])), len(lines))
+            self.out.add("code_block")
+            return n + 1 - i
+        if m := _MD["atx"].match(s):
+            self.close(para)
+            self.prose("heading", m[2] or "", len(m[1]))
+            return 1
+        if para and (m := _MD["setext"].match(s)):
+            self.prose("heading", " ".join(para), 1 if m[1][0] == "=" else 2)
+            para.clear()
+            return 1
+        if _MD["rule"].match(s):
+            self.close(para)
+            return 1
+        if _MD["quote"].match(s):
+            self.close(para)
+            inner, n = quoted(lines, i)
+            self.within("blockquote", inner)
+            return n - i
+        if m := _MD["note"].match(s):
+            self.close(para)
+            n = i + 1
+            while n < len(lines) and lines[n].strip() and _MD["indented"].match(lines[n]):
+                n += 1
+            self.prose("footnote", " ".join([m[1], *(x.strip() for x in lines[i + 1 : n])]))
+            return n - i
+        if not para and _MD["link_definition"].match(s):
+            return 1
+        if "|" in s and i + 1 < len(lines) and "-" in lines[i + 1] and _MD["table_rule"].match(lines[i + 1]):
+            self.close(para)
+            n = next((k for k in range(i, len(lines)) if not lines[k].strip() or "|" not in lines[k]), len(lines))
+            self.out.add("table", links=sum(map(md_links, lines[i:n])))
+            return n - i
+        if not para and _MD["indented"].match(s):
+            n = next((k for k in range(i, len(lines)) if lines[k].strip() and not _MD["indented"].match(lines[k])), len(lines))
+            self.out.add("code_block")
+            return n - i
+        if (m := _MD["item"].match(s)) and m[3]:
+            self.close(para)
+            n = list_end(lines, i)
+            self.list(lines[i:n])
+            return n - i
+        if not para and _MD["image_line"].match(s):
+            self.out.add("figure")
+            return 1
+        return 0
+
+    def list(self, lines: list[str]) -> None:
+        base = len(_MD["item"].match(lines[0])[1])
+        at = self.out.add("list")
+        self.out.open.append(at)
+        item: list[str] = []
+        cut = 0
+        for s in [*lines, None]:
+            m = _MD["item"].match(s) if s is not None else None
+            if s is None or m and len(m[1]) <= base + 1:
+                if item:
+                    self.item(item)
+                if m:
+                    cut, item = len(m[1]) + len(m[2]) + 1, [m[3] or ""]
+            else:
+                item.append(s[min(cut, len(s) - len(s.lstrip(" "))) :])
+        self.out.open.pop()
+
+    def item(self, lines: list[str]) -> None:
+        """A paragraph that comes first is the item's own text."""
+        at = self.within("list_item", lines)
+        if at + 1 < len(self.out.rows) and self.out.rows[at + 1][:2] == [at, "paragraph"]:
+            _, _, _, text, links = self.out.rows.pop(at + 1)
+            self.out.say(at, text, links)
+            for row in self.out.rows[at + 1 :]:
+                if row[0] is not None and row[0] > at:
+                    row[0] -= 1
+
+
+def begins_block(s: str) -> bool:
+    return any(_MD[k].match(s) for k in ("fence", "atx", "quote", "rule", "item"))
+
+
+def quoted(lines: list[str], i: int) -> tuple[list[str], int]:
+    """The quote that begins at line i without its marks, and the line after it.
+
+    A line without a mark goes on with a quoted paragraph, wherever in the quote that is still open, unless it begins a
+    block of its own.
+    """
+    out: list[str] = []
+    fenced = False
+
+    def innermost(s: str) -> str:
+        while _MD["quote"].match(s):
+            s = _MD["quote"].sub("", s, count=1)
+        return s
+
+    while i < len(lines) and lines[i].strip():
+        if _MD["quote"].match(lines[i]):
+            out.append(_MD["quote"].sub("", lines[i], count=1))
+            fenced ^= bool(_MD["fence"].match(innermost(out[-1])))
         else:
-            body = [s]
-            i += 1
-            while i < n and not starts(i) and not (i + 1 < n and _SETEXT.match(lines[i])):
-                body.append(lines[i])
-                i += 1
-            out.append(prose("paragraph", " ".join(body)))
-    return out
-
-
-def _md_list(lines: list[str], i: int) -> tuple[list[list], int]:
-    """A list with its items; what is indented under an item is read as blocks of its own."""
-    out: list[list] = [["list", None, "", 0]]
-    base = len(_ITEM.match(lines[i])[1].expandtabs(4))
-    while i < len(lines) and (m := _ITEM.match(lines[i])) and len(m[1].expandtabs(4)) <= base + 1:
-        body, i = [lines[i][m.end() :]], i + 1
-        content = m.end()
-        while i < len(lines):
-            s = lines[i]
-            indent = len(s) - len(s.lstrip())
-            if not s.strip():
-                if i + 1 < len(lines) and lines[i + 1].strip() and len(lines[i + 1]) - len(lines[i + 1].lstrip()) >= content:
-                    body.append("")
-                    i += 1
-                    continue
-                break
-            if indent >= min(content, base + 2) and indent > base:
-                body.append(s[min(indent, content) :])
-            elif _ITEM.match(s) or _ATX.match(s) or _FENCE.match(s) or _QUOTE.match(s):
+            last = innermost(out[-1])
+            open_text = last.strip() and not any(_MD[k].match(last) for k in ("atx", "fence", "rule", "setext"))
+            if fenced or not open_text or begins_block(lines[i]):
                 break
-            else:
-                body.append(s.strip())
-            i += 1
-        inner = _markdown(body)
-        lead = inner.pop(0) if inner and inner[0][0] == "paragraph" else ["", None, "", 0]
-        out.append(["list_item", None, lead[2], lead[3]])
-        out += inner
-        while i < len(lines) and not lines[i].strip() and i + 1 < len(lines) and (m := _ITEM.match(lines[i + 1])) and len(m[1].expandtabs(4)) <= base + 1:
-            i += 1
+            out.append(lines[i])
+        i += 1
     return out, i
 
 
-def _parsed(parse: Callable[[str], list[list]]):
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, rows = [], []
-            for doc, text in zip(b.column("doc"), b.column("text"), strict=True):
-                for pos, (kind, level, words, links) in enumerate(parse(text.as_py() or "")):
-                    docs.append(doc.as_py())
-                    rows.append((pos, kind, level, words, links))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.record_batch([pa.array(docs, pa.int64()), *(pa.array(list(c), t) for c, (_, t) in zip(cols, _FIELDS, strict=True))], names=["doc", *(n for n, _ in _FIELDS)])
+def list_end(lines: list[str], i: int) -> int:
+    """The line after the list that begins at line i: items, indented lines, blank lines before either, and plain lines that go on with a text."""
+    n = i + 1
+    while n < len(lines):
+        s = lines[n]
+        if not s.strip():
+            after = lines[n + 1] if n + 1 < len(lines) else ""
+            if not after.strip() or not (_MD["item"].match(after) or after[0] in " \t"):
+                break
+        elif not (_MD["item"].match(s) or s[0] in " \t") and (not lines[n - 1].strip() or begins_block(s)):
+            break
+        n += 1
+    return n
+
 
-    return f
+# ---- plain text
 
 
-def html_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    return pages.select(pages[id_col].cast("long").alias("doc"), pages[html_col].alias("text")).mapInArrow(_parsed(html_rows), "doc long, " + SCHEMA)
+def text_outline(text: str) -> Outline:
+    out = Outline()
+    for lines in chunks(text):
+        classify(out, lines)
+    return out
 
 
-def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text")).mapInArrow(_parsed(markdown_rows), "doc long, " + SCHEMA)
+def chunks(text: str) -> Iterator[list[str]]:
+    """Runs of lines between blank ones, their ends trimmed."""
+    run: list[str] = []
+    for s in [*re.sub(r"\r\n?", "\n", text).split("\n"), ""]:
+        if s.strip():
+            run.append(s.rstrip())
+        elif run:
+            yield run
+            run = []
+
+
+_TX = {k: re.compile(v) for k, v in P.PLAIN_TEXT.items()}
+_CAPTION = re.compile(P.FIGURE_CAPTION, re.I)
+
+
+def line_level(line: str) -> int | None:
+    """Level of a line that reads like a heading."""
+    x = line.strip()
+    if len(x) > 80 or len(x.split()) > 12 or x[-1:] in ".!?,;:" and x:
+        return None
+    if m := _TX["numbered"].match(x):
+        return min(6, m[1].count(".") + 1)
+    return 1 if sum(c.isalpha() for c in x) >= 3 and x == x.upper() else None
+
+
+def tabular(lines: list[str]) -> bool:
+    if len(lines) < 2:
+        return False
+    bars = all("|" in s.strip("|") or s.startswith("|") for s in map(str.strip, lines))
+    return bars or len({s.count("\t") for s in lines}) == 1 and "\t" in lines[0]
+
+
+def classify(out: Outline, lines: list[str], headings: bool = True) -> None:
+    """The blocks of one run of lines."""
+    urls = lambda x: len(_URL.findall(x))
+
+    def prose(kind: str, own: list[str]) -> None:
+        text = " ".join(map(str.strip, own))
+        out.add(kind, text, urls(text))
+
+    while headings and len(lines) >= 2 and lines[0].strip() and (m := _TX["setext"].match(lines[1])):
+        out.add("heading", lines[0].strip(), level=1 if m[1][0] == "=" else 2)
+        lines = lines[2:]
+    if not lines:
+        return
+    level = line_level(lines[0]) if headings and len(lines) == 1 else None
+    if all(map(_TX["quote"].match, lines)):
+        out.open.append(out.add("blockquote"))
+        for inner in chunks("\n".join(_TX["quote"].sub("", s, count=1) for s in lines)):
+            classify(out, inner)
+        out.open.pop()
+    elif m := _TX["note"].match(lines[0]):
+        prose("footnote", [lines[0][m.end() :], *lines[1:]])
+    elif level is None and _TX["item"].match(lines[0]):
+        text_list(out, lines, urls)
+    elif tabular(lines):
+        out.add("table", links=sum(map(urls, lines)))
+    elif _CAPTION.match(lines[0].strip()):
+        out.add("figure")
+    elif level is not None:
+        out.add("heading", lines[0].strip(), level=level)
+    else:
+        prose("paragraph", lines)
+
+
+def text_list(out: Outline, lines: list[str], urls: Callable[[str], int]) -> None:
+    """Items by their indents; lines without a mark go on with the item before them."""
+    depth = len(out.open)
+    indents: list[int] = []
+    last: list[int | None] = []  # the last item of each open list
+    for s in lines:
+        m = _TX["item"].match(s)
+        if not m:
+            if last[-1] is not None:
+                out.say(last[-1], s.strip(), urls(s))
+            continue
+        indent = len(m[1])
+        if not indents:
+            out.open.append(out.add("list"))
+            indents, last = [indent], [None]
+        while len(indents) > 1 and indent < indents[-1]:
+            indents.pop()
+            last.pop()
+            del out.open[-2:]
+        if indent > indents[-1] and last[-1] is not None:
+            out.open.append(last[-1])
+            out.open.append(out.add("list"))
+            indents.append(indent)
+            last.append(None)
+        text = s[m.end() :].strip()
+        last[-1] = out.add("list_item", text, urls(text))
+    del out.open[depth:]
+
+
+# ---- tables of blocks
+
+PARSERS: dict[str, Callable[[str], Outline]] = {"html": html_outline, "markdown": markdown_outline, "text": text_outline}
+
+
+def rows_of(out: Outline) -> list[tuple]:
+    """(pos, parent, inside, type, level, text, links) of an outline's blocks."""
+    return [(pos, parent, inside, kind, level, text, links) for pos, ((parent, kind, level, text, links), inside) in enumerate(zip(out.rows, out.inside(), strict=True))]
+
+
+def record_batch(docs: list, rows: list[tuple], first: pa.Field) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(_FIELDS)
+    return pa.record_batch([pa.array(docs, first.type), *(pa.array(list(c), t) for c, (_, t) in zip(cols, _FIELDS, strict=True))], names=[first.name, *(n for n, _ in _FIELDS)])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From doc, format and text; a format without a parser has no blocks."""
+    for b in batches:
+        docs, rows = [], []
+        for doc, kind, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if kind in PARSERS:
+                own = rows_of(PARSERS[kind](text or ""))
+                docs += [doc] * len(own)
+                rows += own
+        yield record_batch(docs, rows, b.schema.field(0))
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """doc and SCHEMA for each block of the documents (doc, format, text)."""
+    return docs.select("doc", "format", "text").mapInArrow(_parsed, f"doc {docs.schema['doc'].dataType.simpleString()}, {SCHEMA}")
+
+
+def _of(kind: str) -> Callable[[DataFrame, str, str], DataFrame]:
+    def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        return blocks_of(docs.select(docs[id_col].cast("long").alias("doc"), F.lit(kind).alias("format"), docs[text_col].cast("string").alias("text")))
+
+    return blocks
+
+
+html_blocks, markdown_blocks, text_blocks = _of("html"), _of("markdown"), _of("text")
 
 
 # ---- plain text, by expressions
@@ -283,7 +528,7 @@ def is_table(lines: Column) -> Column:
 
 
 def chunk_type(chunk: Column) -> Column:
-    """The type of a chunk by its lines; a setext heading names the type of its first block."""
+    """The type of a chunk's first block, by its lines."""
     lines = F.split(chunk, "\n", -1)
     first, one = lines[0], F.size(lines) == 1
     head = one & heading_level(first).isNotNull()

@@ -202,7 +202,7 @@ def role(x: Column) -> Column:
 def paragraph_nodes(books: DataFrame) -> DataFrame:
     """Counts of each paragraph: sentences (at least 1), words, tokens between white space, average, role."""
     t = F.col("text")
-    sentences = F.when(t.isNotNull(), F.greatest(F.lit(1), F.size(T.sentences(t)))).cast("long")
+    sentences = F.when(t.isNotNull(), F.greatest(F.lit(1), T.sentence_count(t)))
     tokens = F.regexp_count(t, F.lit(r"[^ \t\n\r\x0b\x0c]+")).cast("long")
     # counted before rows are dealt by document, so no text is shuffled
     d = _pieces(books)
@@ -222,6 +222,14 @@ def chapter_nodes(nodes: DataFrame) -> DataFrame:
     return d.withColumns({"avg_sentences": T.ratio(F.col("sentences"), _least_one("paragraphs")), "avg_words": T.ratio(F.col("words"), _least_one("sentences"))})
 
 
+def chapter_tree(nodes: DataFrame, include_paragraphs: bool = True) -> DataFrame:
+    """Chapter rows with nodes, the list of their paragraphs' counts in order; null where paragraphs are left out."""
+    one = F.struct(*("idx", "sentences", "words", "tokens", "avg_words", "role"))
+    listed = F.array_sort(F.filter(F.collect_list(F.when(F.col("idx").isNotNull(), one)), lambda x: x.isNotNull())) if include_paragraphs else F.lit(None)
+    keys, s = [F.col(c) for c in NODE], lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return nodes.groupBy(*keys).agg(F.count("idx").alias("paragraphs"), s("sentences").alias("sentences"), s("words").alias("words"), listed.alias("nodes") if include_paragraphs else F.max(listed).alias("nodes"))
+
+
 def part_nodes(chapter_rows: DataFrame) -> DataFrame:
     d = chapter_rows.where("part > 0").groupBy("doc_id", "schema", "kind", "part", "part_label")
     return d.agg(F.count("*").alias("children"), *(F.sum(c).alias(c) for c in ("paragraphs", "sentences", "words", "tokens")))
@@ -242,7 +250,7 @@ def summary(chapter_rows: DataFrame) -> DataFrame:
 
 def analyze_books(books: DataFrame, override: Column | None = None) -> DataFrame:
     """Detection and summary of every (doc_id, text): the whole way from raw text."""
-    clean = T.normalise_blank_lines(T.strip_boilerplate(T.newlines(F.col("text"))))
-    d = detect(with_scores(with_evidence(books.select("doc_id", clean.alias("text")))), override)
+    clean = once(books, ["doc_id"], {"text": T.preprocess(F.col("text"))})
+    d = detect(with_scores(with_evidence(clean)), override)
     found = d.select("doc_id", "detected", "score", "confidence", "markers_found")
     return summary(chapter_nodes(paragraph_nodes(d))).join(found, "doc_id")

@@ -1,45 +1,72 @@
-"""Positioned text runs (from a PDF reader) to lines, headings and paragraphs, all relational.
+"""Positioned text runs (from a PDF reader) to lines, headings and paragraphs.
 
-runs: doc, page, run_pos, size, y, text.
+runs: doc, page, run_pos, size, y, text (may hold line breaks). Lines, sizes, gaps and
+groups are relational; only what a group of lines is (a list, a caption, a paragraph,
+...) is read by the plain-text rules, group by group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textlattice.functions import text as T
+from textlattice.functions import patterns as P, text as T
+from textlattice.operators import blocks as K
 
 
 def lines(runs: DataFrame) -> DataFrame:
-    """Runs whose heights differ by up to 1 join a line, its size is the largest; lone page numbers go."""
-    w = Window.partitionBy("doc", "page").orderBy("run_pos")
-    new = F.coalesce((F.abs(F.col("y") - F.lag("y").over(w)) > 1.0).cast("int"), F.lit(1))
-    d = runs.withColumn("new", new).withColumn("line", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_pos", "text"))), lambda r: r["text"]), "")
-    d = d.groupBy("doc", "page", "line").agg(F.max("size").alias("size"), F.min_by("y", "run_pos").alias("y"), T.collapse(joined).alias("text"))
-    return d.where((F.col("text") != "") & ~F.col("text").rlike(r"^(?:[Pp]age\s+)?\d{1,4}$"))
+    """doc, page, line, size, y, text: runs whose heights differ by up to 1 from the first of a line belong to it.
+
+    A line has the height of its first run and the largest size; page numbers by themselves go.
+    """
+    piece = lambda r: F.transform(F.split(r["text"], "\n", -1), lambda t, k: F.struct(r["y"].alias("y"), r["size"].alias("size"), t.alias("text"), (k > 0).alias("later")))
+    pieces = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run_pos", "y", "size", "text"))), piece))
+    pages = runs.groupBy("doc", "page").agg(pieces.alias("pieces"))
+    out = "array<struct<line:int,y:double,size:double,text:string>>"
+    start = F.struct(F.lit(0).alias("line"), F.lit(False).alias("open"), F.lit(0.0).alias("y"), F.array().cast(out).alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        goes_on = s["open"] & ~p["later"] & (F.abs(p["y"] - s["y"]) <= 1.0)
+        some = T.strip(p["text"]) != ""
+        line, y = F.when(some & ~goes_on, s["line"] + 1).otherwise(s["line"]), F.when(some & ~goes_on, p["y"]).otherwise(s["y"])
+        here = F.struct(line.alias("line"), y.alias("y"), p["size"].alias("size"), p["text"].alias("text"))
+        return F.struct(line.alias("line"), (goes_on | some).alias("open"), y.alias("y"), F.when(some, F.concat(s["out"], F.array(here))).otherwise(s["out"]).alias("out"))
+
+    d = pages.select("doc", "page", F.posexplode(F.aggregate("pieces", start, step, lambda s: s["out"])).alias("i", "p"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p.text"))), lambda r: r["text"]), "")
+    d = d.groupBy("doc", "page", F.col("p.line").alias("line")).agg(F.max("p.size").alias("size"), F.first("p.y").alias("y"), T.strip(joined).alias("text"))
+    return d.where(~F.col("text").rlike(P.PAGE_NUMBER))
+
+
+def half_points(size: Column) -> Column:
+    return F.bround(size * 2, 0) / 2
 
 
 def body_size(line_rows: DataFrame) -> DataFrame:
-    """The size that most characters have; of equals the one that comes first."""
-    by_size = line_rows.groupBy("doc", "size").agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page", "line")).alias("first"))
+    """The size, to half points, that most characters have; of equals the one that comes first."""
+    by_size = line_rows.groupBy("doc", half_points(F.col("size")).alias("size")).agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page", "line")).alias("first"))
     return by_size.groupBy("doc").agg(F.max_by("size", F.struct("n", (-F.col("first.page")).alias("p"), (-F.col("first.line")).alias("l"))).alias("body"))
 
 
 def with_headings(line_rows: DataFrame) -> DataFrame:
-    """Adds heading (level by descending size, else null): larger than 1.15 times the body, 15 words at most, no closing mark."""
+    """Adds body and heading (level by descending size, else null): at least 1.15 times the body, 15 words at most, no closing mark."""
     d = line_rows.join(body_size(line_rows), "doc")
-    big = (F.col("size") >= F.col("body") * 1.15) & (F.size(F.split("text", " ")) <= 15) & ~F.col("text").rlike(r"[.,;]$")
-    d = d.withColumn("big", big)
-    rank = F.dense_rank().over(Window.partitionBy("doc", "big").orderBy(F.col("size").desc()))
+    size = half_points(F.col("size"))
+    words = F.size(F.split(T.strip(F.col("text")), f"{P.WS}+"))
+    d = d.withColumn("big", (size >= F.col("body") * 1.15) & (words <= 15) & ~F.col("text").rlike(r"[.,;]$"))
+    rank = F.dense_rank().over(Window.partitionBy("doc", "big").orderBy(size.desc()))
     return d.withColumn("heading", F.when(F.col("big"), F.least(F.lit(6), rank))).drop("big")
 
 
-def gaps(line_rows: DataFrame) -> DataFrame:
-    """Per document the median distance between neighbouring lines of a page."""
-    w = Window.partitionBy("doc", "page").orderBy("line")
-    g = line_rows.withColumn("gap", F.lag("y").over(w) - F.col("y")).where("gap > 0")
-    return g.groupBy("doc").agg(F.median("gap").alias("median_gap"))
+def gaps(headed: DataFrame) -> DataFrame:
+    """Per document the median distance between neighbouring lines of a page that are no headings; null where there is none."""
+    w = Window.partitionBy("doc").orderBy("page", "line")
+    prev = lambda c: F.lag(c).over(w)
+    near = (prev("page") == F.col("page")) & prev("heading").isNull() & F.col("heading").isNull()
+    g = headed.withColumn("gap", F.when(near, prev("y") - F.col("y")))
+    return g.groupBy("doc").agg(F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("median_gap"))
 
 
 def dehyphenate(text: Column) -> Column:
@@ -47,17 +74,56 @@ def dehyphenate(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, r"([A-Za-z])-\n(?=\p{Ll})", "$1"), F.lit("\n"), F.lit(" "))
 
 
-def blocks(line_rows: DataFrame) -> DataFrame:
-    """Headings and paragraphs in order: wrapped headings join, a gap of 1.4 medians starts a paragraph, a page break only after a sentence."""
-    d = with_headings(line_rows).join(gaps(line_rows), "doc", "left")
+def groups(line_rows: DataFrame) -> DataFrame:
+    """doc, pos, level (of a heading, else null), lines: wrapped headings, and the lines of each paragraph.
+
+    A heading goes on in a line of its size no further below than 1.6 times that. A paragraph ends at a gap of 1.4
+    medians (1.2 body sizes where no gap is known), where a line stands higher than the one before, and at a page's
+    end after a sentence.
+    """
+    d = with_headings(line_rows)
+    d = d.join(gaps(d), "doc", "left").withColumn("spacing", F.coalesce("median_gap", F.col("body") * 1.2))
     w = Window.partitionBy("doc").orderBy("page", "line")
     prev = lambda c: F.lag(c).over(w)
-    same_page = prev("page") == F.col("page")
-    cut = F.when(same_page, (prev("y") - F.col("y")) > F.col("median_gap") * 1.4).otherwise(prev("text").rlike(r"""[.!?]["'”’)]*$"""))
-    level = F.coalesce("heading", F.lit(0))
-    before = F.coalesce(prev("heading"), F.lit(0))
-    new = F.when(prev("text").isNull(), True).when(level != before, True).when(level > 0, ~same_page).otherwise(F.coalesce(cut, F.lit(True)))
-    d = d.withColumn("new", new.cast("int")).withColumn("pos", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda r: r["text"]), "\n")
-    d = d.groupBy("doc", "pos").agg(F.max("heading").alias("level"), text.alias("text"))
-    return d.select("doc", "pos", F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph").alias("type"), "level", dehyphenate(F.col("text")).alias("text"))
+    same_page, down = prev("page") == F.col("page"), prev("y") - F.col("y")
+    wrapped = prev("heading").isNotNull() & (half_points(prev("size")) == half_points(F.col("size"))) & same_page & (down > 0) & (down <= F.col("size") * 1.6)
+    cut = F.when(same_page, (down > F.col("spacing") * 1.4) | (down < 0)).otherwise(prev("text").rlike(P.SENTENCE_CLOSED))
+    new = F.when(F.col("heading").isNotNull(), ~wrapped).otherwise(prev("heading").isNotNull() | cut)
+    d = d.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("pos", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda r: r["text"])
+    return d.groupBy("doc", "pos").agg(F.min("heading").alias("level"), text.alias("lines"))
+
+
+#: Blocks that a group may hold: positions within a document are the group's number times this, and on.
+_ROOM = 1 << 20
+
+
+def dehyphenated(own: list[str]) -> list[str]:
+    out: list[str] = []
+    for s in own:
+        if out and len(out[-1]) > 1 and out[-1][-1] == "-" and out[-1][-2].isascii() and out[-1][-2].isalpha() and s[:1].islower():
+            out[-1] = out[-1][:-1] + s
+        else:
+            out.append(s)
+    return out
+
+
+def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        docs, rows = [], []
+        for doc, pos, level, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out = K.Outline()
+            if level is not None:
+                out.add("heading", " ".join(own), level=level)
+            else:
+                K.classify(out, dehyphenated(own), headings=False)
+            first = pos * _ROOM
+            docs += [doc] * len(out.rows)
+            rows += [(first + i, None if up is None else first + up, *rest) for i, up, *rest in K.rows_of(out)]
+        yield K.record_batch(docs, rows, b.schema.field(0))
+
+
+def blocks(line_rows: DataFrame) -> DataFrame:
+    """doc and the columns of blocks.SCHEMA: headings by their sizes, groups of other lines by the plain-text rules, without headings."""
+    g = groups(line_rows).select("doc", F.col("pos").cast("long").alias("pos"), "level", "lines")
+    return g.mapInArrow(_classified, f"doc {g.schema['doc'].dataType.simpleString()}, {K.SCHEMA}")

@@ -1,8 +1,10 @@
 """Section trees over flat blocks: headings nest by level, without any stack or recursion.
 
-blocks: doc, pos (order in the document), type, level (headings), text. Of each level
-the latest heading so far is one running maximum; those that no later, higher heading
-has closed are the open sections. Windows are partitioned by document.
+blocks: doc, pos (order in the document), type, level (headings), text, and where blocks
+nest also inside (the types of the blocks around each). Of each level the latest heading
+so far is one running maximum; those that no later, higher heading has closed are the
+open sections. Only headings at the root open sections. Windows are partitioned by
+document.
 """
 
 from __future__ import annotations
@@ -27,9 +29,15 @@ def _open_sections(before_level: Column | None) -> Column:
     return F.filter(F.array(*(F.when(alive(k), F.col(f"last{k}")) for k in range(1, 7))), lambda x: x.isNotNull())
 
 
+def opens(blocks: DataFrame) -> Column:
+    """Whether a block is a heading that opens a section."""
+    heading = F.col("type") == "heading"
+    return heading & (F.size("inside") == 0) if "inside" in blocks.columns else heading
+
+
 def headings(blocks: DataFrame) -> DataFrame:
-    """doc, pos, level, text, ancestors (positions, outermost first), parent (0 for none is null), idx among its siblings."""
-    h = blocks.where("type = 'heading'").withColumn("level", F.least(F.lit(6), F.greatest(F.lit(1), F.coalesce("level", F.lit(1)))))
+    """doc, pos, level, text, ancestors (positions, outermost first), parent (null for none), idx among its siblings."""
+    h = blocks.where(opens(blocks)).withColumn("level", F.least(F.lit(6), F.greatest(F.lit(1), F.coalesce("level", F.lit(1)))))
     w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     for k in range(1, 7):
         h = h.withColumn(f"last{k}", F.max(F.when(F.col("level") == k, F.col("pos"))).over(w))
@@ -63,16 +71,18 @@ def section_class(h: DataFrame) -> DataFrame:
 def with_section(blocks: DataFrame) -> DataFrame:
     """Adds section, the position of the heading that a block stands under (PREAMBLE before the first)."""
     w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("type") == "heading", F.col("pos")), ignorenulls=True).over(w)
+    last = F.last(F.when(opens(blocks), F.col("pos")), ignorenulls=True).over(w)
     return blocks.withColumn("section", F.coalesce(last, F.lit(PREAMBLE)))
 
 
 def retyped(blocks: DataFrame) -> DataFrame:
-    """Paragraphs and list items under references and notes count as such."""
+    """Paragraphs and list items under references and notes count as such, also within lists, quotes and each other."""
     target = section_class(headings(blocks)).select("doc", F.col("pos").alias("section"), "target")
     d = with_section(blocks).join(target, ["doc", "section"], "left")
-    kind = F.when(F.col("target").isNotNull() & F.col("type").isin("paragraph", "list_item"), F.col("target")).otherwise(F.col("type"))
-    return d.withColumn("type", kind).drop("target")
+    reached = F.col("target").isNotNull() & F.col("type").isin("paragraph", "list_item")
+    if "inside" in blocks.columns:
+        reached &= F.forall("inside", lambda t: t.isin("list", "blockquote", "list_item", "paragraph") | (t == F.col("target")))
+    return d.withColumn("type", F.when(reached, F.col("target")).otherwise(F.col("type"))).drop("target")
 
 
 def counts(typed: DataFrame) -> DataFrame:

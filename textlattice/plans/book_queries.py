@@ -112,7 +112,7 @@ def _split(t: str, pattern: str) -> str:
 
 
 _C, _N, _T, _P = f"(?mi)({P.CHAPTER})", f"(?m)({P.NUMERAL})", f"(?m)({P.CAPS_TITLE})", f"(?mi)({P.PART})"
-# parts, chapters and paragraphs of all but scripture, whose headings need look-around
+# parts, chapters and paragraphs of all but scripture
 _PARTS = f"""{_DETECT}, pl AS (SELECT doc_id, detected AS schema, text, CASE WHEN detected = 'sectioned_book' THEN {_split('text', _P)} ELSE [] END AS p FROM detect WHERE detected <> 'canonical_scripture'),
     pr AS (SELECT doc_id, schema, 'none' AS kind, CAST(0 AS BIGINT) AS part, NULL AS part_label, text AS content FROM pl WHERE len(p) = 0
         UNION ALL SELECT doc_id, schema, 'part', i, x.label, x.content FROM (SELECT doc_id, schema, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS i FROM pl WHERE len(p) > 0))"""
@@ -120,9 +120,24 @@ _CHAPTERS = f"""{_PARTS}, cw AS (SELECT *, {_split('content', _C)} AS w, {_split
     cl AS (SELECT *, CASE WHEN schema = 'flat' THEN [] WHEN schema = 'essay_or_story_collection' THEN e WHEN len(w) > 0 THEN w ELSE n END AS c FROM cw),
     ch AS (SELECT doc_id, schema, kind, part, part_label, CASE WHEN kind = 'none' THEN CAST(0 AS BIGINT) ELSE 1 END AS chapter, CASE WHEN kind <> 'none' THEN 'Chapter 1' END AS label, content FROM cl WHERE len(c) = 0
         UNION ALL SELECT doc_id, schema, kind, part, part_label, i, x.label, x.content FROM (SELECT *, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM cl WHERE len(c) > 0))"""
-_PARAS = f"""{_CHAPTERS}, pal AS (SELECT *, {D.paragraphs('content')} AS l FROM ch),
+# scripture: its books begin at paragraphs that are a book's name, those without verses don't count; chapters by their headings, else by the verses' numbers
+_BOOK_NAME = P.SCRIPTURE_BOOKS
+_SCRIPTURE = f"""{_CHAPTERS}, sb AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS b FROM detect WHERE detected = 'canonical_scripture'),
+    sh AS (SELECT *, list_filter(range(1, len(b) + 1), lambda k: regexp_full_match(b[k], {D.q('(?i)(?:(?:' + _BOOK_NAME + ')|BOOK' + chr(92) + 's+(?:OF' + chr(92) + 's+)?[A-Z][A-Z' + chr(92) + 's]+)[ ' + chr(92) + 't]*')})) AS h FROM sb),
+    sc AS (SELECT doc_id, j, {D.strip('b[h[j]]')} AS label, {D.strip("array_to_string(b[h[j] + 1:CASE WHEN j < len(h) THEN h[j + 1] - 1 ELSE len(b) END], chr(10) || chr(10))")} AS content FROM (SELECT *, unnest(range(1, len(h) + 1)) AS j FROM sh)),
+    sp AS (SELECT doc_id, 'canonical_scripture' AS schema, 'book' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS part, label AS part_label, content, {_split('content', _C)} AS w FROM sc WHERE regexp_matches(content, {D.q('(?m)' + P.VERSE)})),
+    sw AS (SELECT doc_id, schema, kind, part, part_label, unnest(range(1, len(w) + 1)) AS chapter, unnest(list_transform(w, lambda x: x.label)) AS label, unnest(list_transform(w, lambda x: x.content)) AS content FROM sp WHERE len(w) > 0),
+    sl AS (SELECT *, CASE WHEN len(l) > 0 THEN l ELSE p END AS v FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(content, {D.q('(?m)' + P.VERSE)}), lambda x: {D.strip('x')}), lambda x: length(x) >= 3) AS l, {D.paragraphs('content')} AS p FROM sw)),
+    vm AS (SELECT doc_id, schema, kind, part, part_label, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT *, string_split(regexp_replace(content, '(^|\\s)(\\d{{1,3}}):(\\d{{1,3}})\\s', '\\1' || chr(1) || '\\2:\\3' || chr(2), 'g'), chr(1))[2:] AS l FROM sp WHERE len(w) = 0)),
+    vn AS (SELECT doc_id, schema, kind, part, part_label, pos, CAST(split_part(split_part(x, chr(2), 1), ':', 1) AS BIGINT) AS c, CAST(split_part(split_part(x, chr(2), 1), ':', 2) AS BIGINT) AS v, {D.strip('split_part(x, chr(2), 2)')} AS text FROM vm),
+    vr AS (SELECT *, CASE WHEN c IS DISTINCT FROM lag(c) OVER (PARTITION BY doc_id, part ORDER BY pos) THEN 1 ELSE 0 END AS new FROM vn WHERE text <> ''),
+    sv AS (SELECT doc_id, schema, kind, part, part_label, CAST(sum(new) OVER (PARTITION BY doc_id, part ORDER BY pos) AS BIGINT) AS chapter, 'Chapter ' || c AS label, v AS idx, text FROM vr)"""
+_PARAS = f"""{_SCRIPTURE}, pal AS (SELECT *, {D.paragraphs('content')} AS l FROM ch),
     pa AS (SELECT doc_id, schema, kind, part, part_label, chapter, label, NULL AS idx, NULL AS text FROM pal WHERE len(l) = 0
-        UNION ALL SELECT doc_id, schema, kind, part, part_label, chapter, label, unnest(range(1, len(l) + 1)), unnest(l) FROM pal WHERE len(l) > 0),
+        UNION ALL SELECT doc_id, schema, kind, part, part_label, chapter, label, unnest(range(1, len(l) + 1)), unnest(l) FROM pal WHERE len(l) > 0
+        UNION ALL SELECT doc_id, schema, kind, part, part_label, chapter, label, NULL, NULL FROM sl WHERE len(v) = 0
+        UNION ALL SELECT doc_id, schema, kind, part, part_label, chapter, label, unnest(range(1, len(v) + 1)), unnest(v) FROM sl WHERE len(v) > 0
+        UNION ALL SELECT doc_id, schema, kind, part, part_label, chapter, label, idx, text FROM sv),
     nodes AS (SELECT doc_id, schema, kind, part, part_label, chapter, label, idx, CAST(CASE WHEN text IS NOT NULL THEN greatest(1, len({D.sentences('text')})) END AS BIGINT) AS sentences, {D.word_count('text')} AS words,
         CAST(len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS BIGINT) AS tokens FROM pa)"""
 _CNODES = f"""{_PARAS}, cn AS (SELECT doc_id, schema, kind, part, part_label, chapter, label, count(idx) AS paragraphs, CAST(coalesce(sum(sentences), 0) AS BIGINT) AS sentences, CAST(coalesce(sum(words), 0) AS BIGINT) AS words, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens
@@ -130,8 +145,8 @@ _CNODES = f"""{_PARAS}, cn AS (SELECT doc_id, schema, kind, part, part_label, ch
 _AVG = f"{D.ratio('sentences', 'greatest(paragraphs, 1)')} AS avg_sentences, {D.ratio('words', 'greatest(sentences, 1)')} AS avg_words"
 
 
-def plain_books(spark, sf_dir) -> DataFrame:
-    return detected(spark, sf_dir).where("schema <> 'canonical_scripture'").select("doc_id", "schema", "text")
+def books(spark, sf_dir) -> DataFrame:
+    return detected(spark, sf_dir).select("doc_id", "schema", "text")
 
 
 def chapters_of(spark, sf_dir, schema: str) -> DataFrame:
@@ -189,31 +204,28 @@ def chapter_verses(spark, sf_dir):
     return d.select("doc_id", "chapter", (F.col("k") + 1).cast("long").alias("idx"), T.word_count(F.col("v")).alias("words"))
 
 
-@query()
+@query(f"WITH {_CNODES} SELECT doc_id, kind, part, part_label, chapter, label, paragraphs, sentences, words FROM cn WHERE schema = 'canonical_scripture'")
 def scripture(spark, sf_dir):
-    """Books, chapters and verses; the headings need look-around, which DuckDB lacks."""
+    """Books, chapters and verses."""
     d = detected(spark, sf_dir).where("schema = 'canonical_scripture'").select("doc_id", "schema", "text")
     return B.chapter_nodes(B.paragraph_nodes(d)).select("doc_id", "kind", "part", "part_label", "chapter", "label", "paragraphs", "sentences", "words")
 
 
 @query(f"WITH {_PARAS} SELECT doc_id, part, chapter, idx, sentences, words, {D.ratio('words', 'sentences')} AS avg_words FROM nodes WHERE idx IS NOT NULL")
 def paragraph_nodes(spark, sf_dir):
-    return B.paragraph_nodes(plain_books(spark, sf_dir)).where("idx IS NOT NULL").select("doc_id", "part", "chapter", "idx", "sentences", "words", "avg_words")
+    return B.paragraph_nodes(books(spark, sf_dir)).where("idx IS NOT NULL").select("doc_id", "part", "chapter", "idx", "sentences", "words", "avg_words")
 
 
-@query(f"WITH {_PARAS} SELECT doc_id, part, chapter, idx AS paragraph, CAST(i AS BIGINT) AS sentence, {D.word_count('s')} AS words, CAST(greatest(1, len({D.clauses('s')})) AS BIGINT) AS clauses FROM (SELECT *, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, {D.sentences('text')} AS l FROM pa WHERE idx IS NOT NULL AND doc_id < 100))")
+@query(f"WITH {_PARAS} SELECT doc_id, part, chapter, idx AS paragraph, CAST(i AS BIGINT) AS sentence, {D.word_count('s')} AS words, CAST(greatest(1, len({D.clauses('s')})) AS BIGINT) AS clauses FROM (SELECT *, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, {D.sentences('text')} AS l FROM pa WHERE idx IS NOT NULL))")
 def detail_sentence(spark, sf_dir):
-    d = B.paragraphs(plain_books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
+    d = B.paragraphs(books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
     return d.select("doc_id", "part", "chapter", "paragraph", (F.col("i") + 1).cast("long").alias("sentence"), T.word_count(F.col("s")).alias("words"), F.greatest(F.lit(1), F.size(T.clauses(F.col("s")))).cast("long").alias("clauses"))
 
 
-ORACLE_SQL["detail_sentence"] = ORACLE_SQL["detail_sentence"].replace(" AND doc_id < 100", "")
-
-
 @query(f"""WITH {_PARAS}, s AS (SELECT doc_id, part, chapter, idx AS paragraph, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS sentence FROM (SELECT *, {D.sentences('text')} AS l FROM pa WHERE idx IS NOT NULL))
     SELECT doc_id, part, chapter, paragraph, sentence, unnest(range(1, len(c) + 1)) AS clause, unnest(list_transform(c, lambda x: {D.word_count('x')})) AS words FROM (SELECT *, {D.clauses('s')} AS c FROM s)""")
 def detail_clause(spark, sf_dir):
-    d = B.paragraphs(plain_books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
+    d = B.paragraphs(books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
     d = d.select("doc_id", "part", "chapter", "paragraph", (F.col("i") + 1).cast("long").alias("sentence"), F.posexplode(T.clauses(F.col("s"))).alias("k", "c"))
     return d.select("doc_id", "part", "chapter", "paragraph", "sentence", (F.col("k") + 1).cast("long").alias("clause"), T.word_count(F.col("c")).alias("words"))
 
@@ -221,13 +233,13 @@ def detail_clause(spark, sf_dir):
 @query(rf"""WITH {_PARAS}, w AS (SELECT doc_id, part, chapter, idx AS paragraph, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z0-9]+')) AS l FROM pa WHERE idx IS NOT NULL)
     SELECT doc_id, part, chapter, paragraph, count(*) AS words, CAST(sum(i * length(x)) AS BIGINT) AS weighted FROM (SELECT *, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM w) GROUP BY ALL""")
 def detail_word(spark, sf_dir):
-    d = B.paragraphs(plain_books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.word_list(F.col("text"))).alias("i", "w"))
+    d = B.paragraphs(books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.word_list(F.col("text"))).alias("i", "w"))
     return d.groupBy("doc_id", "part", "chapter", "paragraph").agg(F.count("*").alias("words"), F.sum((F.col("i") + 1) * F.length("w")).cast("long").alias("weighted"))
 
 
 @query(f"WITH {_CNODES} SELECT doc_id, part, chapter, label, paragraphs, sentences, words, {_AVG} FROM cn WHERE chapter > 0")
 def chapter_nodes(spark, sf_dir):
-    return B.chapter_nodes(B.paragraph_nodes(plain_books(spark, sf_dir))).where("chapter > 0").select("doc_id", "part", "chapter", "label", "paragraphs", "sentences", "words", "avg_sentences", "avg_words")
+    return B.chapter_nodes(B.paragraph_nodes(books(spark, sf_dir))).where("chapter > 0").select("doc_id", "part", "chapter", "label", "paragraphs", "sentences", "words", "avg_sentences", "avg_words")
 
 
 ORACLE_SQL["verse_chapters"] = ORACLE_SQL["verse_islands"].replace("min(verse) AS first_verse, ", "").replace("count(*) AS verses", "'Chapter ' || min(chapter) AS label, count(*) AS paragraphs")
@@ -241,7 +253,7 @@ def verse_chapters(spark, sf_dir):
 
 @query(f"WITH {_CNODES} SELECT doc_id, part, part_label, count(*) AS children, CAST(sum(paragraphs) AS BIGINT) AS paragraphs, CAST(sum(words) AS BIGINT) AS words FROM cn WHERE part > 0 GROUP BY ALL")
 def part_nodes(spark, sf_dir):
-    return B.part_nodes(B.chapter_nodes(B.paragraph_nodes(plain_books(spark, sf_dir)))).select("doc_id", "part", "part_label", "children", "paragraphs", "words")
+    return B.part_nodes(B.chapter_nodes(B.paragraph_nodes(books(spark, sf_dir)))).select("doc_id", "part", "part_label", "children", "paragraphs", "words")
 
 
 _SUMMARY = f"""{_CNODES}, su AS (SELECT doc_id, schema, max(part) AS parts, count(*) FILTER (chapter > 0) AS chapters, CAST(sum(paragraphs) AS BIGINT) AS paragraphs, CAST(sum(sentences) AS BIGINT) AS sentences, CAST(sum(words) AS BIGINT) AS words, CAST(sum(tokens) AS BIGINT) AS tokens FROM cn GROUP BY ALL),
@@ -250,7 +262,7 @@ _SUMMARY = f"""{_CNODES}, su AS (SELECT doc_id, schema, max(part) AS parts, coun
 
 
 def summaries(spark, sf_dir) -> DataFrame:
-    return B.summary(B.chapter_nodes(B.paragraph_nodes(plain_books(spark, sf_dir))))
+    return B.summary(B.chapter_nodes(B.paragraph_nodes(books(spark, sf_dir))))
 
 
 @query(f"WITH {_SUMMARY} SELECT * EXCLUDE (mid_nodes, tokens) FROM summary WHERE mid_nodes IS NULL")
@@ -268,10 +280,17 @@ def token_rollup(spark, sf_dir):
     return summaries(spark, sf_dir).select("doc_id", "tokens", "words")
 
 
-@query(f"WITH {_SUMMARY} SELECT *, CAST(0 AS BIGINT) AS listed FROM summary")
+@query(f"WITH {_CNODES} SELECT doc_id, part, chapter, label, paragraphs, words, true AS pruned FROM cn WHERE chapter > 0")
 def no_paragraphs(spark, sf_dir):
-    """Paragraph nodes left out: the summary stays the same."""
-    return summaries(spark, sf_dir).withColumn("listed", F.lit(0).cast("long"))
+    """Chapters without the list of their paragraphs, whose counts stay."""
+    return B.chapter_tree(B.paragraph_nodes(books(spark, sf_dir)), include_paragraphs=False).where("chapter > 0").select("doc_id", "part", "chapter", "label", "paragraphs", "words", F.col("nodes").isNull().alias("pruned"))
+
+
+@query(f"WITH {_PARAS} SELECT doc_id, part, chapter, label, count(idx) AS listed, CAST(sum(words) AS BIGINT) AS words, min(idx) AS first FROM nodes GROUP BY doc_id, part, chapter, label")
+def with_paragraphs(spark, sf_dir):
+    d = B.chapter_tree(B.paragraph_nodes(books(spark, sf_dir)))
+    total = F.aggregate("nodes", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return d.select("doc_id", "part", "chapter", "label", F.size("nodes").cast("long").alias("listed"), F.when(F.size("nodes") > 0, total).alias("words"), F.array_min(F.transform("nodes", lambda x: x["idx"])).alias("first"))
 
 
 @query(f"WITH {_SUMMARY} SELECT * FROM summary")
@@ -281,5 +300,5 @@ def book_structure(spark, sf_dir):
 
 @query(f"WITH {_CNODES} SELECT schema, part, chapter, CAST(grouping_id(schema, part, chapter) AS BIGINT) AS level, CAST(sum(paragraphs) AS BIGINT) AS paragraphs, CAST(sum(words) AS BIGINT) AS words FROM cn GROUP BY ROLLUP (schema, part, chapter)")
 def structure_rollup(spark, sf_dir):
-    d = B.chapter_nodes(B.paragraph_nodes(plain_books(spark, sf_dir)))
+    d = B.chapter_nodes(B.paragraph_nodes(books(spark, sf_dir)))
     return d.rollup("schema", "part", "chapter").agg(F.grouping_id().cast("long").alias("level"), F.sum("paragraphs").alias("paragraphs"), F.sum("words").alias("words"))

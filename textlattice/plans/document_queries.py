@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from textlattice.functions import patterns as P
-from textlattice.operators import blocks as K, sections as S
+from textlattice.functions import patterns as P, text as T
+from textlattice.operators import blocks as K, documents as O, sections as S
 from textlattice.plans import duck as D
 from textlattice.sources.tables import table
 
@@ -22,34 +22,42 @@ def query(sql: str | None = None):
     return add
 
 
-# ---- sections: a conversation is a document, each turn a heading with its lines as blocks
+# ---- sections: a conversation is a document, each turn a heading with its lines as blocks, some of them nested
 
-_HEAD = "CASE turn % 5 WHEN 3 THEN '2.1 References' WHEN 4 THEN 'Notes' ELSE substr(text, 1, 30) END"
+_HEAD = "CASE turn % 5 WHEN 3 THEN '2.1 References' WHEN 4 THEN 'Notes' ELSE text END"
 _KIND = "CASE i % 4 WHEN 1 THEN 'list_item' WHEN 3 THEN 'table' ELSE 'paragraph' END"
-_BLOCKS = f"""blocks AS (SELECT conv_id AS doc, turn * 1000 AS pos, 'heading' AS type, CAST((turn * 7 + conv_id) % 4 + 1 AS INT) AS level, {_HEAD} AS text FROM conversations
-    UNION ALL SELECT conv_id, turn * 1000 + i + 1, {_KIND}, NULL, x FROM (SELECT conv_id, turn, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT conv_id, turn, string_split(text, '. ') AS l FROM conversations))
-    UNION ALL SELECT conv_id, CAST(-5 AS BIGINT), 'paragraph', NULL, 'Before it all. Really.' FROM conversations WHERE turn = 0 AND conv_id % 3 = 0)"""
+_BLOCKS = f"""blocks AS (SELECT conv_id AS doc, turn * 1000000 AS pos, 'heading' AS type, CAST((turn * 7 + conv_id) % 4 + 1 AS INT) AS level, {_HEAD} AS text, CAST([] AS VARCHAR[]) AS inside, 0 AS links FROM conversations
+    UNION ALL SELECT conv_id, turn * 1000000 + i + 1, {_KIND}, NULL, x, CASE i % 5 WHEN 2 THEN ['list', 'list_item'] WHEN 4 THEN ['table'] ELSE [] END, i % 2 FROM (SELECT conv_id, turn, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT conv_id, turn, string_split(text, '. ') AS l FROM conversations))
+    UNION ALL SELECT conv_id, turn * 1000000 + 900000, 'blockquote', NULL, '', [], 0 FROM conversations WHERE turn % 3 = 1 UNION ALL SELECT conv_id, turn * 1000000 + 900001, 'heading', 1, 'Notes', ['blockquote'], 0 FROM conversations WHERE turn % 3 = 1
+    UNION ALL SELECT conv_id, CAST(-5 AS BIGINT), 'paragraph', NULL, 'Before it all. Really.', [], 0 FROM conversations WHERE turn = 0 AND conv_id % 3 = 0)"""
 
 
 def conversation_blocks(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    h = c.select(F.col("conv_id").alias("doc"), (F.col("turn") * 1000).alias("pos"), F.lit("heading").alias("type"), F.expr("CAST((turn * 7 + conv_id) % 4 + 1 AS INT)").alias("level"), F.expr(_HEAD).alias("text"))
+    inside = "CAST({} AS ARRAY<STRING>) AS inside"
+    h = c.selectExpr("conv_id AS doc", "turn * 1000000 AS pos", "'heading' AS type", "CAST((turn * 7 + conv_id) % 4 + 1 AS INT) AS level", f"{_HEAD} AS text", inside.format("array()"), "0 AS links")
     b = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\. ", -1)).alias("i", "x"))
-    b = b.select(F.col("conv_id").alias("doc"), (F.col("turn") * 1000 + F.col("i") + 1).alias("pos"), F.expr(_KIND).alias("type"), F.lit(None).cast("int").alias("level"), F.col("x").alias("text"))
-    p = c.where("turn = 0 AND conv_id % 3 = 0").select(F.col("conv_id").alias("doc"), F.lit(-5).cast("long").alias("pos"), F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), F.lit("Before it all. Really.").alias("text"))
-    return h.unionByName(b).unionByName(p)
+    b = b.selectExpr("conv_id AS doc", "turn * 1000000 + i + 1 AS pos", f"{_KIND} AS type", "CAST(NULL AS INT) AS level", "x AS text", inside.format("CASE i % 5 WHEN 2 THEN array('list', 'list_item') WHEN 4 THEN array('table') ELSE array() END"), "i % 2 AS links")
+    quoted = c.where("turn % 3 = 1")
+    q = quoted.selectExpr("conv_id AS doc", "turn * 1000000 + 900000 AS pos", "'blockquote' AS type", "CAST(NULL AS INT) AS level", "'' AS text", inside.format("array()"), "0 AS links")
+    n = quoted.selectExpr("conv_id AS doc", "turn * 1000000 + 900001 AS pos", "'heading' AS type", "1 AS level", "'Notes' AS text", inside.format("array('blockquote')"), "0 AS links")
+    p = c.where("turn = 0 AND conv_id % 3 = 0").selectExpr("conv_id AS doc", "CAST(-5 AS BIGINT) AS pos", "'paragraph' AS type", "CAST(NULL AS INT) AS level", "'Before it all. Really.' AS text", inside.format("array()"), "0 AS links")
+    return h.unionByName(b).unionByName(q).unionByName(n).unionByName(p)
 
 
-_HEADINGS = f"""{_BLOCKS}, hb AS (SELECT * FROM blocks WHERE type = 'heading'), h AS (SELECT a.doc, a.pos, a.level, a.text, max(b.pos) AS parent FROM hb a LEFT JOIN hb b ON b.doc = a.doc AND b.pos < a.pos AND b.level < a.level GROUP BY ALL),
+# from a table of blocks: headings that open sections, their trees, classes and counts
+_TREE = """hb AS (SELECT * FROM blocks WHERE type = 'heading' AND len(inside) = 0), h AS (SELECT a.doc, a.pos, a.level, a.text, max(b.pos) AS parent FROM hb a LEFT JOIN hb b ON b.doc = a.doc AND b.pos < a.pos AND b.level < a.level GROUP BY ALL),
     hi AS (SELECT *, row_number() OVER (PARTITION BY doc, parent ORDER BY pos) AS idx FROM h),
     anc AS (WITH RECURSIVE r AS (SELECT doc, pos, pos AS at, 0 AS up FROM hi UNION ALL SELECT r.doc, r.pos, hi.parent, r.up + 1 FROM r JOIN hi ON hi.doc = r.doc AND hi.pos = r.at WHERE hi.parent IS NOT NULL) SELECT * FROM r)"""
-_CLASS = f"""{_HEADINGS}, own AS (SELECT doc, pos, CASE WHEN regexp_matches({D.strip('text')}, {D.q('(?i)' + P.REFERENCES_HEADING)}) THEN 'reference' WHEN regexp_matches({D.strip('text')}, {D.q('(?i)' + P.NOTES_HEADING)}) THEN 'footnote' END AS own FROM hi),
+_CLASSES = f"""{_TREE}, own AS (SELECT doc, pos, CASE WHEN regexp_matches({D.strip('text')}, {D.q('(?i)' + P.REFERENCES_HEADING)}) THEN 'reference' WHEN regexp_matches({D.strip('text')}, {D.q('(?i)' + P.NOTES_HEADING)}) THEN 'footnote' END AS own FROM hi),
     target AS (SELECT a.doc, a.pos, arg_max(o.own, a.at) AS target FROM anc a JOIN own o ON o.doc = a.doc AND o.pos = a.at WHERE o.own IS NOT NULL GROUP BY a.doc, a.pos)"""
-_COUNTS = f"""{_CLASS}, bs AS (SELECT b.*, coalesce((SELECT max(pos) FROM hb WHERE hb.doc = b.doc AND hb.pos <= b.pos), -1) AS section FROM blocks b),
-    typed AS (SELECT bs.doc, bs.section, bs.text, CASE WHEN t.target IS NOT NULL AND bs.type IN ('paragraph', 'list_item') THEN t.target ELSE bs.type END AS type FROM bs LEFT JOIN target t ON t.doc = bs.doc AND t.pos = bs.section),
-    cnt AS (SELECT doc, section, {', '.join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in S.TYPES)}, CAST(sum(CASE WHEN type IN ('paragraph', 'list_item', 'footnote') THEN {D.sentence_count('text')} ELSE 0 END) AS BIGINT) AS sentences,
+_COUNTED = f"""{_CLASSES}, bs AS (SELECT b.*, coalesce((SELECT max(pos) FROM hb WHERE hb.doc = b.doc AND hb.pos <= b.pos), -1) AS section FROM blocks b),
+    typed AS (SELECT bs.doc, bs.section, bs.text, bs.links, CASE WHEN t.target IS NOT NULL AND bs.type IN ('paragraph', 'list_item') AND len(list_filter(bs.inside, lambda x: NOT (x IN ('list', 'blockquote', 'list_item', 'paragraph') OR x = t.target))) = 0 THEN t.target ELSE bs.type END AS type FROM bs LEFT JOIN target t ON t.doc = bs.doc AND t.pos = bs.section),
+    cnt AS (SELECT doc, section, {', '.join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in S.TYPES if t != 'link')}, CAST(sum(links) AS BIGINT) AS n_link, CAST(sum(CASE WHEN type IN ('paragraph', 'list_item', 'footnote') THEN {D.sentence_count('text')} ELSE 0 END) AS BIGINT) AS sentences,
         CAST(sum(CASE WHEN type IN ('paragraph', 'list_item', 'footnote') THEN {D.word_count('text')} ELSE 0 END) AS BIGINT) AS words FROM typed GROUP BY doc, section)"""
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in S.SUMS)
+_TOTALS = f"dep AS (SELECT doc, max(up) + 1 AS max_depth FROM anc GROUP BY doc) SELECT c.doc, {_SUMS}, count(*) AS sections, CAST(coalesce(max(max_depth), 1) AS BIGINT) AS max_depth FROM cnt c LEFT JOIN dep USING (doc) GROUP BY c.doc"
+_HEADINGS, _CLASS, _COUNTS = f"{_BLOCKS}, {_TREE}", f"{_BLOCKS}, {_CLASSES}", f"{_BLOCKS}, {_COUNTED}"
 
 
 @query(f"WITH {_HEADINGS} SELECT doc, pos, level, parent, idx FROM hi")
@@ -83,7 +91,7 @@ def section_totals(spark, sf_dir):
     return S.totals(S.counts(S.retyped(b)), S.headings(b)).select("doc", "section", *S.SUMS)
 
 
-@query(f"WITH {_COUNTS}, dep AS (SELECT doc, max(up) + 1 AS max_depth FROM anc GROUP BY doc) SELECT c.doc, {_SUMS}, count(*) AS sections, CAST(max(max_depth) AS BIGINT) AS max_depth FROM cnt c JOIN dep USING (doc) GROUP BY c.doc")
+@query(f"WITH {_COUNTS}, {_TOTALS}")
 def document_totals(spark, sf_dir):
     return S.analyze(conversation_blocks(spark, sf_dir))
 
@@ -95,17 +103,12 @@ def section_share(spark, sf_dir):
     return c.join(t, "doc").select("doc", "section", F.when(F.col("all_words") > 0, F.col("words") / F.col("all_words")).otherwise(0.0).alias("share"))
 
 
-@query("SELECT doc, pos, CAST(floor((idx - 1) / 6) AS BIGINT) + 1 AS page, CAST(max(level) OVER (PARTITION BY doc, parent, floor((idx - 1) / 6)) AS INT) AS widest FROM hi")
+@query(f"WITH {_HEADINGS} SELECT doc, pos, CAST(floor((idx - 1) / 6) AS BIGINT) + 1 AS page, CAST(max(level) OVER (PARTITION BY doc, parent, floor((idx - 1) / 6)) AS INT) AS widest FROM hi")
 def child_pages(spark, sf_dir):
-    from pyspark.sql import Window
-
     h = S.headings(conversation_blocks(spark, sf_dir)).withColumn("page", (F.floor((F.col("idx") - 1) / 6) + 1).cast("long"))
     return h.select("doc", "pos", "page", F.max("level").over(Window.partitionBy("doc", "parent", "page")).alias("widest"))
 
 
-ORACLE_SQL["child_pages"] = f"WITH {_HEADINGS} " + ORACLE_SQL["child_pages"]
-
-
 # ---- adapters
 
 _LAYOUT = "replace(text, '. ', CASE doc_id % 4 WHEN 0 THEN '.' || chr(10) || chr(10) WHEN 1 THEN chr(10) || chr(10) || '- ' WHEN 2 THEN chr(10) || ' ' || chr(10) || '> ' ELSE chr(10) || chr(10) || 'FIGURE 1 ' END)"
@@ -124,7 +127,7 @@ def text_chunks(spark, sf_dir):
     return d.select("doc_id", F.col("idx").cast("long").alias("idx"), F.length("c").cast("long").alias("n_chars"))
 
 
-_LINE = "CASE doc_id % 5 WHEN 0 THEN '1.2. Some ' || source WHEN 1 THEN upper(substr(text, 1, 50)) WHEN 2 THEN substr(text, 1, 90) WHEN 3 THEN '3 lower' ELSE 'TITLE.' END"
+_LINE = "CASE doc_id % 5 WHEN 0 THEN '1.2. Some ' || source WHEN 1 THEN upper(split_part(text, ' ', 1) || ' ' || source) WHEN 2 THEN text WHEN 3 THEN '3 lower' ELSE 'TITLE.' END"
 
 
 def _level(x: str) -> str:
@@ -139,7 +142,7 @@ def text_heading_level(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", K.heading_level(F.expr(_LINE)).cast("int").alias("level"))
 
 
-_ROWS = "CASE doc_id % 4 WHEN 0 THEN 'a | b' || chr(10) || '|c' WHEN 1 THEN 'a' || chr(9) || 'b' || chr(10) || 'c' || chr(9) || 'd' WHEN 2 THEN 'a' || chr(9) || chr(10) || 'b' ELSE substr(text, 1, 50) END"
+_ROWS = "CASE doc_id % 4 WHEN 0 THEN 'a | b' || chr(10) || '|c' WHEN 1 THEN 'a' || chr(9) || 'b' || chr(10) || 'c' || chr(9) || 'd' WHEN 2 THEN 'a' || chr(9) || chr(10) || 'b' ELSE text END"
 _TABLE = f"len(l) >= 2 AND (len(list_filter(l, lambda x: NOT (contains(regexp_replace({D.strip('x')}, '^\\|+|\\|+$', '', 'g'), '|') OR starts_with({D.strip('x')}, '|')))) = 0 OR (len(list_distinct(list_transform(l, lambda x: length(x) - length(replace(x, chr(9), ''))))) = 1 AND length(l[1]) > length(replace(l[1], chr(9), ''))))"
 
 
@@ -157,22 +160,111 @@ def text_chunk_type(spark, sf_dir):
     return d.groupBy("doc_id", K.chunk_type(F.col("c")).alias("type")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT page_id AS doc, CAST(len(regexp_extract_all(regexp_replace(html, '(?s)<(script|style|head)[ >].*?</(script|style|head)>', '', 'g'), '<h[1-6]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS list_items, CAST(len(regexp_extract_all(html, '<ul[ >]')) AS BIGINT) AS lists, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links FROM pages""")
+# the blocks of the driver's pages: what each block element holds up to the next one
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _decoded(x: str) -> str:
+    for name, char in _ENTITIES:
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+_SHOWN = "regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<(?:head|script|style)[ >].*?</(?:head|script|style)>', '', 'g')"
+_PAGE_TEXT = D.strip(f"regexp_replace({_decoded(chr(114) + 'egexp_replace(regexp_replace(raw, ' + D.q('<br[^>]*>') + ', ' + D.q(' ') + ', ' + D.q('g') + '), ' + D.q('<[^>]*>') + ', ' + D.q('') + ', ' + D.q('g') + ')')}, '[{D.SPACE}]+', ' ', 'g')")
+_PAGES = rf"""el AS (SELECT page_id AS doc, i, regexp_extract(x, '^<([a-z0-9]+)', 1) AS tag, regexp_replace(x, '^<[^>]*>', '') AS raw FROM (SELECT page_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM
+    (SELECT page_id, regexp_extract_all({_SHOWN}, '<(?:ul|li|div|h1|p|footer|article|nav|body)\b[^>]*>[^<]*(?:</?(?:a|b|br)\b[^>]*>[^<]*)*') AS l FROM pages))),
+    tx AS (SELECT doc, i, tag, {_PAGE_TEXT} AS text, CAST(len(regexp_extract_all(raw, '<a href=')) AS BIGINT) AS links FROM el),
+    blocks AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS pos, CASE tag WHEN 'ul' THEN 'list' WHEN 'li' THEN 'list_item' WHEN 'h1' THEN 'heading' ELSE 'paragraph' END AS type, CASE tag WHEN 'h1' THEN 1 END AS level, text, CASE tag WHEN 'li' THEN ['list'] ELSE CAST([] AS VARCHAR[]) END AS inside, links
+        FROM tx WHERE tag IN ('ul', 'li') OR text <> '' OR links > 0)"""
+
+
+@query(f"WITH {_PAGES} SELECT doc, pos, type, CAST(level AS INT) AS level, CAST(len(inside) AS INT) AS depth, {D.word_count('text')} AS words, links FROM blocks")
 def html_blocks(spark, sf_dir):
     b = K.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
-    n = lambda t: F.count_if(F.col("type") == t)
-    return b.groupBy("doc").agg(n("heading").alias("headings"), n("list_item").alias("list_items"), n("list").alias("lists"), F.sum("links").cast("long").alias("links"))
+    return b.select("doc", "pos", "type", "level", F.size("inside").alias("depth"), T.word_count(F.col("text")).alias("words"), F.col("links").cast("long").alias("links"))
 
 
-@query()
+@query(f"WITH {_PAGES}, {_COUNTED}, {_TOTALS}")
+def analyze_document(spark, sf_dir):
+    """Pages to section trees: blocks, sections, counts, totals."""
+    return S.analyze(K.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html"))
+
+
+# the sentences of a document, each laid out as another kind of block
+
+_CLEAN = "'w' || i || ' ' || regexp_replace(x, '[^A-Za-z0-9 ]+', ' '{g})"
+_SENTENCES = f"s AS (SELECT doc_id AS doc, i, {_CLEAN.format(g=chr(44) + ' ' + D.q('g'))} AS x FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)))"
+
+
+def _laid_out(spark, sf_dir, kinds: list[str]) -> DataFrame:
+    """doc_id, text: sentence i of a document as kinds[i % n], an SQL expression over i and x, with blank lines between."""
+    x = "concat('w', i, ' ', regexp_replace(x, '[^A-Za-z0-9 ]+', ' '))"
+    pick = " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(kinds))
+    expr = f"array_join(transform(transform(split(text, '\\\\. ', -1), (x, i) -> struct(i AS i, {x} AS x)), s -> CASE s.i % {len(kinds)} {pick.replace('{x}', 's.x').replace('{i}', 's.i')} END), '\\n\\n')"
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(expr).alias("text"))
+
+
+def _expected(kinds: list[list[tuple[str, int, str, int]]]) -> str:
+    """The blocks that the kinds make: (type, depth, text, links) for each, as SQL."""
+    rows = " UNION ALL ".join(f"SELECT doc, i, {k} AS k, '{t}' AS type, {depth} AS depth, {text} AS t, {links} AS links FROM s WHERE i % {len(kinds)} = {n}" for n, blocks in enumerate(kinds) for k, (t, depth, text, links) in enumerate(blocks))
+    return f"WITH {_SENTENCES}, r AS ({rows}) SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY i, k) - 1 AS pos, type, CAST(depth AS INT) AS depth, {D.word_count('t')} AS words, CAST(links AS BIGINT) AS links FROM r"
+
+
+def _rows(b: DataFrame) -> DataFrame:
+    return b.select("doc", "pos", "type", F.size("inside").alias("depth"), T.word_count(F.col("text")).alias("words"), F.col("links").cast("long").alias("links"))
+
+
+_NONE = "''"
+
+
+@query(_expected([
+    [("heading", 0, "x", 0)],
+    [("paragraph", 0, "x", 0)],
+    [("list", 0, _NONE, 0), ("list_item", 1, "x", 0), ("list", 2, _NONE, 0), ("list_item", 3, "'in ' || x", 0)],
+    [("blockquote", 0, _NONE, 0), ("paragraph", 1, "x || ' lazy ' || x", 0)],
+    [("code_block", 0, _NONE, 0)],
+    [("table", 0, _NONE, 1)],
+    [("footnote", 0, "x || ' https://b.example/x'", 1)],
+]))
 def markdown_blocks(spark, sf_dir):
-    """Documents laid out as Markdown; held against hand-counted files in the tests."""
-    md = F.expr("concat('# ', source, '\\n\\n', replace(replace(text, '. ', '.\\n\\n'), ', ', '\\n- '), '\\n\\n> ', substr(text, 1, 40), '\\n\\n```\\ncode\\n```\\n')")
-    b = K.markdown_blocks(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
-    return b.groupBy("doc", "type").agg(F.count("*").alias("n"), F.sum("links").alias("links"))
+    d = _laid_out(spark, sf_dir, ["concat('## ', {x}, ' ##')", "{x}", "concat('- ', {x}, '\\n  - in ', {x})", "concat('> ', {x}, '\\nlazy ', {x})", "concat('    code ', {x})", "concat('| a | b |\\n|---|---|\\n| ', {x}, ' | [l](http://a.example) |')", "concat('[^', {i}, ']: ', {x}, '\\n    https://b.example/x')"])
+    return _rows(K.markdown_blocks(d, "doc_id", "text"))
+
+
+@query(_expected([
+    [("heading", 0, "'1 ' || (i % 90 + 1) || ' Head'", 0)],
+    [("paragraph", 0, "x || ' and ' || x", 0)],
+    [("list", 0, _NONE, 0), ("list_item", 1, "x", 0), ("list", 2, _NONE, 0), ("list_item", 3, "x || ' more'", 0), ("list_item", 1, "'end'", 0)],
+    [("blockquote", 0, _NONE, 0), ("paragraph", 1, "x || ' or ' || x", 0), ("list", 1, _NONE, 0), ("list_item", 2, "x", 0)],
+    [("figure", 0, _NONE, 0)],
+    [("footnote", 0, "x || ' http://a.example/x'", 1)],
+    [("heading", 0, "'Some Title'", 0), ("paragraph", 0, "x || ' after'", 0)],
+]))
+def text_blocks(spark, sf_dir):
+    d = _laid_out(spark, sf_dir, ["concat('1.', {i} % 90 + 1, ' Head')", "concat({x}, '\\n  and ', {x})", "concat('- ', {x}, '\\n  - ', {x}, '\\n    more\\n- end')", "concat('> ', {x}, '\\n> or ', {x}, '\\n>\\n> - ', {x})", "concat('Figure ', {i}, ' ', {x})", "concat('[^1]: ', {x}, ' http://a.example/x')", "concat('Some Title\\n----------\\n', {x}, '\\nafter')"])
+    return _rows(K.text_blocks(d, "doc_id", "text"))
+
+
+_FILES = "CASE doc_id % 6 WHEN 0 THEN 'text/plain; charset=utf-8' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'text/markdown' WHEN 3 THEN 'image/png' WHEN 4 THEN 'application/pdf' END"
+
+
+def document_files(spark, sf_dir) -> DataFrame:
+    """Documents as files of several formats, some with a zero byte."""
+    i = F.col("doc_id")
+    content = F.when(i % 12 == 6, F.concat(F.lit(b"\x00"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select(i.alias("doc"), content.alias("content"), F.expr(_FILES).alias("content_type"), F.when(i % 2 == 1, F.concat(i.cast("string"), F.lit(".HTM"))).alias("name"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, text, {_FILES} AS ctype, doc_id % 2 = 1 AS named, doc_id % 12 = 6 AS zero FROM documents),
+    k AS (SELECT *, CASE WHEN ctype LIKE 'text/plain%' THEN 'text' WHEN ctype = 'text/markdown' THEN 'markdown' WHEN ctype = 'application/pdf' THEN 'pdf' WHEN coalesce(ctype, 'application/octet-stream') = 'application/octet-stream' AND named THEN 'html' END AS format FROM f)
+    SELECT doc_id AS doc, format, CASE format WHEN 'text' THEN 'text/plain' WHEN 'html' THEN 'text/html' WHEN 'markdown' THEN 'text/markdown' WHEN 'pdf' THEN 'application/pdf' END AS content_type, CAST(octet_length(encode(text)) + CAST(zero AS INT) AS BIGINT) AS size_bytes,
+    sha256(CASE WHEN zero THEN '\x00'::BLOB || encode(text) ELSE encode(text) END) AS sha256, CASE WHEN format IS NULL THEN 'unsupported type' WHEN format = 'pdf' THEN 'a PDF is read from its runs' WHEN zero THEN 'binary content in a text document' END AS error FROM k""")
+def document_envelope(spark, sf_dir):
+    return O.envelope(document_files(spark, sf_dir)).select("doc", "format", "content_type", "size_bytes", "sha256", "error")
 
 
 @query()
-def analyze_document(spark, sf_dir):
-    """Pages to section trees: blocks, sections, counts, totals."""
-    return S.analyze(K.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html"))
+def analyze_documents(spark, sf_dir):
+    """The whole way from files of mixed formats; its parts have SQL of their own."""
+    return O.analyze_documents(document_files(spark, sf_dir)).drop("name", "url")

@@ -7,8 +7,10 @@ import zipfile
 
 from pyspark.sql import DataFrame, functions as F
 
-from textlattice.functions import text as T
+from textlattice.functions import patterns as P, text as T
 from textlattice.operators import layout as L
+from textlattice.plans import duck as D
+from textlattice.plans.document_queries import _SHOWN
 from textlattice.sources.epub import epub_parts, xhtml_text
 from textlattice.sources.tables import decode, table
 
@@ -33,70 +35,93 @@ def strip_contents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.strip_contents(F.when(F.col("doc_id") % 2 == 0, page).otherwise(body)), 256).alias("sha256"))
 
 
-_MD = "'see [' || source || '](http://a.example/' || doc_id || ') and ![img](x.png) <http://b.example/' || doc_id || '> note[^1] http://c.example/' || doc_id || ' ' || substr(text, 1, 40)"
+_MD = "'see [' || source || '](http://a.example/' || doc_id || ') and ![img](x.png) <http://b.example/' || doc_id || '> note[^1] http://c.example/' || doc_id || ' ' || text || ' [' || source || '][r] <ftp://d.example> ![i](http://not.counted) end'"
 
 
 def _markdown(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_MD.replace("|| doc_id ", "|| CAST(doc_id AS STRING) ")).alias("md"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]^]*)\]\([^)]*\)', '\1', 'g'), '<https?://[^>\s]+>', ' ', 'g'), '\[\^[^\]]+\]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM (SELECT doc_id, " + _MD + " AS md FROM documents)")
+# RE2 has no look-behind, so images, which no link may begin with, go first
+_NO_IMAGE = r"regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', ' ', 'g')"
+_INLINE, _REFERENCE, _AUTO = r"\[([^\]]*)\]\([^)]*\)", r"\[([^\]]+)\]\[[^\]]*\]", r"<[a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^\s<>]*>"
+
+
+_SEEN = _NO_IMAGE
+for _pattern, _keep in ((_INLINE, r"\1"), (_REFERENCE, r"\1"), (_AUTO, " "), (r"\[\^[^\]]+\]", ""), (f"[{D.SPACE}]+", " ")):
+    _SEEN = f"regexp_replace({_SEEN}, {D.q(_pattern)}, {D.q(_keep)}, 'g')"
+
+
+@query(f"SELECT doc_id, sha256(plain) AS sha256, {D.word_count('plain')} AS words FROM (SELECT doc_id, {D.strip(_SEEN)} AS plain FROM (SELECT doc_id, {_MD} AS md FROM documents))")
 def md_strip_inline(spark, sf_dir):
-    x = F.regexp_replace("md", r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])", " ")
-    x = F.regexp_replace(x, r"(?<!!)\[([^\]^]*)\](?:\([^)]*\)|\[[^\]]*\])", "$1")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?i)<https?://[^>\s]+>", " "), r"\[\^[^\]]+\]", "")
-    return _markdown(spark, sf_dir).select("doc_id", T.collapse(x).alias("plain"))
+    d = _markdown(spark, sf_dir).select("doc_id", T.md_plain(F.col("md")).alias("plain"))
+    return d.select("doc_id", F.sha2("plain", 256).alias("sha256"), T.word_count(F.col("plain")).alias("words"))
 
 
-@query(r"SELECT doc_id, CAST(len(regexp_extract_all(md, '\[[^\]^]*\]\(http[^)]*\)')) + len(regexp_extract_all(md, '<https?://[^>\s]+>')) + len(regexp_extract_all(md, ' https?://[^\s<>()]+')) AS BIGINT) AS links FROM (SELECT doc_id, " + _MD + " AS md FROM documents)")
+@query(rf"""SELECT doc_id, CAST(len(regexp_extract_all(a, '{_INLINE}')) + len(regexp_extract_all(b, '{_REFERENCE}')) + len(regexp_extract_all(c, '{_AUTO}')) + len(regexp_extract_all(regexp_replace(c, '{_AUTO}', ' ', 'g'), '(?i)(?:^|[^\p{{L}}\p{{N}}_])https?://[^{D.SPACE}<>()\[\]"'']+')) AS BIGINT) AS links
+    FROM (SELECT *, regexp_replace(b, '{_REFERENCE}', ' ', 'g') AS c FROM (SELECT *, regexp_replace(a, '{_INLINE}', ' ', 'g') AS b FROM (SELECT doc_id, {_NO_IMAGE} AS a FROM (SELECT doc_id, {_MD} AS md FROM documents))))""")
 def md_links(spark, sf_dir):
-    x = F.regexp_replace("md", r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])", " ")
-    inline, auto = r"(?<!!)\[[^\]^]*\](?:\([^)]*\)|\[[^\]]*\])", r"(?i)<https?://[^>\s]+>"
-    without = F.regexp_replace(F.regexp_replace(x, inline, " "), auto, " ")
-    return _markdown(spark, sf_dir).select("doc_id", (F.regexp_count(x, F.lit(inline)) + F.regexp_count(F.regexp_replace(x, inline, " "), F.lit(auto)) + T.bare_urls(without)).cast("long").alias("links"))
+    return _markdown(spark, sf_dir).select("doc_id", T.md_links(F.col("md")).alias("links"))
 
 
-# ---- positioned runs: each line of a document is two runs, ten lines a page, every seventh line large
+# ---- positioned runs: each sentence of a document is two runs, ten sentences a page, every seventh large
 
-_RUNS = """r AS (SELECT doc_id AS doc, CAST(i // 10 AS INT) AS page, CAST(i * 2 + h AS INT) AS run_pos, CASE WHEN i % 7 = 0 THEN 20.0::DOUBLE WHEN i % 7 = 1 THEN 16.0::DOUBLE ELSE 11.0::DOUBLE END AS size, 700.0::DOUBLE - 14.0::DOUBLE * (i % 10) - CASE WHEN i % 5 = 4 THEN 20 ELSE 0 END - 0.5::DOUBLE * h AS y,
-    CASE WHEN h = 0 THEN substr(x, 1, 20) ELSE substr(x, 21, 20) END AS text FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)), (VALUES (0), (1)) t(h))"""
+_Y = "700.0::DOUBLE - 14.0::DOUBLE * (i % 10) - CASE WHEN i % 5 = 4 THEN 20 ELSE 0 END"
+_RUNS = f"""sn AS (SELECT doc_id AS doc, i, x, CAST(floor(length(x) / 2) AS INT) AS half, {_Y} AS y, CASE WHEN i % 7 = 0 THEN 20.2::DOUBLE WHEN i % 7 = 1 THEN 16.0::DOUBLE ELSE 11.0::DOUBLE END AS size
+    FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, '. ') AS l FROM documents)))"""
 
 
-def pdf_runs(spark, sf_dir, whole: bool = False) -> DataFrame:
-    """whole: the first half of each sentence and all the rest; else characters 1 to 20 and 21 to 40, as _RUNS has them."""
+def pdf_runs(spark, sf_dir) -> DataFrame:
+    """The first half of each sentence and all the rest, half a point lower."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\. ", -1)).alias("i", "x")).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
     i, h = F.col("i"), F.col("h")
     y = F.lit(700.0) - (i % 10) * 14.0 - F.when(i % 5 == 4, 20.0).otherwise(0.0) - h * 0.5
-    half = F.floor(F.length("x") / 2).cast("int") if whole else F.lit(20)
-    rest = F.length("x") if whole else F.lit(20)
-    return d.select("doc", F.floor(i / 10).cast("int").alias("page"), (i * 2 + h).alias("run_pos"), F.when(i % 7 == 0, 20.0).when(i % 7 == 1, 16.0).otherwise(11.0).alias("size"), y.alias("y"), F.when(h == 0, F.substring("x", 1, half)).otherwise(F.substring("x", half + 1, rest)).alias("text"))
+    half = F.floor(F.length("x") / 2).cast("int")
+    return d.select("doc", F.floor(i / 10).cast("int").alias("page"), (i * 2 + h).alias("run_pos"), F.when(i % 7 == 0, 20.2).when(i % 7 == 1, 16.0).otherwise(11.0).alias("size"), y.alias("y"), F.when(h == 0, F.substring("x", F.lit(1), half)).otherwise(F.substring("x", half + 1, F.length("x"))).alias("text"))
 
 
-_LINES = _RUNS + r""", ln AS (SELECT doc, page, CAST(line AS BIGINT) AS line, max(size) AS size, min(y) FILTER (run_pos % 2 = 0) AS y, regexp_replace(regexp_replace(string_agg(text, '' ORDER BY run_pos), '[\s\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS text
-    FROM (SELECT *, sum(CASE WHEN run_pos % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY run_pos) AS line FROM r) GROUP BY doc, page, line),
-    lk AS (SELECT * FROM ln WHERE text <> '' AND NOT regexp_matches(text, '^(?:[Pp]age\s+)?\d{1,4}$'))"""
+# a sentence's own line breaks cut it into lines; a line begins in the run that its first visible part is in
+_LINES = _RUNS + f""", pc AS (SELECT doc, i, j, y, size, half, unnest(l) AS t, unnest(list_transform(l, lambda p, k: CAST(coalesce(list_sum(list_transform(l[:k - 1], lambda q: length(q) + 1)), 0) AS INT))) AS before FROM (SELECT *, string_split(x, chr(10)) AS l, 0 AS j FROM sn)),
+    ln AS (SELECT doc, CAST(i // 10 AS INT) AS page, row_number() OVER (PARTITION BY doc, i // 10 ORDER BY i, before) AS line, size, y - CASE WHEN {D.strip('substr(t, 1, greatest(0, half - before))')} = '' THEN 0.5 ELSE 0 END AS y, {D.strip('t')} AS text FROM pc WHERE {D.strip('t')} <> ''),
+    lk AS (SELECT * FROM ln WHERE NOT regexp_matches(text, {D.q(P.PAGE_NUMBER)})),
+    bz AS (SELECT doc, round_even(size * 2, 0) / 2 AS hs, sum(length(text)) AS n, min((page, line)) AS first FROM lk GROUP BY ALL), body AS (SELECT doc, hs AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) AS k FROM bz) WHERE k = 1),
+    hb AS (SELECT lk.*, body, round_even(size * 2, 0) / 2 AS hs, round_even(size * 2, 0) / 2 >= body * 1.15::DOUBLE AND len(string_split_regex(text, '[{D.SPACE}]+')) <= 15 AND NOT regexp_matches(text, '[.,;]$') AS big FROM lk JOIN body USING (doc)),
+    hd AS (SELECT *, CASE WHEN big THEN least(6, dense_rank() OVER (PARTITION BY doc, big ORDER BY hs DESC)) END AS level, row_number() OVER (PARTITION BY doc ORDER BY page, line) AS r FROM hb),
+    pv AS (SELECT *, lag(page) OVER w AS ppage, lag(y) OVER w AS py, lag(level) OVER w AS plevel, lag(hs) OVER w AS phs, lag(text) OVER w AS ptext FROM hd WINDOW w AS (PARTITION BY doc ORDER BY page, line)),
+    gp AS (SELECT doc, median(CASE WHEN ppage = page AND plevel IS NULL AND level IS NULL AND r > 1 AND py - y > 0 THEN py - y END) AS median_gap FROM pv GROUP BY doc)"""
 
 
-@query(f"WITH {_LINES} SELECT doc, page, line, size, text FROM lk")
+@query(f"WITH {_LINES} SELECT doc, page, line, size, y, text FROM lk")
 def pdf_lines(spark, sf_dir):
-    return L.lines(pdf_runs(spark, sf_dir)).select("doc", "page", F.col("line").cast("long").alias("line"), "size", "text")
+    return L.lines(pdf_runs(spark, sf_dir)).select("doc", "page", F.col("line").cast("long").alias("line"), "size", "y", "text")
 
 
-@query(f"""WITH {_LINES}, bz AS (SELECT doc, size, sum(length(text)) AS n, min((page, line)) AS first FROM lk GROUP BY doc, size), body AS (SELECT doc, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) AS k FROM bz) WHERE k = 1),
-    hd AS (SELECT lk.*, size >= body * 1.15 AND len(string_split(text, ' ')) <= 15 AND NOT regexp_matches(text, '[.,;]$') AS big FROM lk JOIN body USING (doc))
-    SELECT doc, page, line, CAST(dense_rank() OVER (PARTITION BY doc ORDER BY size DESC) AS INT) AS level FROM hd WHERE big""")
+@query(f"WITH {_LINES} SELECT doc, page, line, CAST(level AS INT) AS level FROM hd WHERE big")
 def pdf_headings(spark, sf_dir):
     return L.with_headings(L.lines(pdf_runs(spark, sf_dir))).where("heading IS NOT NULL").select("doc", "page", F.col("line").cast("long").alias("line"), F.col("heading").alias("level"))
 
 
-@query(f"WITH {_LINES} SELECT doc, median(gap) AS median_gap FROM (SELECT doc, lag(y) OVER (PARTITION BY doc, page ORDER BY line) - y AS gap FROM lk) WHERE gap > 0 GROUP BY doc")
+@query(f"WITH {_LINES} SELECT doc, median_gap FROM gp")
 def pdf_gaps(spark, sf_dir):
-    return L.gaps(L.lines(pdf_runs(spark, sf_dir)))
+    return L.gaps(L.with_headings(L.lines(pdf_runs(spark, sf_dir))))
+
+
+_GROUPS = _LINES + f""", nw AS (SELECT pv.*, CASE WHEN r = 1 THEN true WHEN level IS NOT NULL THEN NOT (plevel IS NOT NULL AND phs = hs AND ppage = page AND py - y > 0 AND py - y <= size * 1.6::DOUBLE) WHEN plevel IS NOT NULL THEN true
+        WHEN ppage = page THEN py - y > coalesce(median_gap, body * 1.2::DOUBLE) * 1.4::DOUBLE OR py < y ELSE regexp_matches(ptext, {D.q(P.SENTENCE_CLOSED)}) END AS fresh FROM pv JOIN gp USING (doc)),
+    gr AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc ORDER BY r) AS pos FROM nw)"""
+
+
+@query(f"WITH {_GROUPS} SELECT doc, CAST(pos AS BIGINT) AS pos, CAST(min(level) AS INT) AS level, count(*) AS n_lines, CAST(sum({D.word_count('text')}) AS BIGINT) AS words FROM gr GROUP BY doc, pos")
+def pdf_groups(spark, sf_dir):
+    g = L.groups(L.lines(pdf_runs(spark, sf_dir)))
+    words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + T.word_count(x))
+    return g.select("doc", F.col("pos").cast("long").alias("pos"), "level", F.size("lines").cast("long").alias("n_lines"), words.alias("words"))
 
 
 @query()
 def pdf_blocks(spark, sf_dir):
-    b = L.blocks(L.lines(pdf_runs(spark, sf_dir, whole=True)))
+    """Groups to blocks by the plain-text rules; those are held against SQL in text_blocks, these against hand-made pages."""
+    b = L.blocks(L.lines(pdf_runs(spark, sf_dir)))
     return b.groupBy("doc", "type").agg(F.count("*").alias("n"), F.sum(T.word_count(F.col("text"))).alias("words"))
 
 
@@ -118,20 +143,27 @@ def make_epub(title: str, chapters: list[str]) -> bytes:
     return out.getvalue()
 
 
-@query()
+# what the pages show, cut where elements end a paragraph
+_BREAKS = "(?i)</?(?:p|div|section|article|blockquote|li|tr|br|hr|h1|h2|h3|h4|h5|h6|pre)(?:[ /][^>]*)?>"
+_PARTS = f"list_filter(list_transform(regexp_split_to_array({_SHOWN}, {D.q(_BREAKS)}), lambda x: {D.strip("regexp_replace(x, '<[^>]*>', '', 'g')")}), lambda x: x <> '')"
+
+
+@query(rf"""SELECT CAST(page_id AS VARCHAR) AS path, 'T' AS title, 'en' AS language, CAST(pos AS INT) AS pos, 'c' || pos || '.xhtml' AS href, CAST(CASE pos WHEN 0 THEN 4 ELSE 2 + {D.word_count("regexp_replace(array_to_string(l, ' . '), '&(?:#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z]+);', '.', 'g')")} END AS BIGINT) AS words
+    FROM (SELECT page_id, {_PARTS} AS l, unnest([0, 1]) AS pos FROM pages)""")
 def epub_spine(spark, sf_dir):
-    """Pages packed as EPUB files and read again."""
+    """Pages packed whole as the second chapter of EPUB files, and read again."""
+
     def pack(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.record_batch([b.column("path"), pa.array([make_epub("T", ["a b", u.as_py().replace("&", "&amp;")]) for u in b.column("url")], pa.binary())], names=["path", "content"])
+            yield pa.record_batch([b.column("path"), pa.array([make_epub("T", ["a b", h.as_py()]) for h in b.column("html")], pa.binary())], names=["path", "content"])
 
-    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.coalesce("url", F.lit("")).alias("url")).mapInArrow(pack, "path string, content binary")
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(pack, "path string, content binary")
     return epub_parts(files).select("path", "title", "language", "pos", "href", T.word_count(F.col("text")).alias("words"))
 
 
-@query()
+@query(f"SELECT page_id, CAST(len({_PARTS}) AS BIGINT) AS paragraphs FROM pages")
 def xhtml_paragraphs(spark, sf_dir):
     def read(batches):
         import pyarrow as pa

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textlattice.functions import text as T
 from textlattice.operators import books as B, nested as N, sections as S
 from textlattice.plans import duck as D
-from textlattice.plans.book_queries import _CNODES, plain_books
+from textlattice.plans.book_queries import _CNODES, books
 from textlattice.plans.document_queries import _COUNTS, conversation_blocks
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -26,14 +26,14 @@ def query(sql: str | None = None):
 @query()
 def book_json(spark, sf_dir):
     """The whole answer for a book as JSON; its numbers are those of book_structure and chapter_nodes."""
-    ch = B.chapter_nodes(B.paragraph_nodes(plain_books(spark, sf_dir)))
+    ch = B.chapter_nodes(B.paragraph_nodes(books(spark, sf_dir)))
     return N.book_json(B.summary(ch), ch)
 
 
 @query(f"""WITH {_CNODES} SELECT doc_id, part, chapter, coalesce(nullif(label, ''), 'Chapter ' || chapter) AS label, format('{{:,}}', words) || CASE WHEN words = 1 THEN ' word' ELSE ' words' END AS words,
     'n' || (CASE WHEN part > 0 THEN (part - 1) || '.' ELSE '' END) || (chapter - 1) AS node_id FROM cn WHERE chapter > 0""")
 def node_labels(spark, sf_dir):
-    ch = B.chapter_nodes(B.paragraph_nodes(plain_books(spark, sf_dir))).where("chapter > 0")
+    ch = B.chapter_nodes(B.paragraph_nodes(books(spark, sf_dir))).where("chapter > 0")
     at = F.concat(F.lit("n"), F.when(F.col("part") > 0, F.concat((F.col("part") - 1).cast("string"), F.lit("."))).otherwise(""), (F.col("chapter") - 1).cast("string"))
     return ch.select("doc_id", "part", "chapter", N.node_label(F.lit("chapter"), F.col("chapter"), F.col("label")).alias("label"), N.described(F.col("words"), "word").alias("words"), at.alias("node_id"))
 

@@ -76,12 +76,12 @@ def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[^ \t\n\r\x0b\x0c]+")).cast("long").alias("tokens"))
 
 
-_RAW = "'head' || chr(13) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '*** START OF THE PROJECT GUTENBERG EBOOK ' || doc_id || ' ***' ELSE '' END || chr(10) || text || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '*** END OF THIS PROJECT GUTENBERG EBOOK ***' WHEN doc_id % 3 = 1 THEN 'End of the Project Gutenberg EBook of x' ELSE '' END || chr(10) || 'tail'"
+_RAW = "'head' || chr(13) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '*** START OF THE PROJECT GUTENBERG EBOOK ' || doc_id || ' ***' ELSE '' END || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'A Title' || chr(10) || chr(10) || 'CONTENTS' || chr(10) || chr(10) || 'Chapter 1 .... 3' || chr(10) || 'Chapter 2 .... 9' || chr(10) || chr(10) || 'It was so. And then.' || chr(10) || chr(10) ELSE '' END || text || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '*** END OF THIS PROJECT GUTENBERG EBOOK ***' WHEN doc_id % 3 = 1 THEN 'End of the Project Gutenberg EBook of x' ELSE '' END || chr(10) || 'tail'"
 _RAW_SPARK = _RAW.replace("chr(13)", "'\\r'").replace("chr(10)", "'\\n'").replace("|| doc_id ||", "|| cast(doc_id as string) ||")
 
 
 def raw_books(spark, sf_dir) -> DataFrame:
-    """Documents wrapped in license lines, with carriage returns and blank runs."""
+    """Documents wrapped in license lines, with carriage returns and blank runs, every fourth after a contents page."""
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(_RAW_SPARK).alias("raw"))
 
 
@@ -106,9 +106,13 @@ def normalise_ws(spark, sf_dir):
     return d.select("doc_id", F.sha2("x", 256).alias("sha256"), F.length("x").cast("long").alias("n_chars"))
 
 
-@query(f"SELECT doc_id, sha256(x) AS sha256, {D.word_count('x')} AS words FROM (SELECT doc_id, {D.strip(_WS)} AS x FROM ({_STRIPPED}))")
+# the contents page of every fourth document, where the start marker makes it the opening
+_CLEAN = f"CASE WHEN doc_id % 4 = 0 THEN regexp_replace(x, '^A Title\\n\\nCONTENTS\\n\\nChapter 1 .... 3\\nChapter 2 .... 9\\n\\n', '') ELSE x END"
+
+
+@query(f"SELECT doc_id, sha256(y) AS sha256, {D.word_count('y')} AS words FROM (SELECT doc_id, {_CLEAN} AS y FROM (SELECT doc_id, {D.strip(_WS)} AS x FROM ({_STRIPPED})))")
 def preprocess(spark, sf_dir):
-    d = raw_books(spark, sf_dir).select("doc_id", T.normalise_blank_lines(T.strip_boilerplate(T.newlines(F.col("raw")))).alias("x"))
+    d = raw_books(spark, sf_dir).select("doc_id", T.preprocess(F.col("raw")).alias("x"))
     return d.select("doc_id", F.sha2("x", 256).alias("sha256"), T.word_count(F.col("x")).alias("words"))
 
 
@@ -163,9 +167,9 @@ QUERIES["resolve_format"], ORACLE_SQL["resolve_format"] = QUERIES.pop("resolve_f
 
 
 @query("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(n, '^(?s:.*)[/\\\\]', ''), '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'book.epub') AS name
-    FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '/tmp/' ELSE '' END || substr(text, 1, 60) || CASE WHEN doc_id % 5 = 0 THEN '/' ELSE '' END AS n FROM documents)""")
+    FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '/tmp/' ELSE '' END || text || CASE WHEN doc_id % 5 = 0 THEN '/' ELSE '' END AS n FROM documents)""")
 def sanitize_filename_query(spark, sf_dir):
-    n = F.concat(F.when(F.col("doc_id") % 3 == 0, "/tmp/").otherwise(""), F.substring("text", 1, 60), F.when(F.col("doc_id") % 5 == 0, "/").otherwise(""))
+    n = F.concat(F.when(F.col("doc_id") % 3 == 0, "/tmp/").otherwise(""), F.col("text"), F.when(F.col("doc_id") % 5 == 0, "/").otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", sanitize_filename(n).alias("name"))
 
 
@@ -177,9 +181,9 @@ def doc_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query(rf"""SELECT page_id, CAST(len(regexp_extract_all(x, {D.q('(?i)(?:^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_])' + P.BARE_URL)})) AS BIGINT) AS urls FROM (SELECT page_id, 'see ' || url || ' (' || url || ') and x' || url || ' ' || substr(html, 1, 300) AS x FROM pages)""")
+@query(rf"""SELECT page_id, CAST(len(regexp_extract_all(x, '(?i)(?:^|[^\p{{L}}\p{{N}}_])https?://[^{D.SPACE}<>()\[\]"'']+')) AS BIGINT) AS urls FROM (SELECT page_id, 'see ' || url || ' (' || url || ') and x' || url || ' ' || html AS x FROM pages)""")
 def bare_urls(spark, sf_dir):
-    x = F.concat(F.lit("see "), F.col("url"), F.lit(" ("), F.col("url"), F.lit(") and x"), F.col("url"), F.lit(" "), F.substring("html", 1, 300))
+    x = F.concat(F.lit("see "), F.col("url"), F.lit(" ("), F.col("url"), F.lit(") and x"), F.col("url"), F.lit(" "), F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", T.bare_urls(x).alias("urls"))
 
 
