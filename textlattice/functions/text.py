@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textlattice.functions import patterns as P
 
@@ -62,6 +62,15 @@ def normalise_blank_lines(x: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(x, "\n[ \t]+\n", "\n\n"), "\n{3,}", "\n\n"))
 
 
+def each(df: DataFrame, keep: list, array: Column, at: str, item: str) -> DataFrame:
+    """keep, and a row for each element of the array with its place (from 0).
+
+    An outer generator, whose empty row then goes: for an inner one the optimizer adds a filter on the array's size
+    below it, which works the whole array out a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def lines(x: Column) -> Column:
     """Lines as Python's str.splitlines() sees them."""
     ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"

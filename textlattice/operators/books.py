@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlattice.functions import patterns as P, text as T
+from textlattice.functions.tokens import Encoder, white_space
+from textlattice.sources.epub import epub_parts
 
 PIECES = "array<struct<label:string,content:string>>"
 
@@ -114,7 +116,7 @@ def parts(books: DataFrame) -> DataFrame:
     d = d.withColumn("p", F.when((F.col("kind") == "part") & (s == "canonical_scripture"), by_part).otherwise(F.col("p")))
     d = d.withColumn("kind", F.when((F.col("kind") == "part") & (F.size("p") == 0), "none").otherwise(F.col("kind")))
     d = d.withColumn("p", F.when(F.col("kind") == "none", whole(t)).otherwise(F.col("p")))
-    d = d.select("doc_id", "schema", "kind", F.posexplode("p").alias("i", "x"))
+    d = T.each(d, ["doc_id", "schema", "kind"], F.col("p"), "i", "x")
     label = F.when(F.col("x.label") != "", F.col("x.label")).otherwise(F.concat(F.initcap("kind"), F.lit(" "), F.col("i") + 1))
     return d.select("doc_id", "schema", "kind", F.when(F.col("kind") == "none", 0).otherwise(F.col("i") + 1).cast("long").alias("part"), F.when(F.col("kind") != "none", label).alias("part_label"), F.col("x.content").alias("content"))
 
@@ -132,7 +134,7 @@ def chapters(books: DataFrame) -> DataFrame:
     # numerals count where no chapter word does
     d = once(d, d.columns, {"ch": F.when((F.size("w") == 0) & s.isin("standard_book", "sectioned_book", "canonical_scripture") & (F.col("kind") != "book"), split_on(c, NUMERALS)).otherwise(F.col("w"))})
     d = d.withColumn("bare", F.size("ch") == 0)
-    d = d.select("doc_id", "schema", "kind", "part", "part_label", "bare", F.posexplode(F.when(F.col("bare"), whole(c)).otherwise(F.col("ch"))).alias("i", "x"))
+    d = T.each(d, ["doc_id", "schema", "kind", "part", "part_label", "bare"], F.when(F.col("bare"), whole(c)).otherwise(F.col("ch")), "i", "x")
     flat = F.col("bare") & (F.col("kind") == "none")
     word = F.when(s == "essay_or_story_collection", "Essay").otherwise("Chapter")
     label = F.when(F.col("x.label") != "", F.col("x.label")).otherwise(F.concat(word, F.lit(" "), F.col("i") + 1))
@@ -143,7 +145,7 @@ def verses(content_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Verses of texts without chapter headings: runs of one chapter number make a chapter (run), the number may come again."""
     marked = F.regexp_replace(F.translate("content", "\x01\x02", "  "), f"(?mdU){P.VERSE_MARK}", "\x01$1:$2\x02")
     cut = F.split(marked, "\x01", -1)
-    d = content_rows.select(*keys, F.posexplode(F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1)))).alias("pos", "x"))
+    d = T.each(content_rows, keys, F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1))), "pos", "x")
     head = F.split_part("x", F.lit("\x02"), F.lit(1))
     d = d.select(*keys, "pos", F.split_part(head, F.lit(":"), F.lit(1)).cast("long").alias("chapter"), F.split_part(head, F.lit(":"), F.lit(2)).cast("long").alias("verse"), T.strip(F.split_part("x", F.lit("\x02"), F.lit(2))).alias("text")).where("text <> ''")
     w = Window.partitionBy(*keys).orderBy("pos")
@@ -194,16 +196,18 @@ def paragraphs(books: DataFrame) -> DataFrame:
 
 
 def role(x: Column) -> Column:
+    """illustration or heading, else null; a heading's pattern can't match a long paragraph, so only short ones are tried."""
     p = T.strip(x)
     heading = p.rlike(rf"(?idu)\A(?:{P.CHAPTER[1:-1]})\z") | p.rlike(rf"(?idu)\A(?:{P.PART[1:-1]})\z")
-    return F.when(p.rlike(r"(?is)\A\[Illustration(?:\s*:.*)?\]\z"), "illustration").when(heading, "heading")
+    short = F.length(p) <= 200
+    return F.when(p.startswith("["), F.when(p.rlike(r"(?is)\A\[Illustration(?:\s*:.*)?\]\z"), "illustration")).when(short, F.when(heading, "heading"))
 
 
-def paragraph_nodes(books: DataFrame) -> DataFrame:
-    """Counts of each paragraph: sentences (at least 1), words, tokens between white space, average, role."""
+def paragraph_nodes(books: DataFrame, encoder: Encoder | None = white_space) -> DataFrame:
+    """Counts of each paragraph: sentences (at least 1), words, tokens (null without an encoder), average, role."""
     t = F.col("text")
     sentences = F.when(t.isNotNull(), F.greatest(F.lit(1), T.sentence_count(t)))
-    tokens = F.regexp_count(t, F.lit(r"[^ \t\n\r\x0b\x0c]+")).cast("long")
+    tokens = encoder(t).cast("long") if encoder else F.lit(None).cast("long")
     # counted before rows are dealt by document, so no text is shuffled
     d = _pieces(books)
     d = once(d, [*NODE, "i", "c", "v"], {"sentences": sentences, "words": T.word_count(t), "tokens": tokens, "role": role(t)})
@@ -215,10 +219,11 @@ def _least_one(c: str) -> Column:
     return F.greatest(F.col(c), F.lit(1))
 
 
-def chapter_nodes(nodes: DataFrame) -> DataFrame:
-    """From paragraph nodes; chapters without paragraphs keep zeros."""
+def chapter_nodes(nodes: DataFrame, with_tokens: bool = True) -> DataFrame:
+    """From paragraph nodes; chapters without paragraphs keep zeros. with_tokens: the paragraphs were encoded; else all tokens are null."""
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    d = nodes.groupBy(*NODE).agg(F.count("idx").alias("paragraphs"), s("sentences").alias("sentences"), s("words").alias("words"), s("tokens").alias("tokens"))
+    tokens = s("tokens") if with_tokens else F.max("tokens")
+    d = nodes.groupBy(*NODE).agg(F.count("idx").alias("paragraphs"), s("sentences").alias("sentences"), s("words").alias("words"), tokens.alias("tokens"))
     return d.withColumns({"avg_sentences": T.ratio(F.col("sentences"), _least_one("paragraphs")), "avg_words": T.ratio(F.col("words"), _least_one("sentences"))})
 
 
@@ -248,9 +253,18 @@ def summary(chapter_rows: DataFrame) -> DataFrame:
     )
 
 
-def analyze_books(books: DataFrame, override: Column | None = None) -> DataFrame:
+def analyze_books(books: DataFrame, override: Column | None = None, encoder: Encoder | None = white_space) -> DataFrame:
     """Detection and summary of every (doc_id, text): the whole way from raw text."""
     clean = once(books, ["doc_id"], {"text": T.preprocess(F.col("text"))})
     d = detect(with_scores(with_evidence(clean)), override)
     found = d.select("doc_id", "detected", "score", "confidence", "markers_found")
-    return summary(chapter_nodes(paragraph_nodes(d))).join(found, "doc_id")
+    return summary(chapter_nodes(paragraph_nodes(d, encoder), encoder is not None)).join(found, "doc_id")
+
+
+def analyze_epubs(files: DataFrame, override: Column | None = None) -> DataFrame:
+    """files: path, content. The same for EPUB files, whose parts are read in spine order; unreadable files come with error."""
+    parts = epub_parts(files)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n")
+    whole_books = parts.where("error IS NULL").groupBy(F.col("path").alias("doc_id")).agg(text.alias("text"), F.first("title").alias("title"), F.first("language").alias("language"))
+    out = analyze_books(whole_books, override).join(whole_books.select("doc_id", "title", "language"), "doc_id")
+    return out.withColumnRenamed("doc_id", "path").unionByName(parts.where("error IS NOT NULL").select("path", "error"), allowMissingColumns=True)

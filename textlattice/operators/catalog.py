@@ -6,13 +6,21 @@ categories, isbn). What a caller asks for is checked before any plan is built.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textlattice.functions.values import normal_title
+
 PAGE_SIZE, MAX_PAGE = 32, 312
 PROVIDERS = ["gutendex", "openalex"]
+#: The provider whose paging ends at MAX_PAGE.
+CAPPED = "openalex"
+#: Works of one title up to which a match is trusted.
+CANDIDATES = 10
+DOMAINS = [f"domain:{k}" for k in range(1, 5)]
 # What the kind "academic" stands for, and the rolling windows in days.
 ACADEMIC = ["article", "preprint", "review", "dissertation", "report", "conference-paper"]
 WINDOWS = {"today": 0, "7days": 6, "30days": 29, "year": 364}
@@ -39,10 +47,35 @@ def kinds_of(keys: Iterable[str]) -> list[str]:
     return [t for k in KINDS if k in set(keys) for t in KINDS[k]]
 
 
-def matches(query: str | None = None, isbn: str | None = None, dates: Iterable[str] = (), categories: Iterable[str] = (), kinds: Iterable[str] = (), languages: Iterable[str] = (), today: date | None = None) -> Column:
-    """Any value within a dimension, all dimensions together. An ISBN goes before a query."""
+def capable(sources: Iterable[str], page: int = 1, isbn: str | None = None, number: int | None = None, dates: Iterable[str] = (), categories: Iterable[str] = (), kinds: Iterable[str] = ()) -> None:
+    """Raises where a provider can't answer what is asked; every provider is checked before any is asked."""
+    sources, categories, kinds = set(sources), list(categories), set(kinds)
+    domains = [c for c in categories if c in DOMAINS]
+    subjects = [c for c in categories if c not in DOMAINS]
+    if bad := [c for c in subjects if not c.startswith("subject:") or c[8:] != c[8:].strip() or not c[8:]]:
+        raise SearchError(f"unknown categories: {sorted(bad)}")
+    if "gutendex" in sources:
+        if list(dates):
+            raise SearchError("gutendex has no publication dates")
+        if domains or len(subjects) > 1:
+            raise SearchError("gutendex takes one subject and no domains")
+        if kinds - {"book"}:
+            raise SearchError("gutendex only has books")
+    if "openalex" in sources:
+        if isbn or number is not None:
+            raise SearchError("openalex knows neither ISBN nor catalog numbers")
+        if subjects:
+            raise SearchError("openalex takes domains and no subjects")
+        if page > MAX_PAGE:
+            raise SearchError(f"openalex has pages 1 to {MAX_PAGE}")
+
+
+def matches(query: str | None = None, isbn: str | None = None, dates: Iterable[str] = (), categories: Iterable[str] = (), kinds: Iterable[str] = (), languages: Iterable[str] = (), today: date | None = None, number: int | None = None) -> Column:
+    """Any value within a dimension, all dimensions together. A catalog number goes before an ISBN, and that before a query."""
     c = F.lit(True)
-    if isbn:
+    if number is not None:
+        c &= F.col("id") == number
+    elif isbn:
         c &= F.col("isbn") == isbn
     elif query:
         c &= F.contains(F.lower("title"), F.lit(query.lower()))
@@ -59,29 +92,58 @@ def matches(query: str | None = None, isbn: str | None = None, dates: Iterable[s
 
 def page_of(rows: DataFrame, page: int, partition: list[str], order: list) -> DataFrame:
     """The page of each partition with its true count; beyond the last page nothing."""
-    if not 1 <= page <= MAX_PAGE:
-        raise SearchError(f"pages go from 1 to {MAX_PAGE}")
+    if page < 1:
+        raise SearchError("pages begin with 1")
     totals = rows.groupBy(*partition).agg(F.count("*").alias("total"))
     # a partition's first rows are kept while ranking, so no task holds a whole provider
     w = Window.partitionBy(*partition).orderBy(*order)
     ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= page * PAGE_SIZE).where(F.col("rank") > (page - 1) * PAGE_SIZE)
-    return ranked.join(F.broadcast(totals), partition).withColumn("next_page", F.when(F.col("total") > page * PAGE_SIZE, page + 1))  # a row per provider
+    return ranked.join(F.broadcast(totals), partition)  # a row per provider
 
 
 def search_catalog(catalog: DataFrame, page: int = 1, sources: Iterable[str] = PROVIDERS, **filters) -> DataFrame:
-    """The same page of every provider, one after the other, nothing merged."""
+    """The same page of every provider, one after the other, nothing merged, with next_page and previous_page of the whole.
+
+    One provider ends at page MAX_PAGE; while it is among the sources there is no page after that (see paging_warning).
+    """
+    sources = list(sources)
     if unknown := set(sources) - set(PROVIDERS):
         raise SearchError(f"unknown sources: {sorted(unknown)}")
-    rows = catalog.where(F.col("source").isin(list(sources)) & matches(**filters))
-    out = page_of(rows, page, ["source"], [F.col("id")])
+    if CAPPED in sources and page > MAX_PAGE:
+        raise SearchError(f"{CAPPED} has pages 1 to {MAX_PAGE}")
+    rows = catalog.where(F.col("source").isin(sources) & matches(**filters))
+    more = rows.groupBy("source").agg(F.count("*").alias("n")).agg((F.max("n") > page * PAGE_SIZE).alias("more"))
+    out = page_of(rows, page, ["source"], [F.col("id")]).join(F.broadcast(more))  # one row
+    nxt = F.when(F.col("more") & F.lit(not (CAPPED in sources and page == MAX_PAGE)), page + 1)
+    out = out.withColumns({"next_page": nxt, "previous_page": F.lit(page - 1 if page > 1 else None).cast("int")}).drop("more")
     return out.withColumn("provider_ord", F.array_position(F.array(*map(F.lit, PROVIDERS)), F.col("source")))
 
 
+def paging_warning(totals: dict[str, int], page: int) -> str | None:
+    """Why there is no next page although matches remain. totals: matches of each provider that was asked."""
+    if CAPPED in totals and page == MAX_PAGE and any(n > page * PAGE_SIZE for n in totals.values()):
+        return f"{CAPPED} ends at page {MAX_PAGE} ({MAX_PAGE * PAGE_SIZE:,} results); narrow the search, or ask other sources alone"
+    return None
+
+
+def search_books(catalog: DataFrame, text: str, page: int = 1, sources: Iterable[str] = PROVIDERS, **filters) -> DataFrame:
+    """A search by what a search box holds: an ISBN, a catalog number after any #, or words of a title."""
+    compact, number = text.replace("-", "").replace(" ", "").upper(), text.strip().lstrip("#")
+    if re.fullmatch(r"\d{13}|\d{9}[\dX]", compact):
+        own = {"isbn": compact}
+    elif number.isdecimal() and int(number) > 0:
+        own = {"number": int(number)}
+    else:
+        own = {"query": text.strip()}
+    return search_catalog(catalog, page, sources, **own, **filters)
+
+
 def disambiguate(rows: DataFrame, key: list[str]) -> DataFrame:
     """not found (no row), book (one) or choice (the first ten of several) for each key."""
-    w = Window.partitionBy(*key)
-    d = rows.withColumns({"n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy("id"))}).where("rank <= 10")
-    return d.withColumn("outcome", F.when(F.col("n") == 1, "book").otherwise("choice"))
+    # counted apart, so that the window keeps only ten rows of a key while it ranks
+    n = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    d = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("id"))).where("rank <= 10")
+    return d.join(n, key).withColumn("outcome", F.when(F.col("n") == 1, "book").otherwise("choice"))
 
 
 def pick_format(formats: Column) -> Column:
@@ -90,11 +152,6 @@ def pick_format(formats: Column) -> Column:
     return F.coalesce(*(formats[f] for f in FORMATS), F.when(F.size(other) > 0, F.element_at(other, 1)["value"]))
 
 
-def normal_title(x: Column) -> Column:
-    """Word runs, lower-cased, sorted and joined."""
-    return F.array_join(F.array_sort(F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))), " ")
-
-
 def valid_isbn(x: Column) -> Column:
     """The compact ISBN where its check digit holds, else null."""
     v = F.upper(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s-]", ""))
@@ -107,6 +164,8 @@ def valid_isbn(x: Column) -> Column:
 def enrich(books: DataFrame, editions: DataFrame, works: DataFrame) -> DataFrame:
     """Left join: by valid ISBN to editions, else by exact normal title and an author in common to the only such work.
 
+    A title with over CANDIDATES works isn't looked at, as a provider that returns that many shows only a part.
+
     books: id, title, authors, isbn, publisher; editions: isbn, publisher; works: work_id, title, authors. A work never
     fills what an edition would, and nothing that a book has is overwritten.
     """
@@ -114,7 +173,9 @@ def enrich(books: DataFrame, editions: DataFrame, works: DataFrame) -> DataFrame
     ed = editions.select(F.col("isbn").alias("key"), F.col("publisher").alias("ed_publisher")).dropDuplicates(["key"])
     b = b.join(ed, "key", "left")
     pairs = b.where(F.col("key").isNull()).select("id", "t", F.explode("authors").alias("author")).withColumn("author", normal_title(F.col("author"))).distinct()
-    w = works.select("work_id", normal_title(F.col("title")).alias("t"), F.explode("authors").alias("author")).withColumn("author", normal_title(F.col("author"))).distinct()
+    titled = works.select("work_id", "authors", normal_title(F.col("title")).alias("t"))
+    few = titled.groupBy("t").agg(F.count_distinct("work_id").alias("n")).where(F.col("n") <= CANDIDATES).select("t")
+    w = titled.join(few, "t").select("work_id", "t", F.explode("authors").alias("author")).withColumn("author", normal_title(F.col("author"))).distinct()
     one = pairs.join(w, ["t", "author"]).groupBy("id").agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").drop("other")
     b = b.join(one, "id", "left")
     method = F.when(F.col("ed_publisher").isNotNull(), "isbn").when(F.col("work_id").isNotNull(), "title_author")

@@ -56,5 +56,5 @@ def analyze_documents(files: DataFrame) -> DataFrame:
 def document_detail(files: DataFrame) -> DataFrame:
     """doc, section, pos, sentence (from 1), words, clauses of all prose of the documents."""
     d = S.retyped(K.blocks_of(envelope(files).where("error IS NULL"))).where(F.col("type").isin(S.PROSE))
-    s = d.select("doc", "section", "pos", F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
+    s = T.each(d, ["doc", "section", "pos"], T.sentences(F.col("text")), "i", "s")
     return s.select("doc", "section", "pos", (F.col("i") + 1).cast("long").alias("sentence"), T.word_count(F.col("s")).alias("words"), F.greatest(F.lit(1), F.size(T.clauses(F.col("s")))).cast("long").alias("clauses"))

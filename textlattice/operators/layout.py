@@ -34,7 +34,7 @@ def lines(runs: DataFrame) -> DataFrame:
         here = F.struct(line.alias("line"), y.alias("y"), p["size"].alias("size"), p["text"].alias("text"))
         return F.struct(line.alias("line"), (goes_on | some).alias("open"), y.alias("y"), F.when(some, F.concat(s["out"], F.array(here))).otherwise(s["out"]).alias("out"))
 
-    d = pages.select("doc", "page", F.posexplode(F.aggregate("pieces", start, step, lambda s: s["out"])).alias("i", "p"))
+    d = T.each(pages, ["doc", "page"], F.aggregate("pieces", start, step, lambda s: s["out"]), "i", "p")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p.text"))), lambda r: r["text"]), "")
     d = d.groupBy("doc", "page", F.col("p.line").alias("line")).agg(F.max("p.size").alias("size"), F.first("p.y").alias("y"), T.strip(joined).alias("text"))
     return d.where(~F.col("text").rlike(P.PAGE_NUMBER))

@@ -15,9 +15,9 @@ def ordered_names(links: DataFrame, key: str, position: str, name: str) -> DataF
     return links.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(position, name))), lambda x: x[name]).alias("authors"))
 
 
-def library_list(books: DataFrame, metadata: DataFrame, publishers: DataFrame, schemas: DataFrame, authors: DataFrame) -> DataFrame:
+def library_list(books: DataFrame, metadata: DataFrame, publishers: DataFrame, schemas: DataFrame, authors: DataFrame, author_key: str = "metadata_id") -> DataFrame:
     """Books with their metadata; publisher, scan and authors where there are any."""
-    d = books.join(metadata, "metadata_id").join(publishers, "publisher_id", "left").join(schemas, "schema_id", "left").join(authors, "metadata_id", "left")
+    d = books.join(metadata, "metadata_id").join(publishers, "publisher_id", "left").join(schemas, "schema_id", "left").join(authors, author_key, "left")
     return d.withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
 
 
@@ -28,6 +28,57 @@ def newest(rows: DataFrame, limit: int, source: str | None = None) -> DataFrame:
     return rows.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)
 
 
+def scoped(rows: DataFrame, owner: str | int, owner_col: str = "user_id") -> DataFrame:
+    """The rows of one owner, who must be named: every read of a library goes through here."""
+    if owner is None or owner == "":
+        raise ValueError("an owner is required")
+    return rows.where(F.col(owner_col) == owner)
+
+
+def get_result(requests: DataFrame, books: DataFrame, metadata: DataFrame) -> DataFrame:
+    """requests: request, id. Whether each book is there, with its source and title."""
+    d = requests.join(books, "id", "left").join(metadata, "metadata_id", "left")
+    return d.select("request", F.col("source").isNotNull().alias("found"), "source", "title")
+
+
+def integrity(rules: dict[str, DataFrame]) -> DataFrame:
+    """rule, violations: the rows that break each rule, counted."""
+    parts = [d.agg(F.count("*").alias("violations")).select(F.lit(k).alias("rule"), "violations") for k, d in rules.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# What a saved record may hold.
+RECORD_SOURCES, RECORD_FORMATS, SCAN_SCOPES = ["gutenberg", "upload"], ["epub"], ["paragraph", "sentence", "clause", "word"]
+
+
+def violations(source: Column, book: Column, fmt: Column, blob: Column, scan: Column, created_at: Column, updated_at: Column) -> Column:
+    """What is wrong with a saved record, in order; empty for a valid one. book, blob, scan: structs; types are the table's own."""
+    missing = lambda c, name: F.when(c.isNull(), f"{name} is required")
+    rules = [
+        missing(source, "source"), F.when(~source.isin(RECORD_SOURCES), "unknown source"),
+        missing(book, "book"), F.when(book.isNotNull() & book["title"].isNull(), "book.title is required"),
+        F.when(F.exists(book["authors"], lambda a: a["name"].isNull()), "book.authors.name is required"),
+        missing(fmt, "format"), F.when(~fmt.isin(RECORD_FORMATS), "unknown format"),
+        F.when(blob.isNotNull() & (blob["url"].isNull() | blob["pathname"].isNull() | blob["size_bytes"].isNull()), "blob is incomplete"),
+        missing(scan, "scan"), F.when(scan.isNotNull() & scan["scanned"].isNull(), "scan.scanned is required"), F.when(~scan["scope"].isin(SCAN_SCOPES), "unknown scan.scope"),
+        missing(created_at, "created_at"), missing(updated_at, "updated_at"),
+    ]
+    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+
+
+BOOK_FIELDS = ["title", "authors", "language", "subjects", "isbn", "publisher", "license", "date"]
+
+
+def public_view(rows: DataFrame) -> DataFrame:
+    """Flat rows as they are shown: id as text, the book's fields nested, a scan for every row, internal columns left out."""
+    book = F.struct(*BOOK_FIELDS, F.col("numberOfPage").alias("number_of_pages"), "open_library")
+    scan = F.coalesce(F.col("scan"), F.from_json(F.lit('{"scanned": false}'), rows.schema["scan"].dataType))
+    return rows.select(F.col("id").cast("string").alias("id"), "source", "gutenberg_id", "format", "blob", book.alias("book"), scan.alias("scan"), F.col("createdAt").alias("created_at"), F.col("updatedAt").alias("updated_at"))
+
+
 def get_or_create(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """A dimension after its new keys came in: ids of known keys stay, new ones follow from the key."""
     new = incoming.select(key).where(F.col(key).isNotNull()).distinct().join(existing, key, "left_anti")

@@ -91,6 +91,38 @@ def serialize(nodes: DataFrame, units: DataFrame, index: DataFrame, corpus_id: s
     return own.select("node", format_ref(F.lit(corpus_id), F.lit(version), F.col("path"), F.col("otype"), F.col("pos"), F.lit(None)).alias("ref"))
 
 
+def value_error(corpus_id: Column, version: Column, sections: Column, otype: Column, start: Column, end: Column) -> Column:
+    """Why values make no reference, whatever they were read from; null where they do."""
+    reserved = lambda x: x.isNotNull() & ((x == "") | x.rlike("[/:@!]"))
+    return (
+        F.when(F.coalesce(F.size(sections), F.lit(0)) < 1, "at least one section is required")
+        .when(version.isNotNull() & corpus_id.isNull(), "a version requires a corpus id")
+        .when(reserved(corpus_id), "corpus id contains a reserved delimiter")
+        .when(reserved(version), "version contains a reserved delimiter")
+        .when(otype.isNull() & (start.isNotNull() | end.isNotNull()), "an index requires a unit type")
+        .when(otype.isNotNull() & F.coalesce(start < 1, F.lit(True)), "selector indices are 1-based")
+        .when(end < start, "range end precedes its start")
+    )
+
+
+def missing_depth(parsed: DataFrame, sections: DataFrame, key: str) -> DataFrame:
+    """key, depth: the first level (from 1) of a reference's section path that the corpus doesn't have; null where it has all."""
+    p = F.col("sections")
+    up = parsed.where(p.isNotNull()).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.struct(k.alias("depth"), F.slice(p, F.lit(1), k).alias("path")))).alias("x"))
+    up = up.select(key, "x.depth", "x.path").join(sections.select("path", F.lit(True).alias("known")).distinct(), "path", "left")
+    return up.groupBy(key).agg(F.min(F.when(F.col("known").isNull(), F.col("depth"))).alias("depth"))
+
+
+def resolve_ref(refs: DataFrame, sections: DataFrame, index: DataFrame, col: str = "ref") -> DataFrame:
+    """The nodes of references given as text, by their older name."""
+    return resolve(parse(refs, col), sections, index, col)
+
+
+def node_to_ref(nodes: DataFrame, units: DataFrame, index: DataFrame, corpus_id: str, version: str) -> DataFrame:
+    """The references of nodes, by their older name."""
+    return serialize(nodes, units, index, corpus_id, version)
+
+
 def normalize(corpus_id: str, version: str) -> Column:
     """Over parsed rows: the corpus where none is named, always this version."""
     return format_ref(F.coalesce("corpus_id", F.lit(corpus_id)), F.lit(version), F.col("sections"), F.col("otype"), F.col("start_at"), F.col("end_at"))

@@ -160,7 +160,7 @@ def _of(schema: str) -> str:
 
 @query(f"WITH {_BOOKS} SELECT doc_id, unnest(range(1, len(c) + 1)) AS idx, unnest(list_transform(c, lambda x: x.label)) AS label, unnest(list_transform(c, lambda x: sha256(x.content))) AS content_sha256 FROM (SELECT doc_id, {_split('text', _C)} AS c FROM book)")
 def chapters(spark, sf_dir):
-    d = book_view(spark, sf_dir).select("doc_id", F.posexplode(B.split_on(F.col("text"), B.CHAPTERS)).alias("i", "x"))
+    d = T.each(book_view(spark, sf_dir), ["doc_id"], B.split_on(F.col("text"), B.CHAPTERS), "i", "x")
     return d.select("doc_id", (F.col("i") + 1).cast("long").alias("idx"), "x.label", F.sha2("x.content", 256).alias("content_sha256"))
 
 
@@ -199,8 +199,8 @@ def verse_islands(spark, sf_dir):
     v AS (SELECT doc_id, chapter, list_filter(list_transform(regexp_split_to_array(content, '(?m)^\d+:\d+\s'), lambda x: {D.strip('x')}), lambda x: length(x) >= 3) AS l, {D.paragraphs('content')} AS p FROM c)
     SELECT doc_id, chapter, unnest(range(1, len(x) + 1)) AS idx, unnest(list_transform(x, lambda y: {D.word_count('y')})) AS words FROM (SELECT doc_id, chapter, CASE WHEN len(l) > 0 THEN l ELSE p END AS x FROM v)""")
 def chapter_verses(spark, sf_dir):
-    d = book_view(spark, sf_dir).select("doc_id", F.posexplode(B.split_on(F.col("text"), B.CHAPTERS)).alias("i", "x"))
-    d = d.select("doc_id", (F.col("i") + 1).cast("long").alias("chapter"), F.posexplode(B.verse_pieces(F.col("x.content"))).alias("k", "v"))
+    d = T.each(book_view(spark, sf_dir), ["doc_id"], B.split_on(F.col("text"), B.CHAPTERS), "i", "x")
+    d = T.each(d, ["doc_id", (F.col("i") + 1).cast("long").alias("chapter")], B.verse_pieces(F.col("x.content")), "k", "v")
     return d.select("doc_id", "chapter", (F.col("k") + 1).cast("long").alias("idx"), T.word_count(F.col("v")).alias("words"))
 
 
@@ -218,22 +218,22 @@ def paragraph_nodes(spark, sf_dir):
 
 @query(f"WITH {_PARAS} SELECT doc_id, part, chapter, idx AS paragraph, CAST(i AS BIGINT) AS sentence, {D.word_count('s')} AS words, CAST(greatest(1, len({D.clauses('s')})) AS BIGINT) AS clauses FROM (SELECT *, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, {D.sentences('text')} AS l FROM pa WHERE idx IS NOT NULL))")
 def detail_sentence(spark, sf_dir):
-    d = B.paragraphs(books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
+    d = T.each(B.paragraphs(books(spark, sf_dir)), ["doc_id", "part", "chapter", F.col("idx").alias("paragraph")], T.sentences(F.col("text")), "i", "s")
     return d.select("doc_id", "part", "chapter", "paragraph", (F.col("i") + 1).cast("long").alias("sentence"), T.word_count(F.col("s")).alias("words"), F.greatest(F.lit(1), F.size(T.clauses(F.col("s")))).cast("long").alias("clauses"))
 
 
 @query(f"""WITH {_PARAS}, s AS (SELECT doc_id, part, chapter, idx AS paragraph, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS sentence FROM (SELECT *, {D.sentences('text')} AS l FROM pa WHERE idx IS NOT NULL))
     SELECT doc_id, part, chapter, paragraph, sentence, unnest(range(1, len(c) + 1)) AS clause, unnest(list_transform(c, lambda x: {D.word_count('x')})) AS words FROM (SELECT *, {D.clauses('s')} AS c FROM s)""")
 def detail_clause(spark, sf_dir):
-    d = B.paragraphs(books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.sentences(F.col("text"))).alias("i", "s"))
-    d = d.select("doc_id", "part", "chapter", "paragraph", (F.col("i") + 1).cast("long").alias("sentence"), F.posexplode(T.clauses(F.col("s"))).alias("k", "c"))
+    d = T.each(B.paragraphs(books(spark, sf_dir)), ["doc_id", "part", "chapter", F.col("idx").alias("paragraph")], T.sentences(F.col("text")), "i", "s")
+    d = T.each(d, ["doc_id", "part", "chapter", "paragraph", (F.col("i") + 1).cast("long").alias("sentence")], T.clauses(F.col("s")), "k", "c")
     return d.select("doc_id", "part", "chapter", "paragraph", "sentence", (F.col("k") + 1).cast("long").alias("clause"), T.word_count(F.col("c")).alias("words"))
 
 
 @query(rf"""WITH {_PARAS}, w AS (SELECT doc_id, part, chapter, idx AS paragraph, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z0-9]+')) AS l FROM pa WHERE idx IS NOT NULL)
     SELECT doc_id, part, chapter, paragraph, count(*) AS words, CAST(sum(i * length(x)) AS BIGINT) AS weighted FROM (SELECT *, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM w) GROUP BY ALL""")
 def detail_word(spark, sf_dir):
-    d = B.paragraphs(books(spark, sf_dir)).select("doc_id", "part", "chapter", F.col("idx").alias("paragraph"), F.posexplode(T.word_list(F.col("text"))).alias("i", "w"))
+    d = T.each(B.paragraphs(books(spark, sf_dir)), ["doc_id", "part", "chapter", F.col("idx").alias("paragraph")], T.word_list(F.col("text")), "i", "w")
     return d.groupBy("doc_id", "part", "chapter", "paragraph").agg(F.count("*").alias("words"), F.sum((F.col("i") + 1) * F.length("w")).cast("long").alias("weighted"))
 
 

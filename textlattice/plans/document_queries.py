@@ -36,7 +36,7 @@ def conversation_blocks(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     inside = "CAST({} AS ARRAY<STRING>) AS inside"
     h = c.selectExpr("conv_id AS doc", "turn * 1000000 AS pos", "'heading' AS type", "CAST((turn * 7 + conv_id) % 4 + 1 AS INT) AS level", f"{_HEAD} AS text", inside.format("array()"), "0 AS links")
-    b = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\. ", -1)).alias("i", "x"))
+    b = T.each(c, ["conv_id", "turn"], F.split("text", r"\. ", -1), "i", "x")
     b = b.selectExpr("conv_id AS doc", "turn * 1000000 + i + 1 AS pos", f"{_KIND} AS type", "CAST(NULL AS INT) AS level", "x AS text", inside.format("CASE i % 5 WHEN 2 THEN array('list', 'list_item') WHEN 4 THEN array('table') ELSE array() END"), "i % 2 AS links")
     quoted = c.where("turn % 3 = 1")
     q = quoted.selectExpr("conv_id AS doc", "turn * 1000000 + 900000 AS pos", "'blockquote' AS type", "CAST(NULL AS INT) AS level", "'' AS text", inside.format("array()"), "0 AS links")
@@ -123,7 +123,7 @@ _CHUNKS = r"list_filter(string_split_regex(regexp_replace(t, '^(?:[\s]*\n)+|(?:\
 
 @query(f"SELECT doc_id, unnest(range(0, len(c))) AS idx, unnest(list_transform(c, lambda x: CAST(length(regexp_replace(x, '[ \\t\\p{{Z}}]+(\\n|$)', '\\1', 'g')) AS BIGINT))) AS n_chars FROM (SELECT doc_id, {_CHUNKS} AS c FROM (SELECT doc_id, {_LAYOUT} AS t FROM documents))")
 def text_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.text_chunks(F.expr(_layout()))).alias("idx", "c"))
+    d = T.each(table(spark, sf_dir, "documents"), ["doc_id"], K.text_chunks(F.expr(_layout())), "idx", "c")
     return d.select("doc_id", F.col("idx").cast("long").alias("idx"), F.length("c").cast("long").alias("n_chars"))
 
 
@@ -156,7 +156,7 @@ def text_table(spark, sf_dir):
     WHEN regexp_matches(l[1], {D.q(P.LIST_MARKER)}) AND NOT (len(l) = 1 AND ({_level('l[1]')}) IS NOT NULL) THEN 'list' WHEN {_TABLE} THEN 'table' WHEN regexp_matches({D.strip('l[1]')}, {D.q('(?i)' + P.FIGURE_CAPTION)}) THEN 'figure' WHEN len(l) = 1 AND ({_level('l[1]')}) IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS type
     FROM (SELECT doc_id, string_split(unnest({_CHUNKS}), chr(10)) AS l FROM (SELECT doc_id, {_LAYOUT} AS t FROM documents))) GROUP BY doc_id, type""")
 def text_chunk_type(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(K.text_chunks(F.expr(_layout()))).alias("c"))
+    d = T.each(table(spark, sf_dir, "documents"), ["doc_id"], K.text_chunks(F.expr(_layout())), "i", "c")
     return d.groupBy("doc_id", K.chunk_type(F.col("c")).alias("type")).agg(F.count("*").alias("n"))
 
 

@@ -73,7 +73,7 @@ _RUNS = f"""sn AS (SELECT doc_id AS doc, i, x, CAST(floor(length(x) / 2) AS INT)
 
 def pdf_runs(spark, sf_dir) -> DataFrame:
     """The first half of each sentence and all the rest, half a point lower."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\. ", -1)).alias("i", "x")).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = T.each(table(spark, sf_dir, "documents"), [F.col("doc_id").alias("doc")], F.split("text", r"\. ", -1), "i", "x").withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
     i, h = F.col("i"), F.col("h")
     y = F.lit(700.0) - (i % 10) * 14.0 - F.when(i % 5 == 4, 20.0).otherwise(0.0) - h * 0.5
     half = F.floor(F.length("x") / 2).cast("int")

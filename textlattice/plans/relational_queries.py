@@ -10,8 +10,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
-from textlattice.functions import text as T
-from textlattice.operators import catalog as C, library as L, refs as R
+from textlattice.functions import text as T, values as V
+from textlattice.operators import catalog as C, library as L, payloads as J, refs as R
 from textlattice.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 # ---- catalog
 
 _TYPES = ["book", "article", "preprint", "review", "dissertation", "report", "other", "dataset"]
-_CATALOG = f"""catalog AS (SELECT CASE doc_id % 2 WHEN 0 THEN 'gutendex' ELSE 'openalex' END AS source, doc_id AS id, substr(text, 1, 40) AS title, lang AS language,
+_CATALOG = f"""catalog AS (SELECT CASE doc_id % 2 WHEN 0 THEN 'gutendex' ELSE 'openalex' END AS source, doc_id AS id, text AS title, lang AS language,
     CAST(date '2026-01-01' - CAST(doc_id % 500 AS INT) AS DATE) AS publication_date, {{pick}} AS kind, {{array}} AS categories, '978' || lpad(CAST(doc_id AS VARCHAR(20)), 10, '0') AS isbn FROM documents)"""
 _CATALOG_SQL = _CATALOG.format(pick=f"list_extract({_TYPES}, CAST(doc_id % 8 + 1 AS INT))", array="['subject:s' || (doc_id % 5), 'domain:' || (doc_id % 4 + 1)]")
 
@@ -40,7 +40,7 @@ def catalog_view(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     return d.select(
-        F.when(i % 2 == 0, "gutendex").otherwise("openalex").alias("source"), i.alias("id"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("language"),
+        F.when(i % 2 == 0, "gutendex").otherwise("openalex").alias("source"), i.alias("id"), F.col("text").alias("title"), F.col("lang").alias("language"),
         F.date_sub(F.lit(TODAY), (i % 500).cast("int")).alias("publication_date"), F.element_at(F.array(*map(F.lit, _TYPES)), (i % 8 + 1).cast("int")).alias("kind"),
         F.array(F.concat(F.lit("subject:s"), (i % 5).cast("string")), F.concat(F.lit("domain:"), (i % 4 + 1).cast("string"))).alias("categories"),
         F.concat(F.lit("978"), F.lpad(i.cast("string"), 10, "0")).alias("isbn"),
@@ -49,10 +49,10 @@ def catalog_view(spark, sf_dir) -> DataFrame:
 
 def _page(where: str, n: int, columns: str = "source, id, total") -> str:
     return f"""WITH {_CATALOG_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS rank, count(*) OVER (PARTITION BY source) AS total FROM catalog WHERE {where})
-        SELECT {columns} FROM m WHERE rank > {(n - 1) * 32} AND rank <= {n * 32}"""
+        SELECT {columns} FROM (SELECT * FROM m WHERE rank > {(n - 1) * 32} AND rank <= {n * 32})"""
 
 
-@query(_page("contains(lower(title), 'th')", 2, "source, id, total, CAST(CASE source WHEN 'gutendex' THEN 1 ELSE 2 END AS BIGINT) AS provider_ord, CASE WHEN total > 64 THEN 3 END AS next_page"))
+@query(_page("contains(lower(title), 'th')", 2, "source, id, total, CAST(CASE source WHEN 'gutendex' THEN 1 ELSE 2 END AS BIGINT) AS provider_ord, CASE WHEN max(total) OVER () > 64 THEN 3 END AS next_page"))
 def federated_search(spark, sf_dir):
     return C.search_catalog(catalog_view(spark, sf_dir), 2, query="th").select("source", "id", "total", F.col("provider_ord").cast("long"), "next_page")
 
@@ -83,9 +83,9 @@ def page_slice(spark, sf_dir):
     return C.page_of(catalog_view(spark, sf_dir).where("language = 'en'"), 3, ["source"], ["id"]).select("source", "id", "total")
 
 
-@query(f"WITH {_CATALOG_SQL}, m AS (SELECT id, title, count(*) OVER (PARTITION BY title) AS n, row_number() OVER (PARTITION BY title ORDER BY id) AS rank FROM catalog) SELECT title, id, n, CASE WHEN n = 1 THEN 'book' ELSE 'choice' END AS outcome FROM m WHERE rank <= 10")
+@query(f"WITH {_CATALOG_SQL}, m AS (SELECT id, title, count(*) OVER (PARTITION BY title) AS n, row_number() OVER (PARTITION BY title ORDER BY id) AS rank FROM catalog) SELECT sha256(title) AS title, id, n, CASE WHEN n = 1 THEN 'book' ELSE 'choice' END AS outcome FROM m WHERE rank <= 10")
 def disambiguate(spark, sf_dir):
-    return C.disambiguate(catalog_view(spark, sf_dir), ["title"]).select("title", "id", "n", "outcome")
+    return C.disambiguate(catalog_view(spark, sf_dir), ["title"]).select(F.sha2("title", 256).alias("title"), "id", "n", "outcome")
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'b' || doc_id WHEN 1 THEN 'c' || doc_id WHEN 2 THEN 'd' || doc_id END AS url FROM documents")
@@ -98,7 +98,43 @@ def pick_format(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents WHERE list_has_any([lang, source], string_split('fr,es', ','))")
 def lang_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.arrays_overlap(F.array("lang", "source"), F.split(F.lit("fr,es"), ","))).select("doc_id", "lang")
+    return table(spark, sf_dir, "documents").where(V.any_language(F.array("lang", "source"), F.lit("fr,es"))).select("doc_id", "lang")
+
+
+# a provider's pages: 32 documents a page, some with a record that isn't valid
+
+_GUTENDEX_BAD, _OPENALEX_BAD = "n % 7 = 3 OR n % 7 = 5", "n % 5 = 1 OR n % 5 = 3 OR n % 5 = 4"
+
+
+def _provider_pages(spark, sf_dir, record: str, page: str) -> DataFrame:
+    """payload, page: the record expression of each document, gathered by its page expression."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id DIV 32 AS n", "doc_id", f"{record} AS r").groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "r"))), lambda x: x["r"]).alias("results"))
+    return d.selectExpr(f"to_json({page}) AS payload", "CAST(n + 1 AS INT) AS page")
+
+
+@query(f"""SELECT CAST(doc_id // 32 + 1 AS INT) AS page, CAST(NULL AS VARCHAR) AS error, 'g' || CAST(doc_id + 1 AS VARCHAR) AS id, sha256(text) AS title, CASE WHEN doc_id % 2 = 0 THEN 'Ann, Bob' ELSE '' END AS authors, lang || ',xx' AS language, 'subject:' || source AS categories FROM (SELECT *, doc_id // 32 AS n FROM documents) WHERE NOT ({_GUTENDEX_BAD}) AND text <> ''
+    UNION ALL SELECT DISTINCT CAST(n + 1 AS INT), 'invalid catalog metadata', NULL, NULL, NULL, NULL, NULL FROM (SELECT doc_id // 32 AS n FROM documents) WHERE {_GUTENDEX_BAD}""")
+def catalog_gutendex(spark, sf_dir):
+    record = "named_struct('id', CASE WHEN doc_id DIV 32 % 7 = 3 AND doc_id % 32 = 0 THEN 0 ELSE doc_id + 1 END, 'title', text, 'authors', CASE WHEN doc_id % 2 = 0 THEN array(named_struct('name', 'Ann'), named_struct('name', 'Bob')) ELSE array() END, 'languages', array(lang, 'xx'), 'subjects', array(source))"
+    page = "named_struct('count', CASE WHEN n % 7 = 5 THEN -1 ELSE 1000000000 END, 'next', CAST(NULL AS STRING), 'results', results)"
+    d = J.gutendex(_provider_pages(spark, sf_dir, record, page))
+    return d.select("page", "error", F.concat(F.lit("g"), "id").alias("id"), F.sha2("title", 256).alias("title"), F.when(F.col("error").isNull(), F.array_join("authors", ", ")).alias("authors"), F.when(F.col("error").isNull(), F.col("language")).alias("language"), F.when(F.col("error").isNull(), F.array_join("categories", ",")).alias("categories"))
+
+
+@query(f"""SELECT CAST(doc_id // 32 + 1 AS INT) AS page, CAST(NULL AS VARCHAR) AS error, 'W' || CAST(doc_id + 1 AS VARCHAR) AS id, sha256(text) AS title, CAST(date '2020-01-01' + CAST(doc_id % 300 AS INT) AS DATE) AS publication_date, CASE WHEN doc_id % 3 > 0 THEN 'domain:' || (doc_id % 3) ELSE '' END AS categories FROM (SELECT *, doc_id // 32 AS n FROM documents) WHERE NOT ({_OPENALEX_BAD}) AND text <> ''
+    UNION ALL SELECT DISTINCT CAST(n + 1 AS INT), 'invalid catalog metadata', NULL, NULL, NULL, NULL FROM (SELECT doc_id // 32 AS n FROM documents) WHERE {_OPENALEX_BAD}""")
+def catalog_openalex(spark, sf_dir):
+    record = "named_struct('id', concat(CASE WHEN doc_id DIV 32 % 5 = 1 AND doc_id % 32 = 0 THEN 'X' WHEN doc_id % 2 = 0 THEN 'https://openalex.org/W' ELSE 'W' END, doc_id + 1), 'display_name', text, 'authorships', array(named_struct('author', named_struct('display_name', 'Ann'))), 'publication_date', CASE WHEN doc_id DIV 32 % 5 = 3 AND doc_id % 32 = 0 THEN '2020-02-30' ELSE CAST(date_add(DATE '2020-01-01', CAST(doc_id % 300 AS INT)) AS STRING) END, 'type', 'article', 'primary_topic', CASE WHEN doc_id % 3 > 0 THEN named_struct('domain', named_struct('id', concat('https://openalex.org/domains/', doc_id % 3))) END)"
+    page = "named_struct('meta', named_struct('count', 1000000000, 'page', CASE WHEN n % 5 = 4 THEN n + 2 ELSE n + 1 END, 'per_page', 32), 'results', results)"
+    d = J.openalex(_provider_pages(spark, sf_dir, record, page))
+    return d.select("page", "error", "id", F.sha2("title", 256).alias("title"), "publication_date", F.when(F.col("error").isNull(), F.array_join("categories", ",")).alias("categories"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'OL' || doc_id || 'W' END AS work, CASE WHEN doc_id % 3 = 1 THEN 'OL' || doc_id || 'M' END AS edition FROM documents")
+def open_library_id(spark, sf_dir):
+    i = F.col("doc_id").cast("string")
+    x = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/works/OL"), i, F.lit("W"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("OL"), i, F.lit("M"))).otherwise(F.concat(F.lit("/works/OL"), i, F.lit("W/x")))
+    return table(spark, sf_dir, "documents").select("doc_id", V.open_library_id(x, "W").alias("work"), V.open_library_id(x, "M").alias("edition"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_type(props, '$.k') IS NOT NULL AS valid FROM events")
@@ -107,12 +143,12 @@ def parse_payload(spark, sf_dir):
     return d.select("event_id", "p.k", F.col("p.k").isNotNull().alias("valid"))
 
 
-_NORM = r"array_to_string(list_sort(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+')), ' ')"
+_NORM = r"array_to_string(list_sort(regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')), ' ')"
 
 
-@query(f"SELECT doc_id, {_NORM.format(x='substr(text, 1, 80)')} AS title FROM documents")
+@query(f"SELECT doc_id, {_NORM.format(x='text')} AS title FROM documents")
 def norm_title(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.normal_title(F.substring("text", 1, 80)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.normal_title(F.col("text")).alias("title"))
 
 
 _ISBN_TEXT = "CASE doc_id % 3 WHEN 0 THEN '978-0-14-' || lpad(CAST(doc_id * 7 % 1000000 AS VARCHAR(9)), 6, '0') || '-' || (doc_id % 10) WHEN 1 THEN lpad(CAST(doc_id * 7919 % 1000000000 AS VARCHAR(12)), 9, '0') || CASE WHEN doc_id % 11 = 10 THEN 'x' ELSE CAST(doc_id % 10 AS VARCHAR(2)) END ELSE substr(text, 1, 13) END"
@@ -129,7 +165,7 @@ def isbn_check(spark, sf_dir):
 @query("SELECT doc_id, nullif(regexp_replace(regexp_extract('urn:isbn:978-' || doc_id || ' 12345678-' || source, '(?i)(?:97[89][-\\s]?)?[\\d][-\\s\\d]{8,}[\\dXx]'), '[-\\s]', '', 'g'), '') AS isbn FROM documents")
 def isbn_extract(spark, sf_dir):
     x = F.concat(F.lit("urn:isbn:978-"), F.col("doc_id").cast("string"), F.lit(" 12345678-"), F.col("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.regexp_replace(F.regexp_extract(x, r"(?i)(?:97[89][-\s]?)?[\d][-\s\d]{8,}[\dXx]", 0), r"[-\s]", ""), F.lit("")).alias("isbn"))
+    return table(spark, sf_dir, "documents").select("doc_id", V.isbn_in(x).alias("isbn"))
 
 
 @query("SELECT doc_id, regexp_full_match(w, 'W[1-9][0-9]*') AS work_ok, try_cast(d AS DATE) AS day FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'W0' ELSE 'W' END || doc_id AS w, '2024-' || lpad(CAST(doc_id % 14 AS VARCHAR(3)), 2, '0') || '-' || lpad(CAST(doc_id % 33 AS VARCHAR(3)), 2, '0') AS d FROM documents)")
@@ -137,15 +173,15 @@ def validate_ids(spark, sf_dir):
     i = F.col("doc_id")
     w = F.concat(F.when(i % 3 == 0, "W0").otherwise("W"), i.cast("string"))
     d = F.concat(F.lit("2024-"), F.lpad((i % 14).cast("string"), 2, "0"), F.lit("-"), F.lpad((i % 33).cast("string"), 2, "0"))
-    return table(spark, sf_dir, "documents").select("doc_id", w.rlike(r"\A(?:W[1-9][0-9]*)\z").alias("work_ok"), F.try_to_date(d, "yyyy-MM-dd").alias("day"))
+    return table(spark, sf_dir, "documents").select("doc_id", V.is_work_id(w).alias("work_ok"), V.iso_day(d).alias("day"))
 
 
 @query("SELECT doc_id, lower(split_part(trim(' ' || upper(lang) || '-GB '), '-', 1)) AS language FROM documents")
 def language_subtag(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.split_part(F.trim(F.concat(F.lit(" "), F.upper("lang"), F.lit("-GB "))), F.lit("-"), F.lit(1))).alias("language"))
+    return table(spark, sf_dir, "documents").select("doc_id", V.language_subtag(F.concat(F.lit(" "), F.upper("lang"), F.lit("-GB "))).alias("language"))
 
 
-_INPUT = "CASE doc_id % 4 WHEN 0 THEN ' 978-0-14-143951-' || (doc_id % 10) WHEN 1 THEN '##' || doc_id WHEN 2 THEN '0' ELSE '  ' || substr(text, 1, 20) || ' ' END"
+_INPUT = "CASE doc_id % 4 WHEN 0 THEN ' 978-0-14-143951-' || (doc_id % 10) WHEN 1 THEN '##' || doc_id WHEN 2 THEN '0' ELSE '  ' || text || ' ' END"
 
 
 @query(rf"""SELECT doc_id, CASE WHEN regexp_full_match(c, '\d{{13}}|\d{{9}}[\dXx]') THEN 'isbn' WHEN regexp_full_match(g, '\d+') AND try_cast(g AS BIGINT) > 0 THEN 'gutenberg' ELSE 'title' END AS kind,
@@ -153,51 +189,43 @@ _INPUT = "CASE doc_id % 4 WHEN 0 THEN ' 978-0-14-143951-' || (doc_id % 10) WHEN
     FROM (SELECT doc_id, t, regexp_replace(t, '[\s-]', '', 'g') AS c, regexp_replace(t, '^#+', '') AS g FROM (SELECT doc_id, regexp_replace({_INPUT}, '^\s+|\s+$', '', 'g') AS t FROM documents))""")
 def parse_search(spark, sf_dir):
     x = F.expr(_INPUT.replace("|| (doc_id % 10)", "|| CAST(doc_id % 10 AS STRING)").replace("|| doc_id ", "|| CAST(doc_id AS STRING) "))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(x, r"^\s+|\s+$", "").alias("t"))
-    c, g = F.regexp_replace("t", r"[\s-]", ""), F.regexp_replace("t", "^#+", "")
-    isbn, number = c.rlike(r"\A(?:\d{13}|\d{9}[\dXx])\z"), g.rlike(r"\A\d+\z") & (g.try_cast("long") > 0)
-    return d.select("doc_id", F.when(isbn, "isbn").when(number, "gutenberg").otherwise("title").alias("kind"), F.when(isbn, F.upper(c)).when(number, g.try_cast("long").cast("string")).otherwise(F.col("t")).alias("value"))
+    return table(spark, sf_dir, "documents").select("doc_id", V.search_input(x).alias("s")).select("doc_id", "s.kind", "s.value")
 
 
 @query("SELECT page_id, CASE WHEN regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN u ELSE 'https://' || u END AS url, regexp_extract(u, '([^/?#]+)/?(?:[?#].*)?$', 1) AS name FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS u FROM pages)")
 def normalize_url(spark, sf_dir):
     u = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(u.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), u).otherwise(F.concat(F.lit("https://"), u)).alias("url"), F.regexp_extract(u, r"([^/?#]+)/?(?:[?#].*)?$", 1).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", V.normal_url(u).alias("url"), V.url_name(u).alias("name"))
 
 
 @query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0::DOUBLE) ELSE format('{:.1f} GB', b / 1073741824.0::DOUBLE) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 1000) AS b FROM documents)")
 def format_bytes(spark, sf_dir):
     b = F.col("n_chars") * (F.col("doc_id") % 1000)
-    show = lambda div, unit: F.concat(F.bround((b / div).cast("decimal(38,18)"), 1).cast("decimal(38,1)").cast("string"), F.lit(unit))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B"))).when(b < 1 << 20, show(1024.0, " KB")).when(b < 1 << 30, show(1048576.0, " MB")).otherwise(show(1073741824.0, " GB")).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", V.shown_bytes(b).alias("size"))
 
 
-_URLS = "CASE page_id % 6 WHEN 0 THEN 'http://127.0.0.1/' WHEN 1 THEN 'ftp://a.example/' WHEN 2 THEN 'https://u:p@a.example/' WHEN 3 THEN 'http://10.' || (page_id % 256) || '.0.1/x' WHEN 4 THEN 'https://192.168.1.1' ELSE url END"
+_URLS = "CASE page_id % 8 WHEN 6 THEN 'http://[::1]/x' WHEN 5 THEN 'https://[2001:db8::1]:80/' WHEN 0 THEN 'http://127.0.0.1/' WHEN 1 THEN 'ftp://a.example/' WHEN 2 THEN 'https://u:p@a.example/' WHEN 3 THEN 'http://10.' || (page_id % 256) || '.0.1/x' WHEN 4 THEN 'https://192.168.1.1' ELSE url END"
 
 
-@query(rf"""SELECT page_id, regexp_matches(u, '^https?://') AND NOT regexp_matches(u, '^[a-z]+://[^/?#]*@') AND NOT regexp_matches(u, '^[a-z]+://(?:0|10|127)\.\d+\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://(?:169\.254|192\.168)\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://(?:22[4-9]|2[3-5]\d)\.\d+\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://localhost(?:[:/?#]|$)') AS allowed FROM (SELECT page_id, {_URLS} AS u FROM pages)""")
+@query(rf"""SELECT page_id, regexp_matches(u, '^https?://') AND NOT regexp_matches(u, '^[a-z]+://[^/?#]*@') AND NOT regexp_matches(u, '^[a-z]+://(?:0|10|127)\.\d+\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://(?:169\.254|192\.168)\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://(?:22[4-9]|2[3-5]\d)\.\d+\.\d+\.\d+(?:[:/?#]|$)|^[a-z]+://localhost(?:[:/?#]|$)|^[a-z]+://\[(?:::1?\]|::ffff:|f[cd]|fe[89ab]|ff)') AS allowed FROM (SELECT page_id, {_URLS} AS u FROM pages)""")
 def url_policy(spark, sf_dir):
     u = F.expr(_URLS.replace("|| (page_id % 256)", "|| CAST(page_id % 256 AS STRING)"))
-    host = F.try_parse_url(u, F.lit("HOST"))
-    octet = lambda k: F.split_part(host, F.lit("."), F.lit(k)).try_cast("int")
-    ip = host.rlike(r"\A\d+\.\d+\.\d+\.\d+\z")
-    private = octet(1).isin(0, 10, 127) | (octet(1) >= 224) | ((octet(1) == 169) & (octet(2) == 254)) | ((octet(1) == 192) & (octet(2) == 168)) | ((octet(1) == 172) & octet(2).between(16, 31))
-    ok = F.try_parse_url(u, F.lit("PROTOCOL")).isin("http", "https") & F.try_parse_url(u, F.lit("USERINFO")).isNull() & (host != "localhost") & ~(ip & private)
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(ok, F.lit(False)).alias("allowed"))
+    return table(spark, sf_dir, "pages").select("page_id", V.public_url(u).alias("allowed"))
 
 
 @query(f"""WITH b AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 4 = 0 THEN lpad(CAST(p_partkey AS VARCHAR(13)), 13, '0') END AS raw, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE '' END AS publisher, p_type AS author FROM part),
     k AS (SELECT *, CASE WHEN list_sum(list_transform(range(1, 14), lambda i: CAST(substr(raw, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0 THEN raw END AS key, {_NORM.format(x='title')} AS t, {_NORM.format(x='author')} AS a FROM b),
     e AS (SELECT lpad(CAST(s_suppkey AS VARCHAR(13)), 13, '0') AS key, s_name AS ed FROM supplier),
-    w AS (SELECT CAST(c_custkey AS VARCHAR) AS work_id, {_NORM.format(x="CASE c_custkey % 2 WHEN 0 THEN 'Ring, SMALL' ELSE 'x ' || c_name END")} AS t, {_NORM.format(x="CASE WHEN c_custkey = 10 THEN 'ECONOMY' ELSE c_mktsegment END")} AS a FROM customer),
-    o AS (SELECT k.id, min(w.work_id) AS work_id FROM k JOIN w ON k.key IS NULL AND w.t = k.t AND w.a = k.a GROUP BY k.id HAVING min(w.work_id) = max(w.work_id))
+    w AS (SELECT CAST(c_custkey AS VARCHAR) AS work_id, {_NORM.format(x="CASE WHEN c_custkey % 200 = 10 THEN 'Ring, SMALL' ELSE 'x ' || c_name END")} AS t, {_NORM.format(x="CASE WHEN c_custkey = 10 THEN 'ECONOMY' ELSE c_mktsegment END")} AS a FROM customer),
+    few AS (SELECT t FROM w GROUP BY t HAVING count(DISTINCT work_id) <= 10),
+    o AS (SELECT k.id, min(w.work_id) AS work_id FROM k JOIN (SELECT * FROM w WHERE t IN (SELECT t FROM few)) w ON k.key IS NULL AND w.t = k.t AND w.a = k.a GROUP BY k.id HAVING min(w.work_id) = max(w.work_id))
     SELECT k.id, CASE WHEN ed IS NOT NULL THEN 'isbn' WHEN work_id IS NOT NULL THEN 'title_author' END AS match_method, work_id, coalesce(nullif(publisher, ''), ed) AS publisher FROM k LEFT JOIN e ON e.key = k.key LEFT JOIN o ON o.id = k.id""")
 def enrich_books(spark, sf_dir):
     i = F.col("p_partkey")
     books = table(spark, sf_dir, "part").select(i.alias("id"), F.col("p_name").alias("title"), F.array("p_type").alias("authors"), F.when(i % 4 == 0, F.lpad(i.cast("string"), 13, "0")).alias("isbn"), F.when(i % 5 == 0, F.col("p_brand")).otherwise("").alias("publisher"))
     editions = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 13, "0").alias("isbn"), F.col("s_name").alias("publisher"))
     c = F.col("c_custkey")
-    works = table(spark, sf_dir, "customer").select(c.cast("string").alias("work_id"), F.when(c % 2 == 0, "Ring, SMALL").otherwise(F.concat(F.lit("x "), F.col("c_name"))).alias("title"), F.array(F.when(c == 10, "ECONOMY").otherwise(F.col("c_mktsegment"))).alias("authors"))
+    works = table(spark, sf_dir, "customer").select(c.cast("string").alias("work_id"), F.when(c % 200 == 10, "Ring, SMALL").otherwise(F.concat(F.lit("x "), F.col("c_name"))).alias("title"), F.array(F.when(c == 10, "ECONOMY").otherwise(F.col("c_mktsegment"))).alias("authors"))
     return C.enrich(books, editions, works)
 
 
@@ -225,9 +253,8 @@ def library_list(spark, sf_dir):
     meta = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("metadata_id"), F.col("p_name").alias("title"))
     pub = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("publisher_id"), F.col("c_name").alias("publisher"))
     sch = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("schema_id"), F.col("n_name").alias("schema"))
-    d = book_rows(spark, sf_dir).join(meta, "metadata_id").join(pub, "publisher_id", "left").join(sch, "schema_id", "left")
-    d = d.join(L.ordered_names(author_rows(spark, sf_dir), "id", "position", "name"), "id", "left")
-    return d.select("id", "title", "publisher", "schema", F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " | ").alias("authors"))
+    d = L.library_list(book_rows(spark, sf_dir), meta, pub, sch, L.ordered_names(author_rows(spark, sf_dir), "id", "position", "name"), "id")
+    return d.select("id", "title", "publisher", "schema", F.array_join("authors", " | ").alias("authors"))
 
 
 @query(f"WITH {_AUTHORS} SELECT id, array_to_string(authors, ' | ') AS authors FROM author")
@@ -243,8 +270,7 @@ def recent_uploads(spark, sf_dir):
 @query(f"WITH {_BOOKS} SELECT item_id AS request, b.id IS NOT NULL AS found, b.source, p_name AS title FROM benchmark LEFT JOIN book b ON b.id = item_id * 1000 LEFT JOIN part ON p_partkey = b.metadata_id")
 def get_result(spark, sf_dir):
     r = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request"), (F.col("item_id") * 1000).alias("id"))
-    d = r.join(book_rows(spark, sf_dir), "id", "left").join(table(spark, sf_dir, "part"), F.col("metadata_id") == F.col("p_partkey"), "left")
-    return d.select("request", F.col("source").isNotNull().alias("found"), "source", F.col("p_name").alias("title"))
+    return L.get_result(r, book_rows(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("metadata_id"), F.col("p_name").alias("title")))
 
 
 @query("""WITH e AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier WHERE s_acctbal > 0), i AS (SELECT DISTINCT s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
@@ -257,7 +283,7 @@ def dim_upsert(spark, sf_dir):
 @query(f"WITH {_AUTHORS} SELECT id, unnest(range(0, len(authors))) AS position, unnest(authors) AS name FROM author")
 def metadata_authors(spark, sf_dir):
     d = L.ordered_names(author_rows(spark, sf_dir), "id", "position", "name")
-    return d.select("id", F.posexplode("authors").alias("position", "name")).withColumn("position", F.col("position").cast("long"))
+    return T.each(d, ["id"], "authors", "position", "name").withColumn("position", F.col("position").cast("long"))
 
 
 @query("""WITH e AS (SELECT c_custkey AS key, TIMESTAMP '2020-01-01 00:00:00' AS created_at FROM customer), s AS (SELECT user_id AS key, arg_max(value, (ts, value)) AS value, min(ts) AS first_at, max(ts) AS updated_at, count(*) AS scans FROM events GROUP BY user_id)
@@ -280,23 +306,39 @@ def integrity(spark, sf_dir):
         "check discount": li.where(~F.col("l_discount").between(0, 0.05)),
         "check status": o.where(~F.col("o_orderstatus").isin("F", "O")),
     }
-    parts = [d.agg(F.count("*").alias("violations")).select(F.lit(k).alias("rule"), "violations") for k, d in rules.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return L.integrity(rules)
 
 
-@query("SELECT c_custkey AS owner, count(o_orderkey) AS records, max(o_orderdate) AS newest FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)")
 def owner_scope(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
-    return d.groupBy(F.col("c_custkey").alias("owner")).agg(F.count("o_orderkey").alias("records"), F.max("o_orderdate").alias("newest"))
+    """What one owner sees: every read names its owner."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("user_id"))
+    return L.scoped(rows, rows.agg(F.min("user_id")).first()[0]).select("id", "created_at")
 
 
-@query("""SELECT o_orderkey AS id, array_to_string(list_filter([CASE WHEN o_totalprice < 100000 THEN 'price below 100000' END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW') THEN 'priority' END, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'too old' END], lambda x: x IS NOT NULL), '; ') AS violations FROM orders""")
+@query("""SELECT o_orderkey AS id, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'unknown source' END, CASE WHEN o_orderkey % 7 = 0 THEN 'book.title is required' END, CASE WHEN o_orderkey % 11 = 0 THEN 'book.authors.name is required' END, CASE WHEN o_orderkey % 4 = 1 THEN 'format is required' END, CASE WHEN o_orderkey % 4 = 2 THEN 'unknown format' END,
+    CASE WHEN o_orderkey % 3 = 1 THEN 'blob is incomplete' END, CASE WHEN o_orderkey % 6 = 5 THEN 'scan is required' END, CASE WHEN o_orderkey % 6 = 4 THEN 'unknown scan.scope' END, CASE WHEN o_orderstatus = 'P' THEN 'updated_at is required' END], lambda x: x IS NOT NULL), '; ') AS violations FROM orders""")
 def validate_record(spark, sf_dir):
-    v = F.array(F.when(F.col("o_totalprice") < 100000, "price below 100000"), F.when(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "5-LOW"), "priority"), F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"), "too old"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.filter(v, lambda x: x.isNotNull()), "; ").alias("violations"))
+    k = F.col("o_orderkey")
+    null = F.lit(None)
+    author = F.struct(F.when(k % 11 != 0, "A").alias("name"))
+    book = F.struct(F.when(k % 7 != 0, "T").alias("title"), F.array(F.struct(F.lit("B").alias("name")), author).alias("authors"))
+    blob = F.when(k % 3 != 0, F.struct(F.lit("u").alias("url"), F.lit("p").alias("pathname"), F.when(k % 3 == 2, k).alias("size_bytes")))
+    scan = F.when(k % 6 != 5, F.struct(F.lit(True).alias("scanned"), F.when(k % 6 == 4, "page").when(k % 6 == 3, "word").alias("scope")))
+    fmt = F.when(k % 4 == 2, "pdf").when(k % 4 != 1, "epub")
+    v = L.violations(F.when(k % 5 == 0, "kindle").otherwise("upload"), book, fmt.cast("string"), blob, scan, F.col("o_orderdate"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).otherwise(null))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(v, "; ").alias("violations"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS title, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS pages, o_orderkey % 3 = 0 AS scanned, o_orderdate AS created_at FROM orders""")
+def public_view(spark, sf_dir):
+    k, none = F.col("o_orderkey"), lambda kind: F.lit(None).cast(kind)
+    scan = F.when(k % 3 == 0, F.struct(F.lit(True).alias("scanned")))
+    flat = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.lit("upload").alias("source"), none("long").alias("gutenberg_id"), F.lit("epub").alias("format"), none("string").alias("blob"), F.col("o_orderpriority").alias("title"), F.array(F.lit("a")).alias("authors"), F.lit("en").alias("language"), F.array(F.lit("s")).alias("subjects"),
+        none("string").alias("isbn"), none("string").alias("publisher"), none("string").alias("license"), none("string").alias("date"), F.when(k % 2 == 0, k).alias("numberOfPage"), none("string").alias("open_library"), scan.alias("scan"), F.col("o_orderdate").alias("createdAt"), F.col("o_orderdate").alias("updatedAt"), F.lit("internal").alias("_id"),
+    )
+    return L.public_view(flat).select("id", "book.title", F.col("book.number_of_pages").alias("pages"), "scan.scanned", "created_at")
 
 
 _NOW = "TIMESTAMP '2024-01-01 12:00:00'"
@@ -406,8 +448,8 @@ def corpus_sections(spark, sf_dir) -> DataFrame:
 def corpus_units(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     base, path = F.col("conv_id") * 1000000 + (F.col("turn") + 1) * 10000, F.array(F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    words = c.select(base.alias("base"), path.alias("path"), F.posexplode(T.word_list(F.col("text"))).alias("pos", "w")).select((F.col("base") + 1 + F.col("pos")).alias("node"), F.lit("word").alias("otype"), "path")
-    clauses = c.select(base.alias("base"), path.alias("path"), F.posexplode(T.clauses(F.col("text"))).alias("pos", "w")).select((F.col("base") + 5000 + F.col("pos")).alias("node"), F.lit("clause").alias("otype"), "path")
+    words = T.each(c, [base.alias("base"), path.alias("path")], T.word_list(F.col("text")), "pos", "w").select((F.col("base") + 1 + F.col("pos")).alias("node"), F.lit("word").alias("otype"), "path")
+    clauses = T.each(c, [base.alias("base"), path.alias("path")], T.clauses(F.col("text")), "pos", "w").select((F.col("base") + 5000 + F.col("pos")).alias("node"), F.lit("clause").alias("otype"), "path")
     return words.unionByName(clauses)
 
 
@@ -457,3 +499,21 @@ def ref_resolve(spark, sf_dir):
 def ref_serialize(spark, sf_dir):
     u = corpus_units(spark, sf_dir)
     return R.serialize(u.select("node"), u, corpus_index(spark, sf_dir), "demo", "2026")
+
+
+_VALUES = "SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN '' WHEN 2 THEN 'a/b' WHEN 3 THEN NULL ELSE 'demo' END AS corpus_id, CASE doc_id % 7 WHEN 1 THEN '1!' WHEN 2 THEN '2026' WHEN 3 THEN '1' END AS version, doc_id % 11 AS s, CASE WHEN doc_id % 5 > 0 THEN 'word' END AS otype, CASE WHEN doc_id % 13 > 0 THEN doc_id % 4 END AS a, CASE WHEN doc_id % 3 = 0 THEN doc_id % 6 END AS b FROM documents"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN s = 0 THEN 'at least one section is required' WHEN version IS NOT NULL AND corpus_id IS NULL THEN 'a version requires a corpus id' WHEN corpus_id = '' OR regexp_matches(corpus_id, '[/:@!]') THEN 'corpus id contains a reserved delimiter' WHEN version = '' OR regexp_matches(version, '[/:@!]') THEN 'version contains a reserved delimiter'
+    WHEN otype IS NULL AND (a IS NOT NULL OR b IS NOT NULL) THEN 'an index requires a unit type' WHEN otype IS NOT NULL AND coalesce(a, 0) < 1 THEN 'selector indices are 1-based' WHEN b < a THEN 'range end precedes its start' END AS error FROM ({_VALUES})""")
+def ref_values(spark, sf_dir):
+    table(spark, sf_dir, "documents").createOrReplaceTempView("ref_values_documents")
+    d = spark.sql(_VALUES.replace("FROM documents", "FROM ref_values_documents"))
+    sections = F.when(F.col("s") > 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    c = F.col
+    return d.select("doc_id", R.value_error(c("corpus_id"), c("version"), sections, c("otype"), c("a"), c("b")).alias("error"))
+
+
+@query(f"WITH {_CORPUS}, {_ASKED}, u AS (SELECT doc_id, d, path[1:d] AS own FROM (SELECT doc_id, path, unnest(range(1, len(path) + 1)) AS d FROM p)) SELECT doc_id, CAST(min(CASE WHEN own NOT IN (SELECT path FROM sec) THEN d END) AS INT) AS depth FROM u GROUP BY doc_id")
+def ref_missing_depth(spark, sf_dir):
+    return R.missing_depth(asked(spark, sf_dir), corpus_sections(spark, sf_dir), "doc_id")

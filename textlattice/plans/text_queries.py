@@ -42,7 +42,7 @@ def sentence_count(spark, sf_dir):
 @query(f"""SELECT doc_id, idx, {D.word_count('x')} AS words, CAST(length(x) AS BIGINT) AS n_chars
     FROM (SELECT doc_id, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS idx FROM (SELECT doc_id, {D.sentences('text')} AS s FROM documents))""")
 def sentences(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    d = T.each(table(spark, sf_dir, "documents"), ["doc_id"], T.sentences(F.col("text")), "pos", "s")
     return d.select("doc_id", (F.col("pos") + 1).cast("long").alias("idx"), T.word_count(F.col("s")).alias("words"), F.length("s").cast("long").alias("n_chars"))
 
 
@@ -50,14 +50,15 @@ def sentences(spark, sf_dir):
     FROM (SELECT doc_id, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS idx FROM (SELECT doc_id, {D.paragraphs("replace(text, chr(10), chr(10) || chr(10))")} AS p FROM documents))""")
 def paragraphs(spark, sf_dir):
     t = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.paragraphs(t)).alias("pos", "p"))
+    d = T.each(table(spark, sf_dir, "documents"), ["doc_id"], T.paragraphs(t), "pos", "p")
     return d.select("doc_id", (F.col("pos") + 1).cast("long").alias("idx"), T.word_count(F.col("p")).alias("words"), T.sentence_count(F.col("p")).alias("sentences"))
 
 
 @query(f"""SELECT doc_id, count(*) AS clauses, CAST(sum({D.word_count('c')}) AS BIGINT) AS words, CAST(max(length(c)) AS BIGINT) AS longest
     FROM (SELECT doc_id, unnest({D.clauses('s')}) AS c FROM (SELECT doc_id, unnest({D.sentences('text')}) AS s FROM documents)) GROUP BY doc_id""")
 def clauses(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s")).select("doc_id", F.explode(T.clauses(F.col("s"))).alias("c"))
+    d = T.each(table(spark, sf_dir, "documents"), ["doc_id"], T.sentences(F.col("text")), "i", "s")
+    d = T.each(d, ["doc_id"], T.clauses(F.col("s")), "k", "c")
     return d.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.sum(T.word_count(F.col("c"))).alias("words"), F.max(F.length("c")).cast("long").alias("longest"))
 
 
@@ -65,7 +66,7 @@ def clauses(spark, sf_dir):
     (SELECT doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS idx FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Za-z0-9]+')) AS l FROM documents))
     GROUP BY 1""")
 def words(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.word_list(F.col("text"))).alias("pos", "w"))
+    d = T.each(table(spark, sf_dir, "documents"), ["doc_id"], T.word_list(F.col("text")), "pos", "w")
     per_doc = d.groupBy(F.lower("w").alias("word"), "doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     return per_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), (F.min("pos") + 1).cast("long").alias("first_idx"))
 
@@ -190,7 +191,7 @@ def bare_urls(spark, sf_dir):
 @query(f"""SELECT doc_id, idx, CASE WHEN regexp_full_match(p, '(?is)\\[Illustration(?:\\s*:.*)?\\]') THEN 'illustration' WHEN regexp_full_match(p, {D.q('(?i)' + P.CHAPTER[1:-1])}) OR regexp_full_match(p, {D.q('(?i)' + P.PART[1:-1])}) THEN 'heading' END AS role
     FROM (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS idx FROM (SELECT doc_id, ['CHAPTER ' || (doc_id % 40), '[Illustration: ' || chr(10) || 'x]', 'Part one - ' || source, '[illustration]', 'Chapter of accidents and of many other things', text] AS l FROM documents))""")
 def paragraph_roles(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array(F.concat(F.lit("CHAPTER "), (F.col("doc_id") % 40).cast("string")), F.lit("[Illustration: \nx]"), F.concat(F.lit("Part one - "), F.col("source")), F.lit("[illustration]"), F.lit("Chapter of accidents and of many other things"), F.col("text"))).alias("pos", "p"))
+    d = T.each(table(spark, sf_dir, "documents"), ["doc_id"], F.array(F.concat(F.lit("CHAPTER "), (F.col("doc_id") % 40).cast("string")), F.lit("[Illustration: \nx]"), F.concat(F.lit("Part one - "), F.col("source")), F.lit("[illustration]"), F.lit("Chapter of accidents and of many other things"), F.col("text")), "pos", "p")
     p = T.strip(F.col("p"))
     heading = p.rlike(rf"(?idu)\A(?:{P.CHAPTER[1:-1]})\z") | p.rlike(rf"(?idu)\A(?:{P.PART[1:-1]})\z")
     role = F.when(p.rlike(r"(?is)\A\[Illustration(?:\s*:.*)?\]\z"), "illustration").when(heading, "heading")
