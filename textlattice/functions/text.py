@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlattice.functions import patterns as P
@@ -120,38 +122,55 @@ def _entry_key(line: Column) -> Column:
     return F.coalesce(F.nullif(number, F.lit("")), x)
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _contents_end(rest: Column) -> Column:
+    """Of the blocks after a contents page's label (stripped): how many the page takes; 0 or less where it is none."""
+
+    def fold(facts: Column) -> Column:
+        start = F.struct(F.lit(0).alias("cut"), F.lit(0).alias("entries"), F.array().cast("array<string>").alias("seen"))
+
+        def step(s: Column, j: Column) -> Column:
+            now, nxt = F.get(facts, j - 1), F.get(facts, j)
+            again = (now["n"] == 1) & now["entry"] & ~now["paged"] & F.coalesce(nxt["full"] & ~nxt["entry"], F.lit(False)) & (s["entries"] >= 2) & F.array_contains(s["seen"], F.get(now["keys"], F.lit(0)))
+            end = F.when(again, j).when(~now["entry"], F.when(s["entries"] >= 2, j).otherwise(-1)).otherwise(0)
+            more = (s["cut"] == 0) & (end == 0)
+            return F.struct(
+                F.when(s["cut"] != 0, s["cut"]).otherwise(end).alias("cut"), F.when(more, s["entries"] + now["n"]).otherwise(s["entries"]).alias("entries"),
+                F.when(more, F.concat(s["seen"], now["keys"])).otherwise(s["seen"]).alias("seen"),
+            )
+
+        steps = F.when(F.size(facts) > 0, F.sequence(F.lit(1), F.size(facts))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, step, lambda s: s["cut"])
+
+    fact = lambda c: F.struct(_is_entry(c).alias("entry"), F.size(lines(c)).alias("n"), F.transform(lines(c), _entry_key).alias("keys"), c.rlike(P.CONTENTS_PAGE).alias("paged"), (c != "").alias("full"))
+    # what comes after the first block that is no entry decides nothing; it nearly always is among the first
+    other = F.array_position(F.transform(F.slice(rest, 1, 64), _is_entry), F.lit(False)).cast("int")
+    return let(other, lambda n: let(F.transform(F.when(n > 0, F.slice(rest, F.lit(1), n)).otherwise(rest), fact), fold))
+
+
 def strip_contents(x: Column) -> Column:
     """Removes a labelled opening contents page: one pass over the blocks after the label, carrying what has been listed.
 
     Only short title lines may stand before the label, and at least two entries must follow. The body begins at the
     first block that is no entry, or where a listed heading comes again before prose.
     """
-    b = F.split(x, "\n\n", -1)
-    at = F.array_position(F.transform(F.slice(b, 1, 10), lambda p: strip(p).rlike(_LABEL)), F.lit(True)).cast("int")
-    plain = F.forall(F.slice(b, 1, F.greatest(at - 1, F.lit(0))), lambda p: (F.size(F.split(collapse(p), " ")) <= 12) & ~p.rlike(r"[.!?]"))
-    rest = F.transform(F.slice(b, at + 1, F.size(b)), strip)
-    facts = F.transform(
-        rest,
-        lambda c: F.struct(
-            _is_entry(c).alias("entry"), F.size(lines(c)).alias("n"), F.transform(lines(c), _entry_key).alias("keys"), c.rlike(P.CONTENTS_PAGE).alias("paged"), (c != "").alias("full")
-        ),
-    )
-    start = F.struct(F.lit(0).alias("cut"), F.lit(0).alias("entries"), F.array().cast("array<string>").alias("seen"), facts.alias("f"))
-
-    def step(s: Column, j: Column) -> Column:
-        now, nxt = F.get(s["f"], j - 1), F.get(s["f"], j)
-        again = (now["n"] == 1) & now["entry"] & ~now["paged"] & F.coalesce(nxt["full"] & ~nxt["entry"], F.lit(False)) & (s["entries"] >= 2) & F.array_contains(s["seen"], F.get(now["keys"], F.lit(0)))
-        end = F.when(again, j).when(~now["entry"], F.when(s["entries"] >= 2, j).otherwise(-1)).otherwise(0)
-        more = (s["cut"] == 0) & (end == 0)
-        return F.struct(
-            F.when(s["cut"] != 0, s["cut"]).otherwise(end).alias("cut"), F.when(more, s["entries"] + now["n"]).otherwise(s["entries"]).alias("entries"),
-            F.when(more, F.concat(s["seen"], now["keys"])).otherwise(s["seen"]).alias("seen"), s["f"].alias("f"),
-        )
-
-    steps = F.when(F.size(rest) > 0, F.sequence(F.lit(1), F.size(rest))).otherwise(F.array().cast("array<int>"))
-    cut = F.aggregate(steps, start, step, lambda s: s["cut"])
+    short = lambda p: (F.size(F.split(collapse(p), " ")) <= 12) & ~p.rlike(r"[.!?]")
+
+    def body(b: Column) -> Column:
+        label = F.array_position(F.transform(F.slice(b, 1, 10), lambda p: strip(p).rlike(_LABEL)), F.lit(True)).cast("int")
+
+        def end(at: Column) -> Column:
+            plain = F.forall(F.slice(b, F.lit(1), F.greatest(at - 1, F.lit(0))), short)
+            return F.when((at > 0) & plain, let(F.transform(F.slice(b, at + 1, F.size(b)), strip), lambda rest: F.struct(at.alias("at"), _contents_end(rest).alias("n"))))
+
+        return let(let(label, end), lambda e: F.when(e["n"] > 0, F.array_join(F.slice(b, e["at"] + e["n"], F.size(b)), "\n\n")))
+
     labelled = x.rlike(rf"(?i)(?:\A|\n\n){P.WS}*{P.CONTENTS_LABEL}{P.WS}*(?:\n\n|\z)")  # most texts end here
-    return F.when(labelled & (at > 0) & plain & (cut > 0), F.array_join(F.slice(b, at + cut, F.size(b)), "\n\n")).otherwise(x)
+    return F.when(labelled, F.coalesce(let(F.split(x, "\n\n", -1), body), x)).otherwise(x)
 
 
 def preprocess(x: Column) -> Column:

@@ -9,8 +9,17 @@ from textlattice.functions import patterns as P
 MAX_BYTES = 20 * 1024 * 1024
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores is dealt out to all of them; others stay as they are.
+
+    Small files have one row group, which one task reads; what is worked out per row would stay in that task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
