@@ -165,6 +165,7 @@ def common_prefixes(sa: np.ndarray, w8: np.ndarray, depth: int = LENGTH) -> np.n
 def segments(c: K.Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(base, rows, first string, end of the last string, hash) of the runs of strings with one least gram, by slices of bounded size."""
     size = 1 << POSITION_BITS
+    rows = np.repeat(np.arange(c.n, dtype=np.int32), np.diff(c.off))
     for base in range(0, max(1, len(c.data) - LENGTH + 1), size - LENGTH + 1):
         data = c.data[base : base + size]
         n = len(data) - LENGTH + 1
@@ -179,15 +180,14 @@ def segments(c: K.Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarr
             width *= 2
         least = np.minimum(v[:n], v[SPAN - width : SPAN - width + n])
         # strings that lie in one row
-        starts = np.arange(base, base + n)
-        row = np.searchsorted(c.off, starts, side="right") - 1 if len(c.off) > 2 else np.zeros(n, dtype=np.int64)
-        whole = starts + LENGTH <= c.off[row + 1]
+        row = rows[base : base + n]
+        whole = row == rows[base + LENGTH - 1 : base + LENGTH - 1 + n]
         new = np.ones(n, dtype=bool)
         new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]
         s = np.flatnonzero(new & whole)
         last = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True))
         # least hashes crowd near zero, so they are mixed anew before buckets take their leading bits
-        yield base, row[s], starts[s], starts[last] + LENGTH, K.mix(least[s] >> U(POSITION_BITS)) >> U(POSITION_BITS)
+        yield base, row[s].astype(np.int64), s + base, last + base + LENGTH, K.mix(least[s] >> U(POSITION_BITS)) >> U(POSITION_BITS)
 
 
 def send_grams(n_buckets: int, hot: tuple[int, int, int] = HOT):
@@ -381,18 +381,19 @@ def hot_part(c: K.Chunk, sums: tuple, row: np.ndarray, s: np.ndarray, e: np.ndar
     return c.data, w, c.first + of, w - c.off[of], np.full(len(w), LENGTH), content >> U(POSITION_BITS), content
 
 
-def hot_units(t: pa.Table, told: dict, copy: np.ndarray) -> Units | None:
-    """The strings of hot segments that a group was told to occur elsewhere too."""
-    again = [K.unpack(x.as_py()) for x in told["again"] if x.is_valid]
-    if not again:
-        return None
-    again, parts = K.Members(np.sort(np.concatenate(again))), []
-    for found in _found(t, told, copy):
-        if found[-1].any():
+class Again:
+    """Collects the strings of hot segments that a group was told to occur elsewhere too."""
+
+    def __init__(self, told: dict):
+        keys = [K.unpack(x.as_py()) for x in told["again"] if x.is_valid]
+        self.known = K.Members(np.sort(np.concatenate(keys))) if keys else None
+        self.parts: list[tuple] = []
+
+    def add(self, found: tuple) -> None:
+        if self.known and found[-1].any():
             p = hot_part(*found)
-            at, _ = again.find(p[6] >> U(2))
-            parts.append((p[0], *(x[at] for x in p[1:])))
-    return Units(t["id"].to_numpy(), parts)
+            at, _ = self.known.find(p[6] >> U(2))
+            self.parts.append((p[0], *(x[at] for x in p[1:])))
 
 
 def _rows(g: int, rows: dict[int, dict[str, bytes]], columns: list[str]) -> pa.Table:
@@ -421,8 +422,12 @@ def send_segments(n_buckets: int):
 
 def send_strings(n_buckets: int):
     def f(t: pa.Table, told: dict) -> pa.Table:
-        units = hot_units(t, told, copies(t["id"].to_numpy(), t["text"], _late(told))) if len(t) and any(x.is_valid for x in told["again"]) else None
-        return _rows(t["g"][0].as_py(), units.messages(n_buckets), BODIES) if units else _rows(0, {}, BODIES)
+        again = Again(told)
+        if not len(t) or not again.known:
+            return _rows(0, {}, BODIES)
+        for found in _found(t, told, copies(t["id"].to_numpy(), t["text"], _late(told))):
+            again.add(found)
+        return _rows(t["g"][0].as_py(), Units(t["id"].to_numpy(), again.parts).messages(n_buckets), BODIES)
 
     return f
 
@@ -557,9 +562,11 @@ def cut_spans(t: pa.Table, told: pa.Table) -> pa.Table:
     told = flat(told, TOLD)
     ids, real = t["id"].to_numpy(), t["real"].to_numpy()
     copy = copies(ids, t["text"], _late(told))
-    spans = list(_spans(Units(ids, [cold_part(*x) for x in _found(t, told, copy)]), told["spans"]))
-    if (hot := hot_units(t, told, copy)) is not None:
-        spans += _spans(hot, told["more"])
+    cold, again = [], Again(told)
+    for found in _found(t, told, copy):
+        cold.append(cold_part(*found))
+        again.add(found)
+    spans = [*_spans(Units(ids, cold), told["spans"]), *_spans(Units(ids, again.parts), told["more"])]
     row, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
     order = np.argsort(row, kind="stable")
     row, a, b = row[order], a[order], b[order]
