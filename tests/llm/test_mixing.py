@@ -57,6 +57,11 @@ def test_operator(spark, make, corpus):
     share = (rate * t) @ p / t.sum()
     assert np.abs(share - [M.DOMAINS[n] for n in names]).max() < 0.002
     assert {r.doc_id: r.n_tokens for r in out}[400] == 0
+    # the rates against a solution found in one process from the same posteriors
+    v, b = np.zeros(3), np.array([M.DOMAINS[n] for n in names])
+    for _ in range(5000):
+        v += 0.5 * ((np.maximum(0, 1 - p @ v) * t) @ p / t.sum() - b)
+    assert np.average((rate - np.maximum(0, 1 - p @ v)) ** 2, weights=t) ** 0.5 < 0.05
 
 
 def test_rates_equal_a_direct_solution(spark):
