@@ -49,6 +49,9 @@ def test_enrichment_refuses_many_candidates(spark):
     editions = spark.createDataFrame([("9780141439518", "Q")], "isbn string, publisher string")
     out = {r.id: (r.match_method, r.work_id, r.publisher) for r in C.enrich(books, editions, works).collect()}
     assert out == {1: ("title_author", "W1", None), 2: (None, None, "P"), 3: ("isbn", None, "Q")}
+    more = editions.selectExpr("*", "'1999' AS date", "0 AS number_of_pages", "'OL1M' AS edition_id")
+    (r,) = C.enrich(books.where("id = 3").selectExpr("*", "'' AS date", "12 AS number_of_pages"), more, works).collect()
+    assert (r.date, r.number_of_pages, r.edition_id, r.publisher) == ("1999", 12, "OL1M", "Q")
 
 
 def payload(**k):

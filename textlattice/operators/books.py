@@ -253,6 +253,11 @@ def summary(chapter_rows: DataFrame) -> DataFrame:
     )
 
 
+def distribution(summaries: DataFrame) -> DataFrame:
+    """Per schema: books, distinct word counts, and the middle, ninth tenth and largest number of words."""
+    return summaries.groupBy("schema").agg(F.count("*").alias("books"), F.count_distinct("words").alias("distinct_words"), F.percentile("words", 0.5).alias("median_words"), F.percentile("words", 0.9).alias("p90_words"), F.max("words").alias("max_words"))
+
+
 def analyze_books(books: DataFrame, override: Column | None = None, encoder: Encoder | None = white_space) -> DataFrame:
     """Detection and summary of every (doc_id, text): the whole way from raw text."""
     clean = once(books, ["doc_id"], {"text": T.preprocess(F.col("text"))})

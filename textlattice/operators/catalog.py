@@ -18,6 +18,8 @@ PAGE_SIZE, MAX_PAGE = 32, 312
 PROVIDERS = ["gutendex", "openalex"]
 #: The provider whose paging ends at MAX_PAGE.
 CAPPED = "openalex"
+#: What a book lacks and an edition has, and what an edition adds.
+FILLED, EDITION_FACTS = ["publisher", "date", "number_of_pages"], ["edition_id", "cover_id", "subjects"]
 #: Works of one title up to which a match is trusted.
 CANDIDATES = 10
 DOMAINS = [f"domain:{k}" for k in range(1, 5)]
@@ -166,11 +168,14 @@ def enrich(books: DataFrame, editions: DataFrame, works: DataFrame) -> DataFrame
 
     A title with over CANDIDATES works isn't looked at, as a provider that returns that many shows only a part.
 
-    books: id, title, authors, isbn, publisher; editions: isbn, publisher; works: work_id, title, authors. A work never
-    fills what an edition would, and nothing that a book has is overwritten.
+    books: id, title, authors, isbn, and any of FILLED; editions: isbn, any of FILLED and of EDITION_FACTS, which come
+    along; works: work_id, title, authors. A work never fills what an edition would, and nothing that a book has is
+    overwritten.
     """
+    fill = [c for c in FILLED if c in books.columns and c in editions.columns]
+    facts = [c for c in EDITION_FACTS if c in editions.columns]
     b = books.withColumns({"key": valid_isbn(F.col("isbn")), "t": normal_title(F.col("title"))})
-    ed = editions.select(F.col("isbn").alias("key"), F.col("publisher").alias("ed_publisher")).dropDuplicates(["key"])
+    ed = editions.select(F.col("isbn").alias("key"), F.lit(True).alias("ed_found"), *(F.col(c).alias(f"ed_{c}") for c in fill), *facts).dropDuplicates(["key"])
     b = b.join(ed, "key", "left")
     pairs = b.where(F.col("key").isNull()).select("id", "t", F.explode("authors").alias("author")).withColumn("author", normal_title(F.col("author"))).distinct()
     titled = works.select("work_id", "authors", normal_title(F.col("title")).alias("t"))
@@ -178,5 +183,12 @@ def enrich(books: DataFrame, editions: DataFrame, works: DataFrame) -> DataFrame
     w = titled.join(few, "t").select("work_id", "t", F.explode("authors").alias("author")).withColumn("author", normal_title(F.col("author"))).distinct()
     one = pairs.join(w, ["t", "author"]).groupBy("id").agg(F.min("work_id").alias("work_id"), F.max("work_id").alias("other")).where("work_id = other").drop("other")
     b = b.join(one, "id", "left")
-    method = F.when(F.col("ed_publisher").isNotNull(), "isbn").when(F.col("work_id").isNotNull(), "title_author")
-    return b.select("id", method.alias("match_method"), "work_id", F.coalesce(F.nullif("publisher", F.lit("")), "ed_publisher").alias("publisher"))
+    method = F.when(F.col("ed_found"), "isbn").when(F.col("work_id").isNotNull(), "title_author")
+
+    def filled(c: str) -> Column:
+        own = F.col(c)
+        if c == "number_of_pages":  # a count of pages is a positive one
+            return F.coalesce(F.when(own > 0, own), F.when(F.col(f"ed_{c}") > 0, F.col(f"ed_{c}"))).alias(c)
+        return F.coalesce(F.nullif(own, F.lit("")), F.col(f"ed_{c}")).alias(c)
+
+    return b.select("id", method.alias("match_method"), "work_id", *(filled(c) for c in fill), *facts)

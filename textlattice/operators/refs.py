@@ -58,6 +58,17 @@ def format_ref(corpus_id: Column, version: Column, sections: Column, otype: Colu
     return F.concat(F.coalesce(F.concat(identity, F.lit("/")), F.lit("")), F.array_join(F.transform(sections, escape), ":"), unit)
 
 
+def anchored_units(nodes: DataFrame, slots: DataFrame, section_slots: DataFrame, sections: DataFrame) -> DataFrame:
+    """node, otype, path for unit_index, from a corpus as three tables: each unit belongs to the innermost section of its first slot.
+
+    nodes: node, otype; slots: node, slot; section_slots: section, slot; sections: node, path. Units without slots are left out.
+    """
+    first = slots.groupBy("node").agg(F.min("slot").alias("slot"))
+    paths = section_slots.join(sections.select(F.col("node").alias("section"), "path"), "section")
+    inner = paths.groupBy("slot").agg(F.max_by("path", F.size("path")).alias("path"))
+    return nodes.join(first, "node").join(inner, "slot").select("node", "otype", "path")
+
+
 def unit_index(units: DataFrame, sections: DataFrame) -> DataFrame:
     """section, otype, node, pos, total: every unit under its own section and all above it, numbered in node order.
 

@@ -293,6 +293,11 @@ def with_paragraphs(spark, sf_dir):
     return d.select("doc_id", "part", "chapter", "label", F.size("nodes").cast("long").alias("listed"), F.when(F.size("nodes") > 0, total).alias("words"), F.array_min(F.transform("nodes", lambda x: x["idx"])).alias("first"))
 
 
+@query(f"WITH {_SUMMARY} SELECT schema, count(*) AS books, count(DISTINCT words) AS distinct_words, quantile_cont(words, 0.5) AS median_words, quantile_cont(words, 0.9) AS p90_words, max(words) AS max_words FROM summary GROUP BY schema")
+def schema_distribution(spark, sf_dir):
+    return B.distribution(summaries(spark, sf_dir))
+
+
 @query(f"WITH {_SUMMARY} SELECT * FROM summary")
 def book_structure(spark, sf_dir):
     return summaries(spark, sf_dir)

@@ -215,15 +215,15 @@ def url_policy(spark, sf_dir):
 
 @query(f"""WITH b AS (SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 4 = 0 THEN lpad(CAST(p_partkey AS VARCHAR(13)), 13, '0') END AS raw, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE '' END AS publisher, p_type AS author FROM part),
     k AS (SELECT *, CASE WHEN list_sum(list_transform(range(1, 14), lambda i: CAST(substr(raw, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0 THEN raw END AS key, {_NORM.format(x='title')} AS t, {_NORM.format(x='author')} AS a FROM b),
-    e AS (SELECT lpad(CAST(s_suppkey AS VARCHAR(13)), 13, '0') AS key, s_name AS ed FROM supplier),
+    e AS (SELECT lpad(CAST(s_suppkey AS VARCHAR(13)), 13, '0') AS key, s_name AS ed, s_suppkey % 500 AS pages, 'OL' || s_suppkey || 'M' AS edition_id FROM supplier),
     w AS (SELECT CAST(c_custkey AS VARCHAR) AS work_id, {_NORM.format(x="CASE WHEN c_custkey % 200 = 10 THEN 'Ring, SMALL' ELSE 'x ' || c_name END")} AS t, {_NORM.format(x="CASE WHEN c_custkey = 10 THEN 'ECONOMY' ELSE c_mktsegment END")} AS a FROM customer),
     few AS (SELECT t FROM w GROUP BY t HAVING count(DISTINCT work_id) <= 10),
     o AS (SELECT k.id, min(w.work_id) AS work_id FROM k JOIN (SELECT * FROM w WHERE t IN (SELECT t FROM few)) w ON k.key IS NULL AND w.t = k.t AND w.a = k.a GROUP BY k.id HAVING min(w.work_id) = max(w.work_id))
-    SELECT k.id, CASE WHEN ed IS NOT NULL THEN 'isbn' WHEN work_id IS NOT NULL THEN 'title_author' END AS match_method, work_id, coalesce(nullif(publisher, ''), ed) AS publisher FROM k LEFT JOIN e ON e.key = k.key LEFT JOIN o ON o.id = k.id""")
+    SELECT k.id, CASE WHEN ed IS NOT NULL THEN 'isbn' WHEN work_id IS NOT NULL THEN 'title_author' END AS match_method, work_id, coalesce(nullif(publisher, ''), ed) AS publisher, coalesce(CASE WHEN k.id % 3 = 0 THEN nullif(k.id % 2, 0) END, nullif(pages, 0)) AS number_of_pages, edition_id FROM k LEFT JOIN e ON e.key = k.key LEFT JOIN o ON o.id = k.id""")
 def enrich_books(spark, sf_dir):
     i = F.col("p_partkey")
-    books = table(spark, sf_dir, "part").select(i.alias("id"), F.col("p_name").alias("title"), F.array("p_type").alias("authors"), F.when(i % 4 == 0, F.lpad(i.cast("string"), 13, "0")).alias("isbn"), F.when(i % 5 == 0, F.col("p_brand")).otherwise("").alias("publisher"))
-    editions = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 13, "0").alias("isbn"), F.col("s_name").alias("publisher"))
+    books = table(spark, sf_dir, "part").select(i.alias("id"), F.col("p_name").alias("title"), F.array("p_type").alias("authors"), F.when(i % 4 == 0, F.lpad(i.cast("string"), 13, "0")).alias("isbn"), F.when(i % 5 == 0, F.col("p_brand")).otherwise("").alias("publisher"), F.when(i % 3 == 0, i % 2).alias("number_of_pages"))
+    editions = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 13, "0").alias("isbn"), F.col("s_name").alias("publisher"), (F.col("s_suppkey") % 500).alias("number_of_pages"), F.concat(F.lit("OL"), F.col("s_suppkey").cast("string"), F.lit("M")).alias("edition_id"))
     c = F.col("c_custkey")
     works = table(spark, sf_dir, "customer").select(c.cast("string").alias("work_id"), F.when(c % 200 == 10, "Ring, SMALL").otherwise(F.concat(F.lit("x "), F.col("c_name"))).alias("title"), F.array(F.when(c == 10, "ECONOMY").otherwise(F.col("c_mktsegment"))).alias("authors"))
     return C.enrich(books, editions, works)
@@ -517,3 +517,16 @@ def ref_values(spark, sf_dir):
 @query(f"WITH {_CORPUS}, {_ASKED}, u AS (SELECT doc_id, d, path[1:d] AS own FROM (SELECT doc_id, path, unnest(range(1, len(path) + 1)) AS d FROM p)) SELECT doc_id, CAST(min(CASE WHEN own NOT IN (SELECT path FROM sec) THEN d END) AS INT) AS depth FROM u GROUP BY doc_id")
 def ref_missing_depth(spark, sf_dir):
     return R.missing_depth(asked(spark, sf_dir), corpus_sections(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_CORPUS} SELECT node, otype, array_to_string(path, ':') AS path FROM unit")
+def corpus_anchor(spark, sf_dir):
+    """The corpus as tables of slots: a unit spans two, the second of which belongs to the next section."""
+    units = corpus_units(spark, sf_dir)
+    n, base = F.col("node"), F.floor(F.col("node") / 10000) * 10000
+    slots = units.select("node", n.alias("slot")).unionByName(units.select("node", (base + 10000 + 9999).alias("slot")))
+    sections = corpus_sections(spark, sf_dir)
+    leaf = units.select(base.cast("long").alias("section"), n.alias("slot"))
+    top = units.select((F.floor(n / 1000000) * 1000000).cast("long").alias("section"), n.alias("slot"))
+    d = R.anchored_units(units.select("node", "otype"), slots, leaf.unionByName(top), sections)
+    return d.select("node", "otype", F.array_join("path", ":").alias("path"))
