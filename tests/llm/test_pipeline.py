@@ -6,11 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_decontaminate import brute as hits
 from test_exact_substring import brute as without_repeats
-from test_simhash import roots, slow_fingerprint
 from test_texts import slow_nearest
 
 import corpus_pipeline as P
-from textlattice.llm import language as L
+from textlattice.llm import language as L, simhash as S
 from textlattice.llm.mixing import DOMAINS
 
 
@@ -68,7 +67,12 @@ def test_equals_brute_force(spark, tmp_path):
     model = L.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), ~L.held_out(F.col("doc_id")))
     rows = [(i, t) for i, t, _ in docs if t and L.has_letters(t) and not slow_nearest(model, t)[2]]
     assert {i for i, _ in rows}.isdisjoint({120, 121, 122})
-    group = roots([slow_fingerprint(t) for _, t in rows])
+    fps = [S.fingerprint(t.encode(), S.WIDE) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= S.NEAR and group[a] != group[b]:
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
     order = lambda k: (rows[k][0] is None, rows[k][0] or 0)
     rows = [rows[k] for k in sorted({g: min((k for k in range(len(rows)) if group[k] == g), key=order) for g in group}.values())]
     left = {(i, n, gone): kept for i, n, gone, kept in without_repeats(rows)}

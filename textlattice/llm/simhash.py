@@ -3,20 +3,30 @@
 Fingerprints are 64 bits: the majority bits of XXH64 over 3-word shingles. Two
 fingerprints within 2 bits agree, in at least one of two 32-bit segments, in all
 bits but at most one. So every distinct fingerprint is indexed under the variants
-of its segments with one bit wildcarded (2 * 32 keys); equal keys meet in a hash
-bucket, and candidates are verified by counting differing bits. Within a key the
-verified links are reduced to a spanning forest before they leave the bucket, and
-components are found by distributed alternating stars over the forests.
-
-Equal fingerprints are one node from the start, so copies cost nothing. Under one
-key all bits but 33 agree; where many fingerprints share a key, each looks up the
-561 values that differ from it in one or two of those bits, instead of comparing all
+of its segments with one bit wildcarded; equal variants meet, and candidates are
+verified by counting differing bits. The one bit lies in one half of a segment, so
+fingerprints are dealt to buckets by the other half, which is equal, and their
+variants are only made and joined there: a fingerprint is sent 4 times, not 64.
+
+Verified links are reduced to a spanning forest before they leave a bucket, and
+components are found by distributed alternating stars over the forests. Equal
+fingerprints are one node from the start, so copies cost nothing. Under one variant
+all bits but 33 agree; where many fingerprints share one, each looks up the 561
+values that differ from it in one or two of those bits, instead of comparing all
 pairs.
 
+Two bits catch copies, but hardly edited ones: texts that share four fifths of their
+5-word shingles differ in 5 to 10 bits of 64. So ``first_of_groups`` takes *wide*
+fingerprints of 384 bits (five more words, from hashes mixed anew) in 12 segments,
+and links those within NEAR bits that agree in some segment up to one bit. Wide links
+are found with a probability (0.998 at 24 differing bits, 0.98 at 30, 0.91 at 36 and
+0.79 at 42, 0.68 at 46), the others for certain.
+
 Defined results: null and empty texts have fingerprint zero and link to each other;
 a null id counts as larger than any other and stays null; rows that repeat an id are
 one node of the graph each through their fingerprints; an empty table gives none;
-other columns are ignored (first_of_groups keeps them all).
+other columns are ignored (first_of_groups keeps them all). The distinct fingerprints
+of one group that agree in a segment meet in one task, 9 bytes each (49 of wide ones).
 """
 
 from __future__ import annotations
@@ -33,69 +43,86 @@ from textlattice.llm.common import cut_lineage
 
 U = K.U
 SEED, SHINGLE, BITS = 42, 3, 2
-#: Fingerprints sent to a bucket of the index, about; and the size from which those of one key are looked up instead of compared.
+#: Words of a wide fingerprint, and the bits in which two of them may differ: about those of texts that share four fifths of their 5-word shingles.
+WIDE, NEAR = 6, 46
+#: Fingerprints of one word for a bucket of the index, about; and the size from which those of one variant are looked up instead of compared.
 BUCKET_FPS = 20_000
 SPLIT = 2_048
 
 
-def fingerprint(text: bytes) -> int:
-    words = text.lower().split()
-    if not words:
+def fingerprint(text: bytes, words: int = 1) -> int:
+    """The majority bits of the shingles' hashes; every 64 bits above the first from the hashes mixed anew."""
+    split = text.lower().split()
+    if not split:
         return 0
     h = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        return h(b" ".join(words), SEED)
-    flat = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - SHINGLE + 1].tolist()
-    hashes = np.array([h(flat[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], dtype=U)
-    n = len(hashes)
-    count = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 8192):
-        count += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view(U)[0])
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        names = b.schema.names[:-1]
-        for c in K.chunks(b.column("text")):
-            fp = np.array([fingerprint(c.text(i)) for i in range(c.n)], dtype=U)
-            yield pa.record_batch([*(b.column(n).slice(c.first, c.n) for n in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
-    """id, the long columns of row, fp (the 64 bits as a long)."""
-    d = docs.select(docs[id_col].cast("long").alias("id"), *(c.alias(n) for n, c in row.items()), docs[text_col].cast("string").alias("text"))
-    return d.mapInArrow(_fingerprints, ", ".join(f"{n} long" for n in ("id", *row, "fp")))
+    if len(split) <= SHINGLE:
+        hashes = np.array([h(b" ".join(split), SEED)], dtype=U)
+    else:
+        flat = b" ".join(split)
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(split) - SHINGLE + 1].tolist()
+        hashes = np.array([h(flat[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], dtype=U)
+    n, out = len(hashes), 0
+    for k in range(words):
+        own = K.mix(hashes ^ U(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else hashes
+        count = np.zeros(64, dtype=np.int64)
+        for i in range(0, n, 8192):
+            count += np.unpackbits(own[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out |= int(np.packbits(2 * count > n, bitorder="little").view(U)[0]) << 64 * k
+    return out
 
 
-def variant_keys(fp: np.ndarray) -> np.ndarray:
-    """(len(fp), 64) keys: each segment with one bit wildcarded, the bit's number above it."""
-    out = np.empty((len(fp), 64), dtype=U)
-    for seg in (0, 1):
-        part = (fp >> U(32 * seg)) & U(0xFFFFFFFF)
-        for bit in range(32):
-            out[:, 32 * seg + bit] = (part & U(0xFFFFFFFF ^ (1 << bit))) | U((32 * seg + bit) << 32)
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each fingerprint (rows of words): itself, or a hash of a wide one."""
+    out = fps[:, 0].copy()
+    for k in range(1, fps.shape[1]):
+        out = K.mix(out * U(0xD1B54A32D192ED03) + fps[:, k])
     return out
 
 
-def _spread(n_buckets: int):
+def _fingerprints(words: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column("fp").to_numpy().view(U)
-            for i in range(0, len(fp), 4096):
-                part = fp[i : i + 4096]
-                at = (K.mix(variant_keys(part).ravel()) % U(n_buckets)).astype(np.int32)
+            names = b.schema.names[:-1]
+            for c in K.chunks(b.column("text")):
+                raw = [fingerprint(c.text(i), words).to_bytes(8 * words, "little") for i in range(c.n)]
+                node = node_of(np.frombuffer(b"".join(raw), U).reshape(-1, words))
+                yield pa.record_batch([*(b.column(n).slice(c.first, c.n) for n in names), pa.array(node.view(np.int64)), pa.array(raw, pa.binary())], names=[*names, "fp", "words"])
+
+    return f
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: dict[str, Column] = {}, words: int = 1) -> DataFrame:  # noqa: B006
+    """id, the long columns of row, fp (the 64 bits as a long, or a wide fingerprint's name), words (all its bytes)."""
+    d = docs.select(docs[id_col].cast("long").alias("id"), *(c.alias(n) for n, c in row.items()), docs[text_col].cast("string").alias("text"))
+    return d.mapInArrow(_fingerprints(words), ", ".join(f"{n} long" for n in ("id", *row, "fp")) + ", words binary")
+
+
+def halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint and each half of each segment (4 a word): that half, and the other half of its segment."""
+    parts = np.ascontiguousarray(fps).view("<u2").reshape(len(fps), -1)
+    return parts, parts[:, np.arange(parts.shape[1]) ^ 1]
+
+
+def _spread(n_buckets: int, words: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.frombuffer(b"".join(b.column("words").to_pylist()), U).reshape(-1, words)
+            for i in range(0, len(fps), 4096):
+                part = fps[i : i + 4096]
+                own, _ = halves(part)
+                slots = own.shape[1]
+                at = (K.mix(own.astype(U) | (np.arange(slots, dtype=U) << U(16))).ravel() % U(n_buckets)).astype(np.int32)
                 order = np.argsort(at, kind="stable")
                 at = at[order]
                 cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                who, variant = order // 64, (order % 64).astype(np.uint8)
+                who, slot = order // slots, (order % slots).astype(np.uint8)
                 ends = np.append(cut[1:], len(at))
                 yield pa.record_batch({
                     "bucket": pa.array(at[cut], pa.int32()),
-                    "fps": pa.array([K.planes(part[who[s:e]]) for s, e in zip(cut, ends, strict=True)], pa.binary()),
-                    "variants": pa.array([variant[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary()),
+                    "fps": pa.array([K.planes(part[who[s:e]].ravel()) for s, e in zip(cut, ends, strict=True)], pa.binary()),
+                    "slots": pa.array([slot[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary()),
                 })
 
     return f
@@ -122,22 +149,32 @@ class Forest:
         return True
 
 
-def _close(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[i] ^ fp[j]) <= BITS
+def _apart(fps: np.ndarray, i, j) -> np.ndarray:
+    """In how many bits fingerprints differ."""
+    return np.bitwise_count(fps[i] ^ fps[j]).sum(axis=-1)
+
+
+def _links(fps: np.ndarray, members: np.ndarray, forest: Forest, limit: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some fingerprints: each is compared with those that nothing has reached yet."""
+    left, out = members, []
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            near = _apart(fps, left, x) <= limit
+            for j in left[near].tolist():
+                if forest.join(int(x), j):
+                    out.append((int(x), j))
+            reached += left[near].tolist()
+            left = left[~near]
+    return out
 
 
-def _links(fp: np.ndarray, members: np.ndarray, forest: Forest, wild: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members of one key; wild: the bit that the key leaves out of its segment."""
+def _looked_up(fps: np.ndarray, members: np.ndarray, forest: Forest, wild: int) -> list[tuple[int, int]]:
+    """The same for many 64-bit fingerprints under one variant, within BITS; wild: the bit that it leaves out of its segment."""
     m, out = len(members), []
-    if m <= SPLIT:
-        for i in range(m - 1):
-            rest = members[i + 1 :]
-            for j in rest[_close(fp, members[i], rest)].tolist():
-                if forest.join(int(members[i]), j):
-                    out.append((int(members[i]), j))
-        return out
-    members = members[np.argsort(fp[members])]
-    values, up = fp[members], list(range(m))
+    members = members[np.argsort(fps[members, 0])]
+    values, up = fps[members, 0], list(range(m))
     label = np.arange(m)
     bits = [1 << wild, *(1 << b for b in range(32 * (1 - wild // 32), 32 * (1 - wild // 32) + 32))]
     for mask in [*bits, *(a | b for k, a in enumerate(bits) for b in bits[:k])]:
@@ -163,36 +200,45 @@ def _links(fp: np.ndarray, members: np.ndarray, forest: Forest, wild: int) -> li
     return out
 
 
-def _meet(t: pa.Table) -> pa.Table:
-    fp = np.concatenate([K.unplanes(x.as_py(), U) for x in t["fps"]])
-    variant = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t["variants"]]).astype(U)
-    seg, bit = variant >> U(5), variant & U(31)
-    key = (((fp >> (seg * U(32))) & U(0xFFFFFFFF)) & ~(U(1) << bit)) | (variant << U(32))
-    order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(key)))
-    _, node = np.unique(fp, return_inverse=True)
-    values = np.zeros(int(node.max()) + 1 if len(node) else 0, dtype=U)
-    values[node] = fp
-    forest, edges = Forest(), []
-    two = first[size == 2]
-    for a, b in zip(node[two][ok := _close(fp, two, two + 1)].tolist(), node[two + 1][ok].tolist(), strict=True):
-        if forest.join(a, b):
-            edges.append((a, b))
-    for s, m in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        edges += _links(values, node[s : s + m], forest, int(key[s] >> U(32)))
-    e = np.array(edges, dtype=np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(values[e[:, 0]].view(np.int64)), "b": pa.array(values[e[:, 1]].view(np.int64))})
-
-
-def links(fps: DataFrame, n_fps: int) -> DataFrame:
-    """Links (a, b) among distinct fingerprints: a set whose components are those of all links within 2 bits."""
-    n_buckets = max(1, -(-n_fps // BUCKET_FPS))
-    spread = fps.mapInArrow(_spread(n_buckets), "bucket int, fps binary, variants binary")
-    return spread.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct()
+def _meet(words: int, limit: int):
+    def f(t: pa.Table) -> pa.Table:
+        fps = np.concatenate([K.unplanes(x.as_py(), U) for x in t["fps"]]).reshape(-1, words)
+        slot = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t["slots"]]).astype(np.int64)
+        node, first, place = np.unique(node_of(fps), return_index=True, return_inverse=True)
+        own, other = (x[np.arange(len(fps)), slot].astype(U) for x in halves(fps))
+        fps = fps[first]
+        forest, edges = Forest(), []
+        group = (slot.astype(U) << U(36)) | (own << U(20))
+        for bit in range(16):  # the variants with this bit of the other half left out
+            key = group | U(bit << 16) | (other & U(0xFFFF ^ (1 << bit)))
+            order = np.argsort(key, kind="stable")
+            key, who = key[order], place[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(key)))
+            two = start[size == 2]
+            near = _apart(fps, who[two], who[two + 1]) <= limit
+            for a, b in zip(who[two][near].tolist(), who[two + 1][near].tolist(), strict=True):
+                if forest.join(a, b):
+                    edges.append((a, b))
+            for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                if m > SPLIT and words == 1:
+                    k = int(key[s] >> U(36))
+                    edges += _looked_up(fps, who[s : s + m], forest, 16 * (k ^ 1) + bit)
+                else:
+                    edges += _links(fps, who[s : s + m], forest, limit)
+        e = np.array(edges, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[e[:, 0]].view(np.int64)), "b": pa.array(node[e[:, 1]].view(np.int64))})
+
+    return f
+
+
+def links(fps: DataFrame, n_fps: int, words: int = 1, limit: int = BITS) -> DataFrame:
+    """Links (a, b) among distinct fingerprints (words): a set whose components are those of all links that are found."""
+    n_buckets = max(1, -(-n_fps * words // BUCKET_FPS))
+    spread = fps.select("words").mapInArrow(_spread(n_buckets, words), "bucket int, fps binary, slots binary")
+    return spread.groupBy("bucket").applyInArrow(_meet(words, limit), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -216,11 +262,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _roots(fp: DataFrame) -> DataFrame:
+def _roots(fp: DataFrame, words: int = 1, limit: int = BITS) -> DataFrame:
     """fp, root: the same root for fingerprints of one component."""
-    distinct = fp.select("fp").distinct()
-    comp = components(links(distinct, distinct.count()))
-    return distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    distinct = fp.groupBy("fp").agg(F.first("words").alias("words"))
+    comp = components(links(distinct, fp.select("fp").distinct().count(), words, limit))
+    names = fp.select("fp").distinct()
+    return names.join(comp, names["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,12 +282,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of linked fingerprints, with all its columns: that of the smallest id; of several rows with it, any with one of their texts."""
+    """One row of each group of linked wide fingerprints, with all its columns: that of the smallest id; of several rows with it, any with one of their texts."""
     i, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     # 128 bits of id and text tell rows apart
     row = {"_row1": F.xxhash64(F.lit(1), i.isNull(), i, text.isNull(), text), "_row2": F.xxhash64(F.lit(2), i.isNull(), i, text.isNull(), text)}
-    fp = cut_lineage(fingerprints(docs, id_col, text_col, row))
+    fp = cut_lineage(fingerprints(docs, id_col, text_col, row, WIDE))
     least = fp.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *row)).alias("first"))
-    stay = least.join(_roots(fp), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first._row1", "first._row2")
+    stay = least.join(_roots(fp, WIDE, NEAR), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first._row1", "first._row2")
     d = docs.withColumns(row)
     return d.join(stay, list(row), "left_semi").dropDuplicates(list(row)).select(*docs.columns)
