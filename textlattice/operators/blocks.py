@@ -169,16 +169,18 @@ _URL = re.compile(r"(?<!\w)" + P.BARE_URL, re.I)
 def md_links(text: str) -> int:
     """Inline links, reference links, autolinks, then bare addresses outside images: each kind is taken out before the next."""
     n = 0
-    for kind in ("inline_link", "reference_link", "autolink"):
-        text, k = _MD[kind].subn(" ", text)
-        n += k
-    return n + len(_URL.findall(_MD["image"].sub(" ", text)))
+    if "[" in text or "<" in text:
+        for kind in ("inline_link", "reference_link", "autolink"):
+            text, k = _MD[kind].subn(" ", text)
+            n += k
+    return n + (len(_URL.findall(_MD["image"].sub(" ", text))) if "://" in text else 0)
 
 
 def md_plain(text: str) -> str:
     """What is seen of a line of Markdown."""
-    for kind, keep in P.MARKDOWN_SHOWS:
-        text = _MD[kind].sub(keep, text)
+    if "[" in text or "<" in text:
+        for kind, keep in P.MARKDOWN_SHOWS:
+            text = _MD[kind].sub(keep, text)
     return " ".join(text.split())
 
 
@@ -226,6 +228,8 @@ class _Markdown:
     def block(self, lines: list[str], i: int, para: list[str]) -> int:
         """Lines of the block that begins at line i, after closing the paragraph before it; 0 for a blank line and for one of a paragraph."""
         s = lines[i]
+        if s[:1].isalpha() and "|" not in s:  # nothing but text begins with a letter
+            return 0
         if not s.strip():
             self.close(para)
             return 0
@@ -309,7 +313,7 @@ class _Markdown:
 
 
 def begins_block(s: str) -> bool:
-    return any(_MD[k].match(s) for k in ("fence", "atx", "quote", "rule", "item"))
+    return not s[:1].isalpha() and any(_MD[k].match(s) for k in ("fence", "atx", "quote", "rule", "item"))
 
 
 def quoted(lines: list[str], i: int) -> tuple[list[str], int]:
@@ -399,7 +403,7 @@ def tabular(lines: list[str]) -> bool:
 
 def classify(out: Outline, lines: list[str], headings: bool = True) -> None:
     """The blocks of one run of lines."""
-    urls = lambda x: len(_URL.findall(x))
+    urls = lambda x: len(_URL.findall(x)) if "://" in x else 0
 
     def prose(kind: str, own: list[str]) -> None:
         text = " ".join(map(str.strip, own))

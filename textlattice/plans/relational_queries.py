@@ -151,7 +151,7 @@ def norm_title(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.normal_title(F.col("text")).alias("title"))
 
 
-_ISBN_TEXT = "CASE doc_id % 3 WHEN 0 THEN '978-0-14-' || lpad(CAST(doc_id * 7 % 1000000 AS VARCHAR(9)), 6, '0') || '-' || (doc_id % 10) WHEN 1 THEN lpad(CAST(doc_id * 7919 % 1000000000 AS VARCHAR(12)), 9, '0') || CASE WHEN doc_id % 11 = 10 THEN 'x' ELSE CAST(doc_id % 10 AS VARCHAR(2)) END ELSE substr(text, 1, 13) END"
+_ISBN_TEXT = "CASE doc_id % 3 WHEN 0 THEN '978-0-14-' || lpad(CAST(doc_id * 7 % 1000000 AS VARCHAR(9)), 6, '0') || '-' || (doc_id % 10) WHEN 1 THEN lpad(CAST(doc_id * 7919 % 1000000000 AS VARCHAR(12)), 9, '0') || CASE WHEN doc_id % 11 = 10 THEN 'x' ELSE CAST(doc_id % 10 AS VARCHAR(2)) END ELSE text END"
 _ISBN_OK = r"""CASE WHEN regexp_full_match(v, '\d{13}') AND list_sum(list_transform(range(1, 14), lambda i: CAST(substr(v, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END)) % 10 = 0 THEN v
     WHEN regexp_full_match(v, '\d{9}[\dX]') AND list_sum(list_transform(range(1, 11), lambda i: CASE WHEN substr(v, i, 1) = 'X' THEN 10 ELSE CAST(substr(v, i, 1) AS INT) END * (11 - i))) % 11 = 0 THEN v END"""
 
