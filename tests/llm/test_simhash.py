@@ -130,12 +130,12 @@ def test_wide_fingerprints():
     for n in (0, 1, 3, 4, 60):
         w = [rnd.choice(["Ab", "c", "déf", "G"]) for _ in range(n)]
         text = " ".join(w).encode()
-        sh = [b" ".join(text.lower().split()[j : j + 3]) for j in range(max(1, n - 2))] if n else []
+        sh = sorted({b" ".join(text.lower().split()[j : j + 3]) for j in range(max(1, n - 2))}) if n else []
         want = 0
         for k in range(S.WIDE):
             h = [int(S.K.mix(np.array([xxhash.xxh64_intdigest(x, 42) ^ (k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)], np.uint64))[0]) if k else xxhash.xxh64_intdigest(x, 42) for x in sh]
             want |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) << 64 * k
-        assert S.fingerprint(text, S.WIDE) == want and S.fingerprint(text) == want & (1 << 64) - 1
+        assert S.fingerprint(text, S.WIDE) == want
 
 
 def test_first_of_groups_takes_edited_copies(make):
