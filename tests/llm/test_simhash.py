@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from textlattice.llm import simhash as S
@@ -138,9 +139,10 @@ def test_wide_fingerprints():
         assert S.fingerprint(text, S.WIDE) == want
 
 
-def test_first_of_groups_takes_edited_copies(make):
-    """Of copies that share 0.86 of their 5-word shingles nearly all go; what shares less than 0.65 with every other stays."""
-    rnd = random.Random(4)
+@pytest.mark.parametrize("seed", [4, 5])
+def test_first_of_groups_takes_edited_copies(make, seed):
+    """Of copies that share 0.8 of their 5-word shingles nine tenths go; what shares less than 0.65 with every other stays."""
+    rnd = random.Random(seed)
     words = [f"w{k}" for k in range(4000)]
     shingles = lambda t: {tuple(t[j : j + 5]) for j in range(max(1, len(t) - 4))}
     texts = []
@@ -164,11 +166,11 @@ def test_first_of_groups_takes_edited_copies(make):
                 x, y = shingles(texts[a][1]), shingles(texts[b][1])
                 share = len(x & y) / len(x | y)
                 best[a], best[b] = max(best[a], share), max(best[b], share)
-                if share >= 0.86:
+                if share >= 0.8:
                     p, q = top(a), top(b)
                     group[max(p, q)] = min(p, q)
     firsts = {top(k) for k in range(len(texts))}
     got = {r.doc_id for r in S.first_of_groups(make([(k, " ".join(w)) for k, (_, w) in enumerate(texts)])).collect()}
     assert {texts[k][0] for k in got} == set(range(40))  # no group vanishes
-    assert len(got - firsts) <= 0.05 * (len(texts) - len(firsts))
+    assert len(got - firsts) <= 0.1 * (len(texts) - len(firsts))
     assert all(k in got for k in range(len(texts)) if best[k] < 0.65)
