@@ -86,6 +86,11 @@ def html_to_text(x: Column) -> Column:
     return F.array_join(F.transform(lines(t), strip), "\n")
 
 
+def closed_references(x: Column) -> Column:
+    """Markup in which only character references that end with a semicolon are ones; parsers of HTML know some without it, as in a title that is cut off."""
+    return F.regexp_replace(x, r"&(?!(?:#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);)", "&amp;")
+
+
 def bare_urls(x: Column) -> Column:
     return F.regexp_count(x, F.lit(rf"(?U)(?i)(?<!{P.WORD_CHAR}){P.BARE_URL}")).cast("long")
 
