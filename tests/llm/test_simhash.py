@@ -174,3 +174,20 @@ def test_first_of_groups_takes_edited_copies(make, seed):
     assert {texts[k][0] for k in got} == set(range(40))  # no group vanishes
     assert len(got - firsts) <= 0.1 * (len(texts) - len(firsts))
     assert all(k in got for k in range(len(texts)) if best[k] < 0.65)
+
+
+def test_every_wide_link_is_found(spark):
+    """Pairs that differ in 46 bits, spread over all segments; those that differ in 47 aren't linked."""
+    rnd = random.Random(12)
+    fps, want = [], set()
+    for n in [S.NEAR, S.NEAR + 1] * 20:
+        x = rnd.getrandbits(64 * S.WIDE)
+        y = x
+        for k in range(n):
+            y ^= 1 << 32 * (k % 12) + 8 * (k // 12) + rnd.randrange(8)
+        fps += [x.to_bytes(8 * S.WIDE, "little"), y.to_bytes(8 * S.WIDE, "little")]
+        a, b = S.node_of(np.frombuffer(fps[-2] + fps[-1], np.uint64).reshape(2, -1)).view(np.int64).tolist()
+        if n == S.NEAR:
+            want.add((min(a, b), max(a, b)))
+    out = S.links(spark.createDataFrame([(bytearray(x),) for x in fps], "words binary"), len(fps), S.WIDE, S.NEAR).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in out} == want

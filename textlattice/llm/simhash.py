@@ -18,20 +18,24 @@ pairs.
 Two bits catch copies, but hardly edited ones: texts that share four fifths of their
 5-word shingles differ in 5 to 10 bits of 64. So ``first_of_groups`` takes *wide*
 fingerprints of 384 bits over different shingles (so that a line repeated many times
-doesn't decide alone; five more words, from hashes mixed anew) in 12 segments, and links those within NEAR bits that agree in some segment up to one bit. Wide links
-are found with a probability (0.998 at 24 differing bits, 0.98 at 30, 0.91 at 36 and
-0.79 at 42, 0.68 at 46), the others for certain.
+doesn't decide alone; five more words, from hashes mixed anew) in 12 segments, and links
+those within NEAR bits. Some segment of two such differs in three bits at most, so one
+of its four bytes is equal, by which they are dealt; of the other 24 bits, cut into n
+parts, all but three parts are equal, and every choice of them is a variant. So every
+link is found, of wide fingerprints as of others.
 
 Defined results: null and empty texts have fingerprint zero and link to each other;
 a null id counts as larger than any other and stays null; rows that repeat an id are
 one node of the graph each through their fingerprints; an empty table gives none;
 other columns are ignored (first_of_groups keeps them all). The distinct fingerprints
-of one group that agree in a segment meet in one task, 9 bytes each (49 of wide ones).
+that agree in half a segment meet in one task, 9 bytes each; wide ones that agree in a
+byte of a segment, about a 256th of all, 49 bytes each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +49,11 @@ U = K.U
 SEED, SHINGLE, BITS = 42, 3, 2
 #: Words of a wide fingerprint, and the bits in which two of them may differ: about those of texts that share four fifths of their 5-word shingles.
 WIDE, NEAR = 6, 46
-#: Fingerprints of one word for a bucket of the index, about; and the size from which those of one variant are looked up instead of compared.
-BUCKET_FPS = 20_000
+#: Fingerprints sent to a bucket of the index, about, one for each part; fingerprints under one variant, about, up to which they are told apart no further;
+#: the size up to which those of one variant are compared in pairs; and that from which 64-bit ones are looked up instead of compared.
+BUCKET = 80_000
+CROWD = 12
+FEW = 64
 SPLIT = 2_048
 
 
@@ -101,21 +108,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return d.mapInArrow(_fingerprints(words), ", ".join(f"{n} long" for n in ("id", *row, "fp")) + ", words binary")
 
 
-def halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint and each half of each segment (4 a word): that half, and the other half of its segment."""
-    parts = np.ascontiguousarray(fps).view("<u2").reshape(len(fps), -1)
-    return parts, parts[:, np.arange(parts.shape[1]) ^ 1]
+def most_wrong(words: int, limit: int) -> int:
+    """The bits in which two fingerprints within the limit differ at most in the best of their segments."""
+    n = limit // (2 * words)
+    if 32 % (n + 1):
+        raise ValueError(f"a segment of 32 bits has no {n + 1} equal parts")
+    return n
 
 
-def _spread(n_buckets: int, words: int):
+def segments(fps: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(fps).view("<u4").reshape(len(fps), -1).astype(U)
+
+
+def part_of(segment: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part k of n of each segment, and the segment's other bits, closed up."""
+    width, low = U(32 // n), U(32 // n) * k.astype(U)
+    own = segment >> low & (U(1) << width) - U(1)
+    return own, segment & (U(1) << low) - U(1) | segment >> low + width << low
+
+
+def masks(bits: int, wrong: int, crowd: float) -> list[int]:
+    """Masks of so many bits, one of which leaves out any given wrong bits. The more are to be told apart, the more bits each keeps, and the more there are."""
+    for n in (n for n in range(wrong + 1, bits + 1) if bits % n == 0):
+        size, keeps = bits // n, n - wrong
+        if n == bits or crowd <= CROWD << size * keeps:
+            break
+    return [sum((1 << size) - 1 << size * k for k in some) for some in combinations(range(n), keeps)]
+
+
+def _spread(n_buckets: int, words: int, limit: int = BITS):
+    n = most_wrong(words, limit) + 1
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.frombuffer(b"".join(b.column("words").to_pylist()), U).reshape(-1, words)
             for i in range(0, len(fps), 4096):
                 part = fps[i : i + 4096]
-                own, _ = halves(part)
+                own, _ = part_of(segments(part)[:, :, None], np.arange(n), n)
+                own = own.reshape(len(part), -1)
                 slots = own.shape[1]
-                at = (K.mix(own.astype(U) | (np.arange(slots, dtype=U) << U(16))).ravel() % U(n_buckets)).astype(np.int32)
+                at = (K.mix(own | (np.arange(slots, dtype=U) << U(16))).ravel() % U(n_buckets)).astype(np.int32)
                 order = np.argsort(at, kind="stable")
                 at = at[order]
                 cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -157,17 +189,30 @@ def _apart(fps: np.ndarray, i, j) -> np.ndarray:
 
 
 def _links(fps: np.ndarray, members: np.ndarray, forest: Forest, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some fingerprints: each is compared with those that nothing has reached yet."""
+    """A spanning forest of the links among some fingerprints: those reached are compared with those that nothing has reached yet, one by one on the smaller side."""
     left, out = members, []
+
+    def join(a: int, b: int) -> None:
+        if forest.join(a, b):
+            out.append((a, b))
+
     while len(left):
-        reached, left = [left[0]], left[1:]
-        while reached and len(left):
-            x = reached.pop()
-            near = _apart(fps, left, x) <= limit
-            for j in left[near].tolist():
-                if forest.join(int(x), j):
-                    out.append((int(x), j))
-            reached += left[near].tolist()
+        reached, left = left[:1], left[1:]
+        while len(reached) and len(left):
+            if len(reached) <= len(left):
+                x, reached = int(reached[0]), reached[1:]
+                near = _apart(fps, left, x) <= limit
+                for j in left[near].tolist():
+                    join(x, j)
+                reached = np.concatenate((reached, left[near]))
+            else:
+                near = np.zeros(len(left), dtype=bool)
+                for k, j in enumerate(left.tolist()):
+                    by = reached[_apart(fps, reached, j) <= limit]
+                    if len(by):
+                        near[k] = True
+                        join(int(by[0]), j)
+                reached = left[near]
             left = left[~near]
     return out
 
@@ -203,33 +248,49 @@ def _looked_up(fps: np.ndarray, members: np.ndarray, forest: Forest, wild: int)
 
 
 def _meet(words: int, limit: int):
+    wrong = most_wrong(words, limit)
+    n = wrong + 1
+    bits = 32 - 32 // n
+
     def f(t: pa.Table) -> pa.Table:
         fps = np.concatenate([K.unplanes(x.as_py(), U) for x in t["fps"]]).reshape(-1, words)
         slot = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t["slots"]]).astype(np.int64)
         node, first, place = np.unique(node_of(fps), return_index=True, return_inverse=True)
-        own, other = (x[np.arange(len(fps)), slot].astype(U) for x in halves(fps))
+        segment = segments(fps)[np.arange(len(fps)), slot // n]
+        own, other = part_of(segment, slot % n, n)
         fps = fps[first]
-        forest, edges = Forest(), []
-        group = (slot.astype(U) << U(36)) | (own << U(20))
-        for bit in range(16):  # the variants with this bit of the other half left out
-            key = group | U(bit << 16) | (other & U(0xFFFF ^ (1 << bit)))
-            order = np.argsort(key, kind="stable")
-            key, who = key[order], place[order]
+        forest, edges, label = Forest(), [], np.arange(len(fps))
+        group = (slot.astype(U) << U(32 // n) | own) << U(bits)
+        crowd = (np.unique(group, return_counts=True)[1] ** 2.0).sum() / len(group)
+        few = min(FEW, SPLIT)
+        for mask in masks(bits, wrong, crowd if words > 1 else np.inf):
+            key = group | other & U(mask)
+            order = np.argsort(key)
+            key, who, seg = key[order], place[order], segment[order]
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[1:] != key[:-1]
             start = np.flatnonzero(new)
             size = np.diff(np.append(start, len(key)))
-            two = start[size == 2]
-            near = _apart(fps, who[two], who[two + 1]) <= limit
-            for a, b in zip(who[two][near].tolist(), who[two + 1][near].tolist(), strict=True):
-                if forest.join(a, b):
-                    edges.append((a, b))
-            for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            known = len(edges)
+            i, d = np.flatnonzero(np.repeat((size > 1) & (size <= few), size)), 1
+            while len(i := i[: np.searchsorted(i, len(key) - d)]) and len(i := i[key[i] == key[i + d]]):
+                # a link is seen in a segment where few enough bits differ
+                j = i[np.bitwise_count(seg[i] ^ seg[i + d]) <= wrong]
+                a, b = who[j], who[j + d]
+                a, b = a[apart := label[a] != label[b]], b[apart]
+                near = _apart(fps, a, b) <= limit
+                edges += [(x, y) for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True) if forest.join(x, y)]
+                d += 1
+            for s, m in zip(start[size > few].tolist(), size[size > few].tolist(), strict=True):
+                members = who[s : s + m]
                 if m > SPLIT and words == 1:
-                    k = int(key[s] >> U(36))
-                    edges += _looked_up(fps, who[s : s + m], forest, 16 * (k ^ 1) + bit)
-                else:
-                    edges += _links(fps, who[s : s + m], forest, limit)
+                    k, left_out = int(key[s] >> U(32)), ((1 << bits) - 1 ^ mask).bit_length() - 1
+                    edges += _looked_up(fps, members, forest, 16 * (k ^ 1) + left_out)
+                elif (label[members] != label[members[0]]).any():
+                    edges += _links(fps, members, forest, limit)
+            if len(edges) > known:
+                for x in list(forest.up):
+                    label[x] = forest.find(x)
         e = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[e[:, 0]].view(np.int64)), "b": pa.array(node[e[:, 1]].view(np.int64))})
 
@@ -237,9 +298,10 @@ def _meet(words: int, limit: int):
 
 
 def links(fps: DataFrame, n_fps: int, words: int = 1, limit: int = BITS) -> DataFrame:
-    """Links (a, b) among distinct fingerprints (words): a set whose components are those of all links that are found."""
-    n_buckets = max(1, -(-n_fps * words // BUCKET_FPS))
-    spread = fps.select("words").mapInArrow(_spread(n_buckets, words), "bucket int, fps binary, slots binary")
+    """Links (a, b) among distinct fingerprints (words): a set whose components are those of all links within the limit."""
+    slots = 2 * words * (most_wrong(words, limit) + 1)
+    n_buckets = max(1, -(-n_fps * slots // BUCKET))
+    spread = fps.select("words").mapInArrow(_spread(n_buckets, words, limit), "bucket int, fps binary, slots binary")
     return spread.groupBy("bucket").applyInArrow(_meet(words, limit), "a long, b long").distinct()
 
 
